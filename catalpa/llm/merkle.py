@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from catalpa.llm.common import partitions
 
 MAX_PIECE = 64
-PIECE = re.compile(r"[^.!?\n]{1,%d}[.!?]*[ \t]?|[.!?]{1,%d}[ \t]?|\n" % (MAX_PIECE, MAX_PIECE))
+PIECE = re.compile(r"(?:[^.!?\n]{1,%d}[.!?]*|[.!?]{1,%d})[ \t]?\n?|\n" % (MAX_PIECE, MAX_PIECE))
 SECTION = re.compile(r"\n[ \t]*\n+")
 ROOT_BYTES, LEAF_BYTES = 16, 4
 
