@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, merkle, string_kernel, url_filter
+from catalpa.llm import inner_product, merkle, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learn = remainder("doc_id", 3) != 1
+    model = toxicity.train(docs.where(learn), labels.where(learn))
+    asked = docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "text")
+    return toxicity.score(asked, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = string_kernel.train(docs.where(remainder("doc_id", 5) != 0), "doc_id", "text", "lang")
@@ -30,6 +39,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op4_inner_product": op4_inner_product,
     "op6_merkle": op6_merkle,
