@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, merkle, string_kernel, toxicity, url_filter
+from catalpa.llm import inner_product, merkle, mixing, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -30,6 +30,11 @@ def op4_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op4_inner_product": op4_inner_product,
+    "op5_mixing": op5_mixing,
     "op6_merkle": op6_merkle,
     "op10_url_filter": op10_url_filter,
 }
