@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, merkle, mixing, string_kernel, toxicity, url_filter
+from catalpa.llm import inner_product, merkle, mixing, private_data, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.predict(asked, model)
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -46,6 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_private_data": op3_private_data,
     "op4_inner_product": op4_inner_product,
     "op5_mixing": op5_mixing,
     "op6_merkle": op6_merkle,
