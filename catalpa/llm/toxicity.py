@@ -15,7 +15,6 @@ from every score is 0. Repeated label rows of an id count once, as toxic if any
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalpa.session import checkpoint
+
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
 FEATURES = 512
@@ -42,23 +43,21 @@ def words(text: str | None) -> set[str]:
     return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
-def choose_features(positive: list[set[str]], unlabelled: list[set[str]], most: int = FEATURES) -> list[str]:
-    """Words commoner in P than in U, by the signed root of their likelihood-ratio excess."""
-    p, u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
-    least = max(3, min(LEAST_TEXTS, len(positive) // 50))
+def choose_features(counts: list[tuple[str, int, int]], n_positive: int, n_unlabelled: int, most: int = FEATURES) -> list[str]:
+    """Of (word, texts of P with it, texts of U with it), the words commoner in P, by the excess over its standard error."""
 
-    def lift(w: str) -> float:
-        a, b = p[w] / len(positive), (u[w] + 0.5) / (len(unlabelled) + 1)
-        return (a - b) / np.sqrt(b * (1 - min(b, 0.999)) / len(positive) + 1e-12)
+    def lift(in_p: int, in_u: int) -> float:
+        a, b = in_p / n_positive, (in_u + 0.5) / (n_unlabelled + 1)
+        return (a - b) / np.sqrt(b * (1 - min(b, 0.999)) / n_positive + 1e-12)
 
-    ranked = sorted(((lift(w), w) for w, c in p.items() if c >= least), key=lambda x: (-x[0], x[1]))
-    return [w for z, w in ranked[:most] if z > 4]
+    ranked = sorted(((lift(in_p, in_u), word) for word, in_p, in_u in counts), key=lambda x: (-x[0], x[1]))
+    return [word for z, word in ranked[:most] if z > 4]
 
 
-def presence(sets: list[set[str]], column: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(sets), len(column)), dtype=np.float32)
-    for i, s in enumerate(sets):
-        out[i, [column[w] for w in s if w in column]] = 1
+def presence(rows: list[list[int]], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), dtype=np.float32)
+    for i, at in enumerate(rows):
+        out[i, at] = 1
     return out
 
 
@@ -96,14 +95,14 @@ class ToxicModel:
         return float(sigmoid(np.array(self.weights[at].sum() + self.offset)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicModel | None:
+def fit(positive: list[list[int]], unlabelled: list[list[int]], features: list[str], prior: float) -> ToxicModel | None:
+    """An ensemble over the feature columns that each text has."""
     if not positive or not unlabelled:
         return None
     prior = min(max(prior, 1e-3), 0.9)
-    p_sets, u_sets = [words(t) for t in positive], [words(t) for t in unlabelled]
-    column = {w: i for i, w in enumerate(choose_features(p_sets, u_sets))}
-    p, u = presence(p_sets, column), presence(u_sets, column)
+    p, u = presence(positive, len(features)), presence(unlabelled, len(features))
     members = [fit_member(p, u[i::MEMBERS] if len(u) >= 50 * MEMBERS else u, prior) for i in range(MEMBERS)]
+    column = {w: i for i, w in enumerate(features)}
     return ToxicModel(column, np.mean([w for w, _ in members], axis=0), float(np.mean([b for _, b in members])))
 
 
@@ -118,15 +117,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     other = ids.orderBy(ranked, id_col).limit(MAX_UNLABELLED).select(id_col, F.lit(False).alias("is_p"))
     few = toxic.unionByName(other).distinct()  # MAX_POSITIVE + MAX_UNLABELLED rows at most
     rows = docs.select(id_col, text_col).join(F.broadcast(few), id_col).select("is_p", F.col(text_col).alias("text"))
-    packed = rows.mapInPandas(distinct_words, "is_p boolean, words string").collect()
-    sides = {flag: [r["words"] for r in packed if r["is_p"] == flag] for flag in (True, False)}
-    return fit(sorted(set(sides[True])), sides[False], prior)  # copies of a toxic text count once
+    packed = rows.mapInPandas(distinct_words, "is_p boolean, words array<string>")
+    packed = checkpoint(packed.where("NOT is_p").unionByName(packed.where("is_p").dropDuplicates(["words"])))  # copies of a toxic text count once
+    sizes = packed.agg(F.count_if("is_p").alias("p"), F.count_if(~F.col("is_p")).alias("u")).first()
+    if not sizes["p"] or not sizes["u"]:
+        return None
+    least = max(3, min(LEAST_TEXTS, sizes["p"] // 50))
+    counts = packed.select("is_p", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("is_p").alias("p"), F.count_if(~F.col("is_p")).alias("u"))
+    commoner = counts.where((F.col("p") >= least) & (F.col("p") * sizes["u"] > F.col("u") * sizes["p"]))  # words of the sample, met in several texts of P
+    features = choose_features([tuple(r) for r in commoner.collect()], sizes["p"], sizes["u"])
+    column = packed.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(features)})
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"is_p": part["is_p"], "at": [sorted(column.value[w] for w in own if w in column.value) for own in part["words"]]})
+
+    held = packed.mapInPandas(columns, "is_p boolean, at array<int>").collect()
+    sides = {flag: sorted(list(r["at"]) for r in held if r["is_p"] == flag) for flag in (True, False)}
+    spread = np.random.default_rng(0).permutation(len(sides[False]))  # members get shares alike, the same on each run
+    return fit(sides[True], [sides[False][i] for i in spread], features, prior)
 
 
 def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of each text, in order, so that repeats needn't travel."""
+    """The distinct words and stems of each text, in order."""
     for part in batches:
-        yield pd.DataFrame({"is_p": part["is_p"], "words": [" ".join(sorted(set(WORD.findall((t or "").lower())))) for t in part["text"]]})
+        yield pd.DataFrame({"is_p": part["is_p"], "words": [sorted(words(t)) for t in part["text"]]})
 
 
 def score(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") -> DataFrame:
