@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, jaccard_join, merkle, mixing, private_data, string_kernel, toxicity, url_filter
+from catalpa.llm import inner_product, jaccard_join, merkle, mixing, nbest, private_data, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -47,6 +47,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
+def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.segment_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_merkle": op6_merkle,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_nbest": op8_nbest,
     "op10_url_filter": op10_url_filter,
 }
 
