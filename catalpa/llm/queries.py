@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, jaccard_join, merkle, mixing, nbest, private_data, string_kernel, toxicity, url_filter
+from catalpa.llm import inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -51,6 +51,12 @@ def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.segment_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lattice_lm.score(docs, remainder("doc_id", 10) != 0)
+    return scored.withColumn("held_out", ~F.col("learn")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_merkle": op6_merkle,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_nbest": op8_nbest,
+    "op9_lattice_lm": op9_lattice_lm,
     "op10_url_filter": op10_url_filter,
 }
 
