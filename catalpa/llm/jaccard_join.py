@@ -35,8 +35,8 @@ HEAVY_LEAST = 8
 HEAVY_MOST = 300_000
 FLUSH = 2_000_000
 BLOCK = 64
-QUERY_PART = 1000
-BROADCAST_IDS = 1_000_000
+PART = 256
+BROADCAST_ROWS = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,19 +148,24 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
     return docs.mapInPandas(lead, "h long, node long, n long")
 
 
-def few_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents with an id among ids (checkpointed); they are broadcast only while they are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"] == ids["node"], "left_semi")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the whole sets of the named documents, as packed hashes."""
+def with_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
+    """placed (node, key, part, role) with the node's whole set as packed hashes; placed is broadcast only while it is small."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"node": part["doc_id"], "shingles": [shingles(t, size).tobytes() for t in part["text"]]})
+            yield part.drop(columns=["text"]).assign(shingles=[shingles(t, size).tobytes() for t in part["text"]])
+
+    side = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
+    rows = docs.join(side, docs["doc_id"] == placed["node"]).select("node", "key", "part", "role", "text")
+    return rows.mapInPandas(pack, "node long, key long, part long, role boolean, shingles binary")
+
 
-    return few_ids(docs, ids).mapInPandas(pack, "node long, shingles binary")
+def in_parts(ones: DataFrame, others: DataFrame) -> DataFrame:
+    """(node, key, part, role) of both sides (node, key): the first (role true) dealt into parts of about PART, the others in each part."""
+    parts = ones.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = ones.join(parts, "key").select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("role"))
+    every = others.join(parts, "key").select("node", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("role"))
+    return checkpoint(dealt.unionByName(every))
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -180,38 +185,28 @@ def linked(common: int, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def compare_with_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the (node, leader) pairs that link."""
+def compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the two roles within a (key, part).
 
-    def verify(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            kept = []
-            for a, b, x, y in zip(part["leader"], part["node"], part["theirs"], part["shingles"]):
-                x, y = unpack(x), unpack(y)
-                if linked(overlap(x, y), len(x), len(y), percent):
-                    kept.append((a, b))
-            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+    Role false is a block of similar documents (or one leader), role true are the queries. The block's token union bounds a
+    query's overlap with any member; only past the bound the block is opened.
+    """
 
-    theirs = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"))
-    return pairs.join(sets, "node").join(theirs, "leader").mapInPandas(verify, "a long, b long")
-
-
-def open_groups(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between queries (block, part, node, shingles) and members (to, piece, other, theirs); a block is opened only past its bound."""
-
-    def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        own = [(node, unpack(s)) for node, s, role in zip(part["node"], part["shingles"], part["role"]) if not role]
         kept = []
-        if len(queries) and len(block):
-            own = [(node, unpack(s)) for node, s in zip(block["other"], block["theirs"])]
-            union = np.unique(np.concatenate([s for _, s in own]))
-            for node, packed in zip(queries["node"], queries["shingles"]):
+        if own:
+            union = np.unique(np.concatenate([s for _, s in own])) if len(own) > 1 else own[0][1]
+            for node, packed, role in zip(part["node"], part["shingles"], part["role"]):
+                if not role:
+                    continue
                 x = unpack(packed)
                 if overlap(x, union) < needed(len(x), percent):
                     continue
                 kept += [(node, other) for other, y in own if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and linked(overlap(x, y), len(x), len(y), percent)]
         return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
-    return asked.groupBy("block", "part").cogroup(members.groupBy("to", "piece")).applyInPandas(meet, "a long, b long")
+    return rows.groupBy("key", "part").applyInPandas(meet, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -226,9 +221,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     led = checkpoint(led.select("h", "node", "n", "leader"))
     # The leader with which a document shares most leading shingles.
     votes = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    pairs = checkpoint(votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"))).alias("top")).select("node", (-F.col("top.least")).alias("leader")))
-    sets = checkpoint(sets_of(docs, checkpoint(led.select("node").distinct()), size))
-    found = checkpoint(compare_with_leaders(pairs, sets, percent))
+    pairs = checkpoint(votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"))).alias("top")).select("node", (-F.col("top.least")).alias("key")))
+    leaders = pairs.select(F.col("key").alias("node"), "key").distinct()
+    found = checkpoint(compare(with_sets(docs, in_parts(pairs, leaders), size), percent))
     groups = components(found)
     # Token-group matrix between groups. A block is a group, or a part of a large one.
     member = led.select("node", "n").distinct().join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("grp"))
@@ -240,13 +235,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     posting = checkpoint(posting.where("low < high").select("h", "node", "n", "grp", "block"))
     blocks = posting.groupBy("h", "block", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     reach = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    asks = posting.select("h", "node", "n", F.col("grp").alias("own")).join(blocks, "h").where((F.col("own") < F.col("grp")) & reach).select("node", "block").distinct()
+    asks = posting.select("h", "node", "n", F.col("grp").alias("own")).join(blocks, "h").where((F.col("own") < F.col("grp")) & reach).select("node", F.col("block").alias("key")).distinct()
     asks = checkpoint(asks)
-    parts = checkpoint(asks.groupBy("block").agg(F.ceil(F.count("*") / QUERY_PART).alias("parts")))
-    asked = asks.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node").join(sets, "node")
-    opened = placed.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "node").join(sets, "node")
-    opened = opened.select(F.col("block").alias("to"), F.col("part").alias("piece"), F.col("node").alias("other"), F.col("shingles").alias("theirs"))
-    more = open_groups(asked, opened, percent)
+    more = checkpoint(compare(with_sets(docs, in_parts(asks, placed.select("node", F.col("block").alias("key"))), size), percent))
     # Equal sets are one class; links are between classes.
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     classes = checkpoint(classes.select("digest", "first"))
