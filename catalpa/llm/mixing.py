@@ -132,18 +132,29 @@ def thresholds(light: DataFrame, rounded: DataFrame) -> DataFrame:
     return cells.join(cuts, F.expr("source <=> s AND size = z"), "left").select("source", "size", "source_size", "target", each, "cut")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Every row of docs with size, source_size, target, copies and taken (copies times size)."""
-    given = docs.columns
+def planned(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """docs with __size, __source_size, __target and __copies."""
     marked = docs.withColumns({"__source": F.col(source_col), "__size": words(F.col(text_col)), "__hash": F.xxhash64(F.col(id_col).cast("string"))})
     light = checkpoint(marked.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__hash").alias("hash")))
     cells = checkpoint(light.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = targets(cells).withColumnRenamed("source", "goal_source")
     plan = checkpoint(thresholds(light, copies_by_cell(cells, solve(cells, goals))))
-    plan = plan.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "each", "cut")
+    plan = plan.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("each").alias("__each"), F.col("cut").alias("__cut"))
     if cells.count() <= BROADCAST_CELLS:
         plan = F.broadcast(plan)
-    joined = marked.join(plan, F.expr("__source <=> __s AND __size = __z"))
-    copies = F.col("each") + F.coalesce((F.col("__hash") <= F.col("cut")).cast("long"), F.lit(0))
-    made = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "copies": F.when(F.col("__size") == 0, 1).otherwise(copies).cast("long"), "taken": copies.cast("long") * F.col("__size")}
-    return joined.select(*[f"`{c}`" for c in given if c not in made], *[v.alias(k) for k, v in made.items()])
+    copies = F.col("__each") + F.coalesce((F.col("__hash") <= F.col("__cut")).cast("long"), F.lit(0))
+    return marked.join(plan, F.expr("__source <=> __s AND __size = __z")).withColumn("__copies", F.when(F.col("__size") == 0, 1).otherwise(copies).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Every row of docs with size, source_size, target, copies and taken (copies times size), in place of columns so named."""
+    made = {"size": "__size", "source_size": "__source_size", "target": "__target", "copies": "__copies"}
+    given = [f"`{c}`" for c in docs.columns if c not in made and c != "taken"]
+    rows = planned(docs, id_col, source_col, text_col)
+    return rows.select(*given, *[F.col(v).alias(k) for k, v in made.items()], (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Every row of docs as often as the mix takes it."""
+    rows = planned(docs, id_col, source_col, text_col).withColumn("__each", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
+    return rows.select(*[f"`{c}`" for c in docs.columns])

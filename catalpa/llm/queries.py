@@ -87,4 +87,20 @@ ORACLES = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 20""",
+    "op7_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g
+            FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS common
+            FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (sizes - common)),
+        r AS (SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CAST(min(r.reach) AS BIGINT) AS component_id
+        FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.g""",
 }

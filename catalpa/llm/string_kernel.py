@@ -133,8 +133,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     return fit([r["text"] for r in kept], [r["lang"] for r in kept])
 
 
-def predict(docs: DataFrame, model: KernelModel | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; one pass, no shuffle."""
+def predict(docs: DataFrame, model: KernelModel | None, text_col: str = "text", keep_text: bool = False, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with lang_pred and score (in place of columns so named), without the text unless keep_text; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,9 +149,9 @@ def predict(docs: DataFrame, model: KernelModel | None, text_col: str = "text")
                 shares /= shares.sum(1, keepdims=True)
                 for i, share in zip(some, shares):
                     names[i], scores[i] = model.langs[int(share.argmax())], float(share.max())
-            yield part.drop(columns=[text_col]).assign(lang_pred=names, score=scores)
+            yield (part if keep_text else part.drop(columns=[text_col])).assign(**{pred_col: names, score_col: scores})
 
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "lang_pred", "score")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    docs = docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`")
-    return docs.mapInPandas(label, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
+    kept = [f for f in docs.schema.fields if f.name not in (text_col, pred_col, score_col)]
+    kept += [f for f in docs.schema.fields if f.name == text_col]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept if keep_text or f.name != text_col)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInPandas(label, f"{kinds}`{pred_col}` string, `{score_col}` double")
