@@ -7,7 +7,8 @@ A document's set is its distinct word shingles, as 64-bit hashes. Two documents
    (prefix principle; any fixed order is exact, the counts only make the lists short).
 3. Documents that share such shingles are partitioned into groups of similar ones: each is compared with the leader it shares
    most with, and linked ones form groups. Inside a group nothing is left to do for connectivity.
-4. Between groups the token-group matrix decides: each block of a group holds the union of its members' shingles; a
+4. Between groups, pairs of a document and a block whose common leading shingles leave no room for a link are dropped. For the others
+   the token-group matrix decides: each block of a group holds the union of its members' shingles; a
    document whose overlap with the union is below the overlap any link needs can't link with a member, so the
    block isn't opened. Qualifying blocks are opened and members compared exactly.
 
@@ -25,15 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalpa.llm.components import components
 from catalpa.session import checkpoint
 
-HEAVY_LEAST = 8
+HEAVY_LEAST = 4
 HEAVY_MOST = 300_000
 FLUSH = 2_000_000
+LEADER_SHARE = 20
 BLOCK = 64
 PART = 256
 BROADCAST_ROWS = 500_000
@@ -126,13 +128,13 @@ def in_order(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """(h, node, n): the leading shingles of each document; of equal sets in a task only the first."""
+    """(h, node, n, rank): the leading shingles of each document by rank; of equal sets in a task only the first."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[bytes] = set()
         for part in batches:
-            found, nodes, sizes = [], [], []
+            found, nodes, sizes, ranks = [], [], [], []
             for node, text in zip(part["doc_id"], part["text"]):
                 own = shingles(text, size)
                 if not len(own) or (mark := xxhash.xxh3_128_digest(own.tobytes())) in met:
@@ -141,11 +143,27 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
                 first = in_order(own, shared.value)[: len(own) - needed(len(own), percent) + 1]
                 found.append(first)
                 nodes.append(np.full(len(first), node, dtype=np.int64))
-                sizes.append(np.full(len(first), len(own), dtype=np.int64))
+                sizes.append(np.full(len(first), len(own), dtype=np.int32))
+                ranks.append(np.arange(1, len(first) + 1, dtype=np.int32))
             if found:
-                yield pd.DataFrame({"h": signed(np.concatenate(found)), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"h": signed(np.concatenate(found)), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "rank": np.concatenate(ranks)})
 
-    return docs.mapInPandas(lead, "h long, node long, n long")
+    return docs.mapInPandas(lead, "h long, node long, n int, rank int")
+
+
+def can_link(percent: int) -> Column:
+    """Whether k common leading shingles leave room for the overlap that a link needs.
+
+    With one document in the block, what is common beyond the last common leading shingle (ranks i and j) is at most the shorter
+    rest of the two sets. With several, it is at most the longer of the two sets' parts behind their leading shingles; the need
+    is least at the ends of the range of sizes that can link.
+    """
+    share, t = percent / (100 + percent), percent / 100
+    n = F.col("n").cast("double")
+    single = (100 + percent) * (F.col("k") + F.least(F.col("n") - F.col("i"), F.col("least") - F.col("j"))) >= percent * (F.col("n") + F.col("least"))
+    ends = (F.greatest(F.col("least").cast("double"), n * t), F.least(F.col("most").cast("double"), n / t))
+    several = [F.col("k") + 2 >= share * (n + m) - F.greatest(n, m) * t for m in ends]
+    return F.when(F.col("alone"), single).otherwise(several[0] | several[1])
 
 
 def with_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
@@ -218,9 +236,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     by_h = Window.partitionBy("h")
     led = prefixes(docs.where("doc_id IS NOT NULL"), common, size, percent)
     led = led.withColumns({"met": F.count("*").over(by_h), "leader": F.min("node").over(by_h)}).where("met > 1")
-    led = checkpoint(led.select("h", "node", "n", "leader"))
-    # The leader with which a document shares most leading shingles.
-    votes = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    led = checkpoint(led.select("h", "node", "n", "rank", "leader"))
+    # The leader with which a document shares most leading shingles, if they are a fair part of them; others are left to the blocks.
+    votes = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
+    votes = votes.where(F.col("votes") * 100 >= LEADER_SHARE * (F.col("n") * (100 - percent) / 100 + 1))
     pairs = checkpoint(votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"))).alias("top")).select("node", (-F.col("top.least")).alias("key")))
     leaders = pairs.select(F.col("key").alias("node"), "key").distinct()
     found = checkpoint(compare(with_sets(docs, in_parts(pairs, leaders), size), percent))
@@ -230,12 +249,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     member = checkpoint(member)
     large = member.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     member = member.join(large, "grp").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = checkpoint(member.select("node", "n", "grp", F.xxhash64("grp", "slot").alias("block")))
-    posting = led.select("h", "node").join(placed, "node").withColumns({"low": F.min("grp").over(by_h), "high": F.max("grp").over(by_h)})
-    posting = checkpoint(posting.where("low < high").select("h", "node", "n", "grp", "block"))
-    blocks = posting.groupBy("h", "block", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    reach = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    asks = posting.select("h", "node", "n", F.col("grp").alias("own")).join(blocks, "h").where((F.col("own") < F.col("grp")) & reach).select("node", F.col("block").alias("key")).distinct()
+    placed = checkpoint(member.select("node", "grp", F.xxhash64("grp", "slot").alias("block")))
+    posting = led.select("h", "node", "n", "rank").join(placed, "node").withColumns({"low": F.min("grp").over(by_h), "high": F.max("grp").over(by_h)})
+    posting = checkpoint(posting.where("low < high").drop("low", "high"))
+    alone = placed.groupBy("block").agg((F.count("*") == 1).alias("alone"))
+    blocks = posting.groupBy("h", "block", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("place"))
+    met = posting.select("h", "node", "n", "rank", F.col("grp").alias("own")).join(blocks, "h").where("own < grp")
+    met = met.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
+    met = met.groupBy("node", "n", "block").agg(F.count("*").alias("k"), F.max("rank").alias("i"), F.max("place").alias("j"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asks = met.join(alone, "block").where(can_link(percent)).select("node", F.col("block").alias("key"))
     asks = checkpoint(asks)
     more = checkpoint(compare(with_sets(docs, in_parts(asks, placed.select("node", F.col("block").alias("key"))), size), percent))
     # Equal sets are one class; links are between classes.
