@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalpa.llm.pieces import MODEL_PATH, load
+from catalpa.llm.pieces import MODEL_PATH, PieceTable, load, of_one_length
 from catalpa.session import checkpoint
 
 SMOOTH = 0.1
@@ -33,7 +33,6 @@ PRIOR = 1000.0
 HEAD = 200_000
 FLUSH = 300_000
 CHUNK = 20_000
-SLOTS = 20
 LN10 = math.log(10)
 
 
@@ -42,91 +41,35 @@ def words(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").lower().split()] if isinstance(text, str) else []
 
 
-class PieceTable:
-    """Pieces by a hash of their characters, for whole columns of candidates at once."""
-
-    FACTOR = np.uint64(0x100000001B3)
-    SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
-
-    def __init__(self, pieces: list[str]) -> None:
-        self.longest = max(map(len, pieces))
-        self.size = len(pieces)  # the next number stands for spelling by bytes, -1 for no piece
-        keys = np.array([self.key(np.array([list(map(ord, p))], dtype=np.uint64))[0] for p in pieces], dtype=np.uint64)
-        if len(np.unique(keys)) < len(keys):
-            raise ValueError("two pieces have the same hash")
-        self.keys = keys
-        self.levels: list[np.ndarray] = []
-        left = np.arange(len(keys), dtype=np.int32)
-        for spread in self.SPREAD:
-            slots = np.full(1 << SLOTS, -1, dtype=np.int32)
-            at = (keys[left] * spread) >> np.uint64(64 - SLOTS)
-            _, first = np.unique(at, return_index=True)
-            slots[at[first]] = left[first]
-            self.levels.append(slots)
-            left = np.setdiff1d(left, left[first])
-            if not len(left):
-                break
-        if len(left):
-            raise ValueError("pieces don't fit their table")
-
-    def key(self, chars: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(chars), dtype=np.uint64)
-        for c in chars.T:
-            out = (out ^ (c + np.uint64(1))) * self.FACTOR
-        return out
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, dtype=np.int32)
-        for slots, spread in zip(self.levels, self.SPREAD):
-            at = slots[(keys * spread) >> np.uint64(64 - SLOTS)]
-            hit = (at >= 0) & (self.keys[np.maximum(at, 0)] == keys)
-            out = np.where(hit, at, out)
-        return out
-
-
 @dataclass
 class LatticeModel:
     table: PieceTable
     logp: np.ndarray  # by piece; then one byte; then minus infinity for no piece
     end: float = 0.0  # log-probability of the end of a text
 
-    def groups(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, characters) of the words of each length, each with its space in front."""
-        lengths = np.array([len(t) for t in texts])
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            for part in np.array_split(at, -(-len(at) * (int(n) + 1) // (16 * CHUNK))):
-                joined = "".join([" " + texts[i] for i in part]).encode("utf-32-le", "surrogatepass")
-                yield part, np.frombuffer(joined, dtype=np.uint32).reshape(len(part), int(n) + 1).astype(np.uint64)
-
     def edges(self, chars: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end place (start, pieces, log-probabilities), for a group of words of one length."""
-        rows, n = chars.shape
-        into: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            key = np.zeros(rows, dtype=np.uint64)
-            for j in range(i + 1, min(n, i + self.table.longest) + 1):
-                key = (key ^ (chars[:, j - 1] + np.uint64(1))) * PieceTable.FACTOR
-                at = self.table.find(key)
-                if j == i + 1:
-                    spelled = at < 0
-                    at[spelled] = self.table.size
-                    into[j].append((i, at, np.where(spelled, utf8_bytes(chars[:, i]), 1) * self.logp[at]))
-                elif (at >= 0).any():
-                    into[j].append((i, at, self.logp[at]))
+        into: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(chars.shape[1] + 1)]
+        for i, j, at in self.table.spans(chars):
+            if j == i + 1:
+                spelled = at < 0
+                at[spelled] = self.table.size
+                into[j].append((i, at, np.where(spelled, utf8_bytes(chars[:, i]), 1) * self.logp[at]))
+            else:
+                into[j].append((i, at, self.logp[at]))
         return into
 
     def log_prob(self, texts: list[str]) -> np.ndarray:
         """Natural log of each word's marginal probability."""
         out = np.zeros(len(texts))
-        for at, chars in self.groups(texts):
+        for at, chars in of_one_length([" " + t for t in texts], CHUNK):
             out[at] = forward(self.edges(chars), len(at))[-1]
         return out
 
     def expected(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, and of bytes, over all segmentations of the counted words."""
         out = np.zeros(self.table.size + 1)
-        for at, chars in self.groups(texts):
+        for at, chars in of_one_length([" " + t for t in texts], CHUNK):
             into = self.edges(chars)
             ahead, behind = forward(into, len(at)), backward(into, len(at))
             pieces, uses = [], []

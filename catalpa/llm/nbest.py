@@ -16,16 +16,19 @@ import hashlib
 import heapq
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalpa.llm.pieces import MODEL_PATH, Vocabulary, decode, load, units
+from catalpa.llm.pieces import MODEL_PATH, PieceTable, Vocabulary, decode, load, of_one_length, units
 
-KEEP = 250_000
+KEEP = 300_000
+CHUNK = 20_000
+TOGETHER = 500
 BEST = 4
 
 
@@ -65,6 +68,40 @@ def forward(vocabulary: Vocabulary, unit: str) -> tuple[list[float], list[int],
     return best, back, gap
 
 
+def forward_many(vocabulary: Vocabulary, table: PieceTable, texts: list[str]) -> Iterator[tuple[str, float, float, bytes]]:
+    """(unit, score, gap, packed ids) as forward gives them, for many units at once; not of units that bytes must spell."""
+    numbers = np.array(list(vocabulary.ids.values()), dtype=np.int32)
+    logp = np.append(np.array(vocabulary.logp)[numbers], -np.inf)
+    for at, chars in of_one_length(texts, CHUNK):
+        rows, n = chars.shape
+        into: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+        for i, j, piece in table.spans(chars):
+            into[j].append((i, piece))
+        best, second = np.zeros((n + 1, rows)), np.full((n + 1, rows), -np.inf)
+        back, last = np.zeros((n + 1, rows), dtype=np.int32), np.full((n + 1, rows), -1, dtype=np.int32)
+        every = np.arange(rows)
+        for j in range(1, n + 1):
+            starts, pieces = np.array([i for i, _ in into[j]]), np.array([p for _, p in into[j]])
+            ways = best[starts] + logp[pieces]
+            top = ways.argmax(0)
+            best[j], back[j], last[j] = ways[top, every], starts[top], pieces[top, every]
+            if len(ways) > 1:
+                ways[top, every] = -np.inf
+                second[j] = ways.max(0)
+        reached = np.isfinite(best[n])
+        gap, place, cuts = np.full(rows, np.inf), np.full(rows, n), []
+        with np.errstate(invalid="ignore"):
+            while (going := reached & (place > 0)).any():
+                gap = np.where(going, np.minimum(gap, best[place, every] - second[place, every]), gap)
+                cuts.append(np.where(going, last[place, every], -1))
+                place = np.where(going, back[place, every], 0)
+        steps = np.array(cuts[::-1]).T if cuts else np.empty((rows, 0), dtype=np.int32)
+        ids = numbers[steps[steps >= 0]].tobytes()
+        ends = 4 * np.cumsum((steps >= 0).sum(1))
+        for row, start, end in zip(np.flatnonzero(reached).tolist(), *((x[reached]).tolist() for x in (np.append(0, ends[:-1]), ends))):
+            yield texts[at[row]], float(best[n, row]), float(gap[row]), ids[start:end]
+
+
 def piece_ids(vocabulary: Vocabulary, piece: str) -> tuple[int, ...]:
     at = vocabulary.ids.get(piece)
     return (at,) if at is not None else vocabulary.spell(piece)
@@ -116,6 +153,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.table = PieceTable(list(vocabulary.ids))
         self.new: dict[str, tuple[float, float, bytes]] = {}
         self.old: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
@@ -132,6 +170,24 @@ class Encoder:
             self.new[text] = found
         return found
 
+    def prepare(self, texts: list[str]) -> None:
+        """Meet the units of several texts at once."""
+        wanted = set(chain.from_iterable(map(units, texts)))
+        missing = wanted.difference(self.new)
+        if len(self.new) + len(missing) > KEEP:
+            self.old, self.new = self.new, {}
+            missing = wanted
+        self.new.update({p: self.old[p] for p in missing.intersection(self.old)})
+        fresh = [p for p in missing.difference(self.new) if 0 < len(p) <= 64]
+        self.new.update({unit: (score, gap, ids) for unit, score, gap, ids in forward_many(self.vocabulary, self.table, fresh)})
+
+    def ready(self, texts: Iterable[str | None]) -> Iterator[str]:
+        """The texts, null as empty, after their units have been met, TOGETHER texts at a time."""
+        every = [t if isinstance(t, str) else "" for t in texts]
+        for at in range(0, len(every), TOGETHER):
+            self.prepare(every[at : at + TOGETHER])
+            yield from every[at : at + TOGETHER]
+
     def listed(self, text: str, n: int) -> list[tuple[float, bytes]]:
         found = self.lists.get((text, n))
         if found is None:
@@ -201,7 +257,7 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, shared.value)
         for part in batches:
-            found = [own.n_best(t if isinstance(t, str) else "", n) for t in part["text"]]
+            found = [own.n_best(t, n) for t in own.ready(part["text"])]
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [unpacked(f[0][1]) for f in found], "scores": [[s for s, _ in f] for f in found], "alternatives": [[unpacked(ids) for _, ids in f[1:]] for f in found]})
 
     kind = dict(docs.dtypes)[id_col]
@@ -217,8 +273,7 @@ def segment_digest(docs: DataFrame, n: int = BEST, path: str = MODEL_PATH) -> Da
         own = encoder(path, shared.value)
         for part in batches:
             out = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                text = text if isinstance(text, str) else ""
+            for doc_id, text in zip(part["doc_id"], own.ready(part["text"])):
                 found = own.n_best(text, n)
                 whole = all(decode(own.vocabulary, unpacked(ids).tolist()) == text for _, ids in found)
                 marks = [hashlib.sha256(ids) for _, ids in found]
@@ -237,7 +292,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, shared.value)
         for part in batches:
-            ids = [unpacked(own.encode(t if isinstance(t, str) else "")) for t in part[text_col]]
+            ids = [unpacked(own.encode(t)) for t in own.ready(part[text_col])]
             yield part.drop(columns=[text_col]).assign(ids=ids, n_pieces=[len(i) for i in ids])
 
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "n_pieces")]

@@ -14,11 +14,14 @@ from __future__ import annotations
 import math
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 RANK_OFFSET = 64
+SLOTS = 20
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -77,3 +80,66 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
     """The text of piece ids."""
     texts = vocabulary.texts
     return b"".join([texts[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+
+
+class PieceTable:
+    """Pieces by a hash of their characters, for whole columns of candidates at once."""
+
+    FACTOR = np.uint64(0x100000001B3)
+    SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.longest = max(map(len, pieces))
+        self.size = len(pieces)  # the next number stands for spelling by bytes, -1 for no piece
+        keys = np.array([self.key(np.array([list(map(ord, p))], dtype=np.uint64))[0] for p in pieces], dtype=np.uint64)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have the same hash")
+        self.keys = keys
+        self.levels: list[np.ndarray] = []
+        left = np.arange(len(keys), dtype=np.int32)
+        for spread in self.SPREAD:
+            slots = np.full(1 << SLOTS, -1, dtype=np.int32)
+            at = (keys[left] * spread) >> np.uint64(64 - SLOTS)
+            _, first = np.unique(at, return_index=True)
+            slots[at[first]] = left[first]
+            self.levels.append(slots)
+            left = np.setdiff1d(left, left[first])
+            if not len(left):
+                break
+        if len(left):
+            raise ValueError("pieces don't fit their table")
+
+    def key(self, chars: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(chars), dtype=np.uint64)
+        for c in chars.T:
+            out = (out ^ (c + np.uint64(1))) * self.FACTOR
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, dtype=np.int32)
+        for slots, spread in zip(self.levels, self.SPREAD):
+            at = slots[(keys * spread) >> np.uint64(64 - SLOTS)]
+            hit = (at >= 0) & (self.keys[np.maximum(at, 0)] == keys)
+            out = np.where(hit, at, out)
+        return out
+
+    def spans(self, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, piece numbers or -1) of all places in rows of one length, where any row has a piece or for one character."""
+        rows, n = chars.shape
+        for i in range(n):
+            key = np.zeros(rows, dtype=np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                key = (key ^ (chars[:, j - 1] + np.uint64(1))) * self.FACTOR
+                at = self.find(key)
+                if j == i + 1 or (at >= 0).any():
+                    yield i, j, at
+
+
+def of_one_length(texts: list[str], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, characters) of the texts of each length, at most about 16 * chunk characters at a time; no empty texts."""
+    lengths = np.array([len(t) for t in texts])
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        for part in np.array_split(at, -(-len(at) * int(n) // (16 * chunk))):
+            joined = "".join([texts[i] for i in part]).encode("utf-32-le", "surrogatepass")
+            yield part, np.frombuffer(joined, dtype=np.uint32).reshape(len(part), int(n)).astype(np.uint64)
