@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalpa.operators import integrity
+from catalpa.operators import batches, integrity, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (integrity,):
+for module in (integrity, batches, ledger):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
-FLAGSHIP = "fk_orphans"
+FLAGSHIP = "fk_summary"
