@@ -7,7 +7,7 @@ A document's set is its distinct word shingles, as 64-bit hashes. Two documents
    (prefix principle; any fixed order is exact, the counts only make the lists short).
 3. Documents that share such shingles are partitioned into groups of similar ones: each is compared with the leader it shares
    most with, and linked ones form groups. Inside a group nothing is left to do for connectivity.
-4. Between groups, pairs of a document and a block whose common leading shingles leave no room for a link are dropped. For the others
+4. Between groups, families (documents with the same leader) are cut into blocks. Pairs of a document and a block whose common leading shingles leave no room for a link are dropped. For the others
    the token-group matrix decides: each block of a group holds the union of its members' shingles; a
    document whose overlap with the union is below the overlap any link needs can't link with a member, so the
    block isn't opened. Qualifying blocks are opened and members compared exactly.
@@ -36,7 +36,7 @@ HEAVY_LEAST = 4
 HEAVY_MOST = 300_000
 FLUSH = 2_000_000
 LEADER_SHARE = 20
-BLOCK = 64
+BLOCK = 256
 PART = 256
 BROADCAST_ROWS = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -167,22 +167,22 @@ def can_link(percent: int) -> Column:
 
 
 def with_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
-    """placed (node, key, part, role) with the node's whole set as packed hashes; placed is broadcast only while it is small."""
+    """placed (node, key, part, role, grp) with the node's whole set as packed hashes; placed is broadcast only while it is small."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             yield part.drop(columns=["text"]).assign(shingles=[shingles(t, size).tobytes() for t in part["text"]])
 
     side = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    rows = docs.join(side, docs["doc_id"] == placed["node"]).select("node", "key", "part", "role", "text")
-    return rows.mapInPandas(pack, "node long, key long, part long, role boolean, shingles binary")
+    rows = docs.join(side, docs["doc_id"] == placed["node"]).select("node", "key", "part", "role", "grp", "text")
+    return rows.mapInPandas(pack, "node long, key long, part long, role boolean, grp long, shingles binary")
 
 
 def in_parts(ones: DataFrame, others: DataFrame) -> DataFrame:
-    """(node, key, part, role) of both sides (node, key): the first (role true) dealt into parts of about PART, the others in each part."""
+    """(node, key, part, role, grp) of both sides (node, key, grp): the first (role true) dealt into parts of about PART, the others in each part."""
     parts = ones.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = ones.join(parts, "key").select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("role"))
-    every = others.join(parts, "key").select("node", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("role"))
+    dealt = ones.join(parts, "key").select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("role"), "grp")
+    every = others.join(parts, "key").select("node", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("role"), "grp")
     return checkpoint(dealt.unionByName(every))
 
 
@@ -204,24 +204,24 @@ def linked(common: int, n: int, m: int, percent: int) -> bool:
 
 
 def compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the two roles within a (key, part).
+    """Links (a, b) between the two roles within a (key, part), but for documents of one grp.
 
     Role false is a block of similar documents (or one leader), role true are the queries. The block's token union bounds a
     query's overlap with any member; only past the bound the block is opened.
     """
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        own = [(node, unpack(s)) for node, s, role in zip(part["node"], part["shingles"], part["role"]) if not role]
+        own = [(node, grp, unpack(s)) for node, grp, s, role in zip(part["node"], part["grp"], part["shingles"], part["role"]) if not role]
         kept = []
         if own:
-            union = np.unique(np.concatenate([s for _, s in own])) if len(own) > 1 else own[0][1]
-            for node, packed, role in zip(part["node"], part["shingles"], part["role"]):
+            union = np.unique(np.concatenate([s for _, _, s in own])) if len(own) > 1 else own[0][2]
+            for node, grp, packed, role in zip(part["node"], part["grp"], part["shingles"], part["role"]):
                 if not role:
                     continue
                 x = unpack(packed)
                 if overlap(x, union) < needed(len(x), percent):
                     continue
-                kept += [(node, other) for other, y in own if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and linked(overlap(x, y), len(x), len(y), percent)]
+                kept += [(node, other) for other, theirs, y in own if theirs != grp and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and linked(overlap(x, y), len(x), len(y), percent)]
         return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "part").applyInPandas(meet, "a long, b long")
@@ -241,25 +241,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     votes = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
     votes = votes.where(F.col("votes") * 100 >= LEADER_SHARE * (F.col("n") * (100 - percent) / 100 + 1))
     pairs = checkpoint(votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"))).alias("top")).select("node", (-F.col("top.least")).alias("key")))
-    leaders = pairs.select(F.col("key").alias("node"), "key").distinct()
-    found = checkpoint(compare(with_sets(docs, in_parts(pairs, leaders), size), percent))
+    leaders = pairs.select(F.col("key").alias("node"), "key", F.col("key").alias("grp")).distinct()
+    found = checkpoint(compare(with_sets(docs, in_parts(pairs.withColumn("grp", F.col("node")), leaders), size), percent))
     groups = components(found)
-    # Token-group matrix between groups. A block is a group, or a part of a large one.
-    member = led.select("node", "n").distinct().join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("grp"))
-    member = checkpoint(member)
-    large = member.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    member = member.join(large, "grp").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = checkpoint(member.select("node", "grp", F.xxhash64("grp", "slot").alias("block")))
+    # Token-group matrix over families, the documents with one best leader, linked or not. A block is a family, or a part of one.
+    member = led.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+    member = checkpoint(member.join(pairs.withColumnRenamed("key", "family"), "node", "left").withColumn("family", F.coalesce("family", "node")))
+    weight = member.groupBy("grp").agg(F.count("*").alias("members"))
+    parts = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    member = member.join(weight, "grp").join(parts, "family").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = checkpoint(member.select("node", "grp", F.struct("members", "grp").alias("order"), F.xxhash64("family", "slot").alias("block")))
     posting = led.select("h", "node", "n", "rank").join(placed, "node").withColumns({"low": F.min("grp").over(by_h), "high": F.max("grp").over(by_h)})
     posting = checkpoint(posting.where("low < high").drop("low", "high"))
     alone = placed.groupBy("block").agg((F.count("*") == 1).alias("alone"))
-    blocks = posting.groupBy("h", "block", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("place"))
-    met = posting.select("h", "node", "n", "rank", F.col("grp").alias("own")).join(blocks, "h").where("own < grp")
+    blocks = posting.groupBy("h", "block").agg(F.max("order").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("place"))
+    # Of two groups the smaller one asks, so a large group's members ask nobody.
+    met = posting.select("h", "node", "n", "rank", "order").join(blocks, "h").where(F.col("order") < F.col("top"))
     met = met.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
     met = met.groupBy("node", "n", "block").agg(F.count("*").alias("k"), F.max("rank").alias("i"), F.max("place").alias("j"), F.min("least").alias("least"), F.max("most").alias("most"))
     asks = met.join(alone, "block").where(can_link(percent)).select("node", F.col("block").alias("key"))
-    asks = checkpoint(asks)
-    more = checkpoint(compare(with_sets(docs, in_parts(asks, placed.select("node", F.col("block").alias("key"))), size), percent))
+    group_of = placed.select("node", "grp")
+    asks = checkpoint(asks.join(group_of, "node"))
+    more = checkpoint(compare(with_sets(docs, in_parts(asks, placed.select("node", F.col("block").alias("key"), "grp")), size), percent))
     # Equal sets are one class; links are between classes.
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     classes = checkpoint(classes.select("digest", "first"))

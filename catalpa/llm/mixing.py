@@ -119,7 +119,7 @@ def thresholds(light: DataFrame, rounded: DataFrame) -> DataFrame:
     """
     cells = rounded.withColumn("more", F.col("total") % F.col("n")).withColumn("buckets", F.ceil(F.col("n") / CELL_BUCKET))
     asked = cells.where("more > 0").select(F.col("source").alias("s"), F.col("size").alias("z"), "more", "buckets")
-    place = (F.shiftrightunsigned("hash", 33).cast("double") / 2.0**31 * F.col("buckets")).cast("long")
+    place = (F.col("hash").cast("double") / 2.0**63 * F.col("buckets")).cast("long")
     rows = light.join(asked, F.expr("source <=> s AND size = z")).select("source", "size", "hash", "more", place.alias("bucket"))
     counts = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("c"), F.first("more").alias("more"))
     upto = Window.partitionBy("source", "size").orderBy("bucket")  # one row for each CELL_BUCKET documents
@@ -134,7 +134,7 @@ def thresholds(light: DataFrame, rounded: DataFrame) -> DataFrame:
 
 def planned(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """docs with __size, __source_size, __target and __copies."""
-    marked = docs.withColumns({"__source": F.col(source_col), "__size": words(F.col(text_col)), "__hash": F.xxhash64(F.col(id_col).cast("string"))})
+    marked = docs.withColumns({"__source": F.col(source_col), "__size": words(F.col(text_col)), "__hash": F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1)})
     light = checkpoint(marked.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__hash").alias("hash")))
     cells = checkpoint(light.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = targets(cells).withColumnRenamed("source", "goal_source")
