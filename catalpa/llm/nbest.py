@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalpa.llm.pieces import MODEL_PATH, PieceTable, Vocabulary, decode, load, of_one_length, units
+from catalpa.llm.pieces import MODEL_PATH, PieceTable, Vocabulary, decode, load, of_one_length, spelled, units
 
-KEEP = 300_000
+KEEP = 200_000
 CHUNK = 20_000
-TOGETHER = 500
+TOGETHER = 1000
 BEST = 4
 
 
@@ -170,9 +170,10 @@ class Encoder:
             self.new[text] = found
         return found
 
-    def prepare(self, texts: list[str]) -> None:
-        """Meet the units of several texts at once."""
-        wanted = set(chain.from_iterable(map(units, texts)))
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """The units of several texts, met at once."""
+        parts = [units(t) for t in texts]
+        wanted = set(chain.from_iterable(parts))
         missing = wanted.difference(self.new)
         if len(self.new) + len(missing) > KEEP:
             self.old, self.new = self.new, {}
@@ -180,13 +181,12 @@ class Encoder:
         self.new.update({p: self.old[p] for p in missing.intersection(self.old)})
         fresh = [p for p in missing.difference(self.new) if 0 < len(p) <= 64]
         self.new.update({unit: (score, gap, ids) for unit, score, gap, ids in forward_many(self.vocabulary, self.table, fresh)})
+        return parts
 
-    def ready(self, texts: Iterable[str | None]) -> Iterator[str]:
-        """The texts, null as empty, after their units have been met, TOGETHER texts at a time."""
+    def ready(self, texts: Iterable[str | None]) -> list[tuple[str, list[str]]]:
+        """(text, units) of each text, null as empty."""
         every = [t if isinstance(t, str) else "" for t in texts]
-        for at in range(0, len(every), TOGETHER):
-            self.prepare(every[at : at + TOGETHER])
-            yield from every[at : at + TOGETHER]
+        return list(zip(every, self.prepare(every)))
 
     def listed(self, text: str, n: int) -> list[tuple[float, bytes]]:
         found = self.lists.get((text, n))
@@ -198,23 +198,23 @@ class Encoder:
                 self.lists[text, n] = found
         return found
 
-    def best(self, text: str) -> tuple[list[str], tuple[float, ...], tuple[float, ...], tuple[bytes, ...]]:
-        """Units, and the score, gap and ids of each."""
-        parts = units(text)
+    def best(self, parts: list[str]) -> tuple[tuple[float, ...], tuple[float, ...], tuple[bytes, ...]]:
+        """The score, gap and ids of each unit."""
         if not parts:
-            return [], (), (), ()
+            return (), (), ()
         found = list(map(self.new.get, parts))
         if None in found:
             found = [self.unit(part) if one is None else one for one, part in zip(found, parts)]
-        return parts, *zip(*found)
+        return tuple(zip(*found))
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, parts: list[str] | None = None) -> bytes:
         """Packed ids of the best segmentation."""
-        return b"".join(self.best(text)[3])
+        return b"".join(self.best(units(text) if parts is None else parts)[2])
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """(score, packed ids) of the n best segmentations."""
-        parts, scores, gaps, ids = self.best(text)
+    def n_best(self, text: str, n: int, parts: list[str] | None = None) -> list[tuple[float, bytes, dict[int, bytes]]]:
+        """(score, packed ids, units that differ from the best with their ids) of the n best segmentations."""
+        parts = units(text) if parts is None else parts
+        scores, gaps, ids = self.best(parts)
         total = math.fsum(scores)
         choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for at in np.argsort(np.array(gaps), kind="stable")[: n - 1].tolist():
@@ -224,14 +224,21 @@ class Encoder:
             choices = heapq.nlargest(n, [(loss + score - ways[0][0], picks + ((at, w),)) for loss, picks in choices for w, (score, _) in enumerate(ways)], key=lambda c: c[0])
         out = []
         for loss, picks in choices:
-            chosen = list(ids)
-            for at, w in picks:
-                if w:
-                    chosen[at] = self.listed(parts[at], n)[w][1]
-            out.append((total + loss, b"".join(chosen)))
+            changed = {at: self.listed(parts[at], n)[w][1] for at, w in picks if w}
+            chosen = list(ids) if changed else ids
+            for at, other in changed.items():
+                chosen[at] = other
+            out.append((total + loss, b"".join(chosen), changed))
         return out
 
 
+def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in parts of TOGETHER rows, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            yield batch.iloc[at : at + TOGETHER]
+
+
 def packed(ids: tuple[int, ...]) -> bytes:
     return array("i", ids).tobytes()
 
@@ -256,9 +263,9 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, shared.value)
-        for part in batches:
-            found = [own.n_best(t, n) for t in own.ready(part["text"])]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [unpacked(f[0][1]) for f in found], "scores": [[s for s, _ in f] for f in found], "alternatives": [[unpacked(ids) for _, ids in f[1:]] for f in found]})
+        for part in few(batches):
+            found = [own.n_best(t, n, parts) for t, parts in own.ready(part["text"])]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [unpacked(f[0][1]) for f in found], "scores": [[x[0] for x in f] for f in found], "alternatives": [[unpacked(x[1]) for x in f[1:]] for f in found]})
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -271,14 +278,16 @@ def segment_digest(docs: DataFrame, n: int = BEST, path: str = MODEL_PATH) -> Da
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, shared.value)
-        for part in batches:
+        for part in few(batches):
             out = []
-            for doc_id, text in zip(part["doc_id"], own.ready(part["text"])):
-                found = own.n_best(text, n)
-                whole = all(decode(own.vocabulary, unpacked(ids).tolist()) == text for _, ids in found)
-                marks = [hashlib.sha256(ids) for _, ids in found]
+            for doc_id, (text, parts) in zip(part["doc_id"], own.ready(part["text"])):
+                found = own.n_best(text, n, parts)
+                # The others differ from the best in whole units only, so those are what is left to decode.
+                whole = decode(own.vocabulary, unpacked(found[0][1]).tolist()) == text
+                whole &= all(spelled(own.vocabulary, unpacked(ids).tolist()) == parts[at] for _, _, changed in found for at, ids in changed.items())
+                marks = [hashlib.sha256(ids) for _, ids, _ in found]
                 every = hashlib.sha256(b"".join(m.digest() for m in marks)).hexdigest()
-                out.append((doc_id, len(text), len(found[0][1]) // 4, len(found), [s for s, _ in found], marks[0].hexdigest(), every, whole))
+                out.append((doc_id, len(text), len(found[0][1]) // 4, len(found), [x[0] for x in found], marks[0].hexdigest(), every, whole))
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_pieces", "n_best", "scores", "ids_sha256", "n_best_sha256", "decodes"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -291,8 +300,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, shared.value)
-        for part in batches:
-            ids = [unpacked(own.encode(t)) for t in own.ready(part[text_col])]
+        for part in few(batches):
+            ids = [unpacked(own.encode(t, parts)) for t, parts in own.ready(part[text_col])]
             yield part.drop(columns=[text_col]).assign(ids=ids, n_pieces=[len(i) for i in ids])
 
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "n_pieces")]

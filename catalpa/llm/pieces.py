@@ -76,10 +76,15 @@ def units(text: str) -> list[str]:
     return f" {text}".replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")  # the same with empty units between, sooner
 
 
+def spelled(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
+    """The characters of piece ids, the space before the text included."""
+    texts = vocabulary.texts
+    return b"".join([texts[i] for i in ids]).decode("utf-8", "surrogatepass")
+
+
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
     """The text of piece ids."""
-    texts = vocabulary.texts
-    return b"".join([texts[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+    return spelled(vocabulary, ids)[1:]
 
 
 class PieceTable:
