@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalpa.operators import batches, integrity, ledger
-from catalpa.plans import changes
+from catalpa.plans import changes, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (integrity, batches, ledger, changes):
+for module in (integrity, batches, ledger, changes, steps):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
