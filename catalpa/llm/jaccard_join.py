@@ -180,7 +180,7 @@ def with_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
 
 def in_parts(ones: DataFrame, others: DataFrame) -> DataFrame:
     """(node, key, part, role, grp) of both sides (node, key, grp): the first (role true) dealt into parts of about PART, the others in each part."""
-    parts = ones.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    parts = checkpoint(ones.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts")))  # as a table of its own, so that a hot key's join can be split
     dealt = ones.join(parts, "key").select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("role"), "grp")
     every = others.join(parts, "key").select("node", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("role"), "grp")
     return checkpoint(dealt.unionByName(every))
