@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts go to Python workers so many at a time.
+TEXT_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def remainder(key: str, mod: int) -> Column:
     """crc32 of the key as text, modulo mod; a null key counts as empty text."""
@@ -19,3 +26,24 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, after the session's Arrow batches were limited to TEXT_ROWS rows, so that a batch of long texts fits a worker."""
+    spark = docs.sparkSession
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    return docs
+
+
+def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches put together until they have so many rows, for light rows that are better handled many at once."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += len(batch)
+        if total >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, total = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)

@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import text_batches
 from catalpa.llm.components import components
 from catalpa.session import checkpoint
 
 HEAVY_LEAST = 4
 HEAVY_MOST = 300_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 LEADER_SHARE = 20
 BLOCK = 256
 PART = 256
@@ -98,7 +99,7 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                 held, total = [], 0
         yield met_again()
 
-    return docs.mapInPandas(look, "is_doc boolean, key long, n long, digest binary")
+    return text_batches(docs).mapInPandas(look, "is_doc boolean, key long, n long, digest binary")
 
 
 def common_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +149,7 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
             if found:
                 yield pd.DataFrame({"h": signed(np.concatenate(found)), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "rank": np.concatenate(ranks)})
 
-    return docs.mapInPandas(lead, "h long, node long, n int, rank int")
+    return text_batches(docs).mapInPandas(lead, "h long, node long, n int, rank int")
 
 
 def can_link(percent: int) -> Column:
@@ -175,7 +176,7 @@ def with_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
 
     side = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
     rows = docs.join(side, docs["doc_id"] == placed["node"]).select("node", "key", "part", "role", "grp", "text")
-    return rows.mapInPandas(pack, "node long, key long, part long, role boolean, grp long, shingles binary")
+    return text_batches(rows).mapInPandas(pack, "node long, key long, part long, role boolean, grp long, shingles binary")
 
 
 def in_parts(ones: DataFrame, others: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import gathered, text_batches
 from catalpa.llm.pieces import MODEL_PATH, PieceTable, load, of_one_length
 from catalpa.session import checkpoint
 
@@ -143,7 +144,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.mapInPandas(count, "word string, c_train long, c_all long").groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
+    return text_batches(docs).mapInPandas(count, "word string, c_train long, c_all long").groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
 
 
 def learned(model: LatticeModel, counts: DataFrame, n_texts: int) -> LatticeModel:
@@ -152,7 +153,7 @@ def learned(model: LatticeModel, counts: DataFrame, n_texts: int) -> LatticeMode
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(shared.value.table.size + 1)
-        for part in batches:
+        for part in gathered(batches, CHUNK):
             for at in range(0, len(part), CHUNK):
                 some = part.iloc[at : at + CHUNK]
                 total += shared.value.expected(some["word"].tolist(), some["c_train"].to_numpy(float))
@@ -177,7 +178,7 @@ def with_scores(counts: DataFrame, model: LatticeModel) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in gathered(batches, CHUNK):
             lp = [shared.value.log_prob(part["word"].iloc[at : at + CHUNK].tolist()) for at in range(0, len(part), CHUNK)]
             yield part.assign(lp=np.concatenate(lp) / LN10 if lp else np.empty(0))
 
@@ -234,7 +235,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "mark": marks, "learn": learns, "word": names, "times": times, "lp0": lps, "base0": bases, "known0": knowns})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "learn", "text")
-    rows = rows.mapInPandas(parts, "doc_id long, mark long, learn boolean, word string, times long, lp0 double, base0 double, known0 long")
+    rows = text_batches(rows).mapInPandas(parts, "doc_id long, mark long, learn boolean, word string, times long, lp0 double, base0 double, known0 long")
     met = rows.join(scored.select("word", "c_train", "lp"), "word", "left")
     is_word = F.col("word").isNotNull()
     log_base = F.log10((F.col("c_train") + SMOOTH) / F.lit(whole))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalpa.llm.common import partitions
+from catalpa.llm.common import partitions, text_batches
 
 MAX_PIECE = 64
 PIECE = re.compile(r"(?:[^.!?\n]{1,%d}[.!?]*|[.!?]{1,%d})[ \t]?\n?|\n" % (MAX_PIECE, MAX_PIECE))
@@ -139,4 +139,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
 
     ordered = rows.repartitionByRange(2 * partitions(docs), "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInPandas(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return text_batches(ordered).mapInPandas(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -24,11 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import text_batches
 from catalpa.llm.pieces import MODEL_PATH, PieceTable, Vocabulary, decode, load, of_one_length, spelled, units
 
 KEEP = 200_000
+KEEP_FIRST = 80_000
 CHUNK = 20_000
 TOGETHER = 1000
+DIGITS = 7
 BEST = 4
 
 
@@ -120,12 +123,15 @@ def first_ids(vocabulary: Vocabulary, unit: str, back: list[int]) -> tuple[int,
 
 
 def search(vocabulary: Vocabulary, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a unit, by A* from its end with the forward scores as heuristic."""
+    """The n best segmentations of a unit, by A* from its end with the forward scores as heuristic.
+
+    Of ways that are equal to DIGITS decimals the one that has come further goes on, so that ties don't spread the search.
+    """
     best, back, _ = forward(vocabulary, unit)
     ids, logp = vocabulary.ids, vocabulary.logp
-    heap, count, found = [(-best[len(unit)], 0, len(unit), 0.0, None)], 0, []
+    heap, count, found = [(round(-best[len(unit)], DIGITS), len(unit), 0, 0.0, None)], 0, []
     while heap and len(found) < n:
-        _, _, at, done, tail = heapq.heappop(heap)
+        _, at, _, done, tail = heapq.heappop(heap)
         if at == 0:
             out = []
             while tail is not None:
@@ -144,15 +150,15 @@ def search(vocabulary: Vocabulary, unit: str, n: int) -> list[tuple[float, tuple
                 continue
             if best[start] > float("-inf"):
                 count += 1
-                heapq.heappush(heap, (-(done + score + best[start]), count, start, done + score, (piece, tail)))
-    return found
+                heapq.heappush(heap, (round(-(done + score + best[start]), DIGITS), start, count, done + score, (piece, tail)))
+    return sorted(found, key=lambda f: -f[0])
 
 
 class Encoder:
     """Segmentations of texts; each Python worker has one. Piece ids are packed as 32-bit integers."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, keep: int = KEEP) -> None:
+        self.vocabulary, self.keep = vocabulary, keep
         self.table = PieceTable(list(vocabulary.ids))
         self.new: dict[str, tuple[float, float, bytes]] = {}
         self.old: dict[str, tuple[float, float, bytes]] = {}
@@ -165,7 +171,7 @@ class Encoder:
             best, back, gap = forward(self.vocabulary, text)
             found = (best[-1], gap, packed(first_ids(self.vocabulary, text, back)))
         if len(text) <= 64:
-            if len(self.new) >= KEEP:
+            if len(self.new) >= self.keep:
                 self.old, self.new = self.new, {}
             self.new[text] = found
         return found
@@ -175,7 +181,7 @@ class Encoder:
         parts = [units(t) for t in texts]
         wanted = set(chain.from_iterable(parts))
         missing = wanted.difference(self.new)
-        if len(self.new) + len(missing) > KEEP:
+        if len(self.new) + len(missing) > self.keep:
             self.old, self.new = self.new, {}
             missing = wanted
         self.new.update({p: self.old[p] for p in missing.intersection(self.old)})
@@ -193,7 +199,7 @@ class Encoder:
         if found is None:
             found = [(score, packed(ids)) for score, ids in search(self.vocabulary, text, n)]
             if len(text) <= 64:
-                if len(self.lists) >= KEEP // 10:
+                if len(self.lists) >= self.keep // 10:
                     self.lists.clear()
                 self.lists[text, n] = found
         return found
@@ -247,14 +253,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.int32)
 
 
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, vocabulary: Vocabulary) -> Encoder:
-    """The worker's encoder for a vocabulary, kept between tasks."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(vocabulary)
-    return ENCODERS[path]
+def encoder(path: str, vocabulary: Vocabulary, keep: int = KEEP) -> Encoder:
+    """The worker's encoder for a vocabulary, kept between tasks; a worker has one at a time."""
+    if (path, keep) not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path, keep] = Encoder(vocabulary, keep)
+    return ENCODERS[path, keep]
 
 
 def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = BEST, path: str = MODEL_PATH) -> DataFrame:
@@ -269,7 +276,7 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(split, f"doc_id {kind}, ids array<int>, scores array<double>, alternatives array<array<int>>")
+    return text_batches(rows).mapInPandas(split, f"doc_id {kind}, ids array<int>, scores array<double>, alternatives array<array<int>>")
 
 
 def segment_digest(docs: DataFrame, n: int = BEST, path: str = MODEL_PATH) -> DataFrame:
@@ -291,7 +298,7 @@ def segment_digest(docs: DataFrame, n: int = BEST, path: str = MODEL_PATH) -> Da
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_pieces", "n_best", "scores", "ids_sha256", "n_best_sha256", "decodes"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(split, "doc_id long, n_chars long, n_pieces long, n_best int, scores array<double>, ids_sha256 string, n_best_sha256 string, decodes boolean")
+    return text_batches(rows).mapInPandas(split, "doc_id long, n_chars long, n_pieces long, n_best int, scores array<double>, ids_sha256 string, n_best_sha256 string, decodes boolean")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
@@ -299,14 +306,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(path, shared.value)
+        own = encoder(path, shared.value, KEEP_FIRST)
         for part in few(batches):
             ids = [unpacked(own.encode(t, parts)) for t, parts in own.ready(part[text_col])]
             yield part.drop(columns=[text_col]).assign(ids=ids, n_pieces=[len(i) for i in ids])
 
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "n_pieces")]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`").mapInPandas(split, f"{kinds}ids array<int>, n_pieces long")
+    return text_batches(docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`")).mapInPandas(split, f"{kinds}ids array<int>, n_pieces long")
 
 
 def decode_rows(encoded: DataFrame, ids_col: str = "ids", path: str = MODEL_PATH) -> DataFrame:
@@ -319,4 +326,4 @@ def decode_rows(encoded: DataFrame, ids_col: str = "ids", path: str = MODEL_PATH
 
     kept = [f for f in encoded.schema.fields if f.name not in (ids_col, "text")]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return encoded.select(*[f"`{f.name}`" for f in kept], f"`{ids_col}`").mapInPandas(spell, f"{kinds}text string")
+    return text_batches(encoded.select(*[f"`{f.name}`" for f in kept], f"`{ids_col}`")).mapInPandas(spell, f"{kinds}text string")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import text_batches
+
 SPECTRUM = 3
 ALPHABET = 62
 CODES = ALPHABET + 2  # 0: between words, 1: any other letter
@@ -154,4 +156,4 @@ def predict(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
     kept = [f for f in docs.schema.fields if f.name not in (text_col, pred_col, score_col)]
     kept += [f for f in docs.schema.fields if f.name == text_col]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept if keep_text or f.name != text_col)
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInPandas(label, f"{kinds}`{pred_col}` string, `{score_col}` double")
+    return text_batches(docs.select(*[f"`{f.name}`" for f in kept])).mapInPandas(label, f"{kinds}`{pred_col}` string, `{score_col}` double")

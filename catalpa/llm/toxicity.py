@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import text_batches
 from catalpa.session import checkpoint
 
 MAX_POSITIVE = 4000
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     other = ids.orderBy(ranked, id_col).limit(MAX_UNLABELLED).select(id_col, F.lit(False).alias("is_p"))
     few = toxic.unionByName(other).distinct()  # MAX_POSITIVE + MAX_UNLABELLED rows at most
     rows = docs.select(id_col, text_col).join(F.broadcast(few), id_col).select("is_p", F.col(text_col).alias("text"))
-    packed = rows.mapInPandas(distinct_words, "is_p boolean, words array<string>")
+    packed = text_batches(rows).mapInPandas(distinct_words, "is_p boolean, words array<string>")
     packed = checkpoint(packed.where("NOT is_p").unionByName(packed.where("is_p").dropDuplicates(["words"])))  # copies of a toxic text count once
     sizes = packed.agg(F.count_if("is_p").alias("p"), F.count_if(~F.col("is_p")).alias("u")).first()
     if not sizes["p"] or not sizes["u"]:
@@ -156,4 +157,4 @@ def score(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") ->
 
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "score")]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`").mapInPandas(judge, f"{kinds}score double")
+    return text_batches(docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`")).mapInPandas(judge, f"{kinds}score double")
