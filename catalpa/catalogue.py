@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalpa.operators import batches, integrity, ledger, lint, typing_queries
+from catalpa.operators import batches, integrity, ledger, lint, source_queries, typing_queries
 from catalpa.plans import changes, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (integrity, batches, ledger, changes, steps, lint, typing_queries):
+for module in (integrity, batches, ledger, changes, steps, lint, typing_queries, source_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
