@@ -122,7 +122,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     short = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= 100_000))
     ranked = Window.partitionBy("lang", "salt").orderBy("h", "id")
     by = short.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id")).withColumn("h", F.xxhash64("id")).withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
-    few = by.withColumn("r", F.row_number().over(ranked)).where(f"r <= {per_lang}")  # per salt first, so that no task ranks a whole language
+    few = by.withColumn("r", F.row_number().over(ranked)).where(f"r <= {4 * -(-per_lang // 64)}")  # per salt first, so that no task ranks more than a few times per_lang rows of a language
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(f"r <= {per_lang}").select("id", "h")
     rows = short.join(F.broadcast(few.distinct()), short[id_col].cast("string") == few["id"], "left_semi").select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
