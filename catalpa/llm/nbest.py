@@ -28,9 +28,9 @@ from catalpa.llm.common import text_batches
 from catalpa.llm.pieces import MODEL_PATH, PieceTable, Vocabulary, decode, load, of_one_length, spelled, units
 
 KEEP = 200_000
-KEEP_FIRST = 80_000
+KEEP_FIRST = 40_000
 CHUNK = 20_000
-TOGETHER = 1000
+TOGETHER, TOGETHER_FIRST = 1000, 300
 DIGITS = 7
 BEST = 4
 
@@ -238,11 +238,11 @@ class Encoder:
         return out
 
 
-def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The batches in parts of TOGETHER rows, so that what is made of a part stays small."""
+def few(batches: Iterator[pd.DataFrame], rows: int = TOGETHER) -> Iterator[pd.DataFrame]:
+    """The batches in parts of so many rows, so that what is made of a part stays small."""
     for batch in batches:
-        for at in range(0, len(batch), TOGETHER):
-            yield batch.iloc[at : at + TOGETHER]
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
 
 
 def packed(ids: tuple[int, ...]) -> bytes:
@@ -307,7 +307,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, shared.value, KEEP_FIRST)
-        for part in few(batches):
+        for part in few(batches, TOGETHER_FIRST):
             ids = [unpacked(own.encode(t, parts)) for t, parts in own.ready(part[text_col])]
             yield part.drop(columns=[text_col]).assign(ids=ids, n_pieces=[len(i) for i in ids])
 
