@@ -43,7 +43,13 @@ def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFram
         held.append(batch)
         total += len(batch)
         if total >= rows:
-            yield pd.concat(held, ignore_index=True)
+            yield together(held)
             held, total = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield together(held)
+
+
+def together(batches: list[pd.DataFrame]) -> pd.DataFrame:
+    """One frame; text columns hold plain strings, as columns of several chunks can't go back to Arrow as one array."""
+    whole = pd.concat(batches, ignore_index=True)
+    return whole.astype({c: object for c, kind in whole.dtypes.items() if pd.api.types.is_string_dtype(kind)})
