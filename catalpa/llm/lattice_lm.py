@@ -142,7 +142,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 seen[bool(learn)].update(words(text))
                 if len(seen[0]) + len(seen[1]) > FLUSH:
                     yield flush()
-        yield flush()
+        if seen[0] or seen[1]:
+            yield flush()
 
     return text_batches(docs).mapInPandas(count, "word string, c_train long, c_all long").groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
 
