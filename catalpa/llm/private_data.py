@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base spans (email, ip, card, phone) come from fixed patterns and are the seed entities. The words before a seed are its lexical
-pattern. Patterns and instances (seeds, and other tokens of a kind's shape) form a weighted graph that Spark scores in turns:
+Base spans (email, ip, card, phone) come from fixed patterns and are the seed entities. A seed's lexical patterns are what stands
+before it: the word, the two words, and the last one to TOKENS tokens (runs of letters or digits, single signs), so that a cue glued to the
+seed or glued to other text has patterns too; what stands after it is not used. Patterns and instances (seeds, and other tokens of a kind's shape) form a weighted graph that Spark scores in turns:
 a pattern's confidence is the share of its instances' weight held by reliable instances of its kind, times the share of all
-its occurrences in the corpus that an instance follows; an instance is as reliable as its patterns jointly make it, seeds
-stay at 1. Patterns that end above MIN_PATTERN with MIN_SEEDS different seeds or more discover instances above MIN_INSTANCE.
+its occurrences in the corpus that an instance follows; an instance is as reliable as its patterns jointly make it (of patterns with the same
+last token, which hold one another, the best counts), seeds stay at 1. Patterns that end above MIN_PATTERN with MIN_SEEDS different seeds or more discover instances above MIN_INSTANCE.
 
 Only DataFrame operations are used. Defined cases: null text is empty; no span gives empty strings and counts of 0; offsets are code
 points, the end exclusive; a discovered span that overlaps another is dropped (base spans stay). Counts are of base spans.
@@ -33,11 +34,25 @@ SHAPES = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,18}+",
     "phone": r"\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){1,4}",
 }
-WINDOW = 48
+BLANKS = r"[\x20\x09-\x0D]+"
+#: Letters of scripts written without blanks (South-East Asian, Chinese, Japanese) are tokens of their own.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+LETTER = rf"[A-Za-z[\p{{L}}\p{{M}}&&[^{UNSPACED}]]]"
+#: A token keeps the blank after it.
+TOKEN = rf"(?:{LETTER}++|\p{{N}}++|[^\x20\x09-\x0D])\x20?"
+TOKENS = 3
+#: A context is looked for in so many characters before a place; where they don't hold it whole, in more, at last in all.
+WINDOWS = (48, 512)
 TURNS = 3
 MIN_SEEDS = 5
 MIN_PATTERN = 0.7
 MIN_INSTANCE = 0.7
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows; df should come from a checkpoint."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def digits(x: Column) -> Column:
@@ -90,11 +105,49 @@ def spell(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string"))), ",")
 
 
+def folded(text: Column) -> Column:
+    """Lower-cased, the same for a text and for its beginning: the form of sigma depends on what follows."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(folded(text), BLANKS, " "), F.lit(TOKEN), F.lit(0))
+
+
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(folded(text), BLANKS), "")
+
+
+def left_of(text: Column, start: Column) -> Column:
+    """The end of the text before a place, with the last words and tokens whole."""
+    glued = ~F.substring(text, start, F.lit(1)).rlike(BLANKS)
+    found = None
+    for n in WINDOWS:
+        window = F.substring(text, F.greatest(F.lit(1), start - n + 1), F.least(start, F.lit(n)))
+        words = window.rlike(r"[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]")
+        enough = (start <= n) | words | (glued & (F.size(tokens_of(window)) > TOKENS))
+        found = F.when(enough, window) if found is None else found.when(enough, window)
+    return found.otherwise(F.substring(text, F.lit(1), start))
+
+
 def before(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-cased, or as many as the window holds; null if there is none."""
-    window = F.lower(F.substring(text, F.greatest(F.lit(1), start - WINDOW + 1), F.least(start, F.lit(WINDOW))))
-    parts = F.array_remove(F.split(window, r"[\x20\x09-\x0D]+"), "")
-    return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, -F.least(F.lit(2), F.size(parts)), 2), " "))
+    """(cue, patterns) of a place: the last token before it, and the patterns that end there (t: of tokens, w: of words).
+
+    Nothing for a place at the start of the text or inside a token.
+    """
+    inside = F.substring(text, start, F.lit(2)).rlike(rf"^(?:{LETTER}{{2}}|\p{{N}}{{2}})$")
+    left = F.array(F.when((start > 0) & ~inside, left_of(text, start)).otherwise(""))
+    parts = F.transform(left, lambda x: F.struct(tokens_of(x).alias("t"), F.when(x.rlike(BLANKS + "$"), words_of(x)).otherwise(F.array().cast("array<string>")).alias("w")))
+
+    def last(parts: Column, n: int) -> Column:
+        return F.slice(parts, -n, n)
+
+    def made(x: Column) -> Column:
+        by_tokens = [F.when(F.size(x["t"]) >= n, F.concat(F.lit("t"), F.array_join(last(x["t"], n), ""))) for n in range(1, TOKENS + 1)]
+        by_words = [F.when(F.size(x["w"]) >= n, F.concat(F.lit("w"), F.array_join(last(x["w"], n), " "))) for n in (1, 2)]
+        return F.struct(F.array_join(last(x["t"], 1), "").alias("cue"), F.array_compact(F.array(*by_tokens, *by_words)).alias("patterns"))
+
+    return F.transform(parts, made)[0]
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,18 +162,35 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     other = F.filter(other, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     rows = rows.withColumn("other", other)
     seen = F.concat(
-        F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), F.lit(True).alias("seed"), before(F.col("text"), s["start"]).alias("pattern"))),
-        F.transform("other", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), F.lit(False).alias("seed"), before(F.col("text"), s["start"]).alias("pattern"))),
+        F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), F.lit(True).alias("seed"), before(F.col("text"), s["start"]).alias("left"))),
+        F.transform("other", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), F.lit(False).alias("seed"), before(F.col("text"), s["start"]).alias("left"))),
     )
     return rows.select("doc_id", F.xxhash64("text").alias("mark"), F.transform("base", lambda s: s.dropFields("value")).alias("base"), seen.alias("seen"))
 
 
 def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(pattern, total): how often each wanted pattern stands before a further word anywhere in the corpus."""
-    parts = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
-    rows = docs.select(parts.alias("w")).where(F.size("w") > 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.when(i > 1, F.concat(F.element_at("w", i - 1), F.lit(" "), F.element_at("w", i))).otherwise(F.element_at("w", i)))
-    return rows.select(F.explode(pairs).alias("pattern")).join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    """(pattern, total): how often each wanted pattern stands before further text anywhere in the corpus.
+
+    wanted: (pattern, cue). Tokens are put together only where the last of them is some pattern's cue.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    names, cues = small(wanted.select("pattern")), small(wanted.select("cue").distinct())
+    none = F.lit(None).cast("string")
+
+    def places(parts: Column, names: list[str]) -> DataFrame:
+        """Each part that another follows, and those before it."""
+        shifted = [F.concat(F.array(*[none] * n), F.col("p")).alias(name) if n else F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias(name) for n, name in enumerate(names)]
+        return docs.select(parts.alias("p")).select(F.inline(F.arrays_zip(*shifted)))
+
+    near = places(tokens_of(text), ["cue", *[f"t{n}" for n in range(1, TOKENS)]]).join(cues, "cue", "left_semi")
+    runs, run = [], F.col("cue")
+    for n in range(TOKENS):
+        run = run if n == 0 else F.concat(F.col(f"t{n}"), run)
+        runs.append(F.concat(F.lit("t"), run))
+    by_tokens = near.select(F.explode(F.array_compact(F.array(*runs))).alias("pattern"))
+    two = F.concat(F.lit("w"), F.col("w2"), F.lit(" "), F.col("w1"))
+    by_words = places(words_of(text), ["w1", "w2"]).select(F.explode(F.array_compact(F.array(F.concat(F.lit("w"), F.col("w1")), two))).alias("pattern"))
+    return by_tokens.unionByName(by_words).join(names, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def reliable(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +204,8 @@ def reliable(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]
         joined = mass.join(every, "pattern").join(totals, "pattern").where(F.col("seeds") >= MIN_SEEDS)
         cover = F.least(F.lit(1.0), F.col("met") / F.col("total"))
         patterns = joined.select("pattern", "kind", (F.col("good") / F.col("weight") * cover).alias("confidence"))
-        votes = edges.join(patterns, ["pattern", "kind"], "left").groupBy("kind", "value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.coalesce("confidence", F.lit(0.0))))).alias("doubt"))
+        best = edges.join(patterns, ["pattern", "kind"], "left").groupBy("kind", "value", "cue").agg(F.max("seed").alias("seed"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+        votes = best.groupBy("kind", "value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))).alias("doubt"))
         instances = votes.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("trust"))
         patterns, instances = checkpoint(patterns), checkpoint(instances)
     return patterns, instances
@@ -142,13 +213,14 @@ def reliable(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def discover(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame | None:
     """(doc_id, mark, kind, start, stop) of further identifiers, or None where no pattern is frequent enough to have any."""
-    each = found.select("doc_id", "mark", F.explode("seen").alias("s")).select("doc_id", "mark", "s.*").where("pattern IS NOT NULL")
-    edges = each.groupBy("pattern", "kind", "value").agg(F.count("*").alias("c"), F.max("seed").alias("seed"))
-    strong = edges.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    wanted = checkpoint(strong.select("pattern").distinct())
+    each = found.select("doc_id", "mark", F.explode("seen").alias("s")).select("doc_id", "mark", "s.*")
+    each = each.select("doc_id", "mark", "kind", "start", "stop", "value", "seed", "left.cue", F.explode("left.patterns").alias("pattern"))
+    edges = each.groupBy("pattern", "cue", "kind", "value").agg(F.count("*").alias("c"), F.max("seed").alias("seed"))
+    strong = edges.where("seed").groupBy("pattern", "cue", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
+    wanted = checkpoint(strong.select("pattern", "cue").distinct())
     if wanted.isEmpty():
         return None
-    edges = checkpoint(edges.join(wanted, "pattern", "left_semi"))
+    edges = checkpoint(edges.join(small(wanted.select("pattern")), "pattern", "left_semi"))
     if edges.where("NOT seed").isEmpty():
         return None
     totals = checkpoint(occurrences(docs, text_col, wanted))

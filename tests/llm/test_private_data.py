@@ -80,3 +80,25 @@ def test_edges(make):
     assert len(out) == len(EDGES) + 2
     assert sorted(r["spans"] for r in out if r["doc_id"] == 1) == ["", "email:0:7", "email:0:7"]
     assert pd_.digest(pd_.find(docs.where("false"))).count() == 0
+
+
+VARIED = "amber birch cedar delta ember fjord grove heath islet jetty knoll ledge".split()
+
+
+@pytest.mark.parametrize("before, after", [("{} tel: ", ""), ("{} ({}) tel:", " end"), ("{}<call:", "> end"), ("{}" + "x" * 60 + " tel: ", ""), ("電{}話：", "。")])
+def test_cues_after_varied_words(make, before, after):
+    """A cue of one word, or one glued to the number, finds numbers though the text before it is never the same."""
+    cue = [before.format(w, w) for w in VARIED]
+    rows = [(i, f"{cue[i]}+1 555 010 {1000 + i}{after}", "en", "a") for i in range(10)]
+    rows += [(10 + i, f"{cue[10 + i]}555 010 {2000 + i}{after}", "en", "a") for i in range(2)]
+    rows += [(20 + i, f"{w} sums 100 200 {300 + i}{after}", "en", "a") for i, w in enumerate(VARIED)]
+    out = {r["doc_id"]: r["spans"] for r in pd_.digest(pd_.find(make(rows))).collect()}
+    assert [out[i] for i in (10, 11)] == [f"phone:{len(cue[i])}:{len(cue[i]) + 12}" for i in (10, 11)]
+    assert not any(out[20 + i] for i in range(len(VARIED)))
+
+
+def test_a_cue_that_mostly_precedes_other_text_finds_nothing(make):
+    rows = [(i, f"{w} tel:+1 555 010 {1000 + i}", "en", "a") for i, w in enumerate(VARIED)]
+    rows += [(20, "so tel:555 010 2000", "en", "a")] + [(30 + i, f"{w} tel:none", "en", "a") for i, w in enumerate(VARIED * 2)]
+    out = {r["doc_id"]: r["spans"] for r in pd_.digest(pd_.find(make(rows))).collect()}
+    assert out[20] == ""
