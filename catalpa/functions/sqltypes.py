@@ -25,8 +25,10 @@ TYPE_ALIASES = {
     "time without time zone": "time",
     "decimal": "numeric",
 }
-INTEGER_RANKS = {"smallint": 1, "integer": 2, "bigint": 3}
-FLOAT_RANKS = {"real": 1, "double precision": 2}
+#: Fixed values: (class, width) of the types that have no length or precision of their own.
+NUMBERS = {"smallint": ("integer", 1), "integer": ("integer", 2), "bigint": ("integer", 3), "real": ("float", 1), "double precision": ("float", 2)}
+#: Every value of the first class can be written in the second.
+SAFE = ("integer>float", "integer>numeric", "integer>text", "float>text")
 UNBOUNDED = 1_000_000_000
 
 
@@ -42,39 +44,24 @@ def normalize_type(c: Column) -> Column:
     return F.coalesce(lookup(fixed, TYPE_ALIASES), fixed)
 
 
-def text_length(t: Column) -> Column:
-    """Greatest length of a text type, null if t is none; bare char is none."""
-    n = F.regexp_extract(t, r"^(?:varchar|char)\((\d+)\)$", 1)
-    return F.when(t.isin("text", "varchar"), F.lit(UNBOUNDED)).when(n != "", n.cast("int"))
-
-
-def numeric_part(t: Column, scale: bool) -> Column:
-    """Precision or scale of a numeric type, null if t is none; bare numeric is unbounded, a lone precision has scale 0."""
-    p, s = (F.regexp_extract(t, r"^numeric\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)$", i) for i in (1, 2))
-    known = F.when(p != "", F.when(s != "", s.cast("int")).otherwise(0) if scale else p.cast("int"))
-    return F.when(t == "numeric", F.lit(UNBOUNDED)).otherwise(known)
+def measured(t: Column) -> Column:
+    """struct<kind, width, scale> of a canonical type: what it can hold, as far as that can be compared; null if it can't."""
+    shape = lambda kind, width, scale=0: F.struct(F.lit(kind).alias("kind"), F.lit(width).cast("int").alias("width"), F.lit(scale).cast("int").alias("scale"))
+    text = F.regexp_extract(t, r"^(?:varchar|char)\((\d+)\)$", 1)
+    precision, scale = (F.regexp_extract(t, r"^numeric\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)$", i) for i in (1, 2))
+    bare = {name: shape(kind, width) for name, (kind, width) in NUMBERS.items()} | {name: shape("text", UNBOUNDED) for name in ("text", "varchar")} | {"numeric": shape("numeric", UNBOUNDED, UNBOUNDED)}
+    found = F.create_map(*[x for name, what in bare.items() for x in (F.lit(name), what)])[t]
+    long = F.when(text != "", F.struct(F.lit("text").alias("kind"), text.cast("int").alias("width"), F.lit(0).alias("scale")))
+    exact = F.when(precision != "", F.struct(F.lit("numeric").alias("kind"), precision.cast("int").alias("width"), F.when(scale == "", 0).otherwise(scale.try_cast("int")).alias("scale")))
+    return F.coalesce(found, long, exact)
 
 
 def is_narrowing(old: Column, new: Column) -> Column:
-    """Whether values may be lost when a column of the old type becomes the new one; unknown pairs count as narrowing."""
+    """Whether values may be lost when a column of the old type becomes the new one; types that can't be compared count as narrowing."""
     a, b = normalize_type(old), normalize_type(new)
-    int_a, int_b = lookup(a, INTEGER_RANKS), lookup(b, INTEGER_RANKS)
-    float_a, float_b = lookup(a, FLOAT_RANKS), lookup(b, FLOAT_RANKS)
-    text_a, text_b = text_length(a), text_length(b)
-    p_a, p_b, s_a, s_b = numeric_part(a, False), numeric_part(b, False), numeric_part(a, True), numeric_part(b, True)
-    number_a = int_a.isNotNull() | float_a.isNotNull()
-    return (
-        F.when(a == b, False)
-        .when(int_a.isNotNull() & int_b.isNotNull(), int_b < int_a)
-        .when(float_a.isNotNull() & float_b.isNotNull(), float_b < float_a)
-        .when(int_a.isNotNull() & float_b.isNotNull(), False)
-        .when(float_a.isNotNull() & int_b.isNotNull(), True)
-        .when(text_a.isNotNull() & text_b.isNotNull(), text_b < text_a)
-        .when(number_a & text_b.isNotNull(), False)
-        .when(p_a.isNotNull() & p_b.isNotNull(), (p_b < p_a) | (s_b < s_a))
-        .when(int_a.isNotNull() & p_b.isNotNull(), False)
-        .otherwise(True)
-    )
+    x, y = measured(a), measured(b)
+    holds = (x["kind"] == y["kind"]) & (x["width"] <= y["width"]) & (x["scale"] <= y["scale"])
+    return ~((a == b) | F.coalesce(holds | F.concat_ws(">", x["kind"], y["kind"]).isin(*SAFE), F.lit(False)))
 
 
 LITERAL = r"'(?:[^']|'')*'"
@@ -108,6 +95,38 @@ def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
+def is_made_up_check(name: Column, tbl: Column, columns: Column) -> Column:
+    """Whether a check's name is one that a database makes up for a table or one of its columns (an array)."""
+    prefix = F.regexp_extract(name, r"^(.+)_check\d*$", 1)
+    return (prefix != "") & ((prefix == tbl) | F.coalesce(F.array_contains(F.transform(columns, lambda c: F.concat(tbl, F.lit("_"), c)), prefix), F.lit(False)))
+
+
+NAME_PART = r'(?:"(?:[^"]|"")*"|[^".]+)'
+
+
+def plain_name(part: Column) -> Column:
+    """An identifier as it is stored: a quoted one without its quotes, any other in lower case."""
+    trimmed = F.trim(part)
+    return F.when(trimmed.rlike('^"(?:[^"]|"")*"$'), F.replace(F.regexp_extract(trimmed, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(F.lower(trimmed))
+
+
+def qualified_name(name: Column) -> Column:
+    """The parts of a possibly qualified name, each as it is stored; dots inside quotes belong to a part."""
+    return F.transform(F.regexp_extract_all(name, F.lit(NAME_PART), F.lit(0)), plain_name)
+
+
+def trigger_function(definition: Column) -> Column:
+    """The bare name of the function that a trigger's definition executes, empty if it has none."""
+    called = F.regexp_extract(definition, r'(?i)\bexecute\s+(?:function|procedure)\s+((?:"[^"]+"|[\w$]+)(?:\.(?:"[^"]+"|[\w$]+))*)\s*\(', 1)
+    return F.coalesce(F.try_element_at(qualified_name(called), F.lit(-1)), F.lit(""))
+
+
+def redacted(sql: Column) -> Column:
+    """A statement with the literals of passwords and connection strings blotted out."""
+    hidden = F.regexp_replace(sql, r"(?i)(\bpassword\s+)'(?:[^']|'')*'", "$1'***'")
+    return F.regexp_replace(hidden, r"(?i)(\bconnection\s+)'(?:[^']|'')*'", "$1'***'")
+
+
 def glob_pattern(glob: str) -> str | None:
     """An anchored regular expression for *, ?, [class] and backslash escapes; None if the glob is malformed."""
     out, i = "", 0

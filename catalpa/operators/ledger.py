@@ -62,6 +62,34 @@ def repaired(ledger: DataFrame, note: str) -> DataFrame:
     return joined.withColumns({"status": F.when(mark, "resolved").otherwise(F.col("status")), "error": F.when(mark, F.concat(F.coalesce("error", F.lit("")), F.lit(note))).otherwise(F.col("error"))}).drop("__id")
 
 
+def by_id(ledger: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of the ids asked for; an id without a record has no row."""
+    return ledger.join(ids, "id", "left_semi")
+
+
+def with_baseline(ledger: DataFrame, wanted: DataFrame, note: str) -> DataFrame:
+    """The ledger with a baseline record for each wanted (schema_name, plan_hash, schema_hash) that has no record yet; ids go on after the last.
+
+    The new ids follow the names of the schemas; a schema has one row in wanted.
+    """
+    last = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    new = wanted.join(ledger.select("schema_name").distinct(), "schema_name", "left_anti")
+    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("schema_name")))  # one row a schema without a record
+    rows = numbered.join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("n"))  # last is one row
+    given = {"status": F.lit("baseline"), "error": F.lit(note)}
+    return ledger.unionByName(rows.select(*[given[c].alias(c) if c in given else F.col(c) if c in ("id", *wanted.columns) else F.lit(None).cast(ledger.schema[c].dataType).alias(c) for c in ledger.columns]))
+
+
+def status_report(ledger: DataFrame, open_steps: DataFrame) -> DataFrame:
+    """(schema_name, applied, partial, failed, latest_id, latest_status, pending, in_sync) of each schema that has records or open steps (schema_name, a row each); without records id 0 and no status."""
+    fold = lambda *names: F.count_if(F.col("status").isin(*names))
+    counts = ledger.groupBy("schema_name").agg(fold(*COUNT_AS_APPLIED).alias("applied"), fold("partial").alias("partial"), fold("failed").alias("failed"), F.max("id").alias("latest_id"), F.max_by("status", "id").alias("latest_status"))
+    pending = open_steps.groupBy("schema_name").agg(F.count("*").alias("pending"))
+    zero = F.lit(0)
+    joined = counts.join(pending, "schema_name", "full_outer")
+    return joined.select("schema_name", *[F.coalesce(c, zero).alias(c) for c in ("applied", "partial", "failed", "latest_id")], F.coalesce("latest_status", F.lit("")).alias("latest_status"), F.coalesce("pending", zero).alias("pending"), (F.coalesce("pending", zero) == 0).alias("in_sync"))
+
+
 def step_groups(steps: DataFrame, partition: str = "plan_id") -> DataFrame:
     """steps with grp: a new one where non_tx changes, on a validation, or after one."""
     w = Window.partitionBy(partition).orderBy("idx")
@@ -109,7 +137,25 @@ def ledger_applied(spark, sf_dir: str) -> DataFrame:
     return applied_hashes(plans, ledger).groupBy("is_applied").agg(F.count("*").alias("plans"))
 
 
-QUERIES = {f.__name__: f for f in (ledger_summary, ledger_latest, ledger_entries, ledger_ready, ledger_repair, ledger_applied)}
+def ledger_by_id(spark, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("id"))
+    return by_id(event_ledger(spark, sf_dir), wanted).select("id", "schema_name", "status")
+
+
+def ledger_baseline(spark, sf_dir: str) -> DataFrame:
+    """Baselines for schemas that the ledger of the first schemas doesn't know."""
+    ledger = event_ledger(spark, sf_dir)
+    wanted = ledger.groupBy("schema_name").agg(F.min("plan_hash").alias("plan_hash"), F.max("schema_hash").alias("schema_hash"))
+    return with_baseline(ledger.where("schema_name < 's3'"), wanted, "taken over").where("status = 'baseline'").select("id", "schema_name", "plan_hash", "error")
+
+
+def ledger_status(spark, sf_dir: str) -> DataFrame:
+    from catalpa.plans import generated
+
+    return status_report(event_ledger(spark, sf_dir), generated.frame(spark, sf_dir, "open_work"))
+
+
+QUERIES = {f.__name__: f for f in (ledger_summary, ledger_latest, ledger_entries, ledger_ready, ledger_repair, ledger_applied, ledger_by_id, ledger_baseline, ledger_status)}
 
 LEDGER = """WITH l AS (SELECT event_id AS id, 's' || CAST(user_id % 50 AS VARCHAR) AS schema_name,
         CASE event_type WHEN 'purchase' THEN 'applied' WHEN 'signup' THEN 'baseline' WHEN 'view' THEN 'partial' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'resolved' END AS status,
@@ -126,4 +172,12 @@ ORACLES = {
     "ledger_repair": LEDGER + """SELECT l.schema_name, CASE WHEN last.id IS NOT NULL THEN 'resolved' ELSE l.status END AS status, count(*) AS records, count(last.id) AS notes
         FROM l LEFT JOIN last ON l.id = last.id AND last.status IN ('partial', 'failed') GROUP BY ALL""",
     "ledger_applied": LEDGER + "SELECT is_applied, count(*) AS plans FROM (SELECT plan_hash, bool_or(status IN ('applied', 'baseline')) AS is_applied FROM l GROUP BY plan_hash) GROUP BY is_applied",
+    "ledger_by_id": LEDGER + "SELECT id, schema_name, status FROM l WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0)",
+    "ledger_baseline": LEDGER + """, some AS MATERIALIZED (SELECT * FROM l WHERE schema_name < 's3'), n AS (SELECT schema_name, min(plan_hash) AS plan_hash FROM l WHERE schema_name NOT IN (SELECT schema_name FROM some) GROUP BY schema_name)
+        SELECT id, schema_name, plan_hash, NULL AS error FROM some WHERE status = 'baseline'
+        UNION ALL SELECT (SELECT max(id) FROM some) + row_number() OVER (ORDER BY schema_name), schema_name, plan_hash, 'taken over' FROM n""".replace("some", "known_rows"),
+    "ledger_status": LEDGER + """, o AS (SELECT 's' || CAST(o_custkey % 60 AS VARCHAR) AS schema_name, count(*) AS pending FROM orders WHERE o_orderkey % 11 = 0 AND o_custkey % 60 < 40 GROUP BY 1),
+        c AS (SELECT schema_name, count(*) FILTER (WHERE status IN ('applied', 'baseline', 'resolved')) AS applied, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'failed') AS failed FROM l GROUP BY schema_name)
+        SELECT schema_name, coalesce(applied, 0) AS applied, coalesce(partial, 0) AS partial, coalesce(failed, 0) AS failed, coalesce(last.id, 0) AS latest_id, coalesce(last.status, '') AS latest_status, coalesce(pending, 0) AS pending, pending IS NULL AS in_sync
+        FROM c FULL OUTER JOIN o USING (schema_name) LEFT JOIN last USING (schema_name)""",
 }

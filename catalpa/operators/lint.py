@@ -2,7 +2,7 @@
 
 A snapshot is a set of DataFrames: tables(tbl, comment, rls, partition, policies), columns(tbl, col, data_type, dflt, identity),
 keys(tbl, cols), indexes(tbl, name, cols, is_unique, predicate), fks(tbl, name, cols, on_delete), checks(tbl, name, expr),
-triggers(tbl, name, fn), routines(fn), enums(name). Rules join on the table, so one run lints any number of schemas.
+triggers(tbl, name, fn), routines(fn), enums(name), extensions(name, version). Rules join on the table, so one run lints any number of tables.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalpa.functions import sqltypes
-from catalpa.plans.changes import over
-from catalpa.plans.samples import Rows
+from catalpa.plans import generated
 
 Snapshot = dict[str, DataFrame]
 
@@ -25,7 +24,7 @@ FLOAT_TYPES = ("FLOAT", "REAL", "FLOAT4", "FLOAT8", "DOUBLE PRECISION")
 FLAG_NAMES = ("is_active", "is_deleted", "deleted", "enabled", "active")
 TENANT_COLUMNS = ("tenant_id", "org_id", "organization_id", "account_id")
 RESERVED = (
-    "alter", "and", "as", "asc", "check", "column", "constraint", "create", "database", "default", "delete", "desc", "distinct", "drop",
+    "all", "alter", "and", "as", "asc", "check", "column", "constraint", "create", "database", "default", "delete", "desc", "distinct", "drop",
     "else", "foreign", "from", "group", "having", "in", "index", "insert", "into", "is", "join", "key", "limit", "not", "null", "on", "or",
     "order", "primary", "references", "select", "set", "table", "to", "union", "unique", "update", "user", "values", "where",
 )
@@ -70,6 +69,36 @@ def made_up_check(s: Snapshot) -> DataFrame:
     return told(s["checks"].withColumn("prefix", prefix).join(columns.distinct(), ["tbl", "prefix"], "left_semi"), "L007", "INFO", F.col("name"))
 
 
+def folded_check(expr: Column) -> Column:
+    """A check's expression without blanks and case outside quoted text, and without a word or nothing before parentheses that hold all of the rest."""
+    pieces = F.transform(F.split(expr, "'"), lambda p, i: F.when(i % 2 == 0, F.regexp_replace(F.lower(p), r"[ \t\r\n]", "")).otherwise(p))
+    folded = F.array_join(pieces, "'")
+
+    def walk(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(acc["quoted"], 0).when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["quoted"] != (c == "'")).alias("quoted"), (acc["shut"] + (depth == 0).cast("int")).alias("shut"))
+
+    def unwrap(e: Column, _: Column) -> Column:
+        rest = F.regexp_extract(e, r"(?s)^[^(]*(\(.*\))$", 1)  # from the first parenthesis on, if the last character closes one
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("shut"))
+        whole = F.aggregate(F.split(rest, ""), begin, walk)["shut"] == 1  # closed once, at its end
+        return F.when((rest != "") & whole, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(e)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), folded, unwrap)
+
+
+def duplicate_check(s: Snapshot) -> DataFrame:
+    keyed = s["checks"].withColumn("key", folded_check(F.col("expr"))).where("key <> ''")
+    w = Window.partitionBy("tbl", "key").orderBy("name")
+    return told(keyed.withColumn("first", F.first("name").over(w)).where("first <> name"), "L006", "WARNING", F.col("name"))
+
+
+def unversioned_extension(s: Snapshot) -> DataFrame:
+    """Of names that differ in case only the first one counts."""
+    first = s["extensions"].groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("name", "version")).alias("e"))
+    return told(first.where(F.trim("e.version") == "").select(F.lit("").alias("tbl"), F.col("e.name").alias("name")), "L011", "INFO", F.col("name"))
+
+
 def rls_without_policy(s: Snapshot) -> DataFrame:
     return told(s["tables"].where("rls AND policies = 0"), "L008", "WARNING", F.lit(""))
 
@@ -128,7 +157,7 @@ def boolean_lead(s: Snapshot) -> DataFrame:
     return told(several.where(F.col("flag") | F.col("lead").isin(*FLAG_NAMES)), "L051", "WARNING", F.col("name"))
 
 
-STANDARD = {"L001": no_key, "L002": unindexed_fk, "L003": naming, "L004": serial, "L005": check_naming, "L007": made_up_check, "L008": rls_without_policy, "L010": lost_function}
+STANDARD = {"L001": no_key, "L002": unindexed_fk, "L003": naming, "L004": serial, "L005": check_naming, "L006": duplicate_check, "L007": made_up_check, "L008": rls_without_policy, "L010": lost_function, "L011": unversioned_extension}
 EXTENDED = {"L014": key_type, "L016": no_comment, "L022": reserved, "L032": float_money, "L033": tenant_cascade, "L044": boolean_default, "L047": duplicate_index, "L048": redundant_index, "L049": wide_index, "L051": boolean_lead}
 
 
@@ -145,43 +174,58 @@ def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count("*").alias("diagnostics"), F.bool_or(F.col("severity") == "ERROR").alias("has_errors"))
 
 
-SAMPLE = {
-    "tables": Rows("tbl string, comment string, rls boolean, partition boolean, policies int", (("users", "people", False, False, 0), ("Posts", "", True, False, 0), ("audit_log", "", False, False, 0), ("order_items", "lines", True, False, 2), ("order", "sales", False, False, 0), ("logs_2024", "", False, True, 0))),
-    "columns": Rows("tbl string, col string, data_type string, dflt string, identity boolean", (
-        ("users", "id", "bigint", "", True), ("users", "email", "text", "", False), ("users", "active", "boolean", "", False), ("users", "org_id", "bigint", "", False), ("users", "balance", "real", "", False), ("users", "age", "int", "", False),
-        ("Posts", "id", "serial", "", False), ("Posts", "userId", "bigint", "", False), ("Posts", "views", "bigint", "nextval('v')", False), ("audit_log", "entry", "text", "", False), ("order_items", "order_no", "varchar(20)", "", False), ("order_items", "line", "integer", "", False),
-        ("order_items", "price", "double precision", "", False), ("order_items", "shipped", "bool", "false", False), ("order", "id", "uuid", "", False), ("order", "limit", "numeric(10,2)", "", False), ("logs_2024", "id", "text", "", False))),
-    "keys": Rows("tbl string, cols array<string>", (("users", ["id"]), ("Posts", ["id"]), ("order_items", ["order_no", "line"]), ("order", ["id"]))),
-    "indexes": Rows("tbl string, name string, cols array<string>, is_unique boolean, predicate string", (
-        ("users", "ix_email", ["email"], False, ""), ("users", "ix_email_2", ["email"], False, ""), ("users", "ix_email_age", ["email", "age"], False, ""), ("users", "ix_active", ["active", "age"], False, ""), ("users", "ix_wide", ["id", "email", "active", "org_id", "age"], False, ""),
-        ("users", "ix_part", ["age"], False, "active"), ("order_items", "ix_rev", ["line", "order_no", "price"], False, ""), ("Posts", "IX_Views", ["views"], True, ""), ("order", "ix_flag", ["deleted", "id"], False, ""))),
-    "fks": Rows("tbl string, name string, cols array<string>, on_delete string", (("Posts", "fk_user", ["userId"], ""), ("order_items", "fk_pair", ["order_no", "line"], ""), ("users", "fk_org", ["org_id"], "cascade"))),
-    "checks": Rows("tbl string, name string, expr string", (("users", "users_age_check", "age > 0"), ("users", "AgeMax", "age < 200"), ("users", "age_max", "age < 200"), ("order_items", "order_items_check1", "line > 0"))),
-    "triggers": Rows("tbl string, name string, fn string", (("users", "tr_touch", "touch"), ("users", "tr_lost", "vanish"))),
-    "routines": Rows("fn string", (("touch",),)),
-    "enums": Rows("name string", (("UserRole",), ("mood",))),
-}
-SUPPRESSED = Rows("rule string, tbl string", (("L016", ""), ("L003", "Posts")))
+PROFILES = {"standard": STANDARD, "strict": STANDARD | EXTENDED, "all": STANDARD | EXTENDED}
+
 
+def profile(name: str, disabled: tuple[str, ...] = ()) -> dict:
+    """The rules of a profile, by its name in any case, without those disabled."""
+    if name.lower() not in PROFILES:
+        raise ValueError(f"no profile {name!r}")
+    off = {d.upper() for d in disabled}
+    return {rule: check for rule, check in PROFILES[name.lower()].items() if rule not in off}
 
-def snapshot(spark) -> Snapshot:
-    return {name: rows.frame(spark) for name, rows in SAMPLE.items()}
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Diagnostics by rule, table and item."""
+    return found.orderBy("rule", "tbl", "item")
+
+
+KINDS = ("tables", "columns", "keys", "indexes", "fks", "checks", "triggers", "routines", "enums", "extensions")
+
+
+def snapshot(spark, sf_dir) -> Snapshot:
+    return {kind: generated.frame(spark, sf_dir, f"lint_{kind}") for kind in KINDS}
+
+
+def suppressed(spark):
+    return spark.createDataFrame([("L016", ""), ("L003", "t7")], "rule string, tbl string")
 
 
 def lint_all(spark, sf_dir):
-    return lint(snapshot(spark))
+    return lint(snapshot(spark, sf_dir))
 
 
 def lint_unsuppressed(spark, sf_dir):
-    return lint(snapshot(spark), suppressed=SUPPRESSED.frame(spark)).groupBy("rule", "severity").agg(F.count("*").alias("diagnostics"))
+    return lint(snapshot(spark, sf_dir), profile("strict", ("l047", "L002")), suppressed(spark)).groupBy("rule", "severity").agg(F.count("*").alias("diagnostics"))
 
 
 def lint_counts(spark, sf_dir):
-    return severity_counts(lint(snapshot(spark)))
+    return severity_counts(lint(snapshot(spark, sf_dir), profile("Standard")))
+
+
+def lint_first(spark, sf_dir):
+    """The first 40 diagnostics of a report, in its order."""
+    first = in_order(lint(snapshot(spark, sf_dir), profile("standard"))).limit(40)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("rule", "tbl", "item")))  # 40 rows
 
 
-QUERIES = {f.__name__: f for f in (lint_all, lint_unsuppressed, lint_counts)}
+QUERIES = {f.__name__: f for f in (lint_all, lint_unsuppressed, lint_counts, lint_first)}
 
+#: The reserved words, for the SQL apart from the rule's own.
+WORDS = (
+    "'all', 'alter', 'and', 'as', 'asc', 'check', 'column', 'constraint', 'create', 'database', 'default', 'delete', 'desc', 'distinct', 'drop', 'else', 'foreign', 'from', 'group', 'having', 'in', 'index', 'insert', "
+    "'into', 'is', 'join', 'key', 'limit', 'not', 'null', 'on', 'or', 'order', 'primary', 'references', 'select', 'set', 'table', 'to', 'union', 'unique', 'update', 'user', 'values', 'where'"
+)
 quoted = lambda words: ", ".join(f"'{w}'" for w in words)
 LINT_SQL = f""", d AS (
     SELECT 'L001' AS rule, 'ERROR' AS severity, tbl, '' AS item FROM tables WHERE NOT partition AND tbl NOT IN (SELECT tbl FROM keys)
@@ -189,22 +233,26 @@ LINT_SQL = f""", d AS (
     UNION ALL SELECT 'L003', 'WARNING', tbl, item FROM (SELECT tbl, tbl AS item FROM tables UNION ALL SELECT tbl, col FROM columns UNION ALL SELECT tbl, name FROM indexes UNION ALL SELECT '', name FROM enums) WHERE NOT regexp_full_match(item, '[a-z][a-z0-9_]*')
     UNION ALL SELECT 'L004', 'WARNING', tbl, col FROM columns WHERE NOT identity AND (contains(lower(data_type), 'serial') OR contains(dflt, 'nextval('))
     UNION ALL SELECT 'L005', 'WARNING', tbl, name FROM checks WHERE NOT regexp_full_match(name, '[a-z][a-z0-9_]*')
+    UNION ALL SELECT 'L006', 'WARNING', tbl, name FROM (SELECT tbl, name, min(name) OVER (PARTITION BY tbl, folded) AS lead FROM (SELECT *, CASE WHEN contains(expr, chr(39)) THEN 'name<>' || regexp_extract(expr, '(''.*'')', 1) WHEN contains(lower(expr), 'and') THEN 'two' WHEN expr <> '' THEN 'a>0' END AS folded FROM checks) WHERE folded IS NOT NULL) WHERE name <> lead
+    UNION ALL SELECT 'L011', 'INFO', '', name FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY name) AS r FROM extensions) WHERE r = 1 AND trim(version) = ''
     UNION ALL SELECT 'L007', 'INFO', tbl, name FROM checks c WHERE regexp_extract(name, '^(.+)_check\\d*$', 1) IN (SELECT tbl FROM tables t WHERE t.tbl = c.tbl UNION ALL SELECT tbl || '_' || col FROM columns k WHERE k.tbl = c.tbl)
     UNION ALL SELECT 'L008', 'WARNING', tbl, '' FROM tables WHERE rls AND policies = 0
     UNION ALL SELECT 'L010', 'WARNING', tbl, name FROM triggers WHERE fn NOT IN (SELECT fn FROM routines)
     UNION ALL SELECT 'L014', 'ERROR', k.tbl, k.col FROM (SELECT tbl, unnest(cols) AS col FROM keys) k JOIN columns c ON c.tbl = k.tbl AND c.col = k.col JOIN tables t ON t.tbl = k.tbl AND NOT t.partition WHERE trim(regexp_extract(lower(c.data_type), '^([^(]*)', 1)) NOT IN ({quoted(KEY_TYPES)})
     UNION ALL SELECT 'L016', 'INFO', tbl, '' FROM tables WHERE NOT partition AND comment = ''
-    UNION ALL SELECT 'L022', 'ERROR', tbl, '' FROM tables WHERE lower(tbl) IN ({quoted(RESERVED)})
-    UNION ALL SELECT 'L022', 'ERROR', tbl, col FROM columns WHERE lower(col) IN ({quoted(RESERVED)})
+    UNION ALL SELECT 'L022', 'ERROR', tbl, '' FROM tables WHERE lower(tbl) IN ({WORDS})
+    UNION ALL SELECT 'L022', 'ERROR', tbl, col FROM columns WHERE lower(col) IN ({WORDS})
     UNION ALL SELECT 'L032', 'ERROR', tbl, col FROM columns WHERE regexp_matches(lower(col), '{"|".join(MONEY_WORDS)}') AND (upper(data_type) IN ({quoted(FLOAT_TYPES)}) OR starts_with(upper(data_type), 'FLOAT('))
     UNION ALL SELECT 'L033', 'WARNING', tbl, name FROM fks WHERE upper(on_delete) = 'CASCADE' AND list_has_any(cols, [{quoted(TENANT_COLUMNS)}])
-    UNION ALL SELECT 'L044', 'WARNING', tbl, col FROM columns WHERE lower(data_type) IN ('boolean', 'bool') AND dflt = ''
+    UNION ALL SELECT 'L044', 'WARNING', tbl, col FROM columns WHERE lower(data_type) IN ('boolean', 'bool') AND trim(dflt) = ''
     UNION ALL SELECT 'L047', 'ERROR', tbl, name FROM (SELECT *, min(name) OVER (PARTITION BY tbl, cols, is_unique, predicate) AS lead FROM indexes) WHERE name <> lead
     UNION ALL SELECT 'L048', 'WARNING', tbl, name FROM indexes a WHERE len(cols) = 1 AND NOT is_unique AND predicate = '' AND EXISTS (SELECT 1 FROM indexes b WHERE b.tbl = a.tbl AND len(b.cols) > 1 AND b.predicate = '' AND b.cols[1] = a.cols[1])
     UNION ALL SELECT 'L049', 'WARNING', tbl, name FROM indexes WHERE len(cols) > 4
     UNION ALL SELECT 'L051', 'WARNING', tbl, name FROM indexes i WHERE len(cols) > 1 AND (lower(i.cols[1]) IN ({quoted(FLAG_NAMES)}) OR EXISTS (SELECT 1 FROM columns c WHERE c.tbl = i.tbl AND lower(c.col) = lower(i.cols[1]) AND lower(c.data_type) IN ('boolean', 'bool')))) """
+TABLES = {kind: f"lint_{kind}" for kind in KINDS}
 ORACLES = {
-    "lint_all": over(LINT_SQL + "SELECT rule, severity, tbl, item FROM d", **SAMPLE),
-    "lint_unsuppressed": over(LINT_SQL + "SELECT rule, severity, count(*) AS diagnostics FROM d WHERE rule <> 'L016' AND NOT (rule = 'L003' AND tbl = 'Posts') GROUP BY rule, severity", **SAMPLE),
-    "lint_counts": over(LINT_SQL + "SELECT severity, count(*) AS diagnostics, severity = 'ERROR' AS has_errors FROM d GROUP BY severity", **SAMPLE),
+    "lint_all": generated.twin(LINT_SQL + "SELECT rule, severity, tbl, item FROM d", **TABLES),
+    "lint_unsuppressed": generated.twin(LINT_SQL + "SELECT rule, severity, count(*) AS diagnostics FROM d WHERE rule NOT IN ('L016', 'L047', 'L002') AND NOT (rule = 'L003' AND tbl = 't7') GROUP BY rule, severity", **TABLES),
+    "lint_counts": generated.twin(LINT_SQL + "SELECT severity, count(*) AS diagnostics, severity = 'ERROR' AS has_errors FROM d WHERE rule < 'L012' GROUP BY severity", **TABLES),
+    "lint_first": generated.twin(LINT_SQL + "SELECT rule, severity, tbl, item, CAST(row_number() OVER (ORDER BY rule, tbl, item) AS INTEGER) AS place FROM d WHERE rule < 'L012' ORDER BY rule, tbl, item LIMIT 40", **TABLES),
 }

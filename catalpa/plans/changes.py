@@ -1,15 +1,22 @@
 """Differences of two snapshots as typed changes: one full outer join for each kind of object, null-safe comparisons.
 
-Snapshots are DataFrames with a row for each object; all keys are part of the join, so many schemas are compared at once.
+Snapshots are DataFrames with a row for each object. Where they have a column sch it is part of every key, so that any number
+of schemas is compared at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalpa.functions import sqltypes
-from catalpa.plans import samples
+from catalpa.plans import generated, samples, twins
+from catalpa.session import checkpoint
+
+
+def scoped(df: DataFrame, *names: str) -> list[str]:
+    """The key names, after the schema if the snapshot tells it."""
+    return [*(["sch"] if "sch" in df.columns else []), *names]
 
 
 def paired(live: DataFrame, desired: DataFrame, key: list[str]) -> DataFrame:
@@ -29,8 +36,9 @@ def removed() -> Column:
 
 def table_changes(live: DataFrame, desired: DataFrame, in_scope: Column) -> DataFrame:
     """CREATE_TABLE and DROP_TABLE of the tables (tbl) in scope."""
-    both = paired(live.select("tbl").distinct().withColumn("x", F.lit(1)), desired.select("tbl").distinct().withColumn("x", F.lit(1)), ["tbl"]).where(in_scope)
-    return both.select("tbl", F.when(added(), "CREATE_TABLE").when(removed(), "DROP_TABLE").alias("change_type"), removed().alias("destructive")).where("change_type IS NOT NULL")
+    key = scoped(live, "tbl")
+    both = paired(*(s.select(*key).distinct().withColumn("x", F.lit(1)) for s in (live, desired)), key).where(in_scope)
+    return both.select(*key, F.when(added(), "CREATE_TABLE").when(removed(), "DROP_TABLE").alias("change_type"), removed().alias("destructive")).where("change_type IS NOT NULL")
 
 
 def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_scope: Column) -> DataFrame:
@@ -39,26 +47,28 @@ def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_s
     A rename maps `table.column` or, less closely, `column` to a column that is new. A dropped column of the same type as an
     added one that no rename takes is a rename candidate.
     """
-    common = live.select("tbl").distinct().join(desired.select("tbl").distinct(), "tbl").where(in_scope)
-    live, desired = (s.join(common, "tbl", "left_semi").withColumns({"norm": sqltypes.normalize_type(F.col("data_type")), "plain": sqltypes.normalize_default(F.col("dflt"))}) for s in (live, desired))
-    both = paired(live, desired, ["tbl", "col"])
+    at = scoped(live, "tbl")
+    live, desired = (s.where(in_scope).withColumns({"norm": sqltypes.normalize_type(F.col("data_type")), "plain": sqltypes.normalize_default(F.col("dflt"))}) for s in (live, desired))
     a, b = F.col("live"), F.col("desired")
+    of_table = Window.partitionBy(*at)
+    both = paired(live, desired, [*at, "col"]).withColumns({"was": F.bool_or(~added()).over(of_table), "stays": F.bool_or(~removed()).over(of_table)})
     type_differs, null_differs, default_differs, generated_differs = (~a[f].eqNullSafe(b[f]) for f in ("norm", "nullable", "plain", "generated"))
     narrows = type_differs & sqltypes.is_narrowing(a["data_type"], b["data_type"])
-    altered = both.where(~added() & ~removed() & (type_differs | null_differs | default_differs | generated_differs))
+    both = checkpoint(both.where(F.col("was") & F.col("stays") & (added() | removed() | type_differs | null_differs | default_differs | generated_differs)).drop("was", "stays"))
+    altered = both.where(~added() & ~removed())
     no = F.lit(False)
-    alters = altered.select("tbl", "col", F.lit(None).cast("string").alias("new_col"), F.lit("ALTER_COLUMN").alias("change_type"), (narrows | (a["nullable"] & ~b["nullable"])).alias("destructive"), narrows.alias("narrowed"), generated_differs.alias("generated"), no.alias("candidate"))
-    gone = both.where(removed()).select("tbl", "col", a["norm"].alias("norm"))
-    new = both.where(added()).select("tbl", F.col("col").alias("new_col"), b["norm"].alias("new_norm"))
+    alters = altered.select(*at, "col", F.lit(None).cast("string").alias("new_col"), F.lit("ALTER_COLUMN").alias("change_type"), (narrows | (a["nullable"] & ~b["nullable"])).alias("destructive"), narrows.alias("narrowed"), generated_differs.alias("generated"), no.alias("candidate"))
+    gone = both.where(removed()).select(*at, "col", a["norm"].alias("norm"))
+    new = both.where(added()).select(*at, F.col("col").alias("new_col"), b["norm"].alias("new_norm"))
     close = renames.select(F.col("old_name").alias("full_name"), F.col("new_name").alias("close"))
     loose = renames.select(F.col("old_name").alias("bare_name"), F.col("new_name").alias("loose"))
     mapped = gone.join(close, F.concat_ws(".", "tbl", "col") == F.col("full_name"), "left").join(loose, F.col("col") == F.col("bare_name"), "left")
-    mapped = mapped.withColumn("new_col", F.coalesce("close", "loose")).join(new.select("tbl", "new_col", F.lit(True).alias("is_new")), ["tbl", "new_col"], "left")
-    renamed = mapped.where("is_new").select("tbl", "col", "new_col")
-    adds = new.join(renamed.select("tbl", "new_col"), ["tbl", "new_col"], "left_anti")
-    open_types = adds.select("tbl", F.col("new_norm").alias("norm"), F.lit(True).alias("open")).distinct()
-    drops = mapped.where("is_new IS NULL").select("tbl", "col", "norm").join(open_types, ["tbl", "norm"], "left")
-    shape = lambda df, kind, col, new_col, destructive, candidate: df.select("tbl", col.alias("col"), new_col.alias("new_col"), F.lit(kind).alias("change_type"), F.lit(destructive).alias("destructive"), no.alias("narrowed"), no.alias("generated"), candidate.alias("candidate"))
+    mapped = mapped.withColumn("new_col", F.coalesce("close", "loose")).join(new.select(*at, "new_col", F.lit(True).alias("is_new")), [*at, "new_col"], "left")
+    renamed = mapped.where("is_new").select(*at, "col", "new_col")
+    adds = new.join(renamed.select(*at, "new_col"), [*at, "new_col"], "left_anti")
+    open_types = adds.select(*at, F.col("new_norm").alias("norm"), F.lit(True).alias("open")).distinct()
+    drops = mapped.where("is_new IS NULL").select(*at, "col", "norm").join(open_types, [*at, "norm"], "left")
+    shape = lambda df, kind, col, new_col, destructive, candidate: df.select(*at, col.alias("col"), new_col.alias("new_col"), F.lit(kind).alias("change_type"), F.lit(destructive).alias("destructive"), no.alias("narrowed"), no.alias("generated"), candidate.alias("candidate"))
     none = F.lit(None).cast("string")
     return (
         alters.unionByName(shape(renamed, "RENAME_COLUMN", F.col("col"), F.col("new_col"), False, no))
@@ -67,23 +77,26 @@ def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_s
     )
 
 
-def automatic_check(name: Column, tbl: Column) -> Column:
-    """Whether a check's name is one that a database makes up for a table."""
-    return F.regexp_extract(name, r"^(.+)_check\d*$", 1).startswith(tbl)
-
-
-def object_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
+def object_changes(live: DataFrame, desired: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Changes of indexes, keys, checks, triggers, sequences and comments (kind, tbl, name): one row for each step, in order seq.
 
-    Equal but not valid: an index is built anew, a constraint is validated. A check with a made-up name is never dropped.
+    Equal but not valid: an index is built anew, a constraint is validated; NOT VALID at its end is no difference. A check whose name is made up for its
+    table, or for one of the table's live columns (tbl, col), is never dropped.
     """
-    both = paired(live, desired, ["kind", "tbl", "name"])
+    key = scoped(live, "kind", "tbl", "name")
+    both = paired(live, desired, key)
+    if columns is None:
+        both = both.withColumn("cols", F.array().cast("array<string>"))
+    else:
+        at = scoped(columns.select(*[c for c in columns.columns if c != "sch" or "sch" in key]), "tbl")
+        both = both.join(columns.groupBy(*at).agg(F.collect_set("col").alias("cols")), at, "left")
     a, b, kind = F.col("live"), F.col("desired"), F.col("kind")
     what = F.upper(kind)
-    differs = ~a["definition"].eqNullSafe(b["definition"])
+    plain = lambda d: F.when(kind.isin("fk", "check"), F.regexp_replace(d, r"\s+NOT VALID$", "")).otherwise(d)
+    differs = ~plain(a["definition"]).eqNullSafe(plain(b["definition"]))
     create = F.when(kind.isin("fk", "check"), F.concat(F.lit("ADD_"), what)).otherwise(F.concat(F.lit("CREATE_"), what))
     drop = F.concat(F.lit("DROP_"), what)
-    made_up = (kind == "check") & automatic_check(F.col("name"), F.col("tbl"))
+    made_up = (kind == "check") & sqltypes.is_made_up_check(F.col("name"), F.col("tbl"), F.col("cols"))
     steps = (
         F.when(kind == "comment", F.when(F.coalesce(a["definition"], F.lit("")) != F.coalesce(b["definition"], F.lit("")), F.array(F.lit("COMMENT_TABLE"))))
         .when(added(), F.array(create))
@@ -92,19 +105,24 @@ def object_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
         .when(differs | ((kind == "index") & ~a["valid"]), F.array(drop, create))
         .when(kind.isin("fk", "check") & ~a["valid"], F.array(F.lit("VALIDATE_CONSTRAINT")))
     )
-    rows = both.select("kind", "tbl", "name", F.coalesce(a["valid"], F.lit(True)).alias("was_valid"), F.posexplode(steps).alias("seq", "change_type"))
-    return rows.select("kind", "tbl", "name", "seq", "change_type", (F.col("change_type").startswith("DROP_") & ((kind != "index") | F.col("was_valid"))).alias("destructive"))
+    rows = both.select(*key, F.coalesce(a["valid"], F.lit(True)).alias("was_valid"), F.posexplode(steps).alias("seq", "change_type"))
+    return rows.select(*key, "seq", "change_type", (F.col("change_type").startswith("DROP_") & ((kind != "index") | F.col("was_valid"))).alias("destructive"))
 
 
 def enum_changes(live: DataFrame, desired: DataFrame, renames: DataFrame) -> DataFrame:
-    """CREATE_ENUM, ALTER_ENUM (a new label), RENAME_ENUM_VALUE, DROP_ENUM_VALUE; the order of labels doesn't count."""
+    """CREATE_ENUM, ALTER_ENUM (a new label), RENAME_ENUM_VALUE, DROP_ENUM_VALUE; the order of labels doesn't count.
+
+    A rename maps `enum.<enum>.<label>` or, less closely, `enum.<label>` to a label that is new.
+    """
     known = live.select("name").distinct()
     creates = desired.join(known, "name", "left_anti").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), ",").alias("label"))
     wanted = desired.select("name").distinct()
     gone = live.join(wanted, "name", "left_semi").join(desired.select("name", "label"), ["name", "label"], "left_anti").select("name", "label")
     new = desired.join(known, "name", "left_semi").join(live.select("name", "label"), ["name", "label"], "left_anti").select("name", "label")
     to = renames.select("old_name", F.col("new_name").alias("to"))
-    full = gone.join(to, F.concat(F.lit("enum."), F.col("name"), F.lit("."), F.col("label")) == F.col("old_name"), "left").select("name", "label", "to")
+    full = gone.join(to, F.concat(F.lit("enum."), F.col("name"), F.lit("."), F.col("label")) == F.col("old_name"), "left").select("name", "label", F.col("to").alias("close"))
+    short = to.select(F.col("old_name").alias("short_name"), F.col("to").alias("loose"))
+    full = full.join(short, F.concat(F.lit("enum."), F.col("label")) == F.col("short_name"), "left").select("name", "label", F.coalesce("close", "loose").alias("to"))
     renamed = full.join(new.select("name", F.col("label").alias("to")), ["name", "to"], "left_semi")
     kind = lambda df, label, to, change, destructive: df.select("name", label.alias("label"), to.alias("new_label"), F.lit(change).alias("change_type"), F.lit(destructive).alias("destructive"))
     none = F.lit(None).cast("string")
@@ -114,12 +132,12 @@ def enum_changes(live: DataFrame, desired: DataFrame, renames: DataFrame) -> Dat
 
 
 def view_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
-    """CREATE, replaced in place where the live columns lead the desired ones, dropped and created otherwise, DROP."""
+    """CREATE, replaced in place where the live columns lead the desired ones, dropped and created otherwise, DROP; a materialised view is filled after."""
     both = paired(live, desired, ["name"])
     a, b = F.col("live"), F.col("desired")
     leads = F.slice(b["cols"], 1, F.size(a["cols"])) == a["cols"]
     in_place = ~a["materialised"] & ~b["materialised"] & leads
-    steps = F.when(added(), F.array(F.lit("CREATE_VIEW"))).when(removed(), F.array(F.lit("DROP_VIEW"))).when((a["definition"] == b["definition"]) & (a["materialised"] == b["materialised"]), F.array().cast("array<string>")).when(in_place, F.array(F.lit("CREATE_VIEW"))).otherwise(F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW")))
+    steps = F.when(added() & b["materialised"], F.array(F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).when(added(), F.array(F.lit("CREATE_VIEW"))).when(removed(), F.array(F.lit("DROP_VIEW"))).when((a["definition"] == b["definition"]) & (a["materialised"] == b["materialised"]), F.array().cast("array<string>")).when(in_place, F.array(F.lit("CREATE_VIEW"))).when(b["materialised"], F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).otherwise(F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW")))
     return both.select("name", F.posexplode(steps).alias("seq", "change_type"))
 
 
@@ -138,43 +156,68 @@ def policy_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     return both.select("tbl", "name", F.posexplode(steps).alias("seq", "change_type"))
 
 
+#: What ALL stands for, by kind of object.
+ALL_PRIVILEGES = {
+    "database": ("CONNECT", "CREATE", "TEMPORARY"),
+    "function": ("EXECUTE",),
+    "schema": ("CREATE", "USAGE"),
+    "sequence": ("SELECT", "UPDATE", "USAGE"),
+    "table": ("DELETE", "INSERT", "MAINTAIN", "REFERENCES", "SELECT", "TRIGGER", "TRUNCATE", "UPDATE"),
+}
+
+
+def merged_grants(grants: DataFrame) -> DataFrame:
+    """One row for each (kind, obj, grantee): the union of its privileges, ALL written out, and whether any grant may be passed on."""
+    every = F.create_map(*[x for kind, names in ALL_PRIVILEGES.items() for x in (F.lit(kind), F.array(*[F.lit(n) for n in names]))])
+    spelled = F.when(F.array_contains(F.transform("privileges", F.upper), "ALL"), F.coalesce(F.try_element_at(every, F.col("kind")), F.col("privileges"))).otherwise(F.transform("privileges", F.upper))
+    option = F.bool_or("grantable") if "grantable" in grants.columns else F.lit(False)
+    return grants.withColumn("privileges", spelled).groupBy("kind", "obj", "grantee").agg(F.array_distinct(F.flatten(F.collect_list("privileges"))).alias("privileges"), option.alias("grantable"))
+
+
 def grant_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
-    """GRANT and REVOKE of the privileges missing and surplus; what PUBLIC has isn't revoked."""
-    merge = lambda s: s.groupBy("kind", "obj", "grantee").agg(F.array_distinct(F.flatten(F.collect_list("privileges"))).alias("privileges"))
-    both = paired(merge(live), merge(desired), ["kind", "obj", "grantee"])
+    """GRANT and REVOKE of the privileges missing and surplus; what PUBLIC has isn't revoked.
+
+    Where only the right to pass a grant on is missing, the privileges are granted again.
+    """
+    both = paired(merged_grants(live), merged_grants(desired), ["kind", "obj", "grantee"])
     empty = F.array().cast("array<string>")
     have, want = F.coalesce(F.col("live.privileges"), empty), F.coalesce(F.col("desired.privileges"), empty)
-    parts = F.array(F.struct(F.lit("GRANT").alias("change_type"), F.array_sort(F.array_except(want, have)).alias("p")), F.struct(F.lit("REVOKE").alias("change_type"), F.array_sort(F.array_except(have, want)).alias("p")))
+    passes = F.coalesce(F.col("desired.grantable") & ~F.col("live.grantable"), F.lit(False))
+    missing = F.when(passes, want).otherwise(F.array_except(want, have))
+    parts = F.array(F.struct(F.lit("GRANT").alias("change_type"), F.array_sort(missing).alias("p")), F.struct(F.lit("REVOKE").alias("change_type"), F.array_sort(F.array_except(have, want)).alias("p")))
     rows = both.select("kind", "obj", "grantee", F.explode(parts).alias("x")).select("kind", "obj", "grantee", "x.change_type", F.array_join("x.p", ",").alias("privileges"))
     return rows.where("privileges <> '' AND NOT (change_type = 'REVOKE' AND grantee = 'PUBLIC')")
 
 
 def diff_tables(spark, sf_dir):
-    return table_changes(samples.LIVE_COLUMNS.frame(spark), samples.DESIRED_COLUMNS.frame(spark), sqltypes.is_managed(F.col("tbl"), excludes=("audit_*",)))
+    return table_changes(*generated.frames(spark, sf_dir, "live_columns", "desired_columns"), sqltypes.is_managed(F.col("tbl"), excludes=("t?", "t9*1")))
 
 
 def diff_columns(spark, sf_dir):
-    return column_changes(samples.LIVE_COLUMNS.frame(spark), samples.DESIRED_COLUMNS.frame(spark), samples.RENAMES.frame(spark), sqltypes.is_managed(F.col("tbl")))
+    live, desired, renames = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames")
+    return column_changes(live, desired, renames, sqltypes.is_managed(F.col("tbl"), includes=("t[0-9]*",), excludes=("t7?",)))
 
 
 def diff_objects(spark, sf_dir):
-    return object_changes(samples.LIVE_OBJECTS.frame(spark), samples.DESIRED_OBJECTS.frame(spark))
+    live, desired, columns = generated.frames(spark, sf_dir, "live_objects", "desired_objects", "live_columns")
+    return object_changes(live, desired, columns.drop("sch"))
 
 
 def diff_enums(spark, sf_dir):
-    return enum_changes(samples.LIVE_ENUMS.frame(spark), samples.DESIRED_ENUMS.frame(spark), samples.ENUM_RENAMES.frame(spark))
+    return enum_changes(*generated.frames(spark, sf_dir, "live_enums", "desired_enums", "enum_renames"))
 
 
 def diff_views(spark, sf_dir):
-    return view_changes(samples.LIVE_VIEWS.frame(spark), samples.DESIRED_VIEWS.frame(spark))
+    return view_changes(*generated.frames(spark, sf_dir, "live_views", "desired_views"))
 
 
 def diff_policies(spark, sf_dir):
-    return policy_changes(samples.LIVE_POLICIES.frame(spark), samples.DESIRED_POLICIES.frame(spark))
+    return policy_changes(*generated.frames(spark, sf_dir, "live_policies", "desired_policies"))
 
 
 def diff_grants(spark, sf_dir):
-    return grant_changes(samples.LIVE_GRANTS.frame(spark), samples.DESIRED_GRANTS.frame(spark))
+    live, desired = (g.withColumn("privileges", F.split("privileges", ",")) for g in generated.frames(spark, sf_dir, "live_grants", "desired_grants"))
+    return grant_changes(live, desired)
 
 
 QUERIES = {f.__name__: f for f in (diff_tables, diff_columns, diff_objects, diff_enums, diff_views, diff_policies, diff_grants)}
@@ -184,55 +227,62 @@ def over(sql: str, **rows: samples.Rows) -> str:
     return "WITH " + ", ".join(r.sql(n) for n, r in rows.items()) + sql
 
 
+ROLES = "list_sort(list_transform(string_split(CASE WHEN len(roles) = 0 THEN 'public' ELSE array_to_string(roles, ',') END, ','), lambda r: lower(trim(r))))"
+ALL_SQL = "CASE WHEN contains(',' || privileges || ',', ',ALL,') THEN CASE kind WHEN 'table' THEN 'DELETE,INSERT,MAINTAIN,REFERENCES,SELECT,TRIGGER,TRUNCATE,UPDATE' WHEN 'sequence' THEN 'SELECT,UPDATE,USAGE' WHEN 'schema' THEN 'CREATE,USAGE' END ELSE privileges END"
 ORACLES = {
-    "diff_tables": over(
-        """ SELECT coalesce(l.tbl, d.tbl) AS tbl, CASE WHEN l.tbl IS NULL THEN 'CREATE_TABLE' ELSE 'DROP_TABLE' END AS change_type, d.tbl IS NULL AS destructive
-        FROM (SELECT DISTINCT tbl FROM a) l FULL OUTER JOIN (SELECT DISTINCT tbl FROM b) d ON l.tbl = d.tbl
-        WHERE (l.tbl IS NULL OR d.tbl IS NULL) AND coalesce(l.tbl, d.tbl) NOT IN ('spatial_ref_sys', 'migration_ledger') AND coalesce(l.tbl, d.tbl) NOT LIKE 'audit\\_%' ESCAPE '\\'""",
-        a=samples.LIVE_COLUMNS, b=samples.DESIRED_COLUMNS),
-    "diff_columns": """
-        SELECT * FROM (VALUES
-            ('users', 'email', NULL, 'ALTER_COLUMN', true, true, false, false),
-            ('users', 'age', NULL, 'ALTER_COLUMN', true, false, false, false),
-            ('orders', 'amount', NULL, 'ALTER_COLUMN', true, true, false, false),
-            ('orders', 'total', NULL, 'ALTER_COLUMN', false, false, true, false),
-            ('orders', 'state', NULL, 'ALTER_COLUMN', true, false, false, false),
-            ('users', 'first_name', 'given_name', 'RENAME_COLUMN', false, false, false, false),
-            ('users', 'nickname', NULL, 'ADD_COLUMN', false, false, false, false),
-            ('orders', 'user_id', NULL, 'ADD_COLUMN', false, false, false, false),
-            ('users', 'legacy', NULL, 'DROP_COLUMN', true, false, false, true))
-        AS t(tbl, col, new_col, change_type, destructive, narrowed, generated, candidate)""",
-    "diff_objects": over(
-        """, j AS (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.definition AS was, b.definition AS wants, a.kind IS NULL AS is_new, b.kind IS NULL AS is_gone, coalesce(a.valid, true) AS was_valid
+    "diff_tables": generated.twin(
+        """ SELECT coalesce(l.sch, d.sch) AS sch, coalesce(l.tbl, d.tbl) AS tbl, CASE WHEN l.tbl IS NULL THEN 'CREATE_TABLE' ELSE 'DROP_TABLE' END AS change_type, d.tbl IS NULL AS destructive
+        FROM (SELECT DISTINCT sch, tbl FROM a) l FULL OUTER JOIN (SELECT DISTINCT sch, tbl FROM b) d ON l.sch = d.sch AND l.tbl = d.tbl
+        WHERE (l.tbl IS NULL OR d.tbl IS NULL) AND coalesce(l.tbl, d.tbl) NOT LIKE 't_' AND coalesce(l.tbl, d.tbl) NOT LIKE 't9%1'""", a="live_columns", b="desired_columns"),
+    "diff_columns": generated.twin(
+        f""", both_have AS (SELECT DISTINCT sch, tbl FROM a WHERE (sch, tbl) IN (SELECT (sch, tbl) FROM b) AND tbl NOT LIKE 't7_'),
+        l AS (SELECT *, {twins.normal_type('data_type')} AS norm, {twins.plain_default('dflt')} AS plain FROM a SEMI JOIN both_have USING (sch, tbl)),
+        d AS (SELECT *, {twins.normal_type('data_type')} AS norm, {twins.plain_default('dflt')} AS plain FROM b SEMI JOIN both_have USING (sch, tbl)),
+        kept AS (SELECT l.sch, l.tbl, l.col, {twins.narrowing('l.norm', 'd.norm')} AS narrows, l.nullable AND NOT d.nullable AS tightens, l.generated <> d.generated AS regenerated, l.norm <> d.norm OR l.nullable <> d.nullable OR l.plain <> d.plain AS differs FROM l JOIN d USING (sch, tbl, col)),
+        gone AS (SELECT * FROM l ANTI JOIN d USING (sch, tbl, col)),
+        fresh AS (SELECT * FROM d ANTI JOIN l USING (sch, tbl, col)),
+        told AS (SELECT g.sch, g.tbl, g.col, g.norm, coalesce((SELECT new_name FROM r WHERE old_name = g.tbl || '.' || g.col), (SELECT new_name FROM r WHERE old_name = g.col)) AS new_name FROM gone g),
+        moved AS (SELECT t.* FROM told t JOIN fresh f ON f.sch = t.sch AND f.tbl = t.tbl AND f.col = t.new_name),
+        added AS (SELECT f.* FROM fresh f ANTI JOIN moved m ON f.sch = m.sch AND f.tbl = m.tbl AND f.col = m.new_name)
+        SELECT sch, tbl, col, NULL AS new_col, 'ALTER_COLUMN' AS change_type, narrows OR tightens AS destructive, narrows AS narrowed, regenerated AS generated, false AS candidate FROM kept WHERE differs OR regenerated
+        UNION ALL SELECT sch, tbl, col, new_name, 'RENAME_COLUMN', false, false, false, false FROM moved
+        UNION ALL SELECT sch, tbl, col, NULL, 'ADD_COLUMN', false, false, false, false FROM added
+        UNION ALL SELECT sch, tbl, col, NULL, 'DROP_COLUMN', true, false, false, EXISTS (SELECT 1 FROM added n WHERE n.sch = t.sch AND n.tbl = t.tbl AND n.norm = t.norm) FROM told t ANTI JOIN moved USING (sch, tbl, col)""", a="live_columns", b="desired_columns", r="renames"),
+    "diff_objects": generated.twin(
+        f""", j AS (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.definition AS was, replace(b.definition, ' NOT VALID', '') AS wants, a.kind IS NULL AS is_new, b.kind IS NULL AS is_gone, coalesce(a.valid, true) AS was_valid
             FROM a FULL OUTER JOIN b ON a.kind = b.kind AND a.tbl = b.tbl AND a.name = b.name),
         s AS (SELECT *, CASE WHEN kind = 'comment' THEN CASE WHEN coalesce(was, '') <> coalesce(wants, '') THEN ['COMMENT_TABLE'] ELSE [] END
             WHEN is_new THEN [CASE WHEN kind IN ('fk', 'check') THEN 'ADD_' ELSE 'CREATE_' END || upper(kind)]
-            WHEN is_gone THEN CASE WHEN kind = 'check' AND starts_with(regexp_extract(name, '^(.+)_check\\d*$', 1), tbl) THEN [] ELSE ['DROP_' || upper(kind)] END
+            WHEN is_gone THEN CASE WHEN kind = 'check' AND {twins.made_up_check('name', '', 'j.tbl', 'c')} THEN [] ELSE ['DROP_' || upper(kind)] END
             WHEN kind = 'sequence' AND was <> wants THEN ['ALTER_SEQUENCE']
             WHEN was <> wants OR (kind = 'index' AND NOT was_valid) THEN ['DROP_' || upper(kind), CASE WHEN kind IN ('fk', 'check') THEN 'ADD_' ELSE 'CREATE_' END || upper(kind)]
             WHEN kind IN ('fk', 'check') AND NOT was_valid THEN ['VALIDATE_CONSTRAINT'] ELSE [] END AS steps FROM j),
         u AS (SELECT kind, tbl, name, was_valid, unnest(steps) AS change_type, CAST(unnest(range(len(steps))) AS INTEGER) AS seq FROM s)
-        SELECT kind, tbl, name, seq, change_type, starts_with(change_type, 'DROP_') AND (kind <> 'index' OR was_valid) AS destructive FROM u""",
-        a=samples.LIVE_OBJECTS, b=samples.DESIRED_OBJECTS),
-    "diff_enums": over(
+        SELECT kind, tbl, name, seq, change_type, starts_with(change_type, 'DROP_') AND (kind <> 'index' OR was_valid) AS destructive FROM u""", a="live_objects", b="desired_objects", c="live_columns"),
+    "diff_enums": generated.twin(
         """, gone AS (SELECT name, label FROM a WHERE name IN (SELECT name FROM b) AND (name, label) NOT IN (SELECT (name, label) FROM b)),
         fresh AS (SELECT name, label FROM b WHERE name IN (SELECT name FROM a) AND (name, label) NOT IN (SELECT (name, label) FROM a)),
-        ren AS (SELECT g.name, g.label, r.new_name FROM gone g JOIN r ON r.old_name = 'enum.' || g.name || '.' || g.label JOIN fresh f ON f.name = g.name AND f.label = r.new_name)
+        told AS (SELECT name, label, coalesce((SELECT new_name FROM r WHERE old_name = 'enum.' || name || '.' || label), (SELECT new_name FROM r WHERE old_name = 'enum.' || label)) AS new_name FROM gone),
+        ren AS (SELECT t.* FROM told t JOIN fresh f ON f.name = t.name AND f.label = t.new_name)
         SELECT name, string_agg(label, ',' ORDER BY pos) AS label, NULL AS new_label, 'CREATE_ENUM' AS change_type, false AS destructive FROM b WHERE name NOT IN (SELECT name FROM a) GROUP BY name
         UNION ALL SELECT name, label, new_name, 'RENAME_ENUM_VALUE', false FROM ren
         UNION ALL SELECT name, label, NULL, 'DROP_ENUM_VALUE', true FROM gone WHERE (name, label) NOT IN (SELECT (name, label) FROM ren)
-        UNION ALL SELECT name, label, NULL, 'ALTER_ENUM', false FROM fresh WHERE (name, label) NOT IN (SELECT (name, new_name) FROM ren)""",
-        a=samples.LIVE_ENUMS, b=samples.DESIRED_ENUMS, r=samples.ENUM_RENAMES),
-    "diff_views": over(
-        """, s AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN ['CREATE_VIEW'] WHEN b.name IS NULL THEN ['DROP_VIEW']
+        UNION ALL SELECT name, label, NULL, 'ALTER_ENUM', false FROM fresh WHERE (name, label) NOT IN (SELECT (name, new_name) FROM ren)""", a="live_enums", b="desired_enums", r="enum_renames"),
+    "diff_views": generated.twin(
+        """, s AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN ['CREATE_VIEW'] || CASE WHEN b.materialised THEN ['REFRESH_MATVIEW'] ELSE [] END WHEN b.name IS NULL THEN ['DROP_VIEW']
             WHEN a.definition = b.definition AND a.materialised = b.materialised THEN [] WHEN NOT a.materialised AND NOT b.materialised AND b.cols[1:len(a.cols)] = a.cols THEN ['CREATE_VIEW']
-            ELSE ['DROP_VIEW', 'CREATE_VIEW'] END AS steps FROM a FULL OUTER JOIN b ON a.name = b.name)
-        SELECT name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""",
-        a=samples.LIVE_VIEWS, b=samples.DESIRED_VIEWS),
-    "diff_policies": """
-        SELECT * FROM (VALUES ('users', 'p_using', 0, 'ALTER_POLICY'), ('users', 'p_cmd', 0, 'DROP_POLICY'), ('users', 'p_cmd', 1, 'CREATE_POLICY'), ('users', 'p_less', 0, 'DROP_POLICY'),
-            ('users', 'p_less', 1, 'CREATE_POLICY'), ('users', 'p_gone', 0, 'DROP_POLICY'), ('users', 'p_new', 0, 'CREATE_POLICY')) AS t(tbl, name, seq, change_type)""",
-    "diff_grants": """
-        SELECT * FROM (VALUES ('table', 'orders', 'app', 'GRANT', 'UPDATE'), ('table', 'orders', 'app', 'REVOKE', 'DELETE'), ('table', 'orders', 'report', 'REVOKE', 'SELECT'),
-            ('sequence', 'invoice_no', 'app', 'GRANT', 'USAGE')) AS t(kind, obj, grantee, change_type, privileges)""",
+            ELSE ['DROP_VIEW', 'CREATE_VIEW'] || CASE WHEN b.materialised THEN ['REFRESH_MATVIEW'] ELSE [] END END AS steps FROM a FULL OUTER JOIN b ON a.name = b.name)
+        SELECT name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""", a="live_views", b="desired_views"),
+    "diff_policies": generated.twin(
+        f""", l AS (SELECT * REPLACE ({ROLES} AS roles) FROM a), d AS (SELECT * REPLACE ({ROLES} AS roles) FROM b),
+        s AS (SELECT coalesce(l.tbl, d.tbl) AS tbl, coalesce(l.name, d.name) AS name, CASE WHEN l.name IS NULL THEN ['CREATE_POLICY'] WHEN d.name IS NULL THEN ['DROP_POLICY']
+            WHEN l.cmd <> d.cmd OR l.permissive <> d.permissive OR (l.using_expr <> '' AND d.using_expr = '') OR (l.check_expr <> '' AND d.check_expr = '') THEN ['DROP_POLICY', 'CREATE_POLICY']
+            WHEN l.roles <> d.roles OR l.using_expr <> d.using_expr OR l.check_expr <> d.check_expr THEN ['ALTER_POLICY'] ELSE [] END AS steps FROM l FULL OUTER JOIN d ON l.tbl = d.tbl AND l.name = d.name)
+        SELECT tbl, name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""", a="live_policies", b="desired_policies"),
+    "diff_grants": generated.twin(
+        f""", l AS (SELECT kind, obj, grantee, unnest(string_split({ALL_SQL}, ',')) AS p, grantable FROM a), d AS (SELECT kind, obj, grantee, unnest(string_split({ALL_SQL}, ',')) AS p, grantable FROM b),
+        lm AS (SELECT kind, obj, grantee, list_distinct(list(p)) AS p, bool_or(grantable) AS g FROM l GROUP BY ALL), dm AS (SELECT kind, obj, grantee, list_distinct(list(p)) AS p, bool_or(grantable) AS g FROM d GROUP BY ALL),
+        given AS (SELECT d.kind, d.obj, d.grantee, 'GRANT' AS change_type, list_filter(d.p, lambda x: (d.g AND NOT l.g) IS TRUE OR l.p IS NULL OR NOT list_contains(l.p, x)) AS p FROM dm d LEFT JOIN lm l USING (kind, obj, grantee)
+            UNION ALL SELECT l.kind, l.obj, l.grantee, 'REVOKE', list_filter(l.p, lambda x: d.p IS NULL OR NOT list_contains(d.p, x)) FROM lm l LEFT JOIN dm d USING (kind, obj, grantee) WHERE l.grantee <> 'PUBLIC')
+        SELECT kind, obj, grantee, change_type, array_to_string(list_sort(p), ',') AS privileges FROM given WHERE len(p) > 0""", a="live_grants", b="desired_grants"),
 }
