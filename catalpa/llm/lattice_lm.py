@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalpa.llm.common import gathered, text_batches
+from catalpa.llm.common import arrow_rows, col, gathered, text_batches
 from catalpa.llm.pieces import MODEL_PATH, PieceTable, load, of_one_length
 from catalpa.session import checkpoint
 
@@ -200,7 +201,7 @@ def common_words(scored: DataFrame) -> list:
 
 def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
     """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row; learn tells the training rows."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), learn.alias("learn"))
+    docs = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), learn.alias("learn"))
     counts = checkpoint(count_words(docs.select("text", "learn")))
     n_texts = docs.where("learn").count()
     known = counts.agg(F.sum("c_train").alias("n"), F.count_if(F.col("c_train") > 0).alias("v")).first()
@@ -213,31 +214,30 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(head)
     end = (model.end / LN10, base[n_texts], int(n_texts > 0))
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("learn", pa.bool_()), ("word", pa.string()), ("times", pa.int64()), ("lp0", pa.float64()), ("base0", pa.float64()), ("known0", pa.int64())])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, with what its common words come to, and rows for its other words."""
         head = shared.value
         for part in batches:
-            ids, marks, learns, names, times, lps, bases, knowns = [], [], [], [], [], [], [], []
-            for doc_id, mark, learn, text in zip(part["doc_id"], part["mark"], part["learn"], part["text"]):
+            out: dict[str, list] = {name: [] for name in kinds.names}
+            for doc_id, mark, learn, text in zip(*[part.column(c).to_pylist() for c in ("doc_id", "mark", "learn", "text")]):
                 own = words(text)
                 found = list(map(head.get, own))
                 rest = Counter([w for w, f in zip(own, found) if f is None])
                 found = [f for f in found if f is not None]
                 sums = [math.fsum(x) for x in zip(end, *found)]
-                k = 1 + len(rest)
-                ids += [doc_id] * k
-                marks += [mark] * k
-                learns += [learn] * k
-                names += [None, *rest]
-                times += [1 + len(found), *rest.values()]
-                lps += [sums[0], *[0.0] * len(rest)]
-                bases += [sums[1], *[0.0] * len(rest)]
-                knowns += [int(sums[2]), *[0] * len(rest)]
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "mark": marks, "learn": learns, "word": names, "times": times, "lp0": lps, "base0": bases, "known0": knowns})
+                k = len(rest)
+                rows = ([doc_id] * (k + 1), [mark] * (k + 1), [learn] * (k + 1), [None, *rest], [1 + len(found), *rest.values()], [sums[0], *[0.0] * k], [sums[1], *[0.0] * k], [int(sums[2]), *[0] * k])
+                for name, values in zip(out, rows):
+                    out[name] += values
+            yield arrow_rows(out, kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "learn", "text")
-    rows = text_batches(rows).mapInPandas(parts, "doc_id long, mark long, learn boolean, word string, times long, lp0 double, base0 double, known0 long")
-    met = rows.join(scored.select("word", "c_train", "lp"), "word", "left")
+    rows = text_batches(rows).mapInArrow(parts, "doc_id long, mark long, learn boolean, word string, times long, lp0 double, base0 double, known0 long")
+    # A document's own row has a key that no word is (it holds a space), another for each document, so that these rows spread over the tasks.
+    rows = rows.withColumn("key", F.coalesce("word", F.concat(F.lit("a "), F.xxhash64("doc_id", "mark").cast("string"))))
+    met = rows.join(scored.select(F.col("word").alias("key"), "c_train", "lp"), "key", "left")
     is_word = F.col("word").isNotNull()
     log_base = F.log10((F.col("c_train") + SMOOTH) / F.lit(whole))
     sums = met.groupBy("doc_id", "mark", "learn").agg(
