@@ -6,8 +6,8 @@ Pieces put together are the text, so equal roots mean equal texts (up to a 128-b
 rebuilt from it, and `edits` walks down only the branches that differ.
 
 Defined cases: null is empty text; empty text has one empty leaf, likeness 1 to another empty text and 0 to any other.
-Likeness is the Dice coefficient of the leaf hashes as multisets. "Next" goes by descending doc_id, equal ids by text, null
-ids last; a single document is its own next.
+Likeness is the Dice coefficient of the leaf hashes as multisets. "Next" goes by descending doc_id, rows of one id by a hash of
+their text, null ids last; a single document is its own next. Rows that share id and text stay in one task.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalpa.llm.common import partitions, text_batches
+from catalpa.llm.common import arrow_rows, col, hashed, partitions, text_batches
 
 MAX_PIECE = 64
 PIECE = re.compile(r"(?:[^.!?\n]{1,%d}[.!?]*|[.!?]{1,%d})[ \t]?\n?|\n" % (MAX_PIECE, MAX_PIECE))
@@ -90,36 +90,58 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def above(edges: list[int], x: Column) -> Column:
+    """How many of the edges, in descending order, are at least x; by halving, so that many edges cost little."""
+    if not edges:
+        return F.lit(0)
+    every = F.array(*[F.lit(e).cast("long") for e in edges])
+    turns = F.array(*[F.lit(2**k) for k in reversed(range(len(edges).bit_length()))])
+    return F.aggregate(turns, F.lit(0), lambda n, k: F.when(n + k > len(edges), n).when(F.try_element_at(every, n + k) >= x, n + k).otherwise(n))
+
+
+def nth(values: list, kind: str, place: Column) -> Column:
+    """The value at a place, from 0, of a list with one entry a bucket."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), place) if values else F.lit(None).cast(kind)
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, doc_id, text, halo): buckets of descending id; each also holds, as halo, the first row of the next one.
+    """(bucket, doc_id, h, text, halo): buckets of descending id; each also holds, as halo, the first row of the next one.
 
-    Texts are shuffled once. The bucket edges are quantiles of the ids; the first rows are one for each bucket.
+    Texts are shuffled once. The bucket edges are quantiles of the ids. An id (or null) that fills several buckets has its rows dealt
+    by h, a hash of the text, which is the order among rows that share an id. What the driver sees is a few numbers a bucket.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("h", hashed("text"))
     n = max(1, 2 * partitions(docs))
     cuts = rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda e: e >= F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket)
-    ids = rows.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))  # at most n + 1 rows
-    firsts = sorted((r["bucket"], r["first_id"]) for r in ids.collect())
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}  # the first bucket's row closes the circle
-    if not firsts:
-        return rows.withColumn("halo", F.lit(False)).select("bucket", "doc_id", "text", "halo")
-    target = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    top = F.create_map(*[x for b, first in firsts for x in (F.lit(b), F.lit(first).cast("long"))])
-    is_first = F.col("doc_id").eqNullSafe(top[F.col("bucket")])
-    copies = F.when(is_first, F.array(F.struct(F.col("bucket"), F.lit(False).alias("halo")), F.struct(target[F.col("bucket")].alias("bucket"), F.lit(True).alias("halo"))))
-    dealt = rows.select("doc_id", "text", F.explode(F.coalesce(copies, F.array(F.struct(F.col("bucket"), F.lit(False).alias("halo"))))).alias("at"))
-    return dealt.select("at.bucket", "doc_id", "text", "at.halo")
+    often = {int(a) for a, b in zip(cuts, cuts[1:]) if a == b}
+    cuts = sorted({int(c) for c in cuts} | {c + 1 for c in often}, reverse=True)  # an id of many rows has a bucket of its own
+    rows = rows.withColumn("band", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above(cuts, F.col("doc_id"))))
+    seen = rows.groupBy("band").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()  # at most 2 * n + 1 rows
+    share = max(1, sum(r["rows"] for r in seen) // n)
+    parts = [0] * (len(cuts) + 2)
+    for r in seen:
+        parts[r["band"]] = -(-r["rows"] // share) if r["low"] == r["high"] else 1
+    within = (F.col("h").cast("double") / 2.0**63 * nth(parts, "int", F.col("band"))).cast("int")
+    rows = rows.withColumn("bucket", nth([sum(parts[:b]) for b in range(len(parts))], "int", F.col("band")) + within)
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", (-F.col("h")).alias("h"))).alias("head")).collect()  # one row a bucket
+    heads = sorted((r["bucket"], r["head"]["doc_id"], -r["head"]["h"]) for r in heads)
+    known = {b: (doc_id, h, heads[i - 1][0]) for i, (b, doc_id, h) in enumerate(heads)}  # the first bucket's row closes the circle
+    doc_ids, hashes, targets = ([known.get(b, (None, None, None))[i] for b in range(sum(parts))] for i in range(3))
+    own = F.col("bucket")
+    is_first = F.col("doc_id").eqNullSafe(nth(doc_ids, "bigint", own)) & (F.col("h") == nth(hashes, "bigint", own))
+    here, there = F.struct(own, F.lit(False).alias("halo")), F.struct(nth(targets, "int", own).alias("bucket"), F.lit(True).alias("halo"))
+    dealt = rows.select("doc_id", "h", "text", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("at"))
+    return dealt.select("at.bucket", "doc_id", "h", "text", "at.halo")
+
+
+KINDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     rows = in_order(docs, id_col, text_col)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done = None, False  # a row waits for the one after it; done: the bucket's halo was used
 
         def answer(row, text, mark, next_text, next_mark):
@@ -128,16 +150,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return (row, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mark, own, likeness(mark, own), likeness(mark, next_mark))
 
         for part in batches:
-            out = []
-            for bucket, doc_id, text, halo in zip(part["bucket"], part["doc_id"], part["text"], part["halo"]):
+            out: dict[str, list] = {name: [] for name in KINDS.names}
+            for bucket, doc_id, text, halo in zip(*[part.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "halo")]):
                 if halo and (done or held is None):
                     continue
                 mark = fingerprint(text)
                 if held is not None and held[0] == bucket:
-                    out.append(answer(held[1], held[2], held[3], text, mark))
+                    for name, value in zip(out, answer(held[1], held[2], held[3], text, mark)):
+                        out[name].append(value)
                 held, done = (None, True) if halo else ((bucket, doc_id, text, mark), False)
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            yield arrow_rows(out, KINDS)
 
-    ordered = rows.repartitionByRange(2 * partitions(docs), "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "text")
-    return text_batches(ordered).mapInPandas(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ordered = rows.repartitionByRange(2 * partitions(docs), "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "h", "text")
+    return text_batches(ordered).mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

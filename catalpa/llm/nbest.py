@@ -7,7 +7,8 @@ smallest such gaps can take part in its n best segmentations, so A* opens only t
 text's. Units met before are kept in two generations of bounded size.
 
 Defined cases: null is empty text; empty text has no pieces and one segmentation of score 0. A text with fewer than n segmentations
-gives all it has. Equal scores keep the order of the search, which is the same on each run.
+gives all it has. Equal scores keep the order of the search, which is the same on each run. Null and repeated ids and repeated
+rows are segmented each for itself; other columns pass unchanged, whatever their type.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType
 
-from catalpa.llm.common import text_batches
+from catalpa.llm.common import col, with_made
 from catalpa.llm.pieces import MODEL_PATH, PieceTable, Vocabulary, decode, load, of_one_length, spelled, units
 
 KEEP = 200_000
@@ -238,13 +239,6 @@ class Encoder:
         return out
 
 
-def few(batches: Iterator[pd.DataFrame], rows: int = TOGETHER) -> Iterator[pd.DataFrame]:
-    """The batches in parts of so many rows, so that what is made of a part stays small."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
-
-
 def packed(ids: tuple[int, ...]) -> bytes:
     return array("i", ids).tobytes()
 
@@ -268,62 +262,57 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """(doc_id, ids, scores, alternatives): piece ids of the best segmentation, scores of the n best, and the other ones' ids."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(texts: list[str | None]) -> dict[str, list]:
         own = encoder(path, shared.value)
-        for part in few(batches):
-            found = [own.n_best(t, n, parts) for t, parts in own.ready(part["text"])]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [unpacked(f[0][1]) for f in found], "scores": [[x[0] for x in f] for f in found], "alternatives": [[unpacked(x[1]) for x in f[1:]] for f in found]})
+        found = [own.n_best(t, n, parts) for t, parts in own.ready(texts)]
+        return {"ids": [unpacked(f[0][1]) for f in found], "scores": [[x[0] for x in f] for f in found], "alternatives": [[unpacked(x[1]) for x in f[1:]] for f in found]}
 
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return text_batches(rows).mapInPandas(split, f"doc_id {kind}, ids array<int>, scores array<double>, alternatives array<array<int>>")
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    ids = ArrayType(IntegerType())
+    return with_made(rows, ["doc_id"], ["text"], split, {"ids": ids, "scores": ArrayType(DoubleType()), "alternatives": ArrayType(ids)}, TOGETHER)
 
 
 def segment_digest(docs: DataFrame, n: int = BEST, path: str = MODEL_PATH) -> DataFrame:
     """Digest of n-best segmentation: n_chars, n_pieces, scores, hashes of the ids, and whether every segmentation decodes to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(texts: list[str | None]) -> dict[str, list]:
         own = encoder(path, shared.value)
-        for part in few(batches):
-            out = []
-            for doc_id, (text, parts) in zip(part["doc_id"], own.ready(part["text"])):
-                found = own.n_best(text, n, parts)
-                # The others differ from the best in whole units only, so those are what is left to decode.
-                whole = decode(own.vocabulary, unpacked(found[0][1]).tolist()) == text
-                whole &= all(spelled(own.vocabulary, unpacked(ids).tolist()) == parts[at] for _, _, changed in found for at, ids in changed.items())
-                marks = [hashlib.sha256(ids) for _, ids, _ in found]
-                every = hashlib.sha256(b"".join(m.digest() for m in marks)).hexdigest()
-                out.append((doc_id, len(text), len(found[0][1]) // 4, len(found), [x[0] for x in found], marks[0].hexdigest(), every, whole))
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_pieces", "n_best", "scores", "ids_sha256", "n_best_sha256", "decodes"]).astype({"doc_id": "Int64"})
+        out: dict[str, list] = {c: [] for c in DIGEST}
+        for text, parts in own.ready(texts):
+            found = own.n_best(text, n, parts)
+            # The others differ from the best in whole units only, so those are what is left to decode.
+            whole = decode(own.vocabulary, unpacked(found[0][1]).tolist()) == text
+            whole &= all(spelled(own.vocabulary, unpacked(ids).tolist()) == parts[at] for _, _, changed in found for at, ids in changed.items())
+            marks = [hashlib.sha256(ids) for _, ids, _ in found]
+            every = hashlib.sha256(b"".join(m.digest() for m in marks)).hexdigest()
+            row = (len(text), len(found[0][1]) // 4, len(found), [x[0] for x in found], marks[0].hexdigest(), every, whole)
+            for c, value in zip(out, row):
+                out[c].append(value)
+        return out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text_batches(rows).mapInPandas(split, "doc_id long, n_chars long, n_pieces long, n_best int, scores array<double>, ids_sha256 string, n_best_sha256 string, decodes boolean")
+    return with_made(rows, ["doc_id"], ["text"], split, DIGEST, TOGETHER)
+
+
+DIGEST = {"n_chars": LongType(), "n_pieces": LongType(), "n_best": IntegerType(), "scores": ArrayType(DoubleType()), "ids_sha256": StringType(), "n_best_sha256": StringType(), "decodes": BooleanType()}
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
-    """docs without the text, with ids (best segmentation) and n_pieces."""
+    """docs without the text, with ids (best segmentation) and n_pieces, in place of columns so named."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(texts: list[str | None]) -> dict[str, list]:
         own = encoder(path, shared.value, KEEP_FIRST)
-        for part in few(batches, TOGETHER_FIRST):
-            ids = [unpacked(own.encode(t, parts)) for t, parts in own.ready(part[text_col])]
-            yield part.drop(columns=[text_col]).assign(ids=ids, n_pieces=[len(i) for i in ids])
+        ids = [unpacked(own.encode(t, parts)) for t, parts in own.ready(texts)]
+        return {"ids": ids, "n_pieces": [len(i) for i in ids]}
 
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "n_pieces")]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return text_batches(docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`")).mapInPandas(split, f"{kinds}ids array<int>, n_pieces long")
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in ("ids", "n_pieces")]
+    return with_made(docs, kept, [text_col], split, {"ids": ArrayType(IntegerType()), "n_pieces": LongType()}, TOGETHER_FIRST)
 
 
 def decode_rows(encoded: DataFrame, ids_col: str = "ids", path: str = MODEL_PATH) -> DataFrame:
-    """encoded without the ids, with the text they spell."""
+    """encoded without the ids, with the text they spell, in place of a column so named."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield part.drop(columns=[ids_col]).assign(text=[decode(shared.value, ids) if ids is not None else "" for ids in part[ids_col]])
-
-    kept = [f for f in encoded.schema.fields if f.name not in (ids_col, "text")]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return text_batches(encoded.select(*[f"`{f.name}`" for f in kept], f"`{ids_col}`")).mapInPandas(spell, f"{kinds}text string")
+    kept = [c for c in encoded.columns if c != ids_col and c.lower() != "text"]
+    return with_made(encoded, kept, [ids_col], lambda ids: {"text": [decode(shared.value, i) if i is not None else "" for i in ids]}, {"text": StringType()})

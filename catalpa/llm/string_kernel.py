@@ -5,27 +5,29 @@ of a learned alphabet, one code for all other letters, one for whatever lies bet
 share of common n-grams, |A & B| / sqrt(|A| |B|). Nystroem landmarks are whole texts of the training sample; one-versus-rest kernel
 ridge regression is solved in the landmarks' space, and a batch of texts is scored by two matrix products.
 
-The classifier learns from at most FIT_PER_LANG texts of each language (a hash of the id picks them); every text is scored
-whole. Defined cases: null text or text without a letter gives `und` and score 0; without any training text every language is
-`und`. Ties go to the first language in order. score is the softmax of the regression values at a fixed sharpness.
+The classifier learns from at most FIT_PER_LANG different rows of each language (a hash of id and text picks them), none
+longer than FIT_CHARS characters; every text is scored whole. Defined cases: null text or text without a letter gives `und` and score 0; without any training text every language is
+`und`. Ties go to the first language in order. score is the softmax of the regression values at a fixed sharpness. Repeated
+ids, null ids and repeated rows are scored each for itself; other columns pass unchanged, whatever their type.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from catalpa.llm.common import text_batches
+from catalpa.llm.common import col, hashed, with_made
 
 SPECTRUM = 3
 ALPHABET = 62
 CODES = ALPHABET + 2  # 0: between words, 1: any other letter
+POINTS = 0x110000
 FIT_PER_LANG = 600
+FIT_CHARS = 100_000
 LANDMARKS = 240
 RIDGE = 1e-4
 SHARPNESS = 8.0
@@ -39,13 +41,13 @@ def letters(text: str) -> np.ndarray:
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Code of each code point of the basic plane: the commonest letters have their own."""
-    counts = np.zeros(1 << 16, dtype=np.int64)
+    """Code of each code point: the commonest letters have their own."""
+    counts = np.zeros(POINTS, dtype=np.int64)
     for text in texts:
-        points = letters(text)
-        counts += np.bincount(points[points < 1 << 16], minlength=1 << 16)
-    is_letter = np.array([chr(i).isalpha() for i in range(1 << 16)])
-    table = is_letter.astype(np.int64)
+        points, times = np.unique(letters(text), return_counts=True)
+        counts[points] += times
+    is_letter = np.array([chr(i).isalpha() for i in range(POINTS)])
+    table = is_letter.astype(np.uint8)
     ranked = [i for i in np.argsort(-counts, kind="stable")[: 4 * ALPHABET] if is_letter[i] and counts[i]][:ALPHABET]
     table[ranked] = np.arange(2, 2 + len(ranked))
     return table
@@ -58,7 +60,7 @@ def has_letter(text: str | None) -> bool:
 def grams(text: str, table: np.ndarray) -> np.ndarray:
     """Distinct n-gram codes of a text, all orders apart."""
     points = letters(text)
-    codes = table[np.minimum(points, (1 << 16) - 1)]
+    codes = table[points].astype(np.int64)
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)  # one code for a run between words
     codes = codes[keep]
@@ -118,42 +120,34 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = FIT_PER_LANG) -> KernelModel | None:
-    """Fit on at most per_lang texts of each language, none over 100,000 characters; only text and language are used."""
-    short = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= 100_000))
-    ranked = Window.partitionBy("lang", "salt").orderBy("h", "id")
-    by = short.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id")).withColumn("h", F.xxhash64("id")).withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
-    few = by.withColumn("r", F.row_number().over(ranked)).where(f"r <= {4 * -(-per_lang // 64)}")  # per salt first, so that no task ranks more than a few times per_lang rows of a language
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(f"r <= {per_lang}").select("id", "h")
-    rows = short.join(F.broadcast(few.distinct()), short[id_col].cast("string") == few["id"], "left_semi").select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
-    per: dict[str, int] = {}
-    kept = []
-    for r in rows:  # repeated ids can bring more than the bound
-        per[r["lang"]] = per.get(r["lang"], 0) + 1
-        if per[r["lang"]] <= per_lang:
-            kept.append(r)
-    return fit([r["text"] for r in kept], [r["lang"] for r in kept])
+    """Fit on at most per_lang texts of each language, of at most FIT_CHARS characters; only text and language are used."""
+    rows = docs.where(col(lang_col).isNotNull() & col(text_col).rlike(r"\p{L}") & (F.length(col(text_col)) <= FIT_CHARS))
+    rows = rows.select(col(lang_col).alias("lang"), hashed(col(id_col).cast("string"), col(text_col)).alias("h"), col(text_col).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select(F.col("lang").alias("l"), (2.0**64 * per_lang / F.col("n")).alias("upto"))
+    near = rows.select("lang", "h").join(F.broadcast(sizes), F.expr("lang = l AND h < upto")).select("lang", "h").distinct()  # sizes: a row a language; equal rows count once
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(f"r <= {per_lang}").select("lang", "h")  # of about 2 * per_lang a language
+    kept = rows.join(F.broadcast(few), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text").collect()  # few: per_lang pairs a language at most
+    kept.sort(key=lambda r: (r["lang"], r["text"]))
+    spread = np.random.default_rng(0).permutation(len(kept))  # the first texts of a language become landmarks
+    return fit([kept[i]["text"] for i in spread], [kept[i]["lang"] for i in spread])
 
 
 def predict(docs: DataFrame, model: KernelModel | None, text_col: str = "text", keep_text: bool = False, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with lang_pred and score (in place of columns so named), without the text unless keep_text; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(texts: list[str | None]) -> dict[str, list]:
         model = shared.value
-        for part in batches:
-            names, scores = [UNKNOWN] * len(part), np.zeros(len(part))
-            ready = [i for i, t in enumerate(part[text_col]) if model is not None and has_letter(t)]
-            for at in range(0, len(ready), BATCH):
-                some = ready[at : at + BATCH]
-                values = model.score([part[text_col].iloc[i] for i in some]) * SHARPNESS
-                shares = np.exp(values - values.max(1, keepdims=True))
-                shares /= shares.sum(1, keepdims=True)
-                for i, share in zip(some, shares):
-                    names[i], scores[i] = model.langs[int(share.argmax())], float(share.max())
-            yield (part if keep_text else part.drop(columns=[text_col])).assign(**{pred_col: names, score_col: scores})
-
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, pred_col, score_col)]
-    kept += [f for f in docs.schema.fields if f.name == text_col]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept if keep_text or f.name != text_col)
-    return text_batches(docs.select(*[f"`{f.name}`" for f in kept])).mapInPandas(label, f"{kinds}`{pred_col}` string, `{score_col}` double")
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        ready = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+        for at in range(0, len(ready), BATCH):
+            some = ready[at : at + BATCH]
+            values = model.score([texts[i] for i in some]) * SHARPNESS
+            shares = np.exp(values - values.max(1, keepdims=True))
+            shares /= shares.sum(1, keepdims=True)
+            for i, share in zip(some, shares):
+                names[i], scores[i] = model.langs[int(share.argmax())], float(share.max())
+        return {pred_col: names, score_col: scores}
+
+    kept = [c for c in docs.columns if c.lower() not in (pred_col.lower(), score_col.lower()) and (keep_text or c != text_col)]
+    return with_made(docs, kept, [text_col], label, {pred_col: StringType(), score_col: DoubleType()})

@@ -5,25 +5,26 @@ loss l, the risk is  pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]);  while t
 round, as the non-negative estimator asks. The ensemble's members differ in their share of U; their margins are averaged.
 
 Features are the presence of words (runs of letters, lower-cased) and of stems, chosen by how much commoner they are in P than in U.
-The classifiers learn from at most MAX_POSITIVE toxic and MAX_UNLABELLED other texts, picked by a hash of the id; the prior is
+The classifiers learn from at most MAX_POSITIVE toxic and MAX_UNLABELLED other rows, picked by a hash of the row; the prior is
 the toxic share of all labelled rows allowed for learning. Every text is scored whole.
 
 Defined cases: null is empty text, scored like any other (the classifiers' offsets alone). Without a toxic text to learn
-from every score is 0. Repeated label rows of an id count once, as toxic if any of them is.
+from every score is 0. Repeated label rows of an id count once, as toxic if any of them is; rows that share an id share its
+label; equal rows count once in the samples. A row without an id is scored and can be unlabelled text, never toxic text to
+learn from. Other columns pass unchanged, whatever their type.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
-from catalpa.llm.common import text_batches
+from catalpa.llm.common import chosen, col, hashed, with_made
 from catalpa.session import checkpoint
 
 MAX_POSITIVE = 4000
@@ -112,13 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     if prior is None:
         prior = marked.agg(F.avg("toxic")).first()[0] or 0.0
-    ranked = F.xxhash64(F.col(id_col).cast("string"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(id_col)
-    toxic = ids.join(marked.where("toxic = 1"), id_col, "left_semi").orderBy(ranked, id_col).limit(MAX_POSITIVE).select(id_col, F.lit(True).alias("is_p"))
-    other = ids.orderBy(ranked, id_col).limit(MAX_UNLABELLED).select(id_col, F.lit(False).alias("is_p"))
-    few = toxic.unionByName(other).distinct()  # MAX_POSITIVE + MAX_UNLABELLED rows at most
-    rows = docs.select(id_col, text_col).join(F.broadcast(few), id_col).select("is_p", F.col(text_col).alias("text"))
-    packed = text_batches(rows).mapInPandas(distinct_words, "is_p boolean, words array<string>")
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("h", hashed("id", "text"))
+    toxic = rows.select("id", "h").join(marked.where("toxic = 1").select(col(id_col).alias("id")), "id", "left_semi").select("h")
+    few = F.broadcast(chosen(checkpoint(toxic), MAX_POSITIVE).withColumn("is_p", F.lit(True)).unionByName(chosen(rows.select("h"), MAX_UNLABELLED).withColumn("is_p", F.lit(False))))  # so many longs at most
+    sample = rows.join(few, "h").dropDuplicates(["h", "is_p"]).select("is_p", "text")
+    packed = with_made(sample, ["is_p"], ["text"], lambda texts: {"words": [sorted(words(t)) for t in texts]}, {"words": ArrayType(StringType())})
     packed = checkpoint(packed.where("NOT is_p").unionByName(packed.where("is_p").dropDuplicates(["words"])))  # copies of a toxic text count once
     sizes = packed.agg(F.count_if("is_p").alias("p"), F.count_if(~F.col("is_p")).alias("u")).first()
     if not sizes["p"] or not sizes["u"]:
@@ -129,32 +128,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     features = choose_features([tuple(r) for r in commoner.collect()], sizes["p"], sizes["u"])
     column = packed.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(features)})
 
-    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield pd.DataFrame({"is_p": part["is_p"], "at": [sorted(column.value[w] for w in own if w in column.value) for own in part["words"]]})
+    def columns(texts: list[list[str]]) -> dict[str, list]:
+        return {"at": [sorted(column.value[w] for w in own if w in column.value) for own in texts]}
 
-    held = packed.mapInPandas(columns, "is_p boolean, at array<int>").collect()
+    held = with_made(packed, ["is_p"], ["words"], columns, {"at": ArrayType(IntegerType())}).collect()  # MAX_POSITIVE + MAX_UNLABELLED rows at most
     sides = {flag: sorted(list(r["at"]) for r in held if r["is_p"] == flag) for flag in (True, False)}
     spread = np.random.default_rng(0).permutation(len(sides[False]))  # members get shares alike, the same on each run
     return fit(sides[True], [sides[False][i] for i in spread], features, prior)
 
 
-def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words and stems of each text, in order."""
-    for part in batches:
-        yield pd.DataFrame({"is_p": part["is_p"], "words": [sorted(words(t)) for t in part["text"]]})
-
-
 def score(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") -> DataFrame:
-    """docs without the text, with score; one pass, no shuffle."""
+    """docs without the text, with score (in place of a column so named); one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(texts: list[str | None]) -> dict[str, list]:
         model = shared.value
-        for part in batches:
-            scores = [model.score(t) if model else 0.0 for t in part[text_col]]
-            yield part.drop(columns=[text_col]).assign(score=np.array(scores, dtype=float))
+        return {"score": [model.score(t) if model else 0.0 for t in texts]}
 
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "score")]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return text_batches(docs.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`")).mapInPandas(judge, f"{kinds}score double")
+    kept = [c for c in docs.columns if c != text_col and c.lower() != "score"]
+    return with_made(docs, kept, [text_col], judge, {"score": DoubleType()})
