@@ -46,9 +46,30 @@ def foreign_key_report(name: str, child: DataFrame, parent: DataFrame, fk: str,
     )
 
 
-def check_violations(df: DataFrame, name: str, passes: Column) -> DataFrame:
-    """One row: how many rows fail; a check that is null passes, as in SQL."""
-    return df.agg(F.lit(name).alias("constraint_name"), F.count("*").alias("rows_checked"), F.count_if(~passes).alias("violations"))
+def foreign_key_reports(constraints: list[tuple[str, DataFrame, list[tuple[str, str, DataFrame, str]]]]) -> DataFrame:
+    """foreign_key_report of many constraints, (child's name, child, [(name, fk, parent, pk)]): each child is read once, and one join serves all.
+
+    Keys are compared as longs. A key that holds many rows is counted before it is shuffled.
+    """
+    sides, parents, names = [], [], []
+    for _, child, own in constraints:
+        each = F.explode(F.array(*[F.struct(F.lit(name).alias("constraint_name"), F.col(fk).cast("long").alias("k")) for name, fk, _, _ in own]))
+        sides.append(child.select(each.alias("x")).select("x.*"))
+        parents += [parent.select(F.lit(name).alias("constraint_name"), F.col(pk).cast("long").alias("k")) for name, _, parent, pk in own]
+        names += [(name,) for name, _, _, _ in own]
+    counted = reduce(DataFrame.unionByName, sides).groupBy("constraint_name", "k").agg(F.count("*").alias("n"))
+    known = reduce(DataFrame.unionByName, parents).distinct().withColumn("has", F.lit(True))
+    met = counted.join(known, ["constraint_name", "k"], "left")
+    sums = met.groupBy("constraint_name").agg(F.sum("n").alias("rows_checked"), F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("null_keys"), F.sum(F.when(F.col("k").isNotNull() & F.col("has").isNull(), F.col("n"))).alias("orphans"))
+    every = sums.sparkSession.createDataFrame(names, "constraint_name string")
+    return every.join(sums, "constraint_name", "left").select("constraint_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_checked", "null_keys", "orphans")])
+
+
+def check_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule: how many rows fail, from one pass; a check that is null passes, as in SQL."""
+    counts = df.agg(F.count("*").alias("n"), *[F.count_if(~passes).alias(f"v{i}") for i, passes in enumerate(rules.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("constraint_name"), F.col("n").alias("rows_checked"), F.col(f"v{i}").alias("violations")) for i, name in enumerate(rules)])
+    return counts.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def not_null_report(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,8 +120,10 @@ def outside_bounds(df: DataFrame, route: Column, partition: str) -> DataFrame:
 
 
 def fk_summary(spark, sf_dir: str) -> DataFrame:
-    reports = [foreign_key_report(name, table(spark, sf_dir, child), table(spark, sf_dir, parent), fk, pk) for name, child, fk, parent, pk in FOREIGN_KEYS]
-    return reduce(DataFrame.unionByName, reports)
+    children: dict[str, list] = {}
+    for name, child, fk, parent, pk in FOREIGN_KEYS:
+        children.setdefault(child, []).append((name, fk, table(spark, sf_dir, parent), pk))
+    return foreign_key_reports([(child, table(spark, sf_dir, child), own) for child, own in children.items()])
 
 
 def fk_orphans(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +150,10 @@ CHECKS = (
 
 
 def checks(spark, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [check_violations(table(spark, sf_dir, t), name, F.expr(rule)) for name, t, rule in CHECKS])
+    by_table: dict[str, dict[str, Column]] = {}
+    for name, t, rule in CHECKS:
+        by_table.setdefault(t, {})[name] = F.expr(rule)
+    return reduce(DataFrame.unionByName, [check_violations(table(spark, sf_dir, t), rules) for t, rules in by_table.items()])
 
 
 def not_null_scan(spark, sf_dir: str) -> DataFrame:
