@@ -5,11 +5,12 @@ entropy to one copy each, sum(r log r - r), under a token constraint for each so
 MAX_COPIES. The dual is convex with one multiplier a source: r = min(MAX_COPIES, exp(multiplier * size)). Newton steps, kept inside a
 bracket, solve it over (source, size) cells: documents of one source and size have the same rate, so cells hold all that the
 gradient needs. Rates are rounded into whole copies cell by cell, along the sizes of a source; a few single swaps then bring
-each source's words nearer its target. Within a cell a hash of the document picks who gets the extra copy.
+each source's words nearer its target. Within a cell a hash of id and text picks who gets the extra copy; of rows that share
+both just as many get it as are missing, so targets are met with null and repeated ids too.
 
 Only DataFrame operations are used. Defined cases: null text has size 0, an empty document is taken 0 words and
-kept once; a null source is a source of its own, last in order; a source without words has target 0. Rows that share an id
-share their number of copies. No rows give no rows.
+kept once; a null source is a source of its own, last in order; a source without words has target 0. Rows that share id and text
+may differ by one copy, but as a table the result is the same on each run. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import col, fresh, hashed
 from catalpa.session import checkpoint
 
 MAX_COPIES = 3
@@ -24,7 +26,7 @@ WEIGHTS = (1, 2, 3)
 STEPS = 60
 SOLVED = 1e-9
 SWAPS = 6
-CELL_BUCKET = 1000
+CELL_BUCKET = 100_000
 BROADCAST_CELLS = 200_000
 
 
@@ -111,50 +113,78 @@ def copies_by_cell(cells: DataFrame, solved: DataFrame) -> DataFrame:
     return rounded
 
 
-def thresholds(light: DataFrame, rounded: DataFrame) -> DataFrame:
-    """rounded with each (all documents get so many copies) and cut: hashes up to it get one more.
+def thresholds(classes: DataFrame, rounded: DataFrame) -> DataFrame:
+    """rounded with each (all documents get so many copies), cut (hashes below it get one more) and odd (so many of the hash cut do).
 
-    cut is the k-th smallest hash of the cell, k = total mod n, found in two steps: the hashes are dealt by value into buckets
-    of about CELL_BUCKET rows, counted, and only the bucket that holds the k-th is ranked.
+    classes: (source, size, hash, c), rows counted by hash. cut is the k-th smallest hash of the cell, k = total mod n, found in two steps: the
+    hashes are dealt by value into buckets of about sqrt(n), at most CELL_BUCKET rows, counted, and only the bucket that holds the k-th is ranked.
     """
-    cells = rounded.withColumn("more", F.col("total") % F.col("n")).withColumn("buckets", F.ceil(F.col("n") / CELL_BUCKET))
+    cells = rounded.withColumn("more", F.col("total") % F.col("n")).withColumn("buckets", F.ceil(F.greatest(F.sqrt("n"), F.col("n") / CELL_BUCKET)))
     asked = cells.where("more > 0").select(F.col("source").alias("s"), F.col("size").alias("z"), "more", "buckets")
     place = (F.col("hash").cast("double") / 2.0**63 * F.col("buckets")).cast("long")
-    rows = light.join(asked, F.expr("source <=> s AND size = z")).select("source", "size", "hash", "more", place.alias("bucket"))
-    counts = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("c"), F.first("more").alias("more"))
-    upto = Window.partitionBy("source", "size").orderBy("bucket")  # one row for each CELL_BUCKET documents
+    rows = classes.join(asked, F.expr("source <=> s AND size = z")).select("source", "size", "hash", "c", "more", place.alias("bucket"))
+    counts = rows.groupBy("source", "size", "bucket").agg(F.sum("c").alias("c"), F.first("more").alias("more"))
+    upto = Window.partitionBy("source", "size").orderBy("bucket")  # a row for each bucket
     held = counts.withColumn("upto", F.sum("c").over(upto)).where("upto >= more AND upto - c < more")
     held = held.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), (F.col("more") - F.col("upto") + F.col("c")).alias("k"))
-    near = rows.join(held, F.expr("source <=> s AND size = z AND bucket = b")).select("source", "size", "hash", "k")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("hash")))
-    cuts = ranked.where("rank = k").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("hash").alias("cut"))
+    near = rows.join(held, F.expr("source <=> s AND size = z AND bucket = b")).select("source", "size", "hash", "c", "k")
+    ranked = near.withColumn("upto", F.sum("c").over(Window.partitionBy("source", "size").orderBy("hash")))  # the rows of one bucket
+    cuts = ranked.where("upto >= k AND upto - c < k").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("hash").alias("cut"), (F.col("k") - F.col("upto") + F.col("c")).alias("odd"), F.col("c").alias("alike"))
     each = F.floor(F.col("total") / F.col("n")).alias("each")
-    return cells.join(cuts, F.expr("source <=> s AND size = z"), "left").select("source", "size", "source_size", "target", each, "cut")
+    return cells.join(cuts, F.expr("source <=> s AND size = z"), "left").select("source", "size", "source_size", "target", each, "cut", "odd", "alike")
 
 
-def planned(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies."""
-    marked = docs.withColumns({"__source": F.col(source_col), "__size": words(F.col(text_col)), "__hash": F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1)})
-    light = checkpoint(marked.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__hash").alias("hash")))
-    cells = checkpoint(light.groupBy("source", "size").agg(F.count("*").alias("n")))
+def numbered(rows: DataFrame, names: list[str], own: list[str]) -> DataFrame:
+    """rows with a number (the first name of own) from 1 among the rows alike in the columns names.
+
+    Rows alike are numbered task by task, and each task's numbers go on where those of the tasks before it end.
+    """
+    number, part, p, offset, *renamed = own
+    rows = checkpoint(rows.withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(*names).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    sizes = rows.groupBy(*names, part).agg(F.count("*").alias(number))
+    offsets = sizes.select(*[F.col(n).alias(k) for n, k in zip(names, renamed)], F.col(part).alias(p), F.coalesce(F.sum(number).over(before), F.lit(0)).alias(offset))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(*names, part).orderBy(F.lit(1))))
+    joined = rows.join(offsets, [*[F.col(n).eqNullSafe(F.col(k)) for n, k in zip(names, renamed)], F.col(part) == F.col(p)])
+    return joined.withColumn(number, F.col(number) + F.col(offset)).drop(*renamed, p, offset, part)
+
+
+def planned(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of size, source_size, target and copies, and the names these have."""
+    own = fresh(docs.columns, "size", "source_size", "target", "copies", "hash", "source", "s", "z", "each", "cut", "odd", "alike", "number", "part", "p", "offset", "k0", "k1", "k2")
+    size, source_size, target, copies, h, source, s, z, each, cut, odd, alike, number = own[:13]
+    marked = docs.withColumns({source: col(source_col), size: words(col(text_col)), h: hashed(col(id_col).cast("string"), F.coalesce(col(text_col), F.lit("")))})
+    light = marked.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(h).alias("hash"))
+    classes = checkpoint(light.groupBy("source", "size", "hash").agg(F.count("*").alias("c")))
+    cells = checkpoint(classes.groupBy("source", "size").agg(F.sum("c").alias("n")))
     goals = targets(cells).withColumnRenamed("source", "goal_source")
-    plan = checkpoint(thresholds(light, copies_by_cell(cells, solve(cells, goals))))
-    plan = plan.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("each").alias("__each"), F.col("cut").alias("__cut"))
+    plan = checkpoint(thresholds(classes, copies_by_cell(cells, solve(cells, goals))))
+    tied = not plan.where("odd < alike").isEmpty()
+    renamed = {"source": s, "size": z, "source_size": source_size, "target": target, "each": each, "cut": cut, "odd": odd, "alike": alike}
+    plan = plan.select(*[F.col(k).alias(v) for k, v in renamed.items()])
     if cells.count() <= BROADCAST_CELLS:
         plan = F.broadcast(plan)
-    copies = F.col("__each") + F.coalesce((F.col("__hash") <= F.col("__cut")).cast("long"), F.lit(0))
-    return marked.join(plan, F.expr("__source <=> __s AND __size = __z")).withColumn("__copies", F.when(F.col("__size") == 0, 1).otherwise(copies).cast("long"))
+    rows = marked.join(plan, F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(z))).drop(s, z)
+    extra = F.coalesce((F.col(h) < F.col(cut)).cast("long"), F.lit(0))
+    some = F.coalesce((F.col(h) == F.col(cut)) & (F.col(odd) < F.col(alike)), F.lit(False))
+    whole = rows.where(~some) if tied else rows
+    whole = whole.withColumn(copies, F.col(each) + extra + F.coalesce((F.col(h) == F.col(cut)).cast("long"), F.lit(0)))
+    if tied:  # rows of one id and text of which some get one more copy
+        few = numbered(rows.where(some), [source, size, h], own[12:])
+        whole = whole.unionByName(few.withColumn(copies, F.col(each) + (F.col(number) <= F.col(odd)).cast("long")).drop(number))
+    return whole.withColumn(copies, F.when(F.col(size) == 0, 1).otherwise(F.col(copies)).cast("long")), {"size": size, "source_size": source_size, "target": target, "copies": copies}
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every row of docs with size, source_size, target, copies and taken (copies times size), in place of columns so named."""
-    made = {"size": "__size", "source_size": "__source_size", "target": "__target", "copies": "__copies"}
-    given = [f"`{c}`" for c in docs.columns if c not in made and c != "taken"]
-    rows = planned(docs, id_col, source_col, text_col)
-    return rows.select(*given, *[F.col(v).alias(k) for k, v in made.items()], (F.col("__copies") * F.col("__size")).alias("taken"))
+    rows, made = planned(docs, id_col, source_col, text_col)
+    given = [col(c) for c in docs.columns if c.lower() not in (*made, "taken")]
+    return rows.select(*given, *[F.col(v).alias(k) for k, v in made.items()], (F.col(made["copies"]) * F.col(made["size"])).alias("taken"))
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every row of docs as often as the mix takes it."""
-    rows = planned(docs, id_col, source_col, text_col).withColumn("__each", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    rows, made = planned(docs, id_col, source_col, text_col)
+    (turn,) = fresh(rows.columns, "turn")
+    rows = rows.withColumn(turn, F.explode(F.array_repeat(F.lit(1), F.col(made["copies"]).cast("int"))))
+    return rows.select(*[col(c) for c in docs.columns])
