@@ -159,6 +159,41 @@ def led_by_key(keys: DataFrame, indexes: DataFrame) -> DataFrame:
     return keys.join(lead, at, "left").withColumn("led", F.coalesce("led", F.lit(False)))
 
 
+#: The least and greatest numbers of the types that a sequence can have.
+LIMITS = {"smallint": (-(2**15), 2**15 - 1), "integer": (-(2**31), 2**31 - 1), "bigint": (-(2**63), 2**63 - 1)}
+
+
+def filled_sequence(s: DataFrame) -> DataFrame:
+    """Sequences with what isn't said filled in: steps of 1, a cache of 1, and the limits of the type on the side the steps go to, 1 or -1 on the other."""
+    kind = sqltypes.normalize_type(F.when(F.col("data_type") == "", "bigint").otherwise(F.col("data_type")))
+    limits = F.coalesce(*[F.create_map(*[x for name, (low, high) in LIMITS.items() for x in (F.lit(name), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))])[k] for k in (kind, F.lit("bigint"))])
+    s = s.withColumn("step", F.when(F.col("step") == 0, 1).otherwise(F.col("step")))
+    up = F.col("step") > 0
+    return s.withColumns({"low": F.coalesce("low", F.when(up, F.lit(1)).otherwise(limits["low"])), "high": F.coalesce("high", F.when(up, limits["high"]).otherwise(F.lit(-1))), "cache": F.greatest("cache", F.lit(1))})
+
+
+def sequence_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
+    """Sequences (name, data_type, step, low, high, cache, cycle, owner_tbl, owner_col, implicit, unmanaged).
+
+    A serial column's own (implicit) sequence comes and goes with its table; one with an owner is given to it by a further step; where a sequence starts and
+    its type are no difference; an unmanaged one isn't dropped.
+    """
+    key = scoped(live, "name")
+    both = paired(filled_sequence(live), filled_sequence(desired), key)
+    a, b = F.col("live"), F.col("desired")
+    differs = F.lit(False)
+    for c in ("step", "low", "high", "cache", "cycle", "owner_tbl", "owner_col"):
+        differs |= ~a[c].eqNullSafe(b[c])
+    owned = (b["owner_tbl"] != "") & (b["owner_col"] != "")
+    acts = (
+        F.when(added(), F.when(b["implicit"], no_acts()).when(owned, F.array(act("CREATE_SEQUENCE"), act("ALTER_SEQUENCE"))).otherwise(F.array(act("CREATE_SEQUENCE"))))
+        .when(removed(), F.when(a["implicit"] | a["unmanaged"], no_acts()).otherwise(F.array(act("DROP_SEQUENCE", True))))
+        .when(differs, F.array(act("ALTER_SEQUENCE")))
+        .otherwise(no_acts())
+    )
+    return stepped(both, key, acts)
+
+
 def implicit_sequences(sequences: DataFrame, columns: DataFrame) -> DataFrame:
     """sequences (name, owner_tbl, owner_col) with whether their owner's default draws from them: a serial column's own, not managed apart."""
     at = scoped(sequences)

@@ -63,6 +63,16 @@ def sequences_of_serials(spark, sf_dir):
     return catalog.implicit_sequences(*generated.frames(spark, sf_dir, "sequences", "defaults"))
 
 
+def diff_sequences(spark, sf_dir):
+    return catalog.sequence_changes(*generated.frames(spark, sf_dir, "live_sequences", "desired_sequences"))
+
+
+def dropped_columns_needed(spark, sf_dir):
+    """Dropped columns that objects outside the plan need."""
+    drops = changes.diff_columns(spark, sf_dir).where("change_type = 'DROP_COLUMN'").select("tbl", "col").distinct()
+    return catalog.unmanaged_dependants(drops, generated.frame(spark, sf_dir, "protected"))
+
+
 def unmanaged_dependants(spark, sf_dir):
     return catalog.unmanaged_dependants(*generated.frames(spark, sf_dir, "dropped", "protected"))
 
@@ -124,7 +134,7 @@ def role_names(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        diff_extensions, diff_ranges, diff_composites, diff_routines, diff_domains, diff_rls, diff_partitions, refused_conversions, partition_key_gaps, key_led_indexes, sequences_of_serials,
+        diff_extensions, diff_ranges, diff_composites, diff_routines, diff_domains, diff_rls, diff_partitions, refused_conversions, partition_key_gaps, key_led_indexes, sequences_of_serials, diff_sequences, dropped_columns_needed,
         unmanaged_dependants, surviving_triggers, routine_dependants, diff_replication, refused_recreates, table_rebuilds, check_deltas, roles_replayed, diff_roles, role_names,
     )
 }
@@ -187,6 +197,19 @@ ORACLES = {
         SELECT sch, tbl, name, array_to_string(lacks, ',') AS lacks FROM n WHERE len(lacks) > 0""", t="live_tables", s="unique_sets"),
     "key_led_indexes": twin(" SELECT sch, tbl, EXISTS (SELECT 1 FROM s WHERE s.sch = t.sch AND s.tbl = t.tbl AND starts_with(s.cols || ',', t.part_cols || ',')) AS led FROM t WHERE part_cols <> ''", t="live_tables", s="unique_sets"),
     "sequences_of_serials": twin(" SELECT s.sch, s.name, coalesce(contains(c.dflt, s.name), false) AS implicit FROM s LEFT JOIN c ON c.sch = s.sch AND c.tbl = s.owner_tbl AND c.col = s.owner_col", s="sequences", c="defaults"),
+    "diff_sequences": twin(
+        """, f AS (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b),
+        t AS (SELECT *, CASE WHEN step = 0 THEN 1 ELSE step END AS s, CASE WHEN data_type IN ('int4', 'integer', 'serial') THEN 31 WHEN data_type = 'smallint' THEN 15 ELSE 63 END AS bits FROM f),
+        n AS (SELECT side, name, s, coalesce(low, CASE WHEN s > 0 THEN 1 ELSE -CAST(pow(2::DOUBLE, bits) AS HUGEINT) END) AS low, coalesce(high, CASE WHEN s > 0 THEN CAST(pow(2::DOUBLE, bits) AS HUGEINT) - 1 ELSE -1 END) AS high, greatest(cache, 1) AS cache, cycle, owner_tbl, owner_col, implicit, unmanaged FROM t),
+        l AS (SELECT * EXCLUDE (side) FROM n WHERE side = 0), d AS (SELECT * EXCLUDE (side) FROM n WHERE side = 1)
+        SELECT name, CAST(0 AS INTEGER) AS seq, 'CREATE_SEQUENCE' AS change_type, false AS destructive, '' AS item FROM d ANTI JOIN l USING (name) WHERE NOT implicit
+        UNION ALL SELECT name, 1, 'ALTER_SEQUENCE', false, '' FROM d ANTI JOIN l USING (name) WHERE NOT implicit AND owner_tbl <> '' AND owner_col <> ''
+        UNION ALL SELECT name, 0, 'DROP_SEQUENCE', true, '' FROM l ANTI JOIN d USING (name) WHERE NOT implicit AND NOT unmanaged
+        UNION ALL SELECT name, 0, 'ALTER_SEQUENCE', false, '' FROM l JOIN d USING (name) WHERE (l.s, l.low, l.high, l.cache, l.cycle, l.owner_tbl, l.owner_col) <> (d.s, d.low, d.high, d.cache, d.cycle, d.owner_tbl, d.owner_col)""", a="live_sequences", b="desired_sequences"),
+    "dropped_columns_needed": changes.ORACLES["diff_columns"].replace("WITH ", "WITH every AS (WITH ", 1) + "), " + twin("", p="protected").removeprefix("WITH ") + """, d AS (SELECT DISTINCT tbl, col FROM every WHERE change_type = 'DROP_COLUMN'),
+        f AS (SELECT d.tbl, d.col, kind, obj, min(p.col) AS ref FROM d JOIN p ON d.tbl = p.tbl AND (p.col = '' OR d.col = p.col) GROUP BY ALL),
+        m AS (SELECT *, kind || ':' || obj || CASE WHEN ref <> '' THEN ' (column ' || tbl || '.' || ref || ')' ELSE '' END AS named FROM f)
+        SELECT tbl, col, string_agg(named, '; ' ORDER BY named) AS needed_by, count(*) AS objects FROM m GROUP BY tbl, col""",
     "unmanaged_dependants": twin(
         """, f AS (SELECT d.tbl, d.col, kind, obj, min(p.col) AS ref FROM d JOIN p ON d.tbl = p.tbl AND (d.col = '' OR p.col = '' OR d.col = p.col) GROUP BY ALL)
         SELECT tbl, col, string_agg(kind || ':' || obj || CASE WHEN ref <> '' THEN ' (column ' || tbl || '.' || ref || ')' ELSE '' END, '; ' ORDER BY kind || ':' || obj || CASE WHEN ref <> '' THEN ' (column ' || tbl || '.' || ref || ')' ELSE '' END) AS needed_by, count(*) AS objects FROM f GROUP BY tbl, col""", d="dropped", p="protected"),

@@ -41,9 +41,11 @@ def table_changes(live: DataFrame, desired: DataFrame, in_scope: Column) -> Data
     return both.select(*key, F.when(added(), "CREATE_TABLE").when(removed(), "DROP_TABLE").alias("change_type"), removed().alias("destructive")).where("change_type IS NOT NULL")
 
 
-def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_scope: Column) -> DataFrame:
+def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_scope: Column, expand: bool = False) -> DataFrame:
     """ADD, DROP, ALTER and RENAME of columns in tables that both sides have.
 
+    With expand a renamed column is added beside the old one, which stays until its values are copied (new_col is the old name then).
+
     A rename maps `table.column` or, less closely, `column` to a column that is new. A dropped column of the same type as an
     added one that no rename takes is a rename candidate.
     """
@@ -70,15 +72,16 @@ def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_s
     drops = mapped.where("is_new IS NULL").select(*at, "col", "norm").join(open_types, [*at, "norm"], "left")
     shape = lambda df, kind, col, new_col, destructive, candidate: df.select(*at, col.alias("col"), new_col.alias("new_col"), F.lit(kind).alias("change_type"), F.lit(destructive).alias("destructive"), no.alias("narrowed"), no.alias("generated"), candidate.alias("candidate"))
     none = F.lit(None).cast("string")
+    moves = shape(renamed, "ADD_COLUMN", F.col("new_col"), F.col("col"), False, no) if expand else shape(renamed, "RENAME_COLUMN", F.col("col"), F.col("new_col"), False, no)
     return (
-        alters.unionByName(shape(renamed, "RENAME_COLUMN", F.col("col"), F.col("new_col"), False, no))
+        alters.unionByName(moves)
         .unionByName(shape(adds, "ADD_COLUMN", F.col("new_col"), none, False, no))
         .unionByName(shape(drops, "DROP_COLUMN", F.col("col"), none, True, F.coalesce("open", no)))
     )
 
 
 def object_changes(live: DataFrame, desired: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """Changes of indexes, keys, checks, triggers, sequences and comments (kind, tbl, name): one row for each step, in order seq.
+    """Changes of indexes, keys, checks, triggers, sequences and comments (kind, tbl, name; a column's comment has its name): one row for each step, in order seq.
 
     Equal but not valid: an index is built anew, a constraint is validated; NOT VALID at its end is no difference. A check whose name is made up for its
     table, or for one of the table's live columns (tbl, col), is never dropped.
@@ -98,7 +101,7 @@ def object_changes(live: DataFrame, desired: DataFrame, columns: DataFrame | Non
     drop = F.concat(F.lit("DROP_"), what)
     made_up = (kind == "check") & sqltypes.is_made_up_check(F.col("name"), F.col("tbl"), F.col("cols"))
     steps = (
-        F.when(kind == "comment", F.when(F.coalesce(a["definition"], F.lit("")) != F.coalesce(b["definition"], F.lit("")), F.array(F.lit("COMMENT_TABLE"))))
+        F.when(kind == "comment", F.when(F.coalesce(a["definition"], F.lit("")) != F.coalesce(b["definition"], F.lit("")), F.array(F.when(F.col("name") == "", "COMMENT_TABLE").otherwise("COMMENT_COLUMN"))))
         .when(added(), F.array(create))
         .when(removed(), F.when(~made_up, F.array(drop)))
         .when((kind == "sequence") & differs, F.array(F.lit("ALTER_SEQUENCE")))
@@ -189,6 +192,29 @@ def grant_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     return rows.where("privileges <> '' AND NOT (change_type = 'REVOKE' AND grantee = 'PUBLIC')")
 
 
+def whole_tables(tables: DataFrame, objects: DataFrame) -> DataFrame:
+    """Table changes (tbl, change_type) and object changes put together: (tbl, kind, name, seq, change_type).
+
+    What stands in a dropped table goes with it, but its foreign keys are dropped before; what is new in a new table follows it.
+    """
+    gone = tables.where("change_type = 'DROP_TABLE'").select("tbl").distinct()
+    kept = objects.join(gone, "tbl", "left_anti").unionByName(objects.join(gone, "tbl", "left_semi").where("change_type = 'DROP_FK'"))
+    own = tables.select("tbl", F.lit("table").alias("kind"), F.lit("").alias("name"), F.when(F.col("change_type") == "DROP_TABLE", 1).otherwise(0).alias("seq"), "change_type")
+    return kept.select("tbl", "kind", "name", "seq", "change_type").unionByName(own)
+
+
+def diff_expand(spark, sf_dir):
+    """Renames as additions, with the old column kept."""
+    live, desired, renames = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames")
+    found = column_changes(live, desired, renames, F.lit(True), expand=True)
+    return found.where("change_type = 'ADD_COLUMN' AND new_col IS NOT NULL").select("sch", "tbl", "col", "new_col")
+
+
+def diff_whole_tables(spark, sf_dir):
+    live, desired, live_objects, desired_objects = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "live_objects", "desired_objects")
+    return whole_tables(table_changes(live.drop("sch"), desired.drop("sch"), F.lit(True)), object_changes(live_objects, desired_objects, live.drop("sch")))
+
+
 def diff_tables(spark, sf_dir):
     return table_changes(*generated.frames(spark, sf_dir, "live_columns", "desired_columns"), sqltypes.is_managed(F.col("tbl"), excludes=("t?", "t9*1")))
 
@@ -220,7 +246,7 @@ def diff_grants(spark, sf_dir):
     return grant_changes(live, desired)
 
 
-QUERIES = {f.__name__: f for f in (diff_tables, diff_columns, diff_objects, diff_enums, diff_views, diff_policies, diff_grants)}
+QUERIES = {f.__name__: f for f in (diff_tables, diff_columns, diff_objects, diff_enums, diff_views, diff_policies, diff_grants, diff_expand, diff_whole_tables)}
 
 
 def over(sql: str, **rows: samples.Rows) -> str:
@@ -251,7 +277,7 @@ ORACLES = {
     "diff_objects": generated.twin(
         f""", j AS (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.definition AS was, replace(b.definition, ' NOT VALID', '') AS wants, a.kind IS NULL AS is_new, b.kind IS NULL AS is_gone, coalesce(a.valid, true) AS was_valid
             FROM a FULL OUTER JOIN b ON a.kind = b.kind AND a.tbl = b.tbl AND a.name = b.name),
-        s AS (SELECT *, CASE WHEN kind = 'comment' THEN CASE WHEN coalesce(was, '') <> coalesce(wants, '') THEN ['COMMENT_TABLE'] ELSE [] END
+        s AS (SELECT *, CASE WHEN kind = 'comment' THEN CASE WHEN coalesce(was, '') <> coalesce(wants, '') THEN [CASE WHEN name = '' THEN 'COMMENT_TABLE' ELSE 'COMMENT_COLUMN' END] ELSE [] END
             WHEN is_new THEN [CASE WHEN kind IN ('fk', 'check') THEN 'ADD_' ELSE 'CREATE_' END || upper(kind)]
             WHEN is_gone THEN CASE WHEN kind = 'check' AND {twins.made_up_check('name', '', 'j.tbl', 'c')} THEN [] ELSE ['DROP_' || upper(kind)] END
             WHEN kind = 'sequence' AND was <> wants THEN ['ALTER_SEQUENCE']
@@ -286,3 +312,10 @@ ORACLES = {
             UNION ALL SELECT l.kind, l.obj, l.grantee, 'REVOKE', list_filter(l.p, lambda x: d.p IS NULL OR NOT list_contains(d.p, x)) FROM lm l LEFT JOIN dm d USING (kind, obj, grantee) WHERE l.grantee <> 'PUBLIC')
         SELECT kind, obj, grantee, change_type, array_to_string(list_sort(p), ',') AS privileges FROM given WHERE len(p) > 0""", a="live_grants", b="desired_grants"),
 }
+ORACLES["diff_expand"] = ORACLES["diff_columns"].replace("WITH ", "WITH every AS (WITH ", 1).replace(" AND tbl NOT LIKE 't7_'", "") + ") SELECT sch, tbl, new_col AS col, col AS new_col FROM every WHERE change_type = 'RENAME_COLUMN'"
+ORACLES["diff_whole_tables"] = (
+    "WITH every AS (" + ORACLES["diff_objects"] + "), " + generated.twin("", la="live_columns", lb="desired_columns").removeprefix("WITH ") + """,
+    gone AS (SELECT DISTINCT tbl FROM la ANTI JOIN lb USING (tbl)), fresh AS (SELECT DISTINCT tbl FROM lb ANTI JOIN la USING (tbl))
+    SELECT tbl, kind, name, seq, change_type FROM every WHERE tbl NOT IN (SELECT tbl FROM gone) OR change_type = 'DROP_FK'
+    UNION ALL SELECT tbl, 'table', '', 1, 'DROP_TABLE' FROM gone UNION ALL SELECT tbl, 'table', '', 0, 'CREATE_TABLE' FROM fresh"""
+)

@@ -28,7 +28,7 @@ TYPES = ("smallint", "int4", "bigint", "real", "float8", "text", "varchar(20)",
 LINES = "(SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, max(l_suppkey) AS u FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS x"
 PLACE = f"'s' || {text('k % 3')} AS sch, 't' || {text('k')} AS tbl"
 OBJECTS = f"""(SELECT kind, tbl, name, min(c) AS c FROM (
-    SELECT kind, tbl, c, CASE kind WHEN 'comment' THEN '' WHEN 'check' THEN CASE c % 6 WHEN 0 THEN tbl || '_check' WHEN 1 THEN tbl || '_c1_check' || {text('k')} WHEN 2 THEN tbl || 'x_check' WHEN 3 THEN tbl || '_zz_check2'
+    SELECT kind, tbl, c, CASE kind WHEN 'comment' THEN CASE WHEN c % 2 = 0 THEN '' ELSE 'c' || {text('c % 5')} END WHEN 'check' THEN CASE c % 6 WHEN 0 THEN tbl || '_check' WHEN 1 THEN tbl || '_c1_check' || {text('k')} WHEN 2 THEN tbl || 'x_check' WHEN 3 THEN tbl || '_zz_check2'
         WHEN 4 THEN tbl || '_c1' ELSE 'ck_' || {text('k')} END ELSE kind || '_' || {text('k')} END AS name
     FROM (SELECT o_orderkey AS k, o_custkey AS c, {choose('o_orderkey', ('index', 'fk', 'check', 'trigger', 'comment', 'sequence'))} AS kind, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE 't' || {text('o_orderkey % 400')} END AS tbl FROM {{orders}}) AS o) AS named
     GROUP BY kind, tbl, name) AS x"""
@@ -78,6 +78,8 @@ SQL = {
         {choose('c', ('plain', 'create function f Security Definer', 'create function f SECURITY DEFINER set search_path = a', 'grant select on t to Public', 'alter role r password ''x''', 'create publication p for all tables', 'alter publication p SET ALL TABLES'))} || ' ' || {text('k')} AS sql_text FROM {ORDERS}""",
     "tables_needing": f"SELECT c % 25 AS plan_id, 's' || {text('k % 2')} AS sch, 't' || {text('k')} AS tbl, {choose('c', ('CREATE_TABLE', 'DROP_TABLE'))} AS change_type, CASE WHEN k % 9 = 0 THEN '' ELSE 's' || {text('(k + 1) % 2')} || '.t' || {text('k + 1 - 8 * (k % 2) + (c % 3)')} END AS needs FROM {ORDERS} WHERE k <= 600",
     "roles": f"SELECT k AS seq, 'role' || {text('c % 60')} AS role, {choose('k + c', ('CREATE', 'ALTER', 'ALTER', 'DROP', 'CREATE'))} AS op, CASE WHEN k % 3 = 0 THEN 'login' ELSE '' END AS attrs, CASE WHEN k % 4 = 0 THEN 'note ' || {text('k')} ELSE '' END AS remark FROM {ORDERS}",
+    "live_sequences": f"SELECT 'q' || {text('p')} AS name, {choose('p', ('', 'int4', 'smallint', 'bigint', 'integer'))} AS data_type, CASE z % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 2 ELSE 0 END AS step, CASE WHEN z % 5 = 0 THEN CAST(z AS BIGINT) END AS low, CASE WHEN p % 6 = 0 THEN CAST(32767 AS BIGINT) END AS high, CAST(z % 3 AS BIGINT) AS cache, p % 9 = 0 AS cycle, CASE WHEN p % 4 = 0 THEN 't1' ELSE '' END AS owner_tbl, CASE WHEN p % 4 = 0 THEN 'c1' ELSE '' END AS owner_col, p % 12 = 0 AS implicit, p % 19 = 0 AS unmanaged FROM {PARTS} WHERE z % 10 <> 1",
+    "desired_sequences": f"SELECT 'q' || {text('p')} AS name, {choose('p', ('bigint', 'integer', 'smallint', '', 'serial'))} AS data_type, CASE z % 4 WHEN 0 THEN CASE WHEN p % 7 = 0 THEN 3 ELSE 0 END WHEN 1 THEN -1 WHEN 2 THEN 2 ELSE 1 END AS step, CASE WHEN z % 5 = 0 THEN CAST(z AS BIGINT) WHEN z % 4 = 0 THEN CAST(1 AS BIGINT) END AS low, CASE WHEN p % 6 = 0 AND p % 5 <> 2 THEN CAST(32767 AS BIGINT) END AS high, CAST(CASE WHEN z % 3 = 0 THEN 1 ELSE z % 3 END AS BIGINT) AS cache, (p % 9 = 0) <> (p % 31 = 0) AS cycle, CASE WHEN p % 4 = 0 THEN 't1' ELSE '' END AS owner_tbl, CASE WHEN p % 4 = 0 THEN CASE WHEN z % 6 = 0 THEN 'c2' ELSE 'c1' END ELSE '' END AS owner_col, p % 12 = 0 AS implicit, false AS unmanaged FROM {PARTS} WHERE z % 10 <> 2",
     "constraints": f"SELECT c AS rel, 'pk_' || {text('c')} AS name, {choose('c', ('1', '2,1', '3,1,2', '9'))} AS places FROM {PEOPLE}",
     "attributes": f"SELECT c AS rel, 1 AS place, 'id_' || {text('c')} AS col FROM {PEOPLE} UNION ALL SELECT c, 2, 'b' FROM {PEOPLE} WHERE a % 7 <> 0 UNION ALL SELECT c, 3, 'c' FROM {PEOPLE}",
     "view_links": f"SELECT 'v' || {text('c')} AS view_name, {choose('a', ('table', 'routine'))} AS kind, 't' || {text('a')} AS needs FROM {PEOPLE} UNION ALL SELECT 'v' || {text('c % 100')}, 'table', 't' || {text('a')} FROM {PEOPLE}",
