@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from catalpa.functions import sqltypes
 from catalpa.plans import generated
+from catalpa.session import checkpoint
 
 Snapshot = dict[str, DataFrame]
 
@@ -34,6 +35,67 @@ def told(df: DataFrame, rule: str, severity: str, item: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "tbl", item.alias("item"))
 
 
+def not_snake(name: str):
+    return lambda: ~sqltypes.is_snake_case(F.col(name))
+
+
+def is_reserved(name: str):
+    return lambda: F.lower(name).isin(*RESERVED)
+
+
+def money_as_float() -> Column:
+    kind = F.upper(F.trim("data_type"))
+    return F.lower("col").rlike("|".join(MONEY_WORDS)) & (kind.isin(*FLOAT_TYPES) | kind.startswith("FLOAT("))
+
+
+def is_boolean() -> Column:
+    return F.lower(F.trim("data_type")).isin("boolean", "bool")
+
+
+#: Rules that look at one row: (severity, [(kind of row, condition, item)]). All those of a kind are told in one pass over its rows.
+ROW_RULES = {
+    "L003": ("WARNING", [("tables", not_snake("tbl"), "tbl"), ("columns", not_snake("col"), "col"), ("indexes", not_snake("name"), "name"), ("enums", not_snake("name"), "name")]),
+    "L004": ("WARNING", [("columns", lambda: ~F.col("identity") & (F.lower("data_type").contains("serial") | F.col("dflt").contains("nextval(")), "col")]),
+    "L005": ("WARNING", [("checks", not_snake("name"), "name")]),
+    "L008": ("WARNING", [("tables", lambda: F.expr("rls AND policies = 0"), None)]),
+    "L016": ("INFO", [("tables", lambda: F.expr("NOT partition AND comment = ''"), None)]),
+    "L022": ("ERROR", [("tables", is_reserved("tbl"), None), ("columns", is_reserved("col"), "col")]),
+    "L032": ("ERROR", [("columns", money_as_float, "col")]),
+    "L033": ("WARNING", [("fks", lambda: (F.upper("on_delete") == "CASCADE") & F.exists("cols", lambda c: F.lower(c).isin(*TENANT_COLUMNS)), "name")]),
+    "L044": ("WARNING", [("columns", lambda: is_boolean() & (F.trim("dflt") == ""), "col")]),
+    "L049": ("WARNING", [("indexes", lambda: F.size("cols") > 4, "name")]),
+}
+
+
+def row_diagnostics(s: Snapshot, rules: list[str]) -> list[DataFrame]:
+    """What the row rules named say, a DataFrame for each kind of row of the snapshot."""
+    by_kind: dict[str, list[Column]] = {}
+    for rule in rules:
+        severity, parts = ROW_RULES[rule]
+        for kind, fires, item in parts:
+            told_row = F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.col(item) if item else F.lit("")).alias("item"))
+            by_kind.setdefault(kind, []).append(F.when(fires(), told_row))
+    out = []
+    for kind, tests in by_kind.items():
+        if kind in s:
+            tbl = F.col("tbl") if "tbl" in s[kind].columns else F.lit("").alias("tbl")
+            out.append(s[kind].select(tbl, F.explode(F.array_compact(F.array(*tests))).alias("d")).select("d.rule", "d.severity", "tbl", "d.item"))
+    return out
+
+
+def by_row(s: Snapshot, rule: str) -> DataFrame:
+    """What one row rule says of the kinds of rows that the snapshot has."""
+    return reduce(DataFrame.unionByName, row_diagnostics(s, [rule]))
+
+
+def float_money(s: Snapshot) -> DataFrame:
+    return by_row(s, "L032")
+
+
+def reserved(s: Snapshot) -> DataFrame:
+    return by_row(s, "L022")
+
+
 def no_key(s: Snapshot) -> DataFrame:
     return told(s["tables"].where("NOT partition").join(s["keys"], "tbl", "left_anti"), "L001", "ERROR", F.lit(""))
 
@@ -49,20 +111,6 @@ def unindexed_fk(s: Snapshot) -> DataFrame:
     return told(fks.join(leads.alias("i"), (F.col("f.tbl") == F.col("i.tbl")) & covered(F.col("f.cols"), F.col("i.lead")), "left_anti"), "L002", "WARNING", F.col("name"))
 
 
-def naming(s: Snapshot) -> DataFrame:
-    names = [s["tables"].select("tbl", F.col("tbl").alias("item")), s["columns"].select("tbl", F.col("col").alias("item")), s["indexes"].select("tbl", F.col("name").alias("item")), s["enums"].select(F.lit("").alias("tbl"), F.col("name").alias("item"))]
-    return told(reduce(DataFrame.unionByName, names).where(~sqltypes.is_snake_case(F.col("item"))), "L003", "WARNING", F.col("item"))
-
-
-def serial(s: Snapshot) -> DataFrame:
-    old = F.lower("data_type").contains("serial") | F.col("dflt").contains("nextval(")
-    return told(s["columns"].where(~F.col("identity") & old), "L004", "WARNING", F.col("col"))
-
-
-def check_naming(s: Snapshot) -> DataFrame:
-    return told(s["checks"].where(~sqltypes.is_snake_case(F.col("name"))), "L005", "WARNING", F.col("name"))
-
-
 def made_up_check(s: Snapshot) -> DataFrame:
     prefix = F.regexp_extract("name", r"^(.+)_check\d*$", 1)
     columns = s["columns"].select("tbl", F.concat_ws("_", "tbl", "col").alias("prefix")).unionByName(s["tables"].select("tbl", F.col("tbl").alias("prefix")))
@@ -99,10 +147,6 @@ def unversioned_extension(s: Snapshot) -> DataFrame:
     return told(first.where(F.trim("e.version") == "").select(F.lit("").alias("tbl"), F.col("e.name").alias("name")), "L011", "INFO", F.col("name"))
 
 
-def rls_without_policy(s: Snapshot) -> DataFrame:
-    return told(s["tables"].where("rls AND policies = 0"), "L008", "WARNING", F.lit(""))
-
-
 def lost_function(s: Snapshot) -> DataFrame:
     return told(s["triggers"].join(s["routines"], "fn", "left_anti"), "L010", "WARNING", F.col("name"))
 
@@ -113,29 +157,6 @@ def key_type(s: Snapshot) -> DataFrame:
     return told(keyed.join(s["columns"], ["tbl", "col"]).where(~base.isin(*KEY_TYPES)), "L014", "ERROR", F.col("col"))
 
 
-def no_comment(s: Snapshot) -> DataFrame:
-    return told(s["tables"].where("NOT partition AND comment = ''"), "L016", "INFO", F.lit(""))
-
-
-def reserved(s: Snapshot) -> DataFrame:
-    names = s["tables"].select("tbl", F.lit("").alias("item"), F.col("tbl").alias("word")).unionByName(s["columns"].select("tbl", F.col("col").alias("item"), F.col("col").alias("word")))
-    return told(names.where(F.lower("word").isin(*RESERVED)), "L022", "ERROR", F.col("item"))
-
-
-def float_money(s: Snapshot) -> DataFrame:
-    kind = F.upper(F.trim("data_type"))
-    return told(s["columns"].where(F.lower("col").rlike("|".join(MONEY_WORDS)) & (kind.isin(*FLOAT_TYPES) | kind.startswith("FLOAT("))), "L032", "ERROR", F.col("col"))
-
-
-def tenant_cascade(s: Snapshot) -> DataFrame:
-    tenants = F.exists("cols", lambda c: F.lower(c).isin(*TENANT_COLUMNS))
-    return told(s["fks"].where((F.upper("on_delete") == "CASCADE") & tenants), "L033", "WARNING", F.col("name"))
-
-
-def boolean_default(s: Snapshot) -> DataFrame:
-    return told(s["columns"].where(F.lower(F.trim("data_type")).isin("boolean", "bool") & (F.trim("dflt") == "")), "L044", "WARNING", F.col("col"))
-
-
 def duplicate_index(s: Snapshot) -> DataFrame:
     w = Window.partitionBy("tbl", F.array_join("cols", ","), "is_unique", "predicate").orderBy("name")
     return told(s["indexes"].where(F.size("cols") > 0).withColumn("first", F.first("name").over(w)).where("first <> name"), "L047", "ERROR", F.col("name"))
@@ -147,23 +168,21 @@ def redundant_index(s: Snapshot) -> DataFrame:
     return told(single.join(several, ["tbl", "lead"], "left_semi"), "L048", "WARNING", F.col("name"))
 
 
-def wide_index(s: Snapshot) -> DataFrame:
-    return told(s["indexes"].where(F.size("cols") > 4), "L049", "WARNING", F.col("name"))
-
-
 def boolean_lead(s: Snapshot) -> DataFrame:
-    flags = s["columns"].where(F.lower(F.trim("data_type")).isin("boolean", "bool")).select("tbl", F.lower("col").alias("lead"), F.lit(True).alias("flag")).distinct()
+    flags = s["columns"].where(is_boolean()).select("tbl", F.lower("col").alias("lead"), F.lit(True).alias("flag")).distinct()
     several = s["indexes"].where(F.size("cols") > 1).withColumn("lead", F.lower(F.col("cols")[0])).join(flags, ["tbl", "lead"], "left")
     return told(several.where(F.col("flag") | F.col("lead").isin(*FLAG_NAMES)), "L051", "WARNING", F.col("name"))
 
 
-STANDARD = {"L001": no_key, "L002": unindexed_fk, "L003": naming, "L004": serial, "L005": check_naming, "L006": duplicate_check, "L007": made_up_check, "L008": rls_without_policy, "L010": lost_function, "L011": unversioned_extension}
-EXTENDED = {"L014": key_type, "L016": no_comment, "L022": reserved, "L032": float_money, "L033": tenant_cascade, "L044": boolean_default, "L047": duplicate_index, "L048": redundant_index, "L049": wide_index, "L051": boolean_lead}
+JOIN_RULES = {"L001": no_key, "L002": unindexed_fk, "L006": duplicate_check, "L007": made_up_check, "L010": lost_function, "L011": unversioned_extension, "L014": key_type, "L047": duplicate_index, "L048": redundant_index, "L051": boolean_lead}
+#: The rules of the standard profile, and those that the strict one adds.
+STANDARD = ("L001", "L002", "L003", "L004", "L005", "L006", "L007", "L008", "L010", "L011")
+EXTENDED = ("L014", "L016", "L022", "L032", "L033", "L044", "L047", "L048", "L049", "L051")
 
 
-def lint(s: Snapshot, rules: dict = STANDARD | EXTENDED, suppressed: DataFrame | None = None) -> DataFrame:
+def lint(s: Snapshot, rules: tuple[str, ...] = STANDARD + EXTENDED, suppressed: DataFrame | None = None) -> DataFrame:
     """All diagnostics of the rules, without those in suppressed (rule, tbl; an empty tbl means everywhere)."""
-    found = reduce(DataFrame.unionByName, [rule(s) for rule in rules.values()])
+    found = reduce(DataFrame.unionByName, [*row_diagnostics(s, [r for r in rules if r in ROW_RULES]), *[JOIN_RULES[r](s) for r in rules if r in JOIN_RULES]])
     if suppressed is None:
         return found
     off = suppressed.select(F.col("rule").alias("r"), F.col("tbl").alias("t"))
@@ -174,15 +193,15 @@ def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count("*").alias("diagnostics"), F.bool_or(F.col("severity") == "ERROR").alias("has_errors"))
 
 
-PROFILES = {"standard": STANDARD, "strict": STANDARD | EXTENDED, "all": STANDARD | EXTENDED}
+PROFILES = {"standard": STANDARD, "strict": STANDARD + EXTENDED, "all": STANDARD + EXTENDED}
 
 
-def profile(name: str, disabled: tuple[str, ...] = ()) -> dict:
+def profile(name: str, disabled: tuple[str, ...] = ()) -> tuple[str, ...]:
     """The rules of a profile, by its name in any case, without those disabled."""
     if name.lower() not in PROFILES:
         raise ValueError(f"no profile {name!r}")
     off = {d.upper() for d in disabled}
-    return {rule: check for rule, check in PROFILES[name.lower()].items() if rule not in off}
+    return tuple(rule for rule in PROFILES[name.lower()] if rule not in off)
 
 
 def in_order(found: DataFrame) -> DataFrame:
@@ -194,7 +213,8 @@ KINDS = ("tables", "columns", "keys", "indexes", "fks", "checks", "triggers", "r
 
 
 def snapshot(spark, sf_dir) -> Snapshot:
-    return {kind: generated.frame(spark, sf_dir, f"lint_{kind}") for kind in KINDS}
+    found = {kind: generated.frame(spark, sf_dir, f"lint_{kind}") for kind in KINDS}
+    return found | {"columns": checkpoint(found["columns"])}  # derived by an aggregate, and read by several rules
 
 
 def suppressed(spark):
