@@ -9,6 +9,7 @@ last token, which hold one another, the best counts), seeds stay at 1. Patterns
 
 Only DataFrame operations are used. Defined cases: null text is empty; no span gives empty strings and counts of 0; offsets are code
 points, the end exclusive; a discovered span that overlaps another is dropped (base spans stay). Counts are of base spans.
+Null ids, repeated ids and repeated rows are searched each for itself; a text may hold any number of spans.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalpa.llm.common import col
 from catalpa.session import checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
@@ -76,11 +78,20 @@ def passing(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: sound(kind, s["value"]))
 
 
+SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
+SECTION = 256
+
+
 def located(text: Column, pattern: str, kind: int, hits: Column) -> Column:
-    """array<struct<kind, start, stop, value>> of all matches, from the lengths of the matches and of what lies between."""
+    """array<struct<kind, start, stop, value>> of all matches, from the lengths of the matches and of what lies between.
+
+    Places are summed up section by section, so that the work grows with the number of matches, not with its square.
+    """
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     pairs = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,stop:int,value:string>>").alias("found"))
+    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / SECTION).cast("int")), lambda i: F.slice(pairs, i * SECTION + 1, F.lit(SECTION)))
+    lengths = F.transform(sections, lambda s: F.aggregate(s, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["value"])))
+    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -88,12 +99,16 @@ def located(text: Column, pattern: str, kind: int, hits: Column) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), stop.alias("stop"), x["value"].alias("value"))
         return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
-    return F.aggregate(pairs, start, step)["found"]
+    def spans(section: Column) -> Column:
+        return F.aggregate(section["pairs"], F.struct(section["begin"].alias("at"), F.array().cast(SPAN).alias("found")), step)["found"]
+
+    placed = F.arrays_zip(sections.alias("pairs"), F.slice(begins, 1, F.size(sections)).alias("begin"))
+    return F.flatten(F.transform(placed, spans))
 
 
 def matches(text: Column, name: str, patterns: dict[str, str], gate: Column) -> Column:
     """All located matches of a kind; texts that fail the gate aren't searched."""
-    empty = F.array().cast("array<struct<kind:int,start:int,stop:int,value:string>>")
+    empty = F.array().cast(SPAN)
     pattern = patterns[name]
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(gate & text.rlike(pattern), located(text, pattern, KINDS.index(name), hits)).otherwise(empty)
@@ -152,8 +167,8 @@ def before(text: Column, start: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, mark, base, seen) of every row; seen: base spans and candidates with their patterns. mark tells texts apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = docs.select(col(id_col).alias("doc_id"), text.alias("text"))
     has_digit, has_at = F.col("text").rlike("[0-9]"), F.contains(F.col("text"), F.lit("@"))
     gates = {"email": has_at, "ip": has_digit, "card": has_digit, "phone": F.contains(F.col("text"), F.lit("+")) & has_digit}
     rows = rows.withColumn("base", F.concat(*[passing(k, matches(F.col("text"), k, PATTERNS, gates[k])) for k in KINDS]))
@@ -173,7 +188,7 @@ def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
     wanted: (pattern, cue). Tokens are put together only where the last of them is some pattern's cue.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(col(text_col), F.lit(""))
     names, cues = small(wanted.select("pattern")), small(wanted.select("cue").distinct())
     none = F.lit(None).cast("string")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, string_kernel, toxicity, url_filter
+from catalpa.llm import inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, sql_parts, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -72,6 +72,7 @@ QUERIES = {
     "op8_nbest": op8_nbest,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_url_filter": op10_url_filter,
+    **sql_parts.QUERIES,
 }
 
 ORACLES = {
@@ -103,4 +104,5 @@ ORACLES = {
         r AS (SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
         SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CAST(min(r.reach) AS BIGINT) AS component_id
         FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.g""",
+    **sql_parts.ORACLES,
 }
