@@ -267,12 +267,17 @@ def refused_recreates(live: DataFrame, desired: DataFrame) -> DataFrame:
     return both.where(~F.col("live.stamped") & (F.col("live.definition") != F.col("desired.definition"))).select("kind", "name")
 
 
-def rebuild_choice(changes: DataFrame, dropped_checks: DataFrame) -> DataFrame:
-    """For a database without ALTER COLUMN: (tbl, steps, rebuild) of column changes (tbl, change_type); anything but added or renamed columns, or a check that changes, asks for a rebuild."""
-    at = scoped(changes, "tbl")
-    by = changes.groupBy(*at).agg(F.count("*").alias("steps"), F.bool_or(~F.col("change_type").isin("ADD_COLUMN", "RENAME_COLUMN")).alias("columns"))
-    checks = dropped_checks.select("tbl").distinct().withColumn("checks", F.lit(True))
-    return by.join(checks, "tbl", "left").select(*at, "steps", (F.col("columns") | F.coalesce("checks", F.lit(False))).alias("rebuild"))
+def rebuild_choice(changes: DataFrame, deltas: DataFrame) -> DataFrame:
+    """For a database without ALTER COLUMN: (tbl, steps, rebuild) of column changes (tbl, change_type) and tables with other checks (tbl).
+
+    A table whose columns are only renamed, none added or dropped, keeps its rows as they are. Any other dropped, renamed or altered column, and any
+    check that comes, goes or changes, asks for a rebuild; added columns alone don't.
+    """
+    of = lambda kind: F.count_if(F.col("change_type") == f"{kind}_COLUMN").alias(kind)
+    by = changes.groupBy("tbl").agg(F.count("*").alias("steps"), *[of(kind) for kind in ("ADD", "DROP", "ALTER", "RENAME")])
+    both = by.join(deltas.select("tbl").distinct().withColumn("checks", F.lit(True)), "tbl", "full_outer").fillna(0).fillna(False)
+    renamed_only = (F.col("RENAME") > 0) & (F.col("ADD") == 0) & (F.col("DROP") == 0)
+    return both.select("tbl", "steps", (~renamed_only & ((F.col("DROP") + F.col("RENAME") + F.col("ALTER") > 0) | F.col("checks"))).alias("rebuild"))
 
 
 def check_delta(live: DataFrame, desired: DataFrame) -> DataFrame:

@@ -103,9 +103,7 @@ def refused_recreates(spark, sf_dir):
 
 
 def table_rebuilds(spark, sf_dir):
-    live, desired = generated.frames(spark, sf_dir, "live_objects", "desired_objects")
-    gone = changes.object_changes(live, desired).where("change_type = 'DROP_CHECK'")
-    return catalog.rebuild_choice(changes.diff_columns(spark, sf_dir), gone)
+    return catalog.rebuild_choice(changes.diff_columns(spark, sf_dir), check_deltas(spark, sf_dir))
 
 
 def check_deltas(spark, sf_dir):
@@ -225,9 +223,11 @@ ORACLES = {
         UNION ALL SELECT kind, name, 0, 'DROP_' || upper(kind), true, '' FROM l ANTI JOIN d USING (kind, name) WHERE CASE WHEN kind = 'replication_slot' THEN asked AND NOT active ELSE stamped END
         UNION ALL SELECT kind, name, 0, 'ALTER_' || upper(kind), kind = 'publication' AND NOT list_has_all(d.m, l.m), '' FROM l JOIN d USING (kind, name) WHERE stamped AND kind <> 'replication_slot' AND (l.definition <> d.definition OR l.m <> d.m)""", r="replication"),
     "refused_recreates": twin(REPLICATION + "SELECT kind, name FROM l JOIN d USING (kind, name) WHERE NOT stamped AND l.definition <> d.definition", r="replication"),
-    "table_rebuilds": changes.ORACLES["diff_columns"].replace("WITH ", "WITH all_changes AS (WITH ", 1) + f"""), {twin('', o0='live_objects', o1='desired_objects').removeprefix('WITH ')},
-        gone_checks AS (SELECT DISTINCT o0.tbl FROM o0 LEFT JOIN o1 USING (kind, tbl, name) WHERE kind = 'check' AND (o1.definition IS NULL OR replace(o1.definition, ' NOT VALID', '') <> o0.definition) AND NOT (o1.definition IS NULL AND regexp_full_match(name, tbl || '_check\\d*')))
-        SELECT sch, tbl, count(*) AS steps, bool_or(change_type NOT IN ('ADD_COLUMN', 'RENAME_COLUMN')) OR tbl IN (SELECT tbl FROM gone_checks) AS rebuild FROM all_changes GROUP BY sch, tbl""",
+    "table_rebuilds": changes.ORACLES["diff_columns"].replace("WITH ", "WITH every AS (WITH ", 1) + "), " + twin("", o0="live_objects", o1="desired_objects").removeprefix("WITH ") + """,
+        c AS (SELECT DISTINCT tbl FROM (SELECT tbl, name, definition FROM o0 WHERE kind = 'check' UNION ALL SELECT tbl, name, definition FROM o1 WHERE kind = 'check') GROUP BY tbl, name HAVING count(*) = 1 OR min(definition) <> max(definition)),
+        t AS (SELECT tbl, count(*) AS steps, list(DISTINCT change_type) AS kinds FROM every GROUP BY tbl)
+        SELECT coalesce(t.tbl, c.tbl) AS tbl, coalesce(steps, 0) AS steps, CASE WHEN list_contains(kinds, 'RENAME_COLUMN') AND NOT list_has_any(kinds, ['ADD_COLUMN', 'DROP_COLUMN']) THEN false
+            ELSE c.tbl IS NOT NULL OR coalesce(list_has_any(kinds, ['DROP_COLUMN', 'RENAME_COLUMN', 'ALTER_COLUMN']), false) END AS rebuild FROM t FULL OUTER JOIN c ON t.tbl = c.tbl""",
     "check_deltas": twin(
         """, x AS (SELECT coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.name IS NOT NULL AS was, b.name IS NOT NULL AS will FROM (SELECT * FROM a WHERE kind = 'check') a FULL OUTER JOIN (SELECT * FROM b WHERE kind = 'check') b ON a.tbl = b.tbl AND a.name = b.name WHERE a.definition IS DISTINCT FROM b.definition)
         SELECT tbl, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE was), '') AS gone, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE will), '') AS new FROM x GROUP BY tbl""", a="live_objects", b="desired_objects"),
