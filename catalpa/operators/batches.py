@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalpa.session import table
+from catalpa.session import checkpoint, table
 
 
 def keyset_page(df: DataFrame, key: list[str], cursor: tuple | None, size: int, pending: Column | None = None) -> DataFrame:
@@ -24,20 +24,20 @@ def keyset_page(df: DataFrame, key: list[str], cursor: tuple | None, size: int,
     return page.orderBy(*key).limit(size)
 
 
-def chunk_bounds(df: DataFrame, key: str, size: int, slices: int = 256) -> DataFrame:
-    """(chunk, first_key, last_key, rows) of chunks of so many rows by key.
+def chunk_bounds(df: DataFrame, key: str | list[str], size: int, slices: int | None = None) -> DataFrame:
+    """(chunk, first_key, last_key, rows) of chunks of so many rows by key; of a key of several columns the bounds are structs.
 
-    Rows are numbered in two steps, so that no task holds them all: key ranges are counted, then rows ranked within their range.
+    Rows are numbered in two steps, so that no task holds them all: they are dealt by ranges of the whole key and counted, then ranked within their
+    range. Rows of one key are numbered in one task. There are twice as many ranges as the session has shuffle partitions, if slices doesn't say.
     """
-    cuts = sorted(set(df.approxQuantile(key, [i / slices for i in range(1, slices)], 0.5 / slices)))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    placed = df.select(F.col(key).alias("k"), F.size(F.filter(edges, lambda e: e < F.col(key).cast("double"))).alias("slice"))
-    counts = placed.groupBy("slice").agg(F.count("*").alias("c"))
-    ahead = F.coalesce(F.sum("c").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each slice
-    offsets = counts.select("slice", ahead.alias("ahead"))
-    ranked = placed.join(F.broadcast(offsets), "slice").withColumn("n", F.col("ahead") + F.row_number().over(Window.partitionBy("slice").orderBy("k")))
-    chunked = ranked.withColumn("chunk", F.floor((F.col("n") - 1) / size) + 1)
-    return chunked.groupBy("chunk").agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count("*").alias("rows"))
+    slices = slices or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [key] if isinstance(key, str) else key
+    placed = checkpoint(df.select(*columns).repartitionByRange(slices, *columns).withColumn("_slice", F.spark_partition_id()))
+    counts = placed.groupBy("_slice").agg(F.count("*").alias("_rows"))
+    ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each slice
+    ranked = placed.join(F.broadcast(counts.select("_slice", ahead.alias("_ahead"))), "_slice").withColumn("_n", F.col("_ahead") + F.row_number().over(Window.partitionBy("_slice").orderBy(*columns)))
+    bound = F.col(key) if isinstance(key, str) else F.struct(*columns)
+    return ranked.groupBy((F.floor((F.col("_n") - 1) / size) + 1).alias("chunk")).agg(F.min(bound).alias("first_key"), F.max(bound).alias("last_key"), F.count("*").alias("rows"))
 
 
 def backfill(df: DataFrame, new: str, old: str) -> DataFrame:
@@ -92,6 +92,11 @@ def chunks(spark, sf_dir: str) -> DataFrame:
     return chunk_bounds(table(spark, sf_dir, "orders"), "o_orderkey", 1000)
 
 
+def chunks_composite(spark, sf_dir: str) -> DataFrame:
+    found = chunk_bounds(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], 100)
+    return found.select("chunk", *[F.col(f"{end}_key.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in ("conv_id", "turn")], "rows")
+
+
 def nullable_events(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr("CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END").alias("score"), F.expr("CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END").alias("old_score"))
 
@@ -143,6 +148,7 @@ QUERIES = {
     "keyset_page": page_single,
     "keyset_page_composite": page_composite,
     "chunk_bounds": chunks,
+    "chunk_bounds_composite": chunks_composite,
     "backfill_copy": backfill_copy,
     "backfill_progress": backfill_counts,
     "rebuild_project": rebuild_project,
@@ -159,6 +165,9 @@ ORACLES = {
     "chunk_bounds": """
         SELECT chunk, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS rows FROM (
             SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS BIGINT) AS chunk FROM orders) GROUP BY chunk""",
+    "chunk_bounds_composite": """
+        SELECT chunk, min_by(conv_id, n) AS first_conv_id, min_by(turn, n) AS first_turn, max_by(conv_id, n) AS last_conv_id, max_by(turn, n) AS last_turn, count(*) AS rows
+        FROM (SELECT *, CAST((n - 1) // 100 + 1 AS BIGINT) AS chunk FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations)) GROUP BY chunk""",
     "backfill_copy": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value WHEN event_id % 11 <> 0 THEN value END AS score FROM events",
     "backfill_progress": "SELECT count(*) FILTER (WHERE event_id % 3 = 0) AS nulls_before, count(*) FILTER (WHERE event_id % 33 = 0) AS nulls_after, count(*) AS rows FROM events",
     "rebuild_project": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(NULL AS VARCHAR) AS c_note FROM customer",
