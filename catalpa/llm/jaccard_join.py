@@ -1,6 +1,7 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Two documents link when 100 |A & B| >= percent |A | B|.
+A document's set is its distinct word shingles, as 64-bit hashes (two different shingles of one hash, should that ever be, count as
+one). Two documents link when 100 |A & B| >= percent |A | B|.
 
 1. One pass gives each document's set size and digest, and counts shingles that are met again; equal sets form classes.
 2. Sets are ordered by those counts, rare shingles first. Linked sets share a shingle among the first n - ceil(n percent / 100) + 1
@@ -13,7 +14,7 @@ A document's set is its distinct word shingles, as 64-bit hashes. Two documents
    block isn't opened. Qualifying blocks are opened and members compared exactly.
 
 All linked pairs are within a group or found in step 4, so components are exact. Nothing is capped: large groups are split into
-blocks, and many queries of a block into parts.
+blocks, many queries of a block into parts, and the documents of a shingle that very many share are dealt by a salt.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; with fewer words than a shingle has, the whole
 sequence is the only one. Rows that share an id are one node; a null id has a null component.
@@ -25,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalpa.llm.common import text_batches
+from catalpa.llm.common import arrow_rows, col, text_batches
 from catalpa.llm.components import components
 from catalpa.session import checkpoint
 
 HEAVY_LEAST = 4
 HEAVY_MOST = 300_000
 FLUSH = 1_000_000
+HOT = 2000
 LEADER_SHARE = 20
 BLOCK = 256
 PART = 256
@@ -80,18 +83,21 @@ def signed(h: np.ndarray) -> np.ndarray:
 def survey(docs: DataFrame, size: int) -> DataFrame:
     """Rows (is_doc, key, n, digest): every document with its set size and digest; shingles met again within a task, with counts."""
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("is_doc", pa.bool_()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
-        def met_again() -> pd.DataFrame:
+        def met_again() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             keep = counts > 1
-            return pd.DataFrame({"is_doc": False, "key": signed(keys[keep]), "n": counts[keep], "digest": None})
+            n = int(keep.sum())
+            return arrow_rows({"is_doc": [False] * n, "key": signed(keys[keep]), "n": counts[keep], "digest": [None] * n}, kinds)
 
         for part in batches:
-            sets = [shingles(t, size) for t in part["text"]]
+            sets = [shingles(t, size) for t in part.column("text").to_pylist()]
             marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pd.DataFrame({"is_doc": True, "key": part["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "digest": marks})
+            yield arrow_rows({"is_doc": [True] * len(sets), "key": part.column("doc_id"), "n": [len(s) for s in sets], "digest": marks}, kinds)
             held += [s for s in sets if len(s)]
             total += sum(map(len, sets))
             if total > FLUSH:
@@ -99,7 +105,7 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                 held, total = [], 0
         yield met_again()
 
-    return text_batches(docs).mapInPandas(look, "is_doc boolean, key long, n long, digest binary")
+    return text_batches(docs).mapInArrow(look, "is_doc boolean, key long, n long, digest binary")
 
 
 def common_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -118,38 +124,74 @@ def common_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.array([r["c"] for r in rows], dtype=np.int64)[order]
 
 
-def in_order(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A set from rare to common shingles, equal counts by hash."""
+def counts_of(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often each shingle was met again, 0 if it isn't common."""
     keys, counts = common
     if not len(keys):
-        return own
+        return np.zeros(len(own), dtype=np.int64)
     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    weight = np.where(keys[at] == own, counts[at], 0)
+    return np.where(keys[at] == own, counts[at], 0)
+
+
+def in_order(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set from rare to common shingles, equal counts by hash."""
+    weight = counts_of(own, common)
     return own[np.argsort(weight, kind="stable")] if weight.any() else own
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """(h, node, n, rank): the leading shingles of each document by rank; of equal sets in a task only the first."""
+    """(h, salt, node, sized): the leading shingles of each document; of equal sets in a task only the first.
+
+    salt deals the documents of a shingle met over HOT times into parts of about HOT; it is 0 for all other shingles. sized is the set's
+    size and, in the lower half, the shingle's rank: one number, as these rows are most of what is shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[bytes] = set()
         for part in batches:
-            found, nodes, sizes, ranks = [], [], [], []
+            found, salts, nodes, sized = [], [], [], []
             for node, text in zip(part["doc_id"], part["text"]):
                 own = shingles(text, size)
                 if not len(own) or (mark := xxhash.xxh3_128_digest(own.tobytes())) in met:
                     continue
                 met.add(mark)
                 first = in_order(own, shared.value)[: len(own) - needed(len(own), percent) + 1]
+                times = counts_of(first, shared.value)
                 found.append(first)
+                salts.append(np.where(times > HOT, 1 + int.from_bytes(mark[:4], "big") % (1 + times // HOT), 0).astype(np.int32))
                 nodes.append(np.full(len(first), node, dtype=np.int64))
-                sizes.append(np.full(len(first), len(own), dtype=np.int32))
-                ranks.append(np.arange(1, len(first) + 1, dtype=np.int32))
+                sized.append((len(own) << 32) + np.arange(1, len(first) + 1, dtype=np.int64))
             if found:
-                yield pd.DataFrame({"h": signed(np.concatenate(found)), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "rank": np.concatenate(ranks)})
+                yield pd.DataFrame({"h": signed(np.concatenate(found)), "salt": np.concatenate(salts), "node": np.concatenate(nodes), "sized": np.concatenate(sized)})
+
+    return text_batches(docs).mapInPandas(lead, "h long, salt int, node long, sized long")
+
+
+def size_and_rank() -> tuple[Column, Column]:
+    return F.shiftright("sized", 32).cast("int").alias("n"), F.col("sized").bitwiseAND(2**32 - 1).cast("int").alias("rank")
+
+
+def over_parts(rows: DataFrame, of: str, low: str, high: str) -> DataFrame:
+    """rows with low and high, the least and greatest value of a column among the rows of the shingle and salt."""
+    by_h = Window.partitionBy("h", "salt")
+    return rows.withColumns({low: F.min(of).over(by_h), high: F.max(of).over(by_h)})
+
+
+def over_hot(rows: DataFrame, salted: DataFrame, of: str, low: str, high: str) -> DataFrame:
+    """rows with low and high corrected for HOT shingles, whose salted rows (h and the column) are aggregated where they are."""
+    hot = checkpoint(salted.groupBy(F.col("h").alias("hot")).agg(F.min(of).alias("hot_low"), F.max(of).alias("hot_high")))
+    if hot.isEmpty():
+        return rows
+    rows = rows.join(F.broadcast(hot), F.expr("salt > 0 AND h = hot"), "left")  # HEAVY_MOST rows at most
+    return rows.withColumns({low: F.coalesce("hot_low", low), high: F.coalesce("hot_high", high)}).drop("hot", "hot_low", "hot_high")
+
 
-    return text_batches(docs).mapInPandas(lead, "h long, node long, n int, rank int")
+def beside(rows: DataFrame, key: str, sizes: DataFrame, name: str) -> DataFrame:
+    """rows with the number that sizes (key, number) has for their key, else 1; sizes, which holds none of 1, is broadcast only while it is small."""
+    known = checkpoint(sizes.select(F.col(key).alias("_key"), F.col(name).alias("_number")))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    return rows.join(known, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_number", F.lit(1))).drop("_key", "_number")
 
 
 def can_link(percent: int) -> Column:
@@ -181,8 +223,8 @@ def with_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
 
 def in_parts(ones: DataFrame, others: DataFrame) -> DataFrame:
     """(node, key, part, role, grp) of both sides (node, key, grp): the first (role true) dealt into parts of about PART, the others in each part."""
-    parts = checkpoint(ones.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts")))  # as a table of its own, so that a hot key's join can be split
-    dealt = ones.join(parts, "key").select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("role"), "grp")
+    parts = checkpoint(ones.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts")))
+    dealt = beside(ones, "key", parts.where("parts > 1"), "parts").select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("role"), "grp")
     every = others.join(parts, "key").select("node", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("role"), "grp")
     return checkpoint(dealt.unionByName(every))
 
@@ -230,14 +272,13 @@ def compare(rows: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     seen = checkpoint(survey(docs, size))
     rows = seen.where("is_doc").select(F.col("key").alias("doc_id"), "n", "digest")
     common = common_shingles(seen)
-    by_h = Window.partitionBy("h")
-    led = prefixes(docs.where("doc_id IS NOT NULL"), common, size, percent)
-    led = led.withColumns({"met": F.count("*").over(by_h), "leader": F.min("node").over(by_h)}).where("met > 1")
-    led = checkpoint(led.select("h", "node", "n", "rank", "leader"))
+    led = over_parts(prefixes(docs.where("doc_id IS NOT NULL"), common, size, percent), "node", "leader", "last")
+    led = checkpoint(led.where("leader < last OR salt > 0").drop("last")).withColumn("last", F.col("leader") + 1)
+    led = over_hot(led, led.where("salt > 0"), "node", "leader", "last").where("leader < last").select("h", "salt", "node", *size_and_rank(), "leader")
     # The leader with which a document shares most leading shingles, if they are a fair part of them; others are left to the blocks.
     votes = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
     votes = votes.where(F.col("votes") * 100 >= LEADER_SHARE * (F.col("n") * (100 - percent) / 100 + 1))
@@ -248,19 +289,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     # Token-group matrix over families, the documents with one best leader, linked or not. A block is a family, or a part of one.
     member = led.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
     member = checkpoint(member.join(pairs.withColumnRenamed("key", "family"), "node", "left").withColumn("family", F.coalesce("family", "node")))
-    weight = member.groupBy("grp").agg(F.count("*").alias("members"))
-    parts = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    member = member.join(weight, "grp").join(parts, "family").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = checkpoint(member.select("node", "grp", F.struct("members", "grp").alias("order"), F.xxhash64("family", "slot").alias("block")))
-    posting = led.select("h", "node", "n", "rank").join(placed, "node").withColumns({"low": F.min("grp").over(by_h), "high": F.max("grp").over(by_h)})
-    posting = checkpoint(posting.where("low < high").drop("low", "high"))
-    alone = placed.groupBy("block").agg((F.count("*") == 1).alias("alone"))
-    blocks = posting.groupBy("h", "block").agg(F.max("order").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("place"))
-    # Of two groups the smaller one asks, so a large group's members ask nobody.
-    met = posting.select("h", "node", "n", "rank", "order").join(blocks, "h").where(F.col("order") < F.col("top"))
+    member = beside(member, "grp", member.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1"), "members")
+    member = beside(member, "family", member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"), "parts")
+    member = member.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = member.select("node", "grp", F.struct("members", "grp").alias("order"), F.xxhash64("family", "slot").alias("block"))
+    alone = placed.groupBy("block").agg((F.count("*") == 1).alias("alone"))  # a block has about BLOCK members at most
+    placed = checkpoint(placed.join(alone, "block"))
+    # Of two groups the smaller one asks, so a large group's members ask nobody: only those below the shingle's greatest group
+    # ask, and only blocks above its least one are asked.
+    posted = led.select("h", "salt", "node", "n", "rank").join(placed, "node")
+    posting = over_hot(over_parts(posted, "order", "low", "high"), posted.where("salt > 0"), "order", "low", "high")
+    posting = checkpoint(posting.where("low < high"))
+    asking = posting.where("order < high").select("h", "node", "n", "rank", "order")
+    asked = posting.where("order > low")
+    blocks = asked.groupBy("h", "block").agg(F.max("order").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("place"), F.bool_and("alone").alias("alone"))
+    met = asking.join(blocks, "h").where(F.col("order") < F.col("top"))
     met = met.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
-    met = met.groupBy("node", "n", "block").agg(F.count("*").alias("k"), F.max("rank").alias("i"), F.max("place").alias("j"), F.min("least").alias("least"), F.max("most").alias("most"))
-    asks = met.join(alone, "block").where(can_link(percent)).select("node", F.col("block").alias("key"))
+    met = met.groupBy("node", "n", "block").agg(F.count("*").alias("k"), F.max("rank").alias("i"), F.max("place").alias("j"), F.min("least").alias("least"), F.max("most").alias("most"), F.bool_and("alone").alias("alone"))
+    asks = met.where(can_link(percent)).select("node", F.col("block").alias("key"))
     group_of = placed.select("node", "grp")
     asks = checkpoint(asks.join(group_of, "node"))
     more = checkpoint(compare(with_sets(docs, in_parts(asks, placed.select("node", F.col("block").alias("key"), "grp")), size), percent))

@@ -97,3 +97,17 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
     assert components(links.where("false")).count() == 0
+
+
+def test_hot_shingles_are_dealt_apart(make, monkeypatch):
+    """Shingles met by very many documents: their documents are dealt by salt, and no link is lost."""
+    monkeypatch.setattr(jj, "HOT", 10)
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    monkeypatch.setattr(jj, "PART", 8)
+    monkeypatch.setattr(jj, "HEAVY_LEAST", 2)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[: i % 3], f"x{i}", *base[i % 3 + 1 :]]), "en", "a") for i in range(60)]  # near copies of one text
+    rows += [(100 + i, " ".join(base[:39] + [f"y{i}"]), "en", "a") for i in range(20)]
+    rows += [(200 + i, f"quite another text number {i} of its own kind here", "en", "a") for i in range(10)]
+    rows += [(1000 + i, *r[1:]) for i, r in enumerate(near_copies(3, 4))]
+    assert answer(make(rows), 4, 85) == brute(rows, 4, 85)
