@@ -13,6 +13,8 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 #: Texts go to Python workers so many at a time.
 TEXT_ROWS = 1000
+#: What is broadcast is not larger.
+BROADCAST_BYTES = 64 * 2**20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -67,6 +69,11 @@ def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     return marked.join(F.broadcast(few), h, "left_semi").dropDuplicates([h]).drop(h)  # few: at most rows longs
 
 
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if its rows, of so many bytes each, are few and short; df should come from a checkpoint."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, sql_parts, string_kernel, toxicity, url_filter
+from catalpa.llm import decontamination, inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, sql_parts, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -61,6 +61,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontamination.digest(decontamination.decontaminate(docs, items))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_nbest": op8_nbest,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_url_filter": op10_url_filter,
+    "op11_decontamination": op11_decontamination,
     **sql_parts.QUERIES,
 }
 
@@ -104,5 +110,17 @@ ORACLES = {
         r AS (SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
         SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CAST(min(r.reach) AS BIGINT) AS component_id
         FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.g""",
+    "op11_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        n AS (SELECT item_id, w, least(len(w), 10) AS size FROM i WHERE len(w) > 0),
+        x AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM n)),
+        g AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS t
+              FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM x))),
+        h AS (SELECT DISTINCT doc_id, k, g.size, item_id FROM g JOIN x USING (size, t)),
+        p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM h) GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN l USING (doc_id)""",
     **sql_parts.ORACLES,
 }
