@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalpa.llm import decontamination, inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, sql_parts, string_kernel, toxicity, url_filter
+from catalpa.llm import centroids, decontamination, hard_negatives, inner_product, jaccard_join, lattice_lm, merkle, mixing, nbest, private_data, sql_parts, string_kernel, toxicity, url_filter
 from catalpa.llm.common import remainder
 from catalpa.session import table
 
@@ -66,6 +66,16 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(docs, items))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, ends = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, scale=256.0, width=64, salt="2:")
+    return centroids.report(found, ends)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives.mine(vectors.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -78,10 +88,40 @@ QUERIES = {
     "op9_lattice_lm": op9_lattice_lm,
     "op10_url_filter": op10_url_filter,
     "op11_decontamination": op11_decontamination,
+    "op12_centroids": op12_centroids,
+    "op13_hard_negatives": op13_hard_negatives,
     **sql_parts.QUERIES,
 }
 
+SOUND = "len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+WHOLE = "list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT))"
+NEAREST = """(SELECT rid, min({'d': d, 'c': c}) AS m FROM (
+            SELECT rid, c, CAST(list_sum(list_transform(list_zip(k.v, o.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM k, %s o) GROUP BY rid)"""
+ROUND = """
+        a{0} AS MATERIALIZED {1},
+        c{2} AS MATERIALIZED (
+            SELECT o.c, coalesce(n.v, o.v) AS v FROM c{0} o LEFT JOIN (
+                SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM (
+                    SELECT m.c AS c, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT m, unnest(v) AS x, unnest(range(1, 65)) AS place FROM a{0} JOIN k USING (rid)) GROUP BY ALL) GROUP BY c) n ON n.c = o.c),"""
 ORACLES = {
+    "op12_centroids": f"""
+        WITH k AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, {WHOLE} AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND {SOUND}),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c, v FROM k ORDER BY c LIMIT 40),
+        {"".join(ROUND.format(i, NEAREST % f"c{i}", i + 1) for i in range(5))}
+        z AS MATERIALIZED {NEAREST % "c5"}
+        SELECT vec_id, m.c AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+        FROM z JOIN k USING (rid) JOIN c5 ON c5.c = m.c""",
+    "op13_hard_negatives": f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {WHOLE} AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {SOUND}),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 3""",
     "op4_inner_product": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
