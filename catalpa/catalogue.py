@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalpa.operators import batches, integrity, ledger, lint, source_queries, typing_queries
+from catalpa.operators import batches, digests, integrity, intervals, ledger, lint, resumable, source_queries, typing_queries
 from catalpa.plans import catalog_queries, changes, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (integrity, batches, ledger, changes, catalog_queries, steps, lint, typing_queries, source_queries):
+for module in (integrity, intervals, batches, resumable, digests, ledger, changes, catalog_queries, steps, lint, typing_queries, source_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 

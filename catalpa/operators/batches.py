@@ -57,14 +57,28 @@ def rebuild(df: DataFrame, columns: dict[str, str], generated: tuple[str, ...] =
     return df.select(*[(F.col(c) if c in own else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items() if c not in generated])
 
 
-def seed_ignore(target: DataFrame, seed: DataFrame, key: list[str]) -> DataFrame:
-    """Insert seed rows whose key is new; existing rows stay."""
-    return target.unionByName(seed.join(target.select(*key), key, "left_anti").select(*target.columns))
-
-
-def seed_upsert(target: DataFrame, seed: DataFrame, key: list[str], update: list[str]) -> DataFrame:
-    """Insert seed rows whose key is new and take the update columns of the others."""
-    mine = seed.select(*key, F.lit(True).alias("__seed"), *[F.col(c).alias(f"__{c}") for c in target.columns if c not in key])
+def one_of_each(seed: DataFrame, key: list[str], order: list[str], last: bool) -> DataFrame:
+    """Of seed rows that share a key the first or last one by the order; a key that holds a null is no other's, so such rows all stay."""
+    whole = F.lit(True)
+    for c in key:
+        whole &= F.col(c).isNotNull()
+    pick = F.max if last else F.min
+    rest = [c for c in seed.columns if c not in key]
+    ordered = [c for c in order if c in rest] + [c for c in rest if c not in order]
+    kept = seed.where(whole).groupBy(*key).agg(pick(F.struct(*ordered)).alias("__r") if ordered else F.count("*").alias("__n"))
+    return kept.select(*key, *[F.col(f"__r.{c}").alias(c) for c in ordered]).select(*seed.columns).unionByName(seed.where(~whole))
+
+
+def seed_ignore(target: DataFrame, seed: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Insert seed rows whose key is new; existing rows stay. Of seed rows that share a key the first by `order`, then by all columns, is inserted."""
+    first = one_of_each(seed, key, order or [], last=False)
+    return target.unionByName(first.join(target.select(*key), key, "left_anti").select(*target.columns))
+
+
+def seed_upsert(target: DataFrame, seed: DataFrame, key: list[str], update: list[str], order: list[str] | None = None) -> DataFrame:
+    """Insert seed rows whose key is new and take the update columns of the others. Of seed rows that share a key the last by `order`, then by all columns, counts."""
+    last = one_of_each(seed, key, order or [], last=True)
+    mine = last.select(*key, F.lit(True).alias("__seed"), *[F.col(c).alias(f"__{c}") for c in target.columns if c not in key])
     both = target.withColumn("__old", F.lit(True)).join(mine, key, "full_outer")
     fresh = F.col("__old").isNull()
     columns = [F.col(c) if c in key else F.when(fresh | (F.col("__seed").isNotNull() if c in update else F.lit(False)), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in target.columns]
@@ -122,7 +136,7 @@ def rebuild_checksum(spark, sf_dir: str) -> DataFrame:
     return total(items, "before").unionByName(total(rebuild(items, kept), "after"))
 
 
-SEED = [(3, "EUROPE AND MORE"), (5, "ARCTIC"), (6, "ANTARCTIC")]
+SEED = [(3, "EUROPE AND MORE"), (5, "ARCTIC"), (6, "ANTARCTIC"), (3, "EUROPE AND LESS"), (6, "SOUTH"), (6, "SOUTH")]
 
 
 def seed_frame(spark):
@@ -175,10 +189,10 @@ ORACLES = {
         SELECT side, count(*) AS rows, CAST(sum(l_partkey) AS BIGINT) AS parts, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS quantity
         FROM lineitem, (VALUES ('before'), ('after')) AS s(side) GROUP BY side""",
     "seed_ignore": f"""
-        SELECT r_regionkey, r_name FROM region UNION ALL SELECT k, n FROM (VALUES {VALUES}) AS s(k, n) WHERE k NOT IN (SELECT r_regionkey FROM region)""",
+        SELECT r_regionkey, r_name FROM region UNION ALL SELECT k, min(n) FROM (VALUES {VALUES}) AS s(k, n) WHERE k NOT IN (SELECT r_regionkey FROM region) GROUP BY k""",
     "seed_upsert": f"""
         SELECT coalesce(k, r_regionkey) AS r_regionkey, CASE WHEN k IS NOT NULL THEN n ELSE r_name END AS r_name
-        FROM region FULL OUTER JOIN (VALUES {VALUES}) AS s(k, n) ON r_regionkey = k""",
+        FROM region FULL OUTER JOIN (SELECT k, max(n) AS n FROM (VALUES {VALUES}) AS s(k, n) GROUP BY k) ON r_regionkey = k""",
     "row_level_diff": """
         WITH d AS (
             SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_custkey AS c FROM orders WHERE o_orderkey % 10 <> 3

@@ -132,7 +132,7 @@ def folded_check(expr: Column) -> Column:
         whole = F.aggregate(F.split(rest, ""), begin, walk)["shut"] == 1  # closed once, at its end
         return F.when((rest != "") & whole, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(e)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), folded, unwrap)
+    return F.aggregate(F.sequence(F.lit(0), F.length(folded) - F.length(F.replace(folded, F.lit("("), F.lit("")))), folded, unwrap)  # at most once for each parenthesis
 
 
 def duplicate_check(s: Snapshot) -> DataFrame:
