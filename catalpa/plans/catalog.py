@@ -40,7 +40,7 @@ def range_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     """Range types (name, data_type of the bounds): another subtype means to drop and create."""
     key = scoped(live, "name")
     both = paired(live, desired, key)
-    same = sqltypes.normalize_type(F.col("live.data_type")) == sqltypes.normalize_type(F.col("desired.data_type"))
+    same = sqltypes.normalize_type(F.col("live.data_type")).eqNullSafe(sqltypes.normalize_type(F.col("desired.data_type")))
     acts = F.when(added(), F.array(act("CREATE_RANGE_TYPE"))).when(removed(), F.array(act("DROP_RANGE_TYPE", True))).when(same, no_acts()).otherwise(F.array(act("DROP_RANGE_RETYPE", True), act("CREATE_RANGE_TYPE")))
     return stepped(both, key, acts)
 
@@ -51,7 +51,7 @@ def composite_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     both = paired(live, desired, [*key, "attr"])
     w = Window.partitionBy(*key)
     both = both.withColumns({"was": F.max((~added()).cast("int")).over(w) == 1, "stays": F.max((~removed()).cast("int")).over(w) == 1, "first": F.min("attr").over(w) == F.col("attr")})
-    same = sqltypes.normalize_type(F.col("live.data_type")) == sqltypes.normalize_type(F.col("desired.data_type"))
+    same = sqltypes.normalize_type(F.col("live.data_type")).eqNullSafe(sqltypes.normalize_type(F.col("desired.data_type")))
     alter = lambda destructive: F.array(act("ALTER_COMPOSITE_TYPE", destructive, F.col("attr")))
     whole = F.when(~F.col("was"), F.array(act("CREATE_COMPOSITE_TYPE"))).otherwise(F.array(act("DROP_COMPOSITE_TYPE", True)))
     acts = F.when(F.col("was") & F.col("stays"), F.when(added(), alter(False)).when(removed(), alter(True)).when(same, no_acts()).otherwise(alter(True))).when(F.col("first"), whole).otherwise(no_acts())
@@ -76,12 +76,12 @@ def routine_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     a, b = F.col("live"), F.col("desired")
     what = lambda side: F.when(side["kind"] == "AGGREGATE", "AGGREGATE").otherwise("FUNCTION")
     drop, create = lambda note: act(F.concat(F.lit("DROP_"), what(a)), True, note), act(F.concat(F.lit("CREATE_"), what(b)))
-    signature = (a["returns"] != b["returns"]) | (a["kind"] != b["kind"]) | (a["language"] != b["language"])
+    signature = (~a["returns"].eqNullSafe(b["returns"])) | (~a["kind"].eqNullSafe(b["kind"])) | (~a["language"].eqNullSafe(b["language"]))
     acts = (
         F.when(added(), F.array(create))
         .when(removed(), F.array(drop(F.when(F.col("goes_on"), "signature").otherwise(""))))
-        .when(signature | ((a["definition"] != b["definition"]) & (b["kind"] == "AGGREGATE")), F.array(drop("signature"), create))
-        .when(a["definition"] != b["definition"], F.array(create))
+        .when(signature | ((~a["definition"].eqNullSafe(b["definition"])) & (b["kind"] == "AGGREGATE")), F.array(drop("signature"), create))
+        .when(~a["definition"].eqNullSafe(b["definition"]), F.array(create))
         .otherwise(no_acts())
     )
     return stepped(both, key, acts)
@@ -103,7 +103,7 @@ def domain_check_changes(live: DataFrame, desired: DataFrame, rebuilt: DataFrame
     live, desired = (s.where("check_name <> ''").join(stays, at, "left_semi").select(*at, "check_name", "check_expr") for s in (live, desired))
     both = paired(live, desired, [*at, "check_name"])
     drop, add = act("DROP_DOMAIN_CONSTRAINT", True, F.col("check_name")), act("ALTER_DOMAIN", False, F.col("check_name"))
-    acts = F.when(added(), F.array(add)).when(removed(), F.array(drop)).when(F.col("live.check_expr") == F.col("desired.check_expr"), no_acts()).otherwise(F.array(drop, add))
+    acts = F.when(added(), F.array(add)).when(removed(), F.array(drop)).when(F.col("live.check_expr").eqNullSafe(F.col("desired.check_expr")), no_acts()).otherwise(F.array(drop, add))
     return stepped(both, at, acts)
 
 
@@ -120,7 +120,7 @@ def refused_conversions(live: DataFrame, desired: DataFrame) -> DataFrame:
     key = scoped(live, "tbl")
     both = paired(live, desired, key).where(~added() & ~removed())
     a, b = F.col("live"), F.col("desired")
-    kind = F.when((a["strategy"] == "") != (b["strategy"] == ""), "conversion").when((a["strategy"] != b["strategy"]) | (a["part_cols"] != b["part_cols"]), "strategy or key")
+    kind = F.when((a["strategy"] == "") != (b["strategy"] == ""), "conversion").when((~a["strategy"].eqNullSafe(b["strategy"])) | (~a["part_cols"].eqNullSafe(b["part_cols"])), "strategy or key")
     return both.select(*key, kind.alias("refused")).where("refused IS NOT NULL")
 
 
@@ -136,7 +136,7 @@ def partition_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     a, b = F.col("live"), F.col("desired")
     both = both.join(with_default, [a["parent"] == F.col("d_parent"), *([F.col("sch") == F.col("d_sch")] if "sch" in key else [])], "left")
     detach, attach = act("DETACH_PARTITION", False, F.coalesce("kept", F.lit(""))), act("ATTACH_PARTITION")
-    moved = (a["parent"] != b["parent"]) | (a["bounds"] != b["bounds"])
+    moved = (~a["parent"].eqNullSafe(b["parent"])) | (~a["bounds"].eqNullSafe(b["bounds"]))
     acts = (
         F.when((a["parent"] == "") & (b["parent"] != ""), F.array(attach))
         .when((a["parent"] != "") & (b["parent"] == ""), F.array(detach))
@@ -250,7 +250,7 @@ def replication_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     both = paired(live.withColumn("members", members(F.col("members"))), desired.withColumn("members", members(F.col("members"))), key)
     a, b, what = F.col("live"), F.col("desired"), F.upper("kind")
     narrowed = (F.col("kind") == "publication") & (F.size(F.array_except(a["members"], b["members"])) > 0)
-    differs = (a["definition"] != b["definition"]) | ~sqltypes.same_set(a["members"], b["members"])
+    differs = (~a["definition"].eqNullSafe(b["definition"])) | ~sqltypes.same_set(a["members"], b["members"])
     slot = F.col("kind") == "replication_slot"
     acts = (
         F.when(added(), F.array(act(F.concat(F.lit("CREATE_"), what))))
@@ -264,7 +264,7 @@ def replication_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
 def refused_recreates(live: DataFrame, desired: DataFrame) -> DataFrame:
     """Objects that aren't stamped as the tool's own and would have to be dropped and made anew: a plan refuses them."""
     both = paired(live, desired, ["kind", "name"]).where(~added() & ~removed())
-    return both.where(~F.col("live.stamped") & (F.col("live.definition") != F.col("desired.definition"))).select("kind", "name")
+    return both.where(~F.col("live.stamped") & ~F.col("live.definition").eqNullSafe(F.col("desired.definition"))).select("kind", "name")
 
 
 def rebuild_choice(changes: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -317,6 +317,6 @@ def role_changes(live: DataFrame, desired: DataFrame, protected: tuple[str, ...]
     acts = (
         F.when(added(), F.array_compact(F.array(act("CREATE_ROLE"), remark(b["remark"] != ""))))
         .when(removed(), F.array(act("DROP_ROLE", True)))
-        .otherwise(F.array_compact(F.array(F.when(a["attrs"] != b["attrs"], act("ALTER_ROLE")), remark(a["remark"] != b["remark"]))))
+        .otherwise(F.array_compact(F.array(F.when(~a["attrs"].eqNullSafe(b["attrs"]), act("ALTER_ROLE")), remark(~a["remark"].eqNullSafe(b["remark"])))))
     )
     return stepped(both, ["role"], acts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalpa.functions import sqltypes
 from catalpa.plans import generated, samples, twins
-from catalpa.session import checkpoint
+from catalpa.session import checkpoint, small
 
 
 def scoped(df: DataFrame, *names: str) -> list[str]:
@@ -41,41 +41,49 @@ def table_changes(live: DataFrame, desired: DataFrame, in_scope: Column) -> Data
     return both.select(*key, F.when(added(), "CREATE_TABLE").when(removed(), "DROP_TABLE").alias("change_type"), removed().alias("destructive")).where("change_type IS NOT NULL")
 
 
-def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_scope: Column, expand: bool = False) -> DataFrame:
-    """ADD, DROP, ALTER and RENAME of columns in tables that both sides have.
+def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_scope: Column, expand: bool = False, partitions: DataFrame | None = None) -> DataFrame:
+    """ADD, DROP, ALTER and RENAME of columns in tables that both sides have, but for attached partitions (tbl), whose columns their parent manages.
 
-    With expand a renamed column is added beside the old one, which stays until its values are copied (new_col is the old name then).
+    With expand a renamed column is added beside the old one, which stays until its values are copied (new_col is the old name then); until then it takes nulls.
 
-    A rename maps `table.column` or, less closely, `column` to a column that is new. A dropped column of the same type as an
-    added one that no rename takes is a rename candidate.
+    A rename maps `table.column` or, less closely, `column` to a column that is new. Of the columns that map to one new column the first by name is renamed, the others are dropped.
+    An old name that is mapped more than once goes to the first new name. A dropped column of the same type as an added one that no rename takes is a rename candidate.
+    not_null tells an added or altered column that takes no nulls.
     """
     at = scoped(live, "tbl")
-    live, desired = (s.where(in_scope).withColumns({"norm": sqltypes.normalize_type(F.col("data_type")), "plain": sqltypes.normalize_default(F.col("dflt"))}) for s in (live, desired))
+    common = live.select(*at).where(in_scope).distinct().join(desired.select(*at).distinct(), at)
+    if partitions is not None:
+        common = common.join(partitions.select(*at).distinct(), at, "left_anti")
+    common = small(checkpoint(common), F.lit(64))
+    live, desired = (s.join(common, at, "left_semi").withColumns({"norm": sqltypes.normalize_type(F.col("data_type")), "plain": sqltypes.normalize_default(F.col("dflt"))}) for s in (live, desired))
     a, b = F.col("live"), F.col("desired")
-    of_table = Window.partitionBy(*at)
-    both = paired(live, desired, [*at, "col"]).withColumns({"was": F.bool_or(~added()).over(of_table), "stays": F.bool_or(~removed()).over(of_table)})
+    both = paired(live, desired, [*at, "col"])
     type_differs, null_differs, default_differs, generated_differs = (~a[f].eqNullSafe(b[f]) for f in ("norm", "nullable", "plain", "generated"))
     narrows = type_differs & sqltypes.is_narrowing(a["data_type"], b["data_type"])
-    both = checkpoint(both.where(F.col("was") & F.col("stays") & (added() | removed() | type_differs | null_differs | default_differs | generated_differs)).drop("was", "stays"))
+    both = checkpoint(both.where(added() | removed() | type_differs | null_differs | default_differs | generated_differs))
     altered = both.where(~added() & ~removed())
     no = F.lit(False)
-    alters = altered.select(*at, "col", F.lit(None).cast("string").alias("new_col"), F.lit("ALTER_COLUMN").alias("change_type"), (narrows | (a["nullable"] & ~b["nullable"])).alias("destructive"), narrows.alias("narrowed"), generated_differs.alias("generated"), no.alias("candidate"))
+    strict = F.coalesce(~b["nullable"], no)
+    alters = altered.select(*at, "col", F.lit(None).cast("string").alias("new_col"), F.lit("ALTER_COLUMN").alias("change_type"), (narrows | (a["nullable"] & ~b["nullable"])).alias("destructive"), narrows.alias("narrowed"), generated_differs.alias("generated"), no.alias("candidate"), strict.alias("not_null"))
     gone = both.where(removed()).select(*at, "col", a["norm"].alias("norm"))
-    new = both.where(added()).select(*at, F.col("col").alias("new_col"), b["norm"].alias("new_norm"))
-    close = renames.select(F.col("old_name").alias("full_name"), F.col("new_name").alias("close"))
-    loose = renames.select(F.col("old_name").alias("bare_name"), F.col("new_name").alias("loose"))
+    new = both.where(added()).select(*at, F.col("col").alias("new_col"), b["norm"].alias("new_norm"), strict.alias("strict"))
+    named = renames.groupBy("old_name").agg(F.min("new_name").alias("new_name"))
+    close = named.select(F.col("old_name").alias("full_name"), F.col("new_name").alias("close"))
+    loose = named.select(F.col("old_name").alias("bare_name"), F.col("new_name").alias("loose"))
     mapped = gone.join(close, F.concat_ws(".", "tbl", "col") == F.col("full_name"), "left").join(loose, F.col("col") == F.col("bare_name"), "left")
     mapped = mapped.withColumn("new_col", F.coalesce("close", "loose")).join(new.select(*at, "new_col", F.lit(True).alias("is_new")), [*at, "new_col"], "left")
-    renamed = mapped.where("is_new").select(*at, "col", "new_col")
+    first = F.row_number().over(Window.partitionBy(*at, "new_col", "is_new").orderBy("col")) == 1
+    mapped = mapped.withColumn("takes", F.coalesce(F.col("is_new") & first, no))
+    renamed = mapped.where("takes").select(*at, "col", "new_col")
     adds = new.join(renamed.select(*at, "new_col"), [*at, "new_col"], "left_anti")
     open_types = adds.select(*at, F.col("new_norm").alias("norm"), F.lit(True).alias("open")).distinct()
-    drops = mapped.where("is_new IS NULL").select(*at, "col", "norm").join(open_types, [*at, "norm"], "left")
-    shape = lambda df, kind, col, new_col, destructive, candidate: df.select(*at, col.alias("col"), new_col.alias("new_col"), F.lit(kind).alias("change_type"), F.lit(destructive).alias("destructive"), no.alias("narrowed"), no.alias("generated"), candidate.alias("candidate"))
+    drops = mapped.where("NOT takes").select(*at, "col", "norm").join(open_types, [*at, "norm"], "left")
+    shape = lambda df, kind, col, new_col, destructive, candidate, not_null=no: df.select(*at, col.alias("col"), new_col.alias("new_col"), F.lit(kind).alias("change_type"), F.lit(destructive).alias("destructive"), no.alias("narrowed"), no.alias("generated"), candidate.alias("candidate"), not_null.alias("not_null"))
     none = F.lit(None).cast("string")
     moves = shape(renamed, "ADD_COLUMN", F.col("new_col"), F.col("col"), False, no) if expand else shape(renamed, "RENAME_COLUMN", F.col("col"), F.col("new_col"), False, no)
     return (
         alters.unionByName(moves)
-        .unionByName(shape(adds, "ADD_COLUMN", F.col("new_col"), none, False, no))
+        .unionByName(shape(adds, "ADD_COLUMN", F.col("new_col"), none, False, no, F.col("strict")))
         .unionByName(shape(drops, "DROP_COLUMN", F.col("col"), none, True, F.coalesce("open", no)))
     )
 
@@ -138,9 +146,9 @@ def view_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     """CREATE, replaced in place where the live columns lead the desired ones, dropped and created otherwise, DROP; a materialised view is filled after."""
     both = paired(live, desired, ["name"])
     a, b = F.col("live"), F.col("desired")
-    leads = F.slice(b["cols"], 1, F.size(a["cols"])) == a["cols"]
+    leads = F.coalesce(F.slice(b["cols"], 1, F.size(a["cols"])) == a["cols"], F.lit(False))
     in_place = ~a["materialised"] & ~b["materialised"] & leads
-    steps = F.when(added() & b["materialised"], F.array(F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).when(added(), F.array(F.lit("CREATE_VIEW"))).when(removed(), F.array(F.lit("DROP_VIEW"))).when((a["definition"] == b["definition"]) & (a["materialised"] == b["materialised"]), F.array().cast("array<string>")).when(in_place, F.array(F.lit("CREATE_VIEW"))).when(b["materialised"], F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).otherwise(F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW")))
+    steps = F.when(added() & b["materialised"], F.array(F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).when(added(), F.array(F.lit("CREATE_VIEW"))).when(removed(), F.array(F.lit("DROP_VIEW"))).when(a["definition"].eqNullSafe(b["definition"]) & a["materialised"].eqNullSafe(b["materialised"]), F.array().cast("array<string>")).when(in_place, F.array(F.lit("CREATE_VIEW"))).when(b["materialised"], F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).otherwise(F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW")))
     return both.select("name", F.posexplode(steps).alias("seq", "change_type"))
 
 
@@ -154,8 +162,10 @@ def policy_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     live, desired = (s.withColumn("roles", role_set(F.col("roles"))) for s in (live, desired))
     both = paired(live, desired, ["tbl", "name"])
     a, b = F.col("live"), F.col("desired")
-    rebuilt = (a["cmd"] != b["cmd"]) | (a["permissive"] != b["permissive"]) | ((a["using_expr"] != "") & (b["using_expr"] == "")) | ((a["check_expr"] != "") & (b["check_expr"] == ""))
-    steps = F.when(added(), F.array(F.lit("CREATE_POLICY"))).when(removed(), F.array(F.lit("DROP_POLICY"))).when(a == b, F.array().cast("array<string>")).when(rebuilt, F.array(F.lit("DROP_POLICY"), F.lit("CREATE_POLICY"))).otherwise(F.array(F.lit("ALTER_POLICY")))
+    said = lambda expr: F.coalesce(expr, F.lit("")) != ""
+    taken = lambda expr: said(a[expr]) & ~said(b[expr])
+    rebuilt = ~a["cmd"].eqNullSafe(b["cmd"]) | ~a["permissive"].eqNullSafe(b["permissive"]) | taken("using_expr") | taken("check_expr")
+    steps = F.when(added(), F.array(F.lit("CREATE_POLICY"))).when(removed(), F.array(F.lit("DROP_POLICY"))).when(a.eqNullSafe(b), F.array().cast("array<string>")).when(rebuilt, F.array(F.lit("DROP_POLICY"), F.lit("CREATE_POLICY"))).otherwise(F.array(F.lit("ALTER_POLICY")))
     return both.select("tbl", "name", F.posexplode(steps).alias("seq", "change_type"))
 
 
@@ -205,9 +215,9 @@ def whole_tables(tables: DataFrame, objects: DataFrame) -> DataFrame:
 
 def diff_expand(spark, sf_dir):
     """Renames as additions, with the old column kept."""
-    live, desired, renames = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames")
-    found = column_changes(live, desired, renames, F.lit(True), expand=True)
-    return found.where("change_type = 'ADD_COLUMN' AND new_col IS NOT NULL").select("sch", "tbl", "col", "new_col")
+    live, desired, renames, tables = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames", "desired_tables")
+    found = column_changes(live, desired, renames, F.lit(True), expand=True, partitions=tables.where("parent <> ''"))
+    return found.where("change_type = 'ADD_COLUMN' AND new_col IS NOT NULL").select("sch", "tbl", "col", "new_col", "not_null")
 
 
 def diff_whole_tables(spark, sf_dir):
@@ -220,8 +230,8 @@ def diff_tables(spark, sf_dir):
 
 
 def diff_columns(spark, sf_dir):
-    live, desired, renames = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames")
-    return column_changes(live, desired, renames, sqltypes.is_managed(F.col("tbl"), includes=("t[0-9]*",), excludes=("t7?",)))
+    live, desired, renames, tables = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames", "desired_tables")
+    return column_changes(live, desired, renames, sqltypes.is_managed(F.col("tbl"), includes=("t[0-9]*",), excludes=("t7?",)), partitions=tables.where("parent <> ''"))
 
 
 def diff_objects(spark, sf_dir):
@@ -261,19 +271,19 @@ ORACLES = {
         FROM (SELECT DISTINCT sch, tbl FROM a) l FULL OUTER JOIN (SELECT DISTINCT sch, tbl FROM b) d ON l.sch = d.sch AND l.tbl = d.tbl
         WHERE (l.tbl IS NULL OR d.tbl IS NULL) AND coalesce(l.tbl, d.tbl) NOT LIKE 't_' AND coalesce(l.tbl, d.tbl) NOT LIKE 't9%1'""", a="live_columns", b="desired_columns"),
     "diff_columns": generated.twin(
-        f""", both_have AS (SELECT DISTINCT sch, tbl FROM a WHERE (sch, tbl) IN (SELECT (sch, tbl) FROM b) AND tbl NOT LIKE 't7_'),
+        f""", both_have AS (SELECT DISTINCT sch, tbl FROM a WHERE (sch, tbl) IN (SELECT (sch, tbl) FROM b) AND tbl NOT LIKE 't7_' AND (sch, tbl) NOT IN (SELECT (sch, tbl) FROM u WHERE parent <> '')),
         l AS (SELECT *, {twins.normal_type('data_type')} AS norm, {twins.plain_default('dflt')} AS plain FROM a SEMI JOIN both_have USING (sch, tbl)),
         d AS (SELECT *, {twins.normal_type('data_type')} AS norm, {twins.plain_default('dflt')} AS plain FROM b SEMI JOIN both_have USING (sch, tbl)),
-        kept AS (SELECT l.sch, l.tbl, l.col, {twins.narrowing('l.norm', 'd.norm')} AS narrows, l.nullable AND NOT d.nullable AS tightens, l.generated <> d.generated AS regenerated, l.norm <> d.norm OR l.nullable <> d.nullable OR l.plain <> d.plain AS differs FROM l JOIN d USING (sch, tbl, col)),
+        kept AS (SELECT l.sch, l.tbl, l.col, {twins.narrowing('l.norm', 'd.norm')} AS narrows, l.nullable AND NOT d.nullable AS tightens, NOT d.nullable AS strict, l.generated <> d.generated AS regenerated, l.norm <> d.norm OR l.nullable <> d.nullable OR l.plain <> d.plain AS differs FROM l JOIN d USING (sch, tbl, col)),
         gone AS (SELECT * FROM l ANTI JOIN d USING (sch, tbl, col)),
         fresh AS (SELECT * FROM d ANTI JOIN l USING (sch, tbl, col)),
-        told AS (SELECT g.sch, g.tbl, g.col, g.norm, coalesce((SELECT new_name FROM r WHERE old_name = g.tbl || '.' || g.col), (SELECT new_name FROM r WHERE old_name = g.col)) AS new_name FROM gone g),
-        moved AS (SELECT t.* FROM told t JOIN fresh f ON f.sch = t.sch AND f.tbl = t.tbl AND f.col = t.new_name),
+        told AS (SELECT g.sch, g.tbl, g.col, g.norm, coalesce((SELECT min(new_name) FROM r WHERE old_name = g.tbl || '.' || g.col), (SELECT min(new_name) FROM r WHERE old_name = g.col)) AS new_name FROM gone g),
+        moved AS (SELECT t.* FROM told t JOIN fresh f ON f.sch = t.sch AND f.tbl = t.tbl AND f.col = t.new_name QUALIFY row_number() OVER (PARTITION BY t.sch, t.tbl, t.new_name ORDER BY t.col) = 1),
         added AS (SELECT f.* FROM fresh f ANTI JOIN moved m ON f.sch = m.sch AND f.tbl = m.tbl AND f.col = m.new_name)
-        SELECT sch, tbl, col, NULL AS new_col, 'ALTER_COLUMN' AS change_type, narrows OR tightens AS destructive, narrows AS narrowed, regenerated AS generated, false AS candidate FROM kept WHERE differs OR regenerated
-        UNION ALL SELECT sch, tbl, col, new_name, 'RENAME_COLUMN', false, false, false, false FROM moved
-        UNION ALL SELECT sch, tbl, col, NULL, 'ADD_COLUMN', false, false, false, false FROM added
-        UNION ALL SELECT sch, tbl, col, NULL, 'DROP_COLUMN', true, false, false, EXISTS (SELECT 1 FROM added n WHERE n.sch = t.sch AND n.tbl = t.tbl AND n.norm = t.norm) FROM told t ANTI JOIN moved USING (sch, tbl, col)""", a="live_columns", b="desired_columns", r="renames"),
+        SELECT sch, tbl, col, NULL AS new_col, 'ALTER_COLUMN' AS change_type, narrows OR tightens AS destructive, narrows AS narrowed, regenerated AS generated, false AS candidate, strict AS not_null FROM kept WHERE differs OR regenerated
+        UNION ALL SELECT sch, tbl, col, new_name, 'RENAME_COLUMN', false, false, false, false, false FROM moved
+        UNION ALL SELECT sch, tbl, col, NULL, 'ADD_COLUMN', false, false, false, false, NOT nullable FROM added
+        UNION ALL SELECT sch, tbl, col, NULL, 'DROP_COLUMN', true, false, false, EXISTS (SELECT 1 FROM added n WHERE n.sch = t.sch AND n.tbl = t.tbl AND n.norm = t.norm), false FROM told t ANTI JOIN moved USING (sch, tbl, col)""", a="live_columns", b="desired_columns", r="renames", u="desired_tables"),
     "diff_objects": generated.twin(
         f""", j AS (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.definition AS was, replace(b.definition, ' NOT VALID', '') AS wants, a.kind IS NULL AS is_new, b.kind IS NULL AS is_gone, coalesce(a.valid, true) AS was_valid
             FROM a FULL OUTER JOIN b ON a.kind = b.kind AND a.tbl = b.tbl AND a.name = b.name),
@@ -312,7 +322,7 @@ ORACLES = {
             UNION ALL SELECT l.kind, l.obj, l.grantee, 'REVOKE', list_filter(l.p, lambda x: d.p IS NULL OR NOT list_contains(d.p, x)) FROM lm l LEFT JOIN dm d USING (kind, obj, grantee) WHERE l.grantee <> 'PUBLIC')
         SELECT kind, obj, grantee, change_type, array_to_string(list_sort(p), ',') AS privileges FROM given WHERE len(p) > 0""", a="live_grants", b="desired_grants"),
 }
-ORACLES["diff_expand"] = ORACLES["diff_columns"].replace("WITH ", "WITH every AS (WITH ", 1).replace(" AND tbl NOT LIKE 't7_'", "") + ") SELECT sch, tbl, new_col AS col, col AS new_col FROM every WHERE change_type = 'RENAME_COLUMN'"
+ORACLES["diff_expand"] = ORACLES["diff_columns"].replace("WITH ", "WITH every AS (WITH ", 1).replace(" AND tbl NOT LIKE 't7_'", "") + ") SELECT sch, tbl, new_col AS col, col AS new_col, false AS not_null FROM every WHERE change_type = 'RENAME_COLUMN'"
 ORACLES["diff_whole_tables"] = (
     "WITH every AS (" + ORACLES["diff_objects"] + "), " + generated.twin("", la="live_columns", lb="desired_columns").removeprefix("WITH ") + """,
     gone AS (SELECT DISTINCT tbl FROM la ANTI JOIN lb USING (tbl)), fresh AS (SELECT DISTINCT tbl FROM lb ANTI JOIN la USING (tbl))

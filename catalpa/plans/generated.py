@@ -43,7 +43,7 @@ SQL = {
         {choose('p', ("", "0", "(0)", "'x'::text", "TRUE", "now()"))} AS dflt, CASE WHEN p % 13 = 0 THEN 'c1 * 2' ELSE '' END AS generated FROM {LINES} WHERE u % 10 <> 1 AND k % 23 <> 0""",
     "desired_columns": f"""SELECT {PLACE}, CASE WHEN u % 10 = 2 THEN 'r' ELSE 'c' END || {text('n')} AS col, {choose('p + CASE WHEN u % 3 = 0 THEN 1 + k % 5 ELSE 0 END', TYPES)} AS data_type, (p % 2 = 0) <> (u % 9 = 0) AS nullable,
         {choose('p + CASE WHEN u % 11 = 0 THEN 1 ELSE 0 END', ("", "(0)", "0", "'x'", "true", "CURRENT_TIMESTAMP"))} AS dflt, CASE WHEN p % 13 = 0 THEN CASE WHEN u % 2 = 0 THEN 'c1 * 3' ELSE 'c1 * 2' END ELSE '' END AS generated FROM {LINES} WHERE k % 29 <> 0""",
-    "renames": f"SELECT 't' || {text('k')} || '.c' || {text('n')} AS old_name, 'r' || {text('n')} AS new_name FROM {LINES} WHERE u % 20 = 2 UNION ALL SELECT 'c3', 'r3'",
+    "renames": f"SELECT 't' || {text('k')} || '.c' || {text('n')} AS old_name, 'r' || {text('n')} AS new_name FROM {LINES} WHERE u % 20 = 2 UNION ALL SELECT * FROM (VALUES ('c3', 'r3'), ('c3', 'r5'), ('c4', 'r3'), ('c2', 'r1')) AS loose(old_name, new_name)",
     "live_objects": f"SELECT kind, tbl, name, CASE WHEN kind = 'comment' THEN {choose('c', ('', 'x', 'y'))} ELSE 'd' || {text('c % 4')} END AS definition, c % 7 <> 0 AS valid FROM {OBJECTS} WHERE c % 10 <> 1",
     "desired_objects": f"""SELECT kind, tbl, name, CASE WHEN kind = 'comment' THEN {choose('c + c % 2', ('', 'x', 'y'))} ELSE 'd' || {text('(c + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) % 4')} || CASE WHEN kind IN ('fk', 'check') AND c % 8 = 0 THEN ' NOT VALID' ELSE '' END END AS definition,
         true AS valid FROM {OBJECTS} WHERE c % 10 <> 2""",

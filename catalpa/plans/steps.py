@@ -7,6 +7,7 @@ projections; only order and groups need a window, by plan.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,9 +120,11 @@ def is_outside_transactions() -> Column:
     return F.col("change_type").isin(*vocabulary.OUTSIDE_TRANSACTIONS)
 
 
-def drift(changes: DataFrame, key: list[str]) -> DataFrame:
-    """(key, steps, drifted): whether anything is left to do; a key of wanted objects without changes isn't in changes and has no row."""
-    return changes.groupBy(*key).agg(F.count("*").alias("steps"), (F.count("*") > 0).alias("drifted"))
+def drift(wanted: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, steps, drifted) of every wanted key: the changes it needs, and whether there are any; a null in a key equals another."""
+    steps = changes.groupBy(*[F.col(k).alias(f"{k}_") for k in key]).agg(F.count("*").alias("n"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key])
+    return wanted.select(*key).distinct().join(steps, same, "left").select(*key, F.coalesce("n", F.lit(0).cast("long")).alias("steps"), F.col("n").isNotNull().alias("drifted"))
 
 
 def unexpected_plans(plans: DataFrame, expected: DataFrame) -> DataFrame:
@@ -246,7 +249,7 @@ def plan_reversible(spark, sf_dir):
 def plan_drift(spark, sf_dir):
     from catalpa.plans.changes import diff_columns
 
-    return drift(diff_columns(spark, sf_dir), ["sch"])
+    return drift(generated.frame(spark, sf_dir, "desired_columns"), diff_columns(spark, sf_dir), ["sch", "tbl"])
 
 
 def plan_hash_mismatch(spark, sf_dir):
@@ -336,7 +339,7 @@ ORACLES = {
         """ SELECT DISTINCT change_type, (regexp_matches(change_type, '^(CREATE|ADD)_') AND change_type NOT IN ('CREATE_COMPOSITE_TYPE', 'CREATE_ENUM', 'CREATE_EVENT_TRIGGER', 'CREATE_EXTENSION', 'CREATE_PUBLICATION', 'CREATE_RANGE_TYPE', 'CREATE_REPLICATION_SLOT', 'CREATE_SEQUENCE', 'CREATE_SUBSCRIPTION'))
             OR ends_with(change_type, '_RLS') OR change_type LIKE '%COMMENT%' OR change_type IN ('RENAME_COLUMN', 'ATTACH_PARTITION', 'REFRESH_MATVIEW', 'ALTER_DOMAIN', 'ALTER_ROLE', 'GRANT', 'REVOKE') AS reversible,
         change_type IN ('CREATE_INDEX', 'DROP_INDEX', 'ALTER_ENUM', 'CREATE_SUBSCRIPTION', 'DROP_SUBSCRIPTION') AS non_tx FROM s""", s="steps"),
-    "plan_drift": changes_sql("SELECT sch, count(*) AS steps, true AS drifted FROM c GROUP BY sch"),
+    "plan_drift": changes_sql("SELECT w.sch, w.tbl, count(c.sch) AS steps, bool_or(c.sch IS NOT NULL) AS drifted FROM (SELECT DISTINCT sch, tbl FROM (" + generated.SQL["desired_columns"].replace("{lineitem}", "lineitem") + ")) w LEFT JOIN c ON c.sch = w.sch AND c.tbl = w.tbl GROUP BY w.sch, w.tbl"),
     "plan_hash_mismatch": twin(", h AS (SELECT plan_id, sha256(string_agg(sql_text, chr(10) ORDER BY idx)) AS hash FROM s GROUP BY plan_id) SELECT plan_id, hash, md5(hash) AS wanted FROM h WHERE plan_id % 3 = 0", s="steps"),
     "plan_waits": twin(" SELECT plan_id FROM s GROUP BY plan_id HAVING min(idx) < 5 OR max(idx) > 8640 OR (min(idx) - 5) > 86400", s="steps"),
     "dep_closure": "WITH RECURSIVE " + samples.EDGES.sql("sample") + ", " + twin("", x="tables_needing").removeprefix("WITH ") + """, e AS (SELECT node, needs FROM sample UNION SELECT sch || '.' || tbl, needs FROM x WHERE needs <> ''),
