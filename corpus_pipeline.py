@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalpa.llm import jaccard_join, mixing, nbest, private_data, string_kernel
 from catalpa.llm.common import col, fresh, hashed
-from catalpa.session import checkpoint, table
+from catalpa.session import checkpoint, small, table
 
 #: A text whose language isn't given is rejected if no language has this share of its scores: it is like none, or like all.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -21,19 +21,14 @@ LEAST_LANGUAGE_SCORE = 0.4
 SHINGLE, PERCENT = 5, 80
 #: Numbers of rows that have no id of their own start here.
 NO_ID = 2**62
-BROADCAST_BYTES = 64 * 2**20
-
-
-def small(df: DataFrame, size: Column) -> DataFrame:
-    """df, to be broadcast if its rows, of so many bytes each, are few and short; df should be checkpointed."""
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known; a null lang is filled with it.
 
     Null, empty and letterless texts go. Others go only where no learned language is given and none stands out. Where no lang is given at all,
-    so that nothing can be learned, every text with a letter stays. Repeated rows and rows without an id are judged each for itself.
+    so that nothing can be learned, every text with a letter stays. Repeated rows and rows without an id are judged each for itself. Of two languages with
+    equal scores the first by name is taken.
     """
     model = string_kernel.train(docs, "doc_id", "text", "lang")
     if model is None:
@@ -47,8 +42,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, the one with the least id.
 
-    Rows are told apart by id, where they have one that no other row has, else by a hash of id and text; such rows come after all others.
-    Of rows that share an id one stays, whatever their texts; rows without an id stay but for those of the same text. Null, empty and blank texts are no duplicates of other ids.
+    Rows are told apart by id, where they have one that no other row has, else by a hash of id and text; such rows come after all others. So texts of one id stay unless
+    they are copies or near copies, of rows equal in id and text one stays, and rows without an id are judged like all others. Null, empty and blank texts are no duplicates of other ids.
+    Of equal texts the least id stays; very long texts are compared whole.
     """
     key, often, gone = fresh(docs.columns, "key", "often", "gone")
     shared = checkpoint(docs.groupBy("doc_id").count().where(f"count > 1 OR doc_id IS NULL OR doc_id >= {NO_ID}").select(F.col("doc_id").alias(often), F.lit(True).alias(gone)))
@@ -56,21 +52,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.withColumn(key, F.col("doc_id").cast("long"))
     if some:
         rows = docs.join(small(shared, F.lit(16)), F.col("doc_id").eqNullSafe(F.col(often)), "left")
-        hashes = F.lit(NO_ID) + F.shiftright(hashed(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 1)
+        hashes = F.lit(NO_ID) + F.shiftright(hashed(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.col("doc_id").isNull(), F.col("text").isNull()), 1)
         rows = rows.withColumn(key, F.when(F.col(gone), hashes).otherwise(F.col("doc_id").cast("long"))).drop(often, gone)
     found = checkpoint(jaccard_join.join(rows, id_col=key, size=SHINGLE, percent=PERCENT))
     copies = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
     kept = rows.join(small(copies, F.lit(8)), F.col(key) == F.col(gone), "left_anti")
     if some:
-        apart = kept.where(F.col(key) >= NO_ID)
-        first = apart.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias(gone)).select(gone)
-        apart = apart.where("doc_id IS NULL").unionByName(apart.join(first, F.col(key) == F.col(gone), "left_semi")).dropDuplicates([key])
-        kept = kept.where(F.col(key) < NO_ID).unionByName(apart)
+        kept = kept.where(F.col(key) < NO_ID).unionByName(kept.where(F.col(key) >= NO_ID).dropDuplicates([key]))
     return kept.select(*[col(c) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the kind in brackets in place of each span; n_chars follows. Null stays null; rows that share id and text are masked alike."""
+    """Put the kind in brackets in place of each span; n_chars, where there is such a column, becomes the length of the masked text. Null stays null; rows that share id and text are masked alike."""
     i, m, spans = fresh(docs.columns, "i", "m", "spans")
     found = private_data.find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("mark").alias(m), F.col("spans").alias(spans))
     found = small(checkpoint(found.dropDuplicates([i, m])), 32 + 32 * F.size(spans))
@@ -90,7 +83,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, in place of its text. A null or empty text has none; each row is encoded for itself."""
+    """Piece ids of each document, in place of its text. A null or empty text has none; each row is encoded for itself, a text of any length whole. Of segmentations with equal scores
+    the same one is taken on each run."""
     return nbest.encode(docs)
 
 
