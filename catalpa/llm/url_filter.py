@@ -4,9 +4,9 @@ Two variable-order Markov models of characters, one of URLs that rules allow and
 smoothed by interpolating each order with the next lower one (Witten-Bell weights). A URL without a rule is judged by its
 log-likelihood difference divided by its length, against a threshold calibrated on URLs kept out of the counts.
 
-Rules read host and path; the models read the whole URL, scheme, query and fragment included, its host lower-cased. Defined cases: a null
-URL, one without "://" or one with nothing after it has an empty host and path, no rule, score 0 and verdict allow (nothing speaks
-against it). If either class has no URL to learn from, every score is 0 and the verdict is allow. The models learn
+Rules read host and path; the models read the whole URL, scheme, query and fragment included, its host lower-cased. Defined cases: a URL without "://"
+has an empty host and path and no rule, and the models read it as it is; a null or empty one has score 0 and verdict allow (nothing speaks
+against it). A score equal to the threshold means allow. If either class has no URL to learn from, every score is 0 and the verdict is allow. The models learn
 from at most MAX_TRAIN different rows (id, URL) a class, none longer than MAX_URL characters, picked by a hash; every URL is
 scored whole. Null ids, repeated ids and repeated rows are judged each for itself.
 """
@@ -93,7 +93,7 @@ def calibrate(allowed: list[float], blocked: list[float]) -> float:
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
-    """Host, with A-Z lower-cased, path, and the whole URL with that host; all empty if url is null or has nothing after "://"."""
+    """Host, with A-Z lower-cased, path, and the whole URL with that host; of a URL without "://" only the whole isn't empty."""
     url = F.coalesce(url, F.lit(""))
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
     raw = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
@@ -101,7 +101,7 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
     host = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
     after = F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1)
-    return host, path, F.when(rest != "", F.concat(scheme, host, after)).otherwise("")
+    return host, path, F.when(url.contains("://"), F.concat(scheme, host, after)).otherwise(url)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

@@ -53,8 +53,19 @@ def test_stages(spark, docs):
 
 
 def test_edges_and_empty(spark, make):
-    out = staged(spark, make([*EDGES, *corpus(30)], clash=True))
+    others = [(100 + r[0], *r[1:]) for r in corpus(30)]
+    out = staged(spark, make([*EDGES, *others], clash=True))
     assert out["encode"].count() > 0
     kept = [r["doc_id"] for r in out["near_duplicates"].collect()]
-    assert kept.count(4) == 1
+    assert kept.count(4) == 1  # one of two equal rows
     assert staged(spark, make([]))["encode"].count() == 0
+
+
+def test_texts_that_share_an_id_stay(spark, make):
+    """Rows are judged by their texts: different ones of one id, or of none, stay; copies go, under whatever ids."""
+    texts = [r[1] for r in corpus(12)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[4]), (None, texts[2]), (5, texts[0]), *[(7, texts[5])] * 10, (8, texts[6]), (8, texts[5]), (9, None), (9, ""), (9, texts[7])]
+    kept = cp.near_duplicates(spark, make([(i, t, "en", "a") for i, t in rows], clash=True), "").collect()
+    assert sorted(r["text"] for r in kept if r["text"]) == sorted(texts[:8])
+    assert {(r["doc_id"], r["text"]) for r in kept if r["text"] in (texts[1], texts[2], texts[6], texts[7])} == {(1, texts[1]), (2, texts[2]), (8, texts[6]), (9, texts[7])}
+    assert sum(r["doc_id"] == 9 for r in kept) == 3 and sum(r["doc_id"] == 7 for r in kept) <= 1

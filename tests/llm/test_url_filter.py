@@ -31,8 +31,10 @@ def test_rules_match_brute_force(spark):
         assert (out[i]["host"], out[i]["path"], out[i]["rule"]) == (host, path, best and best[0]), url
         if best:
             assert out[i]["verdict"] == best[1]
-        elif not host + path:
+        elif not url:
             assert out[i]["verdict"] == "allow" and out[i]["score"] == 0
+        else:
+            assert out[i]["score"] != 0 and out[i]["verdict"] == ("allow" if out[i]["score"] >= out[i]["threshold"] else "block")
 
 
 def test_held_out_verdicts(spark):
@@ -49,6 +51,15 @@ def test_held_out_verdicts(spark):
     assert [r[0] for r in one_class] == ["allow"]
 
 
+def test_urls_without_a_scheme_are_judged(spark):
+    """What marks a class marks it also where there is no "://"."""
+    marks = {"allow": "a.com/allow/story{}", "block": "a.com/block/pills{}"}
+    ruled = [(i, "http://" + marks["allow" if i % 2 else "block"].format(i)) for i in range(120)]
+    bare = [(1000 + i, marks["allow" if i % 2 else "block"].format(200 + i).removeprefix("a.com/allow/").removeprefix("a.com/block/")) for i in range(20)]
+    out = {r["page_id"]: r for r in uf.filter_urls(spark.createDataFrame(ruled + bare, "page_id long, url string"), rules=(("com/allow/", "allow"), ("com/block/", "block"))).collect()}
+    assert all(out[i]["rule"] is None and out[i]["host"] == "" and out[i]["verdict"] == ("allow" if i % 2 else "block") for i, _ in bare)
+
+
 def test_markov_model_is_a_distribution():
     model = uf.MarkovModel(order=2).fit(["abab", "abba"])
     import math
