@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalpa.operators import batches, digests, integrity, intervals, ledger, lint, resumable, source_queries, typing_queries, versions
-from catalpa.plans import catalog_queries, changes, steps
+from catalpa.plans import catalog_queries, changes, order, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (integrity, intervals, batches, resumable, digests, versions, ledger, changes, catalog_queries, steps, lint, typing_queries, source_queries):
+for module in (integrity, intervals, batches, resumable, digests, versions, ledger, changes, catalog_queries, steps, order, lint, typing_queries, source_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
