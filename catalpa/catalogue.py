@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalpa.operators import batches, digests, integrity, intervals, ledger, lint, metrics, resumable, source_queries, typing_queries, versions
+from catalpa.operators import batches, digests, integrity, intervals, ledger, lint, mentions, metrics, resumable, source_queries, typing_queries, versions
 from catalpa.plans import catalog_queries, changes, order, replay, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (integrity, intervals, batches, resumable, digests, versions, ledger, metrics, changes, catalog_queries, steps, order, replay, lint, typing_queries, source_queries):
+for module in (integrity, intervals, batches, resumable, digests, versions, ledger, metrics, mentions, changes, catalog_queries, steps, order, replay, lint, typing_queries, source_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
