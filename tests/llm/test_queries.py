@@ -29,7 +29,9 @@ def odd_dir(spark, tmp_path_factory):
     docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(r[0], i % 4 // 3, 1) for i, r in enumerate(rows)], "doc_id long, toxic int, quality int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(i, f"http://a{k % 3}.example.com/en/{k}") for k, i in enumerate([*IDS, *range(20)])], "page_id long, url string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
-    spark.createDataFrame([(i, [0.1 * k, 1.0 - k]) for k, i in enumerate([*IDS, *range(20)])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    vectors = [(i, [0.1 * k, 1.0 - k, *[0.5] * 62], k % 3) for k, i in enumerate([*IDS, *range(20)])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(BIG, rows[6][1]), (None, "mail x"), (3, None)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
@@ -40,11 +42,14 @@ def held(i, mod):
 @pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.startswith("op")))
 def test_ids_survive(spark, odd_dir, name):
     rows = queries.QUERIES[name](spark, odd_dir).collect()
-    table, key = {"op4_inner_product": ("embeddings", "query_id"), "op10_url_filter": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
+    table, key = {"op4_inner_product": ("embeddings", "query_id"), "op10_url_filter": ("pages", "page_id"), "op12_centroids": ("embeddings", "vec_id"), "op13_hard_negatives": ("embeddings", "anchor_id")}.get(name, ("documents", "doc_id"))
     given = [r[0] for r in spark.read.parquet(f"{odd_dir}/{table}.parquet").select("vec_id" if table == "embeddings" else key).collect()]
     if name == "op4_inner_product":
         assert {r["query_id"] for r in rows} == {i for i in given if i is not None and i % 20 == 0} and {r["vec_id"] for r in rows} <= set(given)
         return
+    if name == "op13_hard_negatives":
+        assert {r["anchor_id"] for r in rows} <= {i for i in given if i is not None and i % 50 == 0} and {r[c] for r in rows for c in ("positive_id", "negative_id")} <= set(given) - {None}
+        return
     assert Counter(r[key] for r in rows) == Counter(given)
     first = rows[0].asDict()
     if name == "op1_toxicity":
@@ -53,6 +58,10 @@ def test_ids_survive(spark, odd_dir, name):
         assert all(r["held_out"] == (held(r["doc_id"], 5) == 0) and isinstance(r["lang_pred"], str) for r in rows)
     if name == "op9_lattice_lm":
         assert all(r["held_out"] == (held(r["doc_id"], 10) == 0) and r["n_known"] <= r["n_tokens"] for r in rows) and len({r["train_tokens"] for r in rows}) == 1
+    if name == "op11_decontamination":
+        assert {r["n_items"] for r in rows if r["contaminated"]} == {1} and all((r["n_hit"] > 0) == r["contaminated"] for r in rows)
+    if name == "op12_centroids":
+        assert len({r["cluster"] for r in rows}) <= 40 and len({r["inertia"] for r in rows}) == 1
     if name == "op5_mixing":
         assert list(first) == ["doc_id", "size", "source_size", "target", "taken"]
 
@@ -74,7 +83,7 @@ def test_stages_leave_other_columns_alone(spark, odd_dir, name, stage):
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
