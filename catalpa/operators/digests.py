@@ -20,8 +20,8 @@ from catalpa.operators.batches import row_level_diff
 from catalpa.session import checkpoint, small, table
 
 #: About so many rows a bucket, and fine buckets in each.
-RANGE_ROWS = 4096
-SPLIT = 1024
+RANGE_ROWS = 256
+SPLIT = 16
 
 
 def row_hash(columns: list[str]) -> Column:
