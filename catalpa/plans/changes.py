@@ -123,33 +123,37 @@ def object_changes(live: DataFrame, desired: DataFrame, columns: DataFrame | Non
 def enum_changes(live: DataFrame, desired: DataFrame, renames: DataFrame) -> DataFrame:
     """CREATE_ENUM, ALTER_ENUM (a new label), RENAME_ENUM_VALUE, DROP_ENUM_VALUE; the order of labels doesn't count.
 
-    A rename maps `enum.<enum>.<label>` or, less closely, `enum.<label>` to a label that is new.
+    A rename maps `<enum>.<label>` or, where there is none, `enum.<enum>.<label>` to a desired label. Of the labels that map to one the first by position is renamed; the others are
+    dropped, if they aren't desired themselves.
     """
-    known = live.select("name").distinct()
-    creates = desired.join(known, "name", "left_anti").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), ",").alias("label"))
-    wanted = desired.select("name").distinct()
-    gone = live.join(wanted, "name", "left_semi").join(desired.select("name", "label"), ["name", "label"], "left_anti").select("name", "label")
-    new = desired.join(known, "name", "left_semi").join(live.select("name", "label"), ["name", "label"], "left_anti").select("name", "label")
-    to = renames.select("old_name", F.col("new_name").alias("to"))
-    full = gone.join(to, F.concat(F.lit("enum."), F.col("name"), F.lit("."), F.col("label")) == F.col("old_name"), "left").select("name", "label", F.col("to").alias("close"))
-    short = to.select(F.col("old_name").alias("short_name"), F.col("to").alias("loose"))
-    full = full.join(short, F.concat(F.lit("enum."), F.col("label")) == F.col("short_name"), "left").select("name", "label", F.coalesce("close", "loose").alias("to"))
-    renamed = full.join(new.select("name", F.col("label").alias("to")), ["name", "to"], "left_semi")
-    kind = lambda df, label, to, change, destructive: df.select("name", label.alias("label"), to.alias("new_label"), F.lit(change).alias("change_type"), F.lit(destructive).alias("destructive"))
+    key = scoped(live, "name")
+    known = live.select(*key).distinct()
+    creates = desired.join(known, key, "left_anti").groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), ",").alias("label"))
+    to = renames.groupBy("old_name").agg(F.min("new_name").alias("to"))
+    close, loose = to.select(F.col("old_name").alias("close_name"), F.col("to").alias("close")), to.select(F.col("old_name").alias("loose_name"), F.col("to").alias("loose"))
+    said = F.concat("name", F.lit("."), "label")
+    mapped = live.join(desired.select(*key).distinct(), key, "left_semi").join(close, said == F.col("close_name"), "left").join(loose, F.concat(F.lit("enum."), said) == F.col("loose_name"), "left").select(*key, "label", "pos", F.coalesce("close", "loose").alias("to"))
+    mapped = mapped.join(desired.select(*key, F.col("label").alias("to"), F.lit(True).alias("is_wanted")), [*key, "to"], "left").join(desired.select(*key, "label", F.lit(True).alias("stays")), [*key, "label"], "left")
+    fits = F.coalesce(F.col("is_wanted") & (F.col("to") != F.col("label")), F.lit(False))
+    first = F.row_number().over(Window.partitionBy(*key, "to", "fits").orderBy("pos", "label")) == 1
+    told = checkpoint(mapped.withColumn("fits", fits).withColumn("takes", F.col("fits") & first))
+    renamed = told.where("takes").select(*key, "label", "to")
+    dropped = told.where("NOT takes AND stays IS NULL").select(*key, "label")
+    fresh = desired.join(known, key, "left_semi").join(live.select(*key, "label"), [*key, "label"], "left_anti").join(renamed.select(*key, F.col("to").alias("label")), [*key, "label"], "left_anti")
+    kind = lambda df, label, to, change, destructive: df.select(*key, label.alias("label"), to.alias("new_label"), F.lit(change).alias("change_type"), F.lit(destructive).alias("destructive"))
     none = F.lit(None).cast("string")
-    dropped = full.join(renamed.select("name", "label"), ["name", "label"], "left_anti")
-    fresh = new.join(renamed.select("name", F.col("to").alias("label")), ["name", "label"], "left_anti")
     return kind(creates, F.col("label"), none, "CREATE_ENUM", False).unionByName(kind(renamed, F.col("label"), F.col("to"), "RENAME_ENUM_VALUE", False)).unionByName(kind(dropped, F.col("label"), none, "DROP_ENUM_VALUE", True)).unionByName(kind(fresh, F.col("label"), none, "ALTER_ENUM", False))
 
 
 def view_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     """CREATE, replaced in place where the live columns lead the desired ones, dropped and created otherwise, DROP; a materialised view is filled after."""
-    both = paired(live, desired, ["name"])
+    key = scoped(live, "name")
+    both = paired(live, desired, key)
     a, b = F.col("live"), F.col("desired")
     leads = F.coalesce(F.slice(b["cols"], 1, F.size(a["cols"])) == a["cols"], F.lit(False))
     in_place = ~a["materialised"] & ~b["materialised"] & leads
     steps = F.when(added() & b["materialised"], F.array(F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).when(added(), F.array(F.lit("CREATE_VIEW"))).when(removed(), F.array(F.lit("DROP_VIEW"))).when(a["definition"].eqNullSafe(b["definition"]) & a["materialised"].eqNullSafe(b["materialised"]), F.array().cast("array<string>")).when(in_place, F.array(F.lit("CREATE_VIEW"))).when(b["materialised"], F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW"), F.lit("REFRESH_MATVIEW"))).otherwise(F.array(F.lit("DROP_VIEW"), F.lit("CREATE_VIEW")))
-    return both.select("name", F.posexplode(steps).alias("seq", "change_type"))
+    return both.select(*key, F.posexplode(steps).alias("seq", "change_type"))
 
 
 def role_set(roles: Column) -> Column:
@@ -160,13 +164,14 @@ def role_set(roles: Column) -> Column:
 def policy_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     """CREATE, ALTER, DROP and CREATE where the command or kind changes or an expression is taken away, DROP."""
     live, desired = (s.withColumn("roles", role_set(F.col("roles"))) for s in (live, desired))
-    both = paired(live, desired, ["tbl", "name"])
+    key = scoped(live, "tbl", "name")
+    both = paired(live, desired, key)
     a, b = F.col("live"), F.col("desired")
     said = lambda expr: F.coalesce(expr, F.lit("")) != ""
     taken = lambda expr: said(a[expr]) & ~said(b[expr])
     rebuilt = ~a["cmd"].eqNullSafe(b["cmd"]) | ~a["permissive"].eqNullSafe(b["permissive"]) | taken("using_expr") | taken("check_expr")
     steps = F.when(added(), F.array(F.lit("CREATE_POLICY"))).when(removed(), F.array(F.lit("DROP_POLICY"))).when(a.eqNullSafe(b), F.array().cast("array<string>")).when(rebuilt, F.array(F.lit("DROP_POLICY"), F.lit("CREATE_POLICY"))).otherwise(F.array(F.lit("ALTER_POLICY")))
-    return both.select("tbl", "name", F.posexplode(steps).alias("seq", "change_type"))
+    return both.select(*key, F.posexplode(steps).alias("seq", "change_type"))
 
 
 #: What ALL stands for, by kind of object.
@@ -180,11 +185,11 @@ ALL_PRIVILEGES = {
 
 
 def merged_grants(grants: DataFrame) -> DataFrame:
-    """One row for each (kind, obj, grantee): the union of its privileges, ALL written out, and whether any grant may be passed on."""
+    """One row for each (kind, obj, grantee), by schema where it is told: the union of its privileges, ALL written out, and whether any grant may be passed on."""
     every = F.create_map(*[x for kind, names in ALL_PRIVILEGES.items() for x in (F.lit(kind), F.array(*[F.lit(n) for n in names]))])
     spelled = F.when(F.array_contains(F.transform("privileges", F.upper), "ALL"), F.coalesce(F.try_element_at(every, F.col("kind")), F.col("privileges"))).otherwise(F.transform("privileges", F.upper))
     option = F.bool_or("grantable") if "grantable" in grants.columns else F.lit(False)
-    return grants.withColumn("privileges", spelled).groupBy("kind", "obj", "grantee").agg(F.array_distinct(F.flatten(F.collect_list("privileges"))).alias("privileges"), option.alias("grantable"))
+    return grants.withColumn("privileges", spelled).groupBy(*scoped(grants, "kind", "obj", "grantee")).agg(F.array_distinct(F.flatten(F.collect_list("privileges"))).alias("privileges"), option.alias("grantable"))
 
 
 def grant_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
@@ -192,13 +197,14 @@ def grant_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
 
     Where only the right to pass a grant on is missing, the privileges are granted again.
     """
-    both = paired(merged_grants(live), merged_grants(desired), ["kind", "obj", "grantee"])
+    key = scoped(live, "kind", "obj", "grantee")
+    both = paired(merged_grants(live), merged_grants(desired), key)
     empty = F.array().cast("array<string>")
     have, want = F.coalesce(F.col("live.privileges"), empty), F.coalesce(F.col("desired.privileges"), empty)
     passes = F.coalesce(F.col("desired.grantable") & ~F.col("live.grantable"), F.lit(False))
     missing = F.when(passes, want).otherwise(F.array_except(want, have))
     parts = F.array(F.struct(F.lit("GRANT").alias("change_type"), F.array_sort(missing).alias("p")), F.struct(F.lit("REVOKE").alias("change_type"), F.array_sort(F.array_except(have, want)).alias("p")))
-    rows = both.select("kind", "obj", "grantee", F.explode(parts).alias("x")).select("kind", "obj", "grantee", "x.change_type", F.array_join("x.p", ",").alias("privileges"))
+    rows = both.select(*key, F.explode(parts).alias("x")).select(*key, "x.change_type", F.array_join("x.p", ",").alias("privileges"))
     return rows.where("privileges <> '' AND NOT (change_type = 'REVOKE' AND grantee = 'PUBLIC')")
 
 
@@ -207,10 +213,11 @@ def whole_tables(tables: DataFrame, objects: DataFrame) -> DataFrame:
 
     What stands in a dropped table goes with it, but its foreign keys are dropped before; what is new in a new table follows it.
     """
-    gone = tables.where("change_type = 'DROP_TABLE'").select("tbl").distinct()
-    kept = objects.join(gone, "tbl", "left_anti").unionByName(objects.join(gone, "tbl", "left_semi").where("change_type = 'DROP_FK'"))
-    own = tables.select("tbl", F.lit("table").alias("kind"), F.lit("").alias("name"), F.when(F.col("change_type") == "DROP_TABLE", 1).otherwise(0).alias("seq"), "change_type")
-    return kept.select("tbl", "kind", "name", "seq", "change_type").unionByName(own)
+    at = scoped(objects, "tbl")
+    gone = tables.where("change_type = 'DROP_TABLE'").select(*at).distinct()
+    kept = objects.join(gone, at, "left_anti").unionByName(objects.join(gone, at, "left_semi").where("change_type = 'DROP_FK'"))
+    own = tables.select(*at, F.lit("table").alias("kind"), F.lit("").alias("name"), F.when(F.col("change_type") == "DROP_TABLE", 1).otherwise(0).alias("seq"), "change_type")
+    return kept.select(*at, "kind", "name", "seq", "change_type").unionByName(own)
 
 
 def diff_expand(spark, sf_dir):
@@ -222,7 +229,7 @@ def diff_expand(spark, sf_dir):
 
 def diff_whole_tables(spark, sf_dir):
     live, desired, live_objects, desired_objects = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "live_objects", "desired_objects")
-    return whole_tables(table_changes(live.drop("sch"), desired.drop("sch"), F.lit(True)), object_changes(live_objects, desired_objects, live.drop("sch")))
+    return whole_tables(table_changes(live, desired, F.lit(True)), object_changes(live_objects, desired_objects, live))
 
 
 def diff_tables(spark, sf_dir):
@@ -236,7 +243,7 @@ def diff_columns(spark, sf_dir):
 
 def diff_objects(spark, sf_dir):
     live, desired, columns = generated.frames(spark, sf_dir, "live_objects", "desired_objects", "live_columns")
-    return object_changes(live, desired, columns.drop("sch"))
+    return object_changes(live, desired, columns)
 
 
 def diff_enums(spark, sf_dir):
@@ -285,47 +292,45 @@ ORACLES = {
         UNION ALL SELECT sch, tbl, col, NULL, 'ADD_COLUMN', false, false, false, false, NOT nullable FROM added
         UNION ALL SELECT sch, tbl, col, NULL, 'DROP_COLUMN', true, false, false, EXISTS (SELECT 1 FROM added n WHERE n.sch = t.sch AND n.tbl = t.tbl AND n.norm = t.norm), false FROM told t ANTI JOIN moved USING (sch, tbl, col)""", a="live_columns", b="desired_columns", r="renames", u="desired_tables"),
     "diff_objects": generated.twin(
-        f""", j AS (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.definition AS was, replace(b.definition, ' NOT VALID', '') AS wants, a.kind IS NULL AS is_new, b.kind IS NULL AS is_gone, coalesce(a.valid, true) AS was_valid
-            FROM a FULL OUTER JOIN b ON a.kind = b.kind AND a.tbl = b.tbl AND a.name = b.name),
+        f""", j AS (SELECT coalesce(a.sch, b.sch) AS sch, coalesce(a.kind, b.kind) AS kind, coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.definition AS was, replace(b.definition, ' NOT VALID', '') AS wants, a.kind IS NULL AS is_new, b.kind IS NULL AS is_gone, coalesce(a.valid, true) AS was_valid
+            FROM a FULL OUTER JOIN b ON a.sch = b.sch AND a.kind = b.kind AND a.tbl = b.tbl AND a.name = b.name),
         s AS (SELECT *, CASE WHEN kind = 'comment' THEN CASE WHEN coalesce(was, '') <> coalesce(wants, '') THEN [CASE WHEN name = '' THEN 'COMMENT_TABLE' ELSE 'COMMENT_COLUMN' END] ELSE [] END
             WHEN is_new THEN [CASE WHEN kind IN ('fk', 'check') THEN 'ADD_' ELSE 'CREATE_' END || upper(kind)]
             WHEN is_gone THEN CASE WHEN kind = 'check' AND {twins.made_up_check('name', '', 'j.tbl', 'c')} THEN [] ELSE ['DROP_' || upper(kind)] END
             WHEN kind = 'sequence' AND was <> wants THEN ['ALTER_SEQUENCE']
             WHEN was <> wants OR (kind = 'index' AND NOT was_valid) THEN ['DROP_' || upper(kind), CASE WHEN kind IN ('fk', 'check') THEN 'ADD_' ELSE 'CREATE_' END || upper(kind)]
             WHEN kind IN ('fk', 'check') AND NOT was_valid THEN ['VALIDATE_CONSTRAINT'] ELSE [] END AS steps FROM j),
-        u AS (SELECT kind, tbl, name, was_valid, unnest(steps) AS change_type, CAST(unnest(range(len(steps))) AS INTEGER) AS seq FROM s)
-        SELECT kind, tbl, name, seq, change_type, starts_with(change_type, 'DROP_') AND (kind <> 'index' OR was_valid) AS destructive FROM u""", a="live_objects", b="desired_objects", c="live_columns"),
+        u AS (SELECT sch, kind, tbl, name, was_valid, unnest(steps) AS change_type, CAST(unnest(range(len(steps))) AS INTEGER) AS seq FROM s)
+        SELECT sch, kind, tbl, name, seq, change_type, starts_with(change_type, 'DROP_') AND (kind <> 'index' OR was_valid) AS destructive FROM u""", a="live_objects", b="desired_objects", c="live_columns"),
     "diff_enums": generated.twin(
-        """, gone AS (SELECT name, label FROM a WHERE name IN (SELECT name FROM b) AND (name, label) NOT IN (SELECT (name, label) FROM b)),
-        fresh AS (SELECT name, label FROM b WHERE name IN (SELECT name FROM a) AND (name, label) NOT IN (SELECT (name, label) FROM a)),
-        told AS (SELECT name, label, coalesce((SELECT new_name FROM r WHERE old_name = 'enum.' || name || '.' || label), (SELECT new_name FROM r WHERE old_name = 'enum.' || label)) AS new_name FROM gone),
-        ren AS (SELECT t.* FROM told t JOIN fresh f ON f.name = t.name AND f.label = t.new_name)
-        SELECT name, string_agg(label, ',' ORDER BY pos) AS label, NULL AS new_label, 'CREATE_ENUM' AS change_type, false AS destructive FROM b WHERE name NOT IN (SELECT name FROM a) GROUP BY name
-        UNION ALL SELECT name, label, new_name, 'RENAME_ENUM_VALUE', false FROM ren
-        UNION ALL SELECT name, label, NULL, 'DROP_ENUM_VALUE', true FROM gone WHERE (name, label) NOT IN (SELECT (name, label) FROM ren)
-        UNION ALL SELECT name, label, NULL, 'ALTER_ENUM', false FROM fresh WHERE (name, label) NOT IN (SELECT (name, new_name) FROM ren)""", a="live_enums", b="desired_enums", r="enum_renames"),
+        """, m AS (SELECT a.sch, a.name, a.label, a.pos, coalesce((SELECT min(new_name) FROM r WHERE old_name = a.name || '.' || a.label), (SELECT min(new_name) FROM r WHERE old_name = 'enum.' || a.name || '.' || a.label)) AS target FROM a WHERE (sch, name) IN (SELECT (sch, name) FROM b)),
+        ren AS (SELECT m.* FROM m JOIN b ON b.sch = m.sch AND b.name = m.name AND b.label = m.target AND m.target <> m.label QUALIFY row_number() OVER (PARTITION BY m.sch, m.name, m.target ORDER BY m.pos, m.label) = 1)
+        SELECT sch, name, string_agg(label, ',' ORDER BY pos) AS label, NULL AS new_label, 'CREATE_ENUM' AS change_type, false AS destructive FROM b WHERE (sch, name) NOT IN (SELECT (sch, name) FROM a) GROUP BY sch, name
+        UNION ALL SELECT sch, name, label, target, 'RENAME_ENUM_VALUE', false FROM ren
+        UNION ALL SELECT sch, name, label, NULL, 'DROP_ENUM_VALUE', true FROM m WHERE (sch, name, label) NOT IN (SELECT (sch, name, label) FROM ren) AND (sch, name, label) NOT IN (SELECT (sch, name, label) FROM b)
+        UNION ALL SELECT sch, name, label, NULL, 'ALTER_ENUM', false FROM b WHERE (sch, name) IN (SELECT (sch, name) FROM a) AND (sch, name, label) NOT IN (SELECT (sch, name, label) FROM a) AND (sch, name, label) NOT IN (SELECT (sch, name, target) FROM ren)""", a="live_enums", b="desired_enums", r="enum_renames"),
     "diff_views": generated.twin(
-        """, s AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN ['CREATE_VIEW'] || CASE WHEN b.materialised THEN ['REFRESH_MATVIEW'] ELSE [] END WHEN b.name IS NULL THEN ['DROP_VIEW']
-            WHEN a.definition = b.definition AND a.materialised = b.materialised THEN [] WHEN NOT a.materialised AND NOT b.materialised AND b.cols[1:len(a.cols)] = a.cols THEN ['CREATE_VIEW']
-            ELSE ['DROP_VIEW', 'CREATE_VIEW'] || CASE WHEN b.materialised THEN ['REFRESH_MATVIEW'] ELSE [] END END AS steps FROM a FULL OUTER JOIN b ON a.name = b.name)
-        SELECT name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""", a="live_views", b="desired_views"),
+        """, s AS (SELECT coalesce(a.sch, b.sch) AS sch, coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN ['CREATE_VIEW'] || CASE WHEN b.materialised THEN ['REFRESH_MATVIEW'] ELSE [] END WHEN b.name IS NULL THEN ['DROP_VIEW']
+            WHEN a.definition IS NOT DISTINCT FROM b.definition AND a.materialised = b.materialised THEN [] WHEN NOT a.materialised AND NOT b.materialised AND b.cols[1:len(a.cols)] = a.cols THEN ['CREATE_VIEW']
+            ELSE ['DROP_VIEW', 'CREATE_VIEW'] || CASE WHEN b.materialised THEN ['REFRESH_MATVIEW'] ELSE [] END END AS steps FROM a FULL OUTER JOIN b ON a.sch = b.sch AND a.name = b.name)
+        SELECT sch, name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""", a="live_views", b="desired_views"),
     "diff_policies": generated.twin(
         f""", l AS (SELECT * REPLACE ({ROLES} AS roles) FROM a), d AS (SELECT * REPLACE ({ROLES} AS roles) FROM b),
-        s AS (SELECT coalesce(l.tbl, d.tbl) AS tbl, coalesce(l.name, d.name) AS name, CASE WHEN l.name IS NULL THEN ['CREATE_POLICY'] WHEN d.name IS NULL THEN ['DROP_POLICY']
+        s AS (SELECT coalesce(l.sch, d.sch) AS sch, coalesce(l.tbl, d.tbl) AS tbl, coalesce(l.name, d.name) AS name, CASE WHEN l.name IS NULL THEN ['CREATE_POLICY'] WHEN d.name IS NULL THEN ['DROP_POLICY']
             WHEN l.cmd <> d.cmd OR l.permissive <> d.permissive OR (l.using_expr <> '' AND d.using_expr = '') OR (l.check_expr <> '' AND d.check_expr = '') THEN ['DROP_POLICY', 'CREATE_POLICY']
-            WHEN l.roles <> d.roles OR l.using_expr <> d.using_expr OR l.check_expr <> d.check_expr THEN ['ALTER_POLICY'] ELSE [] END AS steps FROM l FULL OUTER JOIN d ON l.tbl = d.tbl AND l.name = d.name)
-        SELECT tbl, name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""", a="live_policies", b="desired_policies"),
+            WHEN l.roles <> d.roles OR l.using_expr <> d.using_expr OR l.check_expr <> d.check_expr THEN ['ALTER_POLICY'] ELSE [] END AS steps FROM l FULL OUTER JOIN d ON l.sch = d.sch AND l.tbl = d.tbl AND l.name = d.name)
+        SELECT sch, tbl, name, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type FROM s""", a="live_policies", b="desired_policies"),
     "diff_grants": generated.twin(
-        f""", l AS (SELECT kind, obj, grantee, unnest(string_split({ALL_SQL}, ',')) AS p, grantable FROM a), d AS (SELECT kind, obj, grantee, unnest(string_split({ALL_SQL}, ',')) AS p, grantable FROM b),
-        lm AS (SELECT kind, obj, grantee, list_distinct(list(p)) AS p, bool_or(grantable) AS g FROM l GROUP BY ALL), dm AS (SELECT kind, obj, grantee, list_distinct(list(p)) AS p, bool_or(grantable) AS g FROM d GROUP BY ALL),
-        given AS (SELECT d.kind, d.obj, d.grantee, 'GRANT' AS change_type, list_filter(d.p, lambda x: (d.g AND NOT l.g) IS TRUE OR l.p IS NULL OR NOT list_contains(l.p, x)) AS p FROM dm d LEFT JOIN lm l USING (kind, obj, grantee)
-            UNION ALL SELECT l.kind, l.obj, l.grantee, 'REVOKE', list_filter(l.p, lambda x: d.p IS NULL OR NOT list_contains(d.p, x)) FROM lm l LEFT JOIN dm d USING (kind, obj, grantee) WHERE l.grantee <> 'PUBLIC')
-        SELECT kind, obj, grantee, change_type, array_to_string(list_sort(p), ',') AS privileges FROM given WHERE len(p) > 0""", a="live_grants", b="desired_grants"),
+        f""", l AS (SELECT sch, kind, obj, grantee, unnest(string_split({ALL_SQL}, ',')) AS p, grantable FROM a), d AS (SELECT sch, kind, obj, grantee, unnest(string_split({ALL_SQL}, ',')) AS p, grantable FROM b),
+        lm AS (SELECT sch, kind, obj, grantee, list_distinct(list(p)) AS p, bool_or(grantable) AS g FROM l GROUP BY ALL), dm AS (SELECT sch, kind, obj, grantee, list_distinct(list(p)) AS p, bool_or(grantable) AS g FROM d GROUP BY ALL),
+        given AS (SELECT d.sch, d.kind, d.obj, d.grantee, 'GRANT' AS change_type, list_filter(d.p, lambda x: (d.g AND NOT l.g) IS TRUE OR l.p IS NULL OR NOT list_contains(l.p, x)) AS p FROM dm d LEFT JOIN lm l USING (sch, kind, obj, grantee)
+            UNION ALL SELECT l.sch, l.kind, l.obj, l.grantee, 'REVOKE', list_filter(l.p, lambda x: d.p IS NULL OR NOT list_contains(d.p, x)) FROM lm l LEFT JOIN dm d USING (sch, kind, obj, grantee) WHERE l.grantee <> 'PUBLIC')
+        SELECT sch, kind, obj, grantee, change_type, array_to_string(list_sort(p), ',') AS privileges FROM given WHERE len(p) > 0""", a="live_grants", b="desired_grants"),
 }
 ORACLES["diff_expand"] = ORACLES["diff_columns"].replace("WITH ", "WITH every AS (WITH ", 1).replace(" AND tbl NOT LIKE 't7_'", "") + ") SELECT sch, tbl, new_col AS col, col AS new_col, false AS not_null FROM every WHERE change_type = 'RENAME_COLUMN'"
 ORACLES["diff_whole_tables"] = (
     "WITH every AS (" + ORACLES["diff_objects"] + "), " + generated.twin("", la="live_columns", lb="desired_columns").removeprefix("WITH ") + """,
-    gone AS (SELECT DISTINCT tbl FROM la ANTI JOIN lb USING (tbl)), fresh AS (SELECT DISTINCT tbl FROM lb ANTI JOIN la USING (tbl))
-    SELECT tbl, kind, name, seq, change_type FROM every WHERE tbl NOT IN (SELECT tbl FROM gone) OR change_type = 'DROP_FK'
-    UNION ALL SELECT tbl, 'table', '', 1, 'DROP_TABLE' FROM gone UNION ALL SELECT tbl, 'table', '', 0, 'CREATE_TABLE' FROM fresh"""
+    gone AS (SELECT DISTINCT sch, tbl FROM la ANTI JOIN lb USING (sch, tbl)), fresh AS (SELECT DISTINCT sch, tbl FROM lb ANTI JOIN la USING (sch, tbl))
+    SELECT sch, tbl, kind, name, seq, change_type FROM every WHERE (sch, tbl) NOT IN (SELECT (sch, tbl) FROM gone) OR change_type = 'DROP_FK'
+    UNION ALL SELECT sch, tbl, 'table', '', 1, 'DROP_TABLE' FROM gone UNION ALL SELECT sch, tbl, 'table', '', 0, 'CREATE_TABLE' FROM fresh"""
 )

@@ -28,11 +28,11 @@ def text(number: str) -> str:
 TYPES = ("smallint", "int4", "bigint", "real", "float8", "text", "varchar(20)", "character varying(50)", "numeric(10,2)", "numeric(8,2)", "bool", "decimal", "numeric(12)", "timestamp", "serial", "numeric")
 LINES = "(SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, max(l_suppkey) AS u FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS x"
 PLACE = f"'s' || {text('k % 3')} AS sch, 't' || {text('k')} AS tbl"
-OBJECTS = f"""(SELECT kind, tbl, name, min(c) AS c FROM (
-    SELECT kind, tbl, c, CASE kind WHEN 'comment' THEN CASE WHEN c % 2 = 0 THEN '' ELSE 'c' || {text('c % 5')} END WHEN 'check' THEN CASE c % 6 WHEN 0 THEN tbl || '_check' WHEN 1 THEN tbl || '_c1_check' || {text('k')} WHEN 2 THEN tbl || 'x_check' WHEN 3 THEN tbl || '_zz_check2'
+OBJECTS = f"""(SELECT sch, kind, tbl, name, min(c) AS c FROM (
+    SELECT sch, kind, tbl, c, CASE kind WHEN 'comment' THEN CASE WHEN c % 2 = 0 THEN '' ELSE 'c' || {text('c % 5')} END WHEN 'check' THEN CASE c % 6 WHEN 0 THEN tbl || '_check' WHEN 1 THEN tbl || '_c1_check' || {text('k')} WHEN 2 THEN tbl || 'x_check' WHEN 3 THEN tbl || '_zz_check2'
         WHEN 4 THEN tbl || '_c1' ELSE 'ck_' || {text('k')} END ELSE kind || '_' || {text('k')} END AS name
-    FROM (SELECT o_orderkey AS k, o_custkey AS c, {choose('o_orderkey', ('index', 'fk', 'check', 'trigger', 'comment', 'sequence'))} AS kind, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE 't' || {text('o_orderkey - o_orderkey % 40')} END AS tbl FROM {{orders}}) AS o) AS named
-    GROUP BY kind, tbl, name) AS x"""
+    FROM (SELECT o_orderkey AS k, o_custkey AS c, 's' || {text('(o_orderkey - o_orderkey % 40) % 3')} AS sch, {choose('o_orderkey', ('index', 'fk', 'check', 'trigger', 'comment', 'sequence'))} AS kind, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE 't' || {text('o_orderkey - o_orderkey % 40')} END AS tbl FROM {{orders}}) AS o) AS named
+    GROUP BY sch, kind, tbl, name) AS x"""
 PARTS = "(SELECT p_partkey AS p, p_size AS z FROM {part}) AS x"
 PEOPLE = "(SELECT c_custkey AS c, c_nationkey AS a FROM {customer}) AS x"
 ORDERS = "(SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) AS x"
@@ -44,18 +44,18 @@ SQL = {
     "desired_columns": f"""SELECT {PLACE}, CASE WHEN u % 10 = 2 THEN 'r' ELSE 'c' END || {text('n')} AS col, {choose('p + CASE WHEN u % 3 = 0 THEN 1 + k % 5 ELSE 0 END', TYPES)} AS data_type, (p % 2 = 0) <> (u % 9 = 0) AS nullable,
         {choose('p + CASE WHEN u % 11 = 0 THEN 1 ELSE 0 END', ("", "(0)", "0", "'x'", "true", "CURRENT_TIMESTAMP"))} AS dflt, CASE WHEN p % 13 = 0 THEN CASE WHEN u % 2 = 0 THEN 'c1 * 3' ELSE 'c1 * 2' END ELSE '' END AS generated FROM {LINES} WHERE k % 29 <> 0""",
     "renames": f"SELECT 't' || {text('k')} || '.c' || {text('n')} AS old_name, 'r' || {text('n')} AS new_name FROM {LINES} WHERE u % 20 = 2 UNION ALL SELECT * FROM (VALUES ('c3', 'r3'), ('c3', 'r5'), ('c4', 'r3'), ('c2', 'r1')) AS loose(old_name, new_name)",
-    "live_objects": f"SELECT kind, tbl, name, CASE WHEN kind = 'comment' THEN {choose('c', ('', 'x', 'y'))} ELSE 'd' || {text('c % 4')} END AS definition, c % 7 <> 0 AS valid FROM {OBJECTS} WHERE c % 10 <> 1",
-    "desired_objects": f"""SELECT kind, tbl, name, CASE WHEN kind = 'comment' THEN {choose('c + c % 2', ('', 'x', 'y'))} ELSE 'd' || {text('(c + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) % 4')} || CASE WHEN kind IN ('fk', 'check') AND c % 8 = 0 THEN ' NOT VALID' ELSE '' END END AS definition,
+    "live_objects": f"SELECT sch, kind, tbl, name, CASE WHEN kind = 'comment' THEN {choose('c', ('', 'x', 'y'))} ELSE 'd' || {text('c % 4')} END AS definition, c % 7 <> 0 AS valid FROM {OBJECTS} WHERE c % 10 <> 1",
+    "desired_objects": f"""SELECT sch, kind, tbl, name, CASE WHEN kind = 'comment' THEN {choose('c + c % 2', ('', 'x', 'y'))} ELSE 'd' || {text('(c + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) % 4')} || CASE WHEN kind IN ('fk', 'check') AND c % 8 = 0 THEN ' NOT VALID' ELSE '' END END AS definition,
         true AS valid FROM {OBJECTS} WHERE c % 10 <> 2""",
-    "live_enums": f"SELECT 'e' || {text('p % 97')} AS name, 'v' || {text('p')} AS label, CAST(p AS INT) AS pos FROM {PARTS} WHERE p % 7 <> 1 AND p % 97 <> 5",
-    "desired_enums": f"SELECT 'e' || {text('p % 97')} AS name, CASE WHEN p % 7 = 3 THEN 'w' ELSE 'v' END || {text('p')} AS label, CAST(p AS INT) AS pos FROM {PARTS} WHERE p % 7 <> 2 AND p % 97 <> 6",
-    "enum_renames": f"SELECT 'enum.e' || {text('p % 97')} || '.v' || {text('p')} AS old_name, 'w' || {text('p')} AS new_name FROM {PARTS} WHERE p % 21 = 3 UNION ALL SELECT 'enum.v' || {text('p')}, 'w' || {text('p')} FROM {PARTS} WHERE p % 21 = 10",
-    "live_views": f"SELECT 'v' || {text('c')} AS name, 'q' || {text('a % 5')} AS definition, c % 5 = 0 AS materialised, {{split}}({choose('c', ('a,b', 'a', 'b,c,d', 'a,b,c'))}, ',') AS cols FROM {PEOPLE} WHERE a % 10 <> 1",
-    "desired_views": f"SELECT 'v' || {text('c')} AS name, 'q' || {text('(a + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) % 5')} AS definition, c % 5 = 0 AND c % 4 <> 1 AS materialised, {{split}}({choose('c + CASE WHEN a % 4 = 0 THEN 3 ELSE 0 END', ('a,b', 'a', 'b,c,d', 'a,b,c'))}, ',') AS cols FROM {PEOPLE} WHERE a % 10 <> 2",
-    "live_policies": f"SELECT 't' || {text('c % 50')} AS tbl, 'p' || {text('c')} AS name, {choose('c', ('SELECT', 'ALL', 'UPDATE'))} AS cmd, c % 4 <> 0 AS permissive, {{split}}({choose('a', ('public', 'app', 'App ,web', 'web,app'))}, ',') AS roles, {choose('a', ('true', 'id = 1', ''))} AS using_expr, {choose('a + c', ('', 'id > 0'))} AS check_expr FROM {PEOPLE} WHERE a % 10 <> 1",
-    "desired_policies": f"SELECT 't' || {text('c % 50')} AS tbl, 'p' || {text('c')} AS name, {choose('c + CASE WHEN c % 11 = 0 THEN 1 ELSE 0 END', ('SELECT', 'ALL', 'UPDATE'))} AS cmd, (c % 4 <> 0) <> (c % 17 = 0) AS permissive, {{split}}({choose('a', ('PUBLIC', 'app', 'web,app', 'WEB, app'))}, ',') AS roles, {choose('a + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END', ('true', 'id = 1', ''))} AS using_expr, {choose('a + c', ('', 'id > 0'))} AS check_expr FROM {PEOPLE} WHERE a % 10 <> 2",
-    "live_grants": f"SELECT {choose('k', ('table', 'sequence', 'schema'))} AS kind, 'o' || {text('k - k % 9')} AS obj, {choose('c', ('app', 'web', 'PUBLIC', 'report'))} AS grantee, {choose('c + k', PRIVILEGES)} AS privileges, c % 9 = 0 AS grantable FROM {ORDERS} WHERE c % 10 <> 1",
-    "desired_grants": f"SELECT {choose('k', ('table', 'sequence', 'schema'))} AS kind, 'o' || {text('k - k % 9')} AS obj, {choose('c', ('app', 'web', 'PUBLIC', 'report'))} AS grantee, {choose('c + k + k % 2', PRIVILEGES)} AS privileges, c % 8 = 0 AS grantable FROM {ORDERS} WHERE c % 10 <> 2",
+    "live_enums": f"SELECT 's' || {text('p % 2')} AS sch, 'e' || {text('p % 97')} AS name, 'v' || {text('p')} AS label, CAST(p AS INT) AS pos FROM {PARTS} WHERE p % 7 <> 1 AND p % 97 <> 5",
+    "desired_enums": f"SELECT 's' || {text('p % 2')} AS sch, 'e' || {text('p % 97')} AS name, CASE WHEN p % 7 = 3 THEN 'w' ELSE 'v' END || {text('p')} AS label, CAST(p AS INT) AS pos FROM {PARTS} WHERE p % 7 <> 2 AND p % 97 <> 6",
+    "enum_renames": f"SELECT 'enum.e' || {text('p % 97')} || '.v' || {text('p')} AS old_name, 'w' || {text('p')} AS new_name FROM {PARTS} WHERE p % 21 = 3 UNION ALL SELECT 'e' || {text('p % 97')} || '.v' || {text('p')}, 'w' || {text('p')} FROM {PARTS} WHERE p % 21 = 10 UNION ALL SELECT 'e' || {text('p % 97')} || '.v' || {text('p + 388')}, 'w' || {text('p')} FROM {PARTS} WHERE p % 21 = 3",
+    "live_views": f"SELECT 's' || {text('c % 2')} AS sch, 'v' || {text('c - c % 2')} AS name, CASE WHEN c % 19 > 0 THEN 'q' || {text('a % 5')} END AS definition, c % 5 = 0 AS materialised, {{split}}({choose('c', ('a,b', 'a', 'b,c,d', 'a,b,c'))}, ',') AS cols FROM {PEOPLE} WHERE a % 10 <> 1",
+    "desired_views": f"SELECT 's' || {text('c % 2')} AS sch, 'v' || {text('c - c % 2')} AS name, CASE WHEN c % 19 > 0 THEN 'q' || {text('(a + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) % 5')} END AS definition, c % 5 = 0 AND c % 4 <> 1 AS materialised, {{split}}({choose('c + CASE WHEN a % 4 = 0 THEN 3 ELSE 0 END', ('a,b', 'a', 'b,c,d', 'a,b,c'))}, ',') AS cols FROM {PEOPLE} WHERE a % 10 <> 2",
+    "live_policies": f"SELECT 's' || {text('c % 3')} AS sch, 't' || {text('(c - c % 3) % 50')} AS tbl, 'p' || {text('c - c % 3')} AS name, {choose('c', ('SELECT', 'ALL', 'UPDATE'))} AS cmd, c % 4 <> 0 AS permissive, {{split}}({choose('a', ('public', 'app', 'App ,web', 'web,app'))}, ',') AS roles, {choose('a', ('true', 'id = 1', ''))} AS using_expr, {choose('a + c', ('', 'id > 0'))} AS check_expr FROM {PEOPLE} WHERE a % 10 <> 1",
+    "desired_policies": f"SELECT 's' || {text('c % 3')} AS sch, 't' || {text('(c - c % 3) % 50')} AS tbl, 'p' || {text('c - c % 3')} AS name, {choose('c + CASE WHEN c % 11 = 0 THEN 1 ELSE 0 END', ('SELECT', 'ALL', 'UPDATE'))} AS cmd, (c % 4 <> 0) <> (c % 17 = 0) AS permissive, {{split}}({choose('a', ('PUBLIC', 'app', 'web,app', 'WEB, app'))}, ',') AS roles, {choose('a + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END', ('true', 'id = 1', ''))} AS using_expr, {choose('a + c', ('', 'id > 0'))} AS check_expr FROM {PEOPLE} WHERE a % 10 <> 2",
+    "live_grants": f"SELECT 's' || {text('c % 2')} AS sch, {choose('k', ('table', 'sequence', 'schema'))} AS kind, 'o' || {text('k - k % 9')} AS obj, {choose('c', ('app', 'web', 'PUBLIC', 'report'))} AS grantee, {choose('c + k', PRIVILEGES)} AS privileges, c % 9 = 0 AS grantable FROM {ORDERS} WHERE c % 10 <> 1",
+    "desired_grants": f"SELECT 's' || {text('c % 2')} AS sch, {choose('k', ('table', 'sequence', 'schema'))} AS kind, 'o' || {text('k - k % 9')} AS obj, {choose('c', ('app', 'web', 'PUBLIC', 'report'))} AS grantee, {choose('c + k + k % 2', PRIVILEGES)} AS privileges, c % 8 = 0 AS grantable FROM {ORDERS} WHERE c % 10 <> 2",
     "live_tables": f"SELECT 's' || {text('c % 3')} AS sch, 't' || {text('c')} AS tbl, c % 4 = 0 AS rls, c % 6 = 0 AS forced, CASE WHEN c % 10 = 0 THEN 'RANGE' ELSE '' END AS strategy, CASE WHEN c % 10 = 0 THEN 'c1,c2' ELSE '' END AS part_cols, CASE WHEN c % 10 IN (1, 2, 3) THEN 't' || {text('c - c % 10')} ELSE '' END AS parent, CASE WHEN c % 10 = 3 THEN 'DEFAULT' WHEN c % 10 IN (1, 2) THEN 'FROM ' || {text('a')} ELSE '' END AS bounds, c % 14 = 0 AS pending FROM {PEOPLE} WHERE a <> 1",
     "desired_tables": f"SELECT 's' || {text('c % 3')} AS sch, 't' || {text('c')} AS tbl, (c % 4 = 0) <> (a % 5 = 0) AS rls, (c % 6 = 0) <> (a % 7 = 0) AS forced, CASE WHEN c % 10 = 0 AND a % 6 <> 0 THEN CASE WHEN a % 6 = 1 THEN 'LIST' ELSE 'RANGE' END ELSE '' END AS strategy, CASE WHEN c % 10 = 0 AND a % 6 <> 0 THEN CASE WHEN a % 6 = 2 THEN 'c2' ELSE 'c1,c2' END ELSE '' END AS part_cols, CASE WHEN c % 10 IN (2, 3, 4) THEN 't' || {text('c - c % 10')} ELSE '' END AS parent, CASE WHEN c % 10 = 3 THEN 'DEFAULT' WHEN c % 10 IN (2, 4) THEN 'FROM ' || {text('a + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END')} ELSE '' END AS bounds, false AS pending FROM {PEOPLE} WHERE a <> 2",
     "unique_sets": f"SELECT 's' || {text('c % 3')} AS sch, 't' || {text('c')} AS tbl, {choose('a', ('pk', 'ux'))} AS name, {choose('a + c', ('c1', 'c1,c2', 'c2,c1,c3', ''))} AS cols FROM {PEOPLE} WHERE a % 3 <> 0",
