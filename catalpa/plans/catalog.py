@@ -127,7 +127,7 @@ def refused_conversions(live: DataFrame, desired: DataFrame) -> DataFrame:
 def partition_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     """Attach and detach (tbl, parent, bounds, pending; no parent: no partition); a detach that was cut off is ended first.
 
-    item of a detach is 'default' where the parent has, on either side, a partition for all other rows.
+    item of a detach is 'pending' where it ends one that was cut off, else 'default' where the parent has, on either side, a partition for all other rows.
     """
     key, up = scoped(live, "tbl"), scoped(live, "parent")
     default = lambda s: s.where(F.col("parent") != "").where(F.upper("bounds").contains("DEFAULT")).select(*up)
@@ -141,7 +141,7 @@ def partition_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
         F.when((a["parent"] == "") & (b["parent"] != ""), F.array(attach))
         .when((a["parent"] != "") & (b["parent"] == ""), F.array(detach))
         .when((a["parent"] == "") & (b["parent"] == ""), no_acts())
-        .otherwise(F.concat(F.when(a["pending"], F.array(detach)).otherwise(no_acts()), F.when(moved, F.array(detach, attach)).otherwise(no_acts())))
+        .otherwise(F.concat(F.when(a["pending"], F.array(act("DETACH_PARTITION", False, F.lit("pending")))).otherwise(no_acts()), F.when(moved, F.array(detach, attach)).otherwise(no_acts())))
     )
     return stepped(both, key, acts)
 

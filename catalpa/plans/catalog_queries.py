@@ -186,9 +186,9 @@ ORACLES = {
     "diff_partitions": twin(
         """, open_parents AS (SELECT sch, parent FROM a WHERE bounds = 'DEFAULT' UNION SELECT sch, parent FROM b WHERE bounds = 'DEFAULT'),
         j AS (SELECT sch, tbl, a.parent AS p0, b.parent AS p1, a.bounds AS b0, b.bounds AS b1, a.pending, CASE WHEN (sch, a.parent) IN (SELECT (sch, parent) FROM open_parents) THEN 'default' ELSE '' END AS kept FROM a JOIN b USING (sch, tbl)),
-        s AS (SELECT *, CASE WHEN p0 = '' AND p1 = '' THEN [] WHEN p0 = '' THEN ['ATTACH'] WHEN p1 = '' THEN ['DETACH'] ELSE CASE WHEN pending THEN ['DETACH'] ELSE [] END || CASE WHEN p0 <> p1 OR b0 <> b1 THEN ['DETACH', 'ATTACH'] ELSE [] END END AS steps FROM j),
+        s AS (SELECT *, CASE WHEN p0 = '' AND p1 = '' THEN [] WHEN p0 = '' THEN ['ATTACH'] WHEN p1 = '' THEN ['DETACH'] ELSE CASE WHEN pending THEN ['END'] ELSE [] END || CASE WHEN p0 <> p1 OR b0 <> b1 THEN ['DETACH', 'ATTACH'] ELSE [] END END AS steps FROM j),
         u AS (SELECT sch, tbl, kept, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS step FROM s)
-        SELECT sch, tbl, seq, step || '_PARTITION' AS change_type, false AS destructive, CASE WHEN step = 'DETACH' THEN kept ELSE '' END AS item FROM u""", a="live_tables", b="desired_tables"),
+        SELECT sch, tbl, seq, replace(step, 'END', 'DETACH') || '_PARTITION' AS change_type, false AS destructive, CASE step WHEN 'DETACH' THEN kept WHEN 'END' THEN 'pending' ELSE '' END AS item FROM u""", a="live_tables", b="desired_tables"),
     "refused_conversions": twin(" SELECT sch, tbl, CASE WHEN (a.strategy = '') <> (b.strategy = '') THEN 'conversion' ELSE 'strategy or key' END AS refused FROM a JOIN b USING (sch, tbl) WHERE a.strategy <> b.strategy OR a.part_cols <> b.part_cols", a="live_tables", b="desired_tables"),
     "partition_key_gaps": twin(
         """, n AS (SELECT t.sch, t.tbl, s.name, list_filter(string_split(part_cols, ','), lambda c: NOT list_contains(string_split(cols, ','), c)) AS lacks FROM t JOIN s USING (sch, tbl) WHERE part_cols <> '' AND cols <> '')

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalpa.functions import sqltypes
 from catalpa.operators import integrity, ledger, lint
-from catalpa.plans import catalog, changes, generated, steps, vocabulary
+from catalpa.plans import catalog, changes, generated, guards, steps, vocabulary
 from catalpa.sources import snapshots
 from catalpa.streaming import drift
 
@@ -186,3 +186,18 @@ def test_checkpoints_need_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         session.checkpoint(Frame)
+
+
+def test_roles_that_may_be_dropped(spark):
+    roles = spark.createDataFrame([(i, f"r{i}") for i in range(9)], "id long, role string")
+    owners = spark.createDataFrame([("schema", 1), ("large object", 1), ("type", None)], "catalog string, owner long")
+    entries = [("relation", "a", "r", None, 2), ("relation", "z", "r", None, 3), ("relation", "a", "i", None, 4), ("function", "a", "p", None, 5), ("database", None, None, True, 6), ("database", None, None, False, 7), ("default access", "a", "r", None, 8), ("schema", "a", None, None, 2), ("function", "a", "f", None, 2), ("schema", None, None, None, 8)]
+    entries = spark.createDataFrame(entries, "kind string, sch string, detail string, here boolean, grantee long")
+    got = {r["role"]: (r["owned"], r["unhandled"], r["may_drop"]) for r in guards.role_guards(roles, owners, entries, ("a", "b")).collect()}
+    assert {n for n, r in got.items() if r[2]} == {"r0", "r2", "r6"} and got["r1"] == (2, 0, False) and got["r8"] == (0, 2, False)
+    assert guards.role_guards(roles, owners, entries, ()).where("may_drop").count() == 2
+
+
+@pytest.mark.parametrize(("kind", "item", "version", "concurrent", "outside"), [("DETACH_PARTITION", "", 140000, True, True), ("DETACH_PARTITION", "", 139999, True, False), ("DETACH_PARTITION", "", 150000, False, False), ("DETACH_PARTITION", "default", 150000, True, False), ("DETACH_PARTITION", "pending", 150000, True, False), ("CREATE_INDEX", "", 90000, False, True), ("ADD_COLUMN", "", 150000, True, False)])
+def test_steps_outside_transactions(spark, kind, item, version, concurrent, outside):
+    assert spark.createDataFrame([(kind, item)], "change_type string, item string").select(guards.runs_outside(version, concurrent)).first()[0] is outside
