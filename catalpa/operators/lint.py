@@ -214,7 +214,7 @@ KINDS = ("tables", "columns", "keys", "indexes", "fks", "checks", "triggers", "r
 
 def snapshot(spark, sf_dir) -> Snapshot:
     found = {kind: generated.frame(spark, sf_dir, f"lint_{kind}") for kind in KINDS}
-    return found | {"columns": checkpoint(found["columns"])}  # derived by an aggregate, and read by several rules
+    return found | {kind: checkpoint(found[kind]) for kind in ("columns", "keys", "tables", "indexes", "checks")}  # read by several rules, some derived by an aggregate
 
 
 def suppressed(spark):

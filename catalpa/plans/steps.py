@@ -7,9 +7,10 @@ projections; only order and groups need a window, by plan.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +57,38 @@ def ordered_by_need(objects: DataFrame, plan: str = "plan_id") -> DataFrame:
     in a task, as only the whole of them has an order; plans and phases are spread.
     """
 
-    def arrange(rows: pd.DataFrame) -> pd.DataFrame:
-        change_type = rows["change_type"].iloc[0]
-        names = set(rows["name"])
+    def arranged(change_type: str, rows: list[tuple[str, str | None]]) -> list[str]:
+        names = {name for name, _ in rows}
         needs: dict[str, set[str]] = {n: set() for n in names}
-        for name, need in zip(rows["name"], rows["needs"]):
-            if isinstance(need, str) and need in names and need != name:
+        for name, need in rows:
+            if need in names and need != name:
                 first, second = (need, name) if vocabulary.ORDERED_BY_NEED[change_type] else (name, need)
                 needs[first].add(second)
-        out = by_need(sorted(names), needs)
-        return pd.DataFrame({plan: rows[plan].iloc[0], "change_type": change_type, "name": out, "place": range(1, len(out) + 1)})
+        return by_need(sorted(names), needs)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phases follow one another in a task's rows; one is arranged when the next begins."""
+        key, held, kinds = None, [], None
+        for batch in batches:
+            kinds, done = kinds or [f.type for f in batch.schema], []
+            for plan_id, change_type, name, need in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and key != (plan_id, change_type):
+                    done.append((*key, arranged(key[1], held)))
+                    held = []
+                key = (plan_id, change_type)
+                held.append((name, need))
+            yield told(done, kinds)
+        if held:
+            yield told([(*key, arranged(key[1], held))], kinds)
+
+    def told(done: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        rows = [(p, t, name, place) for p, t, names in done for place, name in enumerate(names, 1)]
+        columns = [pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate([*kinds[:3], pa.int32()])]
+        return pa.RecordBatch.from_arrays(columns, names=[plan, "change_type", "name", "place"])
 
     kept = objects.where(F.col("change_type").isin(*vocabulary.ORDERED_BY_NEED)).select(plan, "change_type", "name", "needs")
     kind = dict(objects.dtypes)[plan]
-    return kept.groupBy(plan, "change_type").applyInPandas(arrange, f"{plan} {kind}, change_type string, name string, place int")
+    return kept.repartition(plan, "change_type").sortWithinPartitions(plan, "change_type").mapInArrow(each, f"{plan} {kind}, change_type string, name string, place int")
 
 
 #: Hazards that a step's text or flags bring, beside those of its type: (code, level, condition).
