@@ -9,6 +9,8 @@ Characters without a piece are spelled by bytes of one shared weight.
 Beside it stands a base score, add-0.1 smoothed word counts. Words are counted over all documents; the words met most often, at
 most HEAD of them, travel to the workers with their scores, all others meet the documents in a join on the word.
 
+Words of LONG_WORD letters or more are summed up each for itself, place by place, so a word of any length takes time in proportion to its length.
+
 Defined cases: null is empty text, which has its end only. Without training documents N is 0, V is 0 and pieces keep the vocabulary's
 weights. Rows that repeat an id and its text get equal scores, each row once.
 """
@@ -35,6 +37,8 @@ PRIOR = 1000.0
 HEAD = 200_000
 FLUSH = 300_000
 CHUNK = 20_000
+#: Words of so many letters or more are summed up each for itself, by place; shorter ones many of one length at once.
+LONG_WORD = 200
 LN10 = math.log(10)
 
 
@@ -64,14 +68,34 @@ class LatticeModel:
     def log_prob(self, texts: list[str]) -> np.ndarray:
         """Natural log of each word's marginal probability."""
         out = np.zeros(len(texts))
-        for at, chars in of_one_length([" " + t for t in texts], CHUNK):
+        for at, chars in of_one_length([" " + t if len(t) < LONG_WORD else "" for t in texts], CHUNK):
             out[at] = forward(self.edges(chars), len(at))[-1]
+        for at, text in enumerate(texts):
+            if len(text) >= LONG_WORD:
+                starts, ends, _, scores = self.places(" " + text)
+                out[at] = along(starts, ends, scores, len(text) + 1)[-1]
         return out
 
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces, log-probabilities) of all pieces in one text, by end."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        starts, ends, at = self.table.along(chars)
+        spelled = at < 0
+        at = np.where(spelled, self.table.size, at)
+        return starts, ends, at, np.where(spelled, utf8_bytes(chars[starts]), 1) * self.logp[at]
+
     def expected(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, and of bytes, over all segmentations of the counted words."""
         out = np.zeros(self.table.size + 1)
-        for at, chars in of_one_length([" " + t for t in texts], CHUNK):
+        for text, count in zip(texts, counts):
+            if len(text) >= LONG_WORD:
+                starts, ends, piece, scores = self.places(" " + text)
+                n = len(text) + 1
+                ahead, behind = along(starts, ends, scores, n), along((n - ends)[::-1], (n - starts)[::-1], scores[::-1], n)[::-1]
+                use = np.exp(ahead[starts] + scores + behind[ends] - ahead[-1]) * count
+                chars = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                out += np.bincount(piece, np.where(piece == self.table.size, utf8_bytes(chars[starts]), 1) * use, minlength=len(out))
+        for at, chars in of_one_length([" " + t if len(t) < LONG_WORD else "" for t in texts], CHUNK):
             into = self.edges(chars)
             ahead, behind = forward(into, len(at)), backward(into, len(at))
             pieces, uses = [], []
@@ -96,6 +120,17 @@ def log_sum(ways: list[np.ndarray]) -> np.ndarray:
     return top + np.log(sum(np.exp(w - top) for w in ways))
 
 
+def along(starts: np.ndarray, ends: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
+    """Log of the summed weight of all ways from the start of one text to each of its n places; a turn for each place, with its few pieces."""
+    order = np.argsort(ends, kind="stable")
+    first, begins, said, out = np.searchsorted(ends[order], np.arange(1, n + 2)).tolist(), starts[order].tolist(), scores[order].tolist(), [0.0]
+    for j in range(n):
+        ways = [out[begins[k]] + said[k] for k in range(first[j], first[j + 1])]
+        top = max(ways)
+        out.append(top + math.log(sum(math.exp(w - top) for w in ways)))
+    return np.array(out)
+
+
 def forward(into: list, rows: int) -> list[np.ndarray]:
     """Log of the summed weight of all ways from the start to each place."""
     out = [np.zeros(rows)]

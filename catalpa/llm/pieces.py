@@ -139,6 +139,18 @@ class PieceTable:
                 if j == i + 1 or (at >= 0).any():
                     yield i, j, at
 
+    def along(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, piece numbers) of all places of one text, by end; single characters without a piece have -1. Works on all starts of a text at once."""
+        n, key, found = len(chars), np.zeros(len(chars), dtype=np.uint64), []
+        for size in range(1, min(n, self.longest) + 1):
+            key = (key[: n - size + 1] ^ (chars[size - 1 :] + np.uint64(1))) * self.FACTOR
+            at = self.find(key)
+            starts = np.arange(n) if size == 1 else np.flatnonzero(at >= 0)
+            found.append((starts, starts + size, at[starts]))
+        starts, ends, at = (np.concatenate(parts) for parts in zip(*found))
+        order = np.lexsort((starts, ends))
+        return starts[order], ends[order], at[order]
+
 
 def of_one_length(texts: list[str], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, characters) of the texts of each length, at most about 16 * chunk characters at a time; no empty texts."""

@@ -1,5 +1,7 @@
 import math
 import os
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -82,6 +84,21 @@ def test_lattice_probability_and_expected_counts(vocabulary):
     assert np.allclose(model.expected(words, np.full(len(words), 2.0)), uses)
 
 
+def test_long_words_by_place(monkeypatch):
+    """A word summed up by place has the probability and the expected pieces that it has among words of its length; a very long one takes no minute."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdei é語😀") for _ in range(n)).replace(" ", "") or "x" for n in (1, 7, 40, 120, 199, 200, 260)] + ["x" * 230]
+    model, counts = lattice_lm.initial(), np.arange(1.0, 9.0)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 10**9)
+    want, uses = model.log_prob(words), model.expected(words, counts)
+    for least in (1, 50, 200):
+        monkeypatch.setattr(lattice_lm, "LONG_WORD", least)
+        assert np.allclose(model.log_prob(words), want, rtol=1e-12) and np.allclose(model.expected(words, counts), uses, atol=1e-9)
+    began = time.perf_counter()
+    long = model.log_prob(["".join(rng.choice("abcdefghijkl0123456789+/") for _ in range(40000))])
+    assert np.isfinite(long).all() and time.perf_counter() - began < 10
+
+
 def base(rows, learn):
     counts, n_texts = Counter(), 0
     for i, text, *_ in rows:
