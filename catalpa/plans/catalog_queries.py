@@ -129,11 +129,19 @@ def role_names(spark, sf_dir):
     return catalog.desired_roles(roles_replayed(spark, sf_dir), generated.frame(spark, sf_dir, "desired_grants"))
 
 
+def diff_table_parts(spark, sf_dir):
+    """Created and dropped tables with all that comes and goes with them: objects, comments, row security and policies."""
+    names = ("columns", "objects", "policies", "tables")
+    (columns, objects, policies, flags) = (generated.frames(spark, sf_dir, f"live_{n}", f"desired_{n}") for n in names)
+    rls = catalog.rls_changes(*(t.select("sch", "tbl", "rls", "forced") for t in flags))
+    return changes.whole_tables(changes.table_changes(*columns, F.lit(True)), changes.object_changes(*objects, columns[0]), changes.policy_changes(*policies), rls)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         diff_extensions, diff_ranges, diff_composites, diff_routines, diff_domains, diff_rls, diff_partitions, refused_conversions, partition_key_gaps, key_led_indexes, sequences_of_serials, diff_sequences, dropped_columns_needed,
-        unmanaged_dependants, surviving_triggers, routine_dependants, diff_replication, refused_recreates, table_rebuilds, check_deltas, roles_replayed, diff_roles, role_names,
+        unmanaged_dependants, surviving_triggers, routine_dependants, diff_replication, refused_recreates, table_rebuilds, check_deltas, roles_replayed, diff_roles, role_names, diff_table_parts,
     )
 }
 
@@ -240,3 +248,10 @@ ORACLES = {
         SELECT role, CAST(unnest(range(len(steps))) AS INTEGER) AS seq, unnest(steps) AS change_type, unnest(steps) = 'DROP_ROLE' AS destructive, '' AS item FROM s""", o="roles"),
     "role_names": twin(replay("w", "o") + " SELECT role FROM w UNION SELECT grantee FROM g WHERE grantee <> 'PUBLIC'", o="roles", g="desired_grants"),
 }
+ORACLES["diff_table_parts"] = (
+    "WITH every AS (" + changes.ORACLES["diff_whole_tables"] + "), pol AS (" + changes.ORACLES["diff_policies"] + "), r AS (" + ORACLES["diff_rls"] + "), " + twin("", la="live_columns", lb="desired_columns").removeprefix("WITH ") + """,
+    lost AS (SELECT DISTINCT sch, tbl FROM la ANTI JOIN lb USING (sch, tbl))
+    SELECT sch, tbl, kind, name, seq, change_type FROM every
+    UNION ALL SELECT sch, tbl, 'policy', name, seq, change_type FROM pol WHERE (sch, tbl) NOT IN (SELECT (sch, tbl) FROM lost)
+    UNION ALL SELECT sch, tbl, 'rls', '', seq, change_type FROM r WHERE (sch, tbl) NOT IN (SELECT (sch, tbl) FROM lost)"""
+)

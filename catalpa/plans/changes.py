@@ -208,16 +208,22 @@ def grant_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     return rows.where("privileges <> '' AND NOT (change_type = 'REVOKE' AND grantee = 'PUBLIC')")
 
 
-def whole_tables(tables: DataFrame, objects: DataFrame) -> DataFrame:
-    """Table changes (tbl, change_type) and object changes put together: (tbl, kind, name, seq, change_type).
+def whole_tables(tables: DataFrame, objects: DataFrame, policies: DataFrame | None = None, rls: DataFrame | None = None) -> DataFrame:
+    """Table changes (tbl, change_type) and those of objects, policies (tbl, name, seq, change_type) and row security (tbl, seq, change_type) put together: (tbl, kind, name, seq, change_type).
 
-    What stands in a dropped table goes with it, but its foreign keys are dropped before; what is new in a new table follows it.
+    What stands in a dropped table goes with it, but its foreign keys are dropped before; what is new in a new table follows it: indexes, keys, checks, row security, policies, triggers, comments.
     """
     at = scoped(objects, "tbl")
-    gone = tables.where("change_type = 'DROP_TABLE'").select(*at).distinct()
-    kept = objects.join(gone, at, "left_anti").unionByName(objects.join(gone, at, "left_semi").where("change_type = 'DROP_FK'"))
+    shaped = lambda df, kind, name: df.select(*at, F.lit(kind).alias("kind"), name.alias("name"), "seq", "change_type")
+    parts = objects.select(*at, "kind", "name", "seq", "change_type")
+    if policies is not None:
+        parts = parts.unionByName(shaped(policies, "policy", F.col("name")))
+    if rls is not None:
+        parts = parts.unionByName(shaped(rls, "rls", F.lit("")))
+    gone = tables.where("change_type = 'DROP_TABLE'").select(*at).distinct().withColumn("gone", F.lit(True))
+    kept = parts.join(gone, at, "left").where("gone IS NULL OR change_type = 'DROP_FK'").drop("gone")
     own = tables.select(*at, F.lit("table").alias("kind"), F.lit("").alias("name"), F.when(F.col("change_type") == "DROP_TABLE", 1).otherwise(0).alias("seq"), "change_type")
-    return kept.select(*at, "kind", "name", "seq", "change_type").unionByName(own)
+    return kept.unionByName(own)
 
 
 def diff_expand(spark, sf_dir):
