@@ -139,10 +139,10 @@ def placed(found: DataFrame, slices: int | None = None) -> DataFrame:
     return ranked.withColumn("place", F.col("ahead") + F.row_number().over(Window.partitionBy("slice", "plan").orderBy("key"))).drop("key", "slice", "p", "s", "ahead")
 
 
-#: Needs of one large plan: chains of sixteen, each hung on an object far below, some objects with two needs, a few rings.
+#: Needs of one large plan: chains of sixteen, each hung on the first object of a chain far below, some objects with two needs, a few rings.
 NEEDS = """SELECT 'all' AS plan, 't' || {k} AS name, CASE WHEN k % 16 = 0 THEN CASE WHEN k > 0 THEN 't' || {low} END WHEN k % 1000 = 7 THEN 't' || {next} ELSE 't' || {before} END AS needs FROM {orders}
     UNION ALL SELECT 'all', 't' || {k}, 't' || {second} FROM {orders} WHERE c % 20 = 0 AND k % 16 > 2"""
-PLACES = {"k": "k", "low": "k // 5", "next": "k + 2", "before": "k - 1", "second": "k - 3"}
+PLACES = {"k": "k", "low": "k // 80 * 16", "next": "k + 2", "before": "k - 1", "second": "k - 3"}
 
 
 def needs_sql(spark_side: bool) -> str:
