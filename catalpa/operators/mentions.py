@@ -43,7 +43,10 @@ def mentions(bodies: DataFrame, names: DataFrame, id_cols: list[str], body_col:
     places = F.when(F.size("own") > 0, F.sequence(F.lit(0), F.size("own") - 1)).otherwise(F.array().cast("array<int>"))
     if len(firsts) <= FIRSTS:
         places = F.filter(places, lambda p: F.get("own", p).isin(firsts))
-    at = checkpoint(cut.withColumn("places", places).where("size(places) > 0").select(*id_cols, F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.slice("own", F.greatest(p, F.lit(1)), F.lit(max(lengths, default=0) + 2)).alias("near")))).alias("x")).select(*id_cols, "x.*"))
+    around = F.transform("places", lambda p: F.struct(p.alias("place"), F.slice("own", F.greatest(p, F.lit(1)), F.lit(max(lengths, default=0) + 2)).alias("near")))
+    # Kept before it is exploded: a condition on the places, pushed below the tokens, would cut a body anew for each of them.
+    kept = checkpoint(cut.withColumn("places", places).select(*id_cols, around.alias("around")))
+    at = kept.select(*id_cols, F.explode("around").alias("x")).select(*id_cols, "x.*")
     start = F.when(F.col("place") > 0, F.lit(2)).otherwise(F.lit(1))  # where in near the place is, from 1
     each = at.withColumn("start", start).withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).where("start + n - 1 <= size(near)")
     hashed = each.withColumn("h", F.xxhash64(F.array_join(F.slice("near", F.col("start"), F.col("n")), "")))
