@@ -31,7 +31,7 @@ from catalpa.session import checkpoint
 WINDOW = 10
 SHINGLE = 4
 #: Slots of a mask: so many for each shingle, within these bounds.
-SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS = 16, 2**12, 2**23
+SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS = 64, 2**12, 2**23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII signs that are no digit or lower-case letter.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
