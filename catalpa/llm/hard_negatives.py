@@ -7,8 +7,9 @@ best score so far. Both searches run this way: an anchor's positives (rows of it
 that each positive's score gives, the negatives (rows of other labels) over all lists.
 
 On Spark, anchors of like lists form blocks of at most about PACK requests, and open lists are put together to chunks of about CHUNK rows. A chunk gets the pack of a
-block once, so packs add little to what is shuffled; lists larger than a chunk are cut by a hash. First each request's FIRST best lists are visited,
-then, with the thresholds found there, every list that is still open. Nothing is capped: a list is left out only where a bound proves it useless.
+block once, so packs add little to what is shuffled; lists larger than a chunk are cut by a hash. First each request's FIRST best lists are visited for a threshold,
+then every list that it leaves open to the request, the first ones among them: a list that one request of a block has visited is still new to the others.
+Nothing is capped: a list is left out only where a bound proves it useless.
 
 Centres are fitted on at most SAMPLE different rows; every row is indexed, and results are exact whatever the centres are.
 
@@ -122,21 +123,18 @@ class Search:
         """(anchor, nth, rank, vec_id, score)."""
         asked = checkpoint(dealt(requests, ["grp", "region"], "pack", PACK, ["anchor"]).withColumn("least", F.lit(-LONG)))
         own = self.lists.withColumnRenamed("grp", "g")
-        open_lists = checkpoint(asked.select(*BLOCK).distinct().join(own, F.expr("grp = g")).drop("g"))
+        lists = checkpoint(asked.select(*BLOCK).distinct().join(own, F.expr("grp = g")).drop("g"))
         result = None
         for first in (FIRST, None):
             if result is not None:  # what is found so far raises the thresholds
                 full = result.groupBy("anchor", "nth").agg(F.min("score").alias("low"), F.count("*").alias("have")).where(F.col("have") == self.k)
                 low = full.select(F.col("anchor").alias("a"), F.col("nth").alias("t"), "low")
                 asked = checkpoint(asked.join(low, F.expr("anchor = a AND nth = t"), "left").withColumn("least", F.coalesce("low", "least")).drop("a", "t", "low"))
-            packs = checkpoint(asked.groupBy(*BLOCK).cogroup(open_lists.groupBy(*BLOCK)).applyInPandas(self.packed(first), "grp long, region int, pack int, chunk int, places array<struct<list:int,part:int,radius:double>>, requests binary, vectors binary"))
+            packs = checkpoint(asked.groupBy(*BLOCK).cogroup(lists.groupBy(*BLOCK)).applyInPandas(self.packed(first), "grp long, region int, pack int, chunk int, places array<struct<list:int,part:int,radius:double>>, requests binary, vectors binary"))
             places = packs.select(*[F.col(c).alias(f"{c}_") for c in (*BLOCK, "chunk")], F.explode("places").alias("p")).select("*", F.col("p.list").alias("l"), F.col("p.part").alias("q")).drop("p")
             cands = self.rows.drop("region").join(places, F.expr("grp = grp_ AND list = l AND part = q")).select(*[F.col(f"{c}_").alias(c) for c in (*BLOCK, "chunk")], "vec_id", "label", "v", "list")
             met = packs.groupBy(*BLOCK, "chunk").cogroup(cands.groupBy(*BLOCK, "chunk")).applyInPandas(self.met(), "anchor long, nth int, vec_id long, score long")
-            result = checkpoint(best_rows(met if result is None else met.unionByName(result.drop("rank")), self.k))
-            if first is not None:
-                done = places.drop("chunk_").distinct()
-                open_lists = checkpoint(open_lists.join(done, F.expr("grp = grp_ AND region = region_ AND pack = pack_ AND list = l AND part = q"), "left_anti"))
+            result = checkpoint(best_rows(met, self.k))
         return result
 
     def packed(self, first: int | None):

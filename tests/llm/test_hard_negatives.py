@@ -41,6 +41,14 @@ def test_matches_brute_force_over_blocks(spark, small_blocks):
     assert len(want) > 300 and answer(spark, rows, every=20) == want
 
 
+def test_a_list_visited_by_one_request_stays_open_to_others(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(hn, "PACK", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(3)), rng.normal(size=8).tolist()) for i in range(600)]
+    want = brute(rows, every=10)
+    assert len(want) > 500 and answer(spark, rows, every=10) == want
+
+
 def test_ties_a_hot_vector_and_a_hot_label(spark, small_blocks):
     rows = [(i, 0 if i % 9 else 1, [1.0, 0.5, -0.25]) for i in range(150)] + [(200 + i, i % 3, [0.02 * i, 0.5, 0.2]) for i in range(100)]
     want = brute(rows, every=25)
