@@ -20,7 +20,12 @@ from catalpa.session import checkpoint
 
 
 def settled(df: DataFrame) -> DataFrame:
-    return checkpoint(df)
+    """Checkpointed with the size it has. Spark's estimate of a join is the product of its sides', so over rounds of joins its digits double again and again, until the number alone fills the driver."""
+    held = df.persist()
+    held.count()  # a cached plan knows its size once it is whole
+    kept = checkpoint(held.select("*"))
+    held.unpersist()
+    return kept
 
 
 def inside(objects: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -69,3 +69,17 @@ def test_long_chains_need_few_rounds(spark, monkeypatch):
     found = {r["name"]: (r["level"], r["component"]) for r in told(spark, rows).collect()}
     assert found["r5"] == (None, "r0") and found["t1"] == (None, None) and found["z"] == (0, None)
     assert told(spark, []).collect() == []
+
+
+def test_sizes_do_not_multiply_over_rounds(spark, monkeypatch):
+    """The estimate of a step's size, a whole number of any length on the driver, stays that of its rows."""
+    bits, plain = [], order.settled
+
+    def settled(df):
+        kept = plain(df)
+        bits.append(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return kept
+
+    monkeypatch.setattr(order, "settled", settled)
+    told(spark, [("p", f"r{i}", f"r{(i + 1) % 3}") for i in range(3)] + [("p", "t0", "r0"), ("p", "t1", "t0"), ("p", "z", None)]).collect()
+    assert len(bits) > 10 and max(bits) < 40
