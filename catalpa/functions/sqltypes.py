@@ -59,9 +59,13 @@ def measured(t: Column) -> Column:
 def is_narrowing(old: Column, new: Column) -> Column:
     """Whether values may be lost when a column of the old type becomes the new one; types that can't be compared count as narrowing."""
     a, b = normalize_type(old), normalize_type(new)
-    x, y = measured(a), measured(b)
+    return ~((a == b) | fits(measured(a), measured(b)))
+
+
+def fits(x: Column, y: Column) -> Column:
+    """Whether all values of the first measured type can be written in the second."""
     holds = (x["kind"] == y["kind"]) & (x["width"] <= y["width"]) & (x["scale"] <= y["scale"])
-    return ~((a == b) | F.coalesce(holds | F.concat_ws(">", x["kind"], y["kind"]).isin(*SAFE), F.lit(False)))
+    return F.coalesce(holds | F.concat_ws(">", x["kind"], y["kind"]).isin(*SAFE), F.lit(False))
 
 
 LITERAL = r"'(?:[^']|'')*'"

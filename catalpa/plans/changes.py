@@ -41,6 +41,26 @@ def table_changes(live: DataFrame, desired: DataFrame, in_scope: Column) -> Data
     return both.select(*key, F.when(added(), "CREATE_TABLE").when(removed(), "DROP_TABLE").alias("change_type"), removed().alias("destructive")).where("change_type IS NOT NULL")
 
 
+def differing(live: DataFrame, desired: DataFrame, at: list[str], partitions: DataFrame | None) -> DataFrame:
+    """The columns that differ, of tables that both sides have: at, col, side (live, desired, both) and what column_changes asks of them."""
+    told = ["norm", "nullable", "plain", "generated"]
+    row = lambda df, side: df.select(*at, "col", F.lit(side).alias("side"), sqltypes.normalize_type(F.col("data_type")).alias("norm"), "nullable", sqltypes.normalize_default(F.col("dflt")).alias("plain"), "generated")
+    rows = row(live, "live").unionByName(row(desired, "desired"))
+    if partitions is not None:
+        rows = rows.unionByName(partitions.select(*at, F.lit("part").alias("side"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("col", *told)]))
+    table = Window.partitionBy(*at).orderBy("col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    has = lambda side: F.max(F.col("side") == side).over(table)
+    here = rows.dropna(subset=at).withColumns({"in_live": has("live"), "in_desired": has("desired"), "in_parts": has("part")}).where("in_live AND in_desired AND NOT in_parts")
+    of = lambda side: F.first(F.when(F.col("side") == side, F.struct(*told)), ignorenulls=True).alias(side)
+    both = here.groupBy(*at, "col").agg(of("live"), of("desired"))  # in the window's order: no other shuffle or sort
+    a, b = F.col("live"), F.col("desired")
+    type_differs, null_differs, default_differs, generated_differs = (~a[f].eqNullSafe(b[f]) for f in told)
+    found = both.where(added() | removed() | type_differs | null_differs | default_differs | generated_differs)
+    side = F.when(added(), "desired").when(removed(), "live").otherwise("both")
+    kept = lambda c: F.when(added() | removed() | type_differs, c)
+    return found.select(*at, "col", side.alias("side"), type_differs.alias("retyped"), kept(a["norm"]).alias("norm"), kept(b["norm"]).alias("new_norm"), (a["nullable"] & ~b["nullable"]).alias("tightened"), generated_differs.alias("generated"), F.coalesce(~b["nullable"], F.lit(False)).alias("strict"))
+
+
 def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_scope: Column, expand: bool = False, partitions: DataFrame | None = None) -> DataFrame:
     """ADD, DROP, ALTER and RENAME of columns in tables that both sides have, but for attached partitions (tbl), whose columns their parent manages.
 
@@ -49,27 +69,21 @@ def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_s
     A rename maps `table.column` or, less closely, `column` to a column that is new. Of the columns that map to one new column the first by name is renamed, the others are dropped.
     An old name that is mapped more than once goes to the first new name. A dropped column of the same type as an added one that no rename takes is a rename candidate.
     not_null tells an added or altered column that takes no nulls.
+
+    Both sides go through one shuffle, by table; what differs is kept as narrow rows.
     """
     at = scoped(live, "tbl")
-    common = live.select(*at).where(in_scope).distinct().join(desired.select(*at).distinct(), at)
-    if partitions is not None:
-        common = common.join(partitions.select(*at).distinct(), at, "left_anti")
-    common = small(checkpoint(common), F.lit(64))
-    live, desired = (s.join(common, at, "left_semi").withColumns({"norm": sqltypes.normalize_type(F.col("data_type")), "plain": sqltypes.normalize_default(F.col("dflt"))}) for s in (live, desired))
-    a, b = F.col("live"), F.col("desired")
-    both = paired(live, desired, [*at, "col"])
-    type_differs, null_differs, default_differs, generated_differs = (~a[f].eqNullSafe(b[f]) for f in ("norm", "nullable", "plain", "generated"))
-    narrows = type_differs & sqltypes.is_narrowing(a["data_type"], b["data_type"])
-    both = checkpoint(both.where(added() | removed() | type_differs | null_differs | default_differs | generated_differs))
-    altered = both.where(~added() & ~removed())
     no = F.lit(False)
-    strict = F.coalesce(~b["nullable"], no)
-    alters = altered.select(*at, "col", F.lit(None).cast("string").alias("new_col"), F.lit("ALTER_COLUMN").alias("change_type"), (narrows | (a["nullable"] & ~b["nullable"])).alias("destructive"), narrows.alias("narrowed"), generated_differs.alias("generated"), no.alias("candidate"), strict.alias("not_null"))
-    gone = both.where(removed()).select(*at, "col", a["norm"].alias("norm"))
-    new = both.where(added()).select(*at, F.col("col").alias("new_col"), b["norm"].alias("new_norm"), strict.alias("strict"))
-    named = renames.groupBy("old_name").agg(F.min("new_name").alias("new_name"))
+    both = checkpoint(differing(live.where(in_scope), desired.where(in_scope), at, partitions))
+    altered = both.where("side = 'both'").withColumns({"old_measure": sqltypes.measured(F.col("norm")), "new_measure": sqltypes.measured(F.col("new_norm"))})
+    narrows = F.when(F.col("retyped"), ~((F.col("norm") == F.col("new_norm")) | sqltypes.fits(F.col("old_measure"), F.col("new_measure")))).otherwise(no)
+    alters = altered.select(*at, "col", F.lit(None).cast("string").alias("new_col"), F.lit("ALTER_COLUMN").alias("change_type"), (narrows | F.col("tightened")).alias("destructive"), narrows.alias("narrowed"), "generated", no.alias("candidate"), F.col("strict").alias("not_null"))
+    gone = both.where("side = 'live'").select(*at, "col", "norm")
+    new = both.where("side = 'desired'").select(*at, F.col("col").alias("new_col"), "new_norm", "strict")
+    named = checkpoint(renames.groupBy("old_name").agg(F.min("new_name").alias("new_name")))
     close = named.select(F.col("old_name").alias("full_name"), F.col("new_name").alias("close"))
-    loose = named.select(F.col("old_name").alias("bare_name"), F.col("new_name").alias("loose"))
+    bare = small(checkpoint(gone.select(F.col("col").alias("old_name")).distinct()), F.length("old_name") + 32)  # few names stand for many columns: no shuffle by them
+    loose = small(checkpoint(named.join(bare, "old_name", "left_semi")), F.length("old_name") + F.length("new_name") + 32).select(F.col("old_name").alias("bare_name"), F.col("new_name").alias("loose"))
     mapped = gone.join(close, F.concat_ws(".", "tbl", "col") == F.col("full_name"), "left").join(loose, F.col("col") == F.col("bare_name"), "left")
     mapped = mapped.withColumn("new_col", F.coalesce("close", "loose")).join(new.select(*at, "new_col", F.lit(True).alias("is_new")), [*at, "new_col"], "left")
     first = F.row_number().over(Window.partitionBy(*at, "new_col", "is_new").orderBy("col")) == 1

@@ -51,6 +51,21 @@ def test_one_rename_a_target_and_attached_partitions(spark):
     assert {(r["sch"], r["col"], r["new_col"], r["not_null"]) for r in grown} == {("a", "n", "b", False), ("b", "n", "b", False)}
 
 
+def test_columns_of_both_sides_meet_in_one_shuffle(spark):
+    """By table, also with attached partitions; a mapping of a bare name holds for all tables."""
+    schema = "sch string, tbl string, col string, data_type string, nullable boolean, dflt string, generated string"
+    live = spark.createDataFrame([("s", "t", "a", "int", True, "", ""), ("s", "t", "b", "text", True, "'x'::text", ""), (None, "t", "b", "int", True, "", ""), ("s", "gone", "a", "int", True, "", "")], schema)
+    desired = spark.createDataFrame([("s", "t", "c", "int4", True, "", ""), ("s", "t", "b", "varchar(5)", False, "'x'", ""), (None, "t", "b", "text", True, "", ""), ("s", "new", "a", "int", True, "", "")], schema)
+    parts = spark.createDataFrame([("s", "part")], "sch string, tbl string")
+    found = changes.differing(live, desired, ["sch", "tbl"], parts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {(r["col"], r["side"], r["retyped"]) for r in found.collect()} == {("a", "live", True), ("b", "both", True), ("c", "desired", True)}
+    renames = spark.createDataFrame([("a", "c"), ("other.a", "d")], "old_name string, new_name string")
+    told = {(r["col"], r["new_col"], r["change_type"], r["destructive"], r["narrowed"]) for r in changes.column_changes(live, desired, renames, F.lit(True), partitions=parts).collect()}
+    assert told == {("a", "c", "RENAME_COLUMN", False, False), ("b", None, "ALTER_COLUMN", True, True)}
+
+
 def test_nulls_on_both_sides_are_no_difference(spark):
     view = spark.createDataFrame([("v", None, False, None)], "name string, definition string, materialised boolean, cols array<string>")
     assert changes.view_changes(view, view).count() == 0
