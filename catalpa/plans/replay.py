@@ -4,8 +4,8 @@ Operations are rows (sch, kind, seq, op, name, target, scope, members, attrs); s
 where it isn't; DROP ends it; RENAME gives it the name `target`, if it exists and the target is free; SET puts members of a scope (tables, schemas, all) in place of all others,
 ADD and REMOVE change some; ALTER says attributes. Operations on names that don't exist are skipped.
 
-Nothing runs row after row. Whether a RENAME holds depends on earlier ones, so all are taken to hold first and told again until none changes: each turn settles at least
-the earliest that was wrong of each object it touches. Then the time of each name falls into segments; a RENAME points from the segment it begins to the one it
+Nothing runs row after row. Whether a RENAME holds depends on earlier ones, so all are taken to hold first and told again until none changes, each time only
+in a (sch, kind) where one changed: each turn settles at least the earliest that was wrong of each object it touches. Then the time of each name falls into segments; a RENAME points from the segment it begins to the one it
 ends, and pointer jumping leads every segment to the CREATE it stems from. Members and attributes are folded by identity with partial aggregates: of what is said after the last SET, the last word on a
 member holds.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from catalpa.operators.ranges import last_before
 from catalpa.plans import generated
-from catalpa.session import checkpoint
+from catalpa.session import checkpoint, small
 
 OBJECT = ["sch", "kind"]
 NAME = [*OBJECT, "name"]
@@ -40,15 +40,19 @@ def lasting(operations: DataFrame) -> DataFrame:
     """(sch, kind, seq, ok) of each RENAME: whether it holds."""
     holds = checkpoint(operations.where("op = 'RENAME'").select(*OBJECT, "seq", (F.col("name") != F.col("target")).alias("ok")))
     lives = operations.where(F.col("op").isin("CREATE", "DROP", "RENAME"))
+    settled = None
     while True:
         seen = last_before(timeline(lives, holds, F.lit(True), F.lit(False)), NAME, "seq", F.col("event"), "before").where("side <> ''")
         side = lambda s: F.coalesce(F.bool_or(F.when(F.col("side") == s, F.col("before"))), F.lit(False))
-        told = seen.groupBy(*OBJECT, "seq").agg((side("from") & ~side("to") & (F.min("name") != F.max("name"))).alias("ok"))
-        next_holds = checkpoint(told)
-        changed = next_holds.exceptAll(holds)
-        holds, done = next_holds, changed.isEmpty()
-        if done:
-            return holds
+        told = checkpoint(seen.groupBy(*OBJECT, "seq").agg((side("from") & ~side("to") & (F.min("name") != F.max("name"))).alias("ok"), F.bool_or(F.col("event").isNotNull()).alias("was")))
+        moved = small(checkpoint(told.where("ok <> was").select(F.col("sch").alias("s"), F.col("kind").alias("k")).distinct()), F.lit(64))
+        here = F.expr("sch <=> s AND kind <=> k")
+        holds = told.select(*OBJECT, "seq", "ok")
+        still = holds.join(moved, here, "left_anti")
+        settled = still if settled is None else settled.unionByName(still)
+        if moved.isEmpty():
+            return settled
+        lives, holds = (checkpoint(df.join(moved, here, "left_semi")) for df in (lives, holds))  # an object kind nothing changed in stays as it is
 
 
 def segments(operations: DataFrame) -> tuple[DataFrame, DataFrame]:

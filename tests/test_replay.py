@@ -67,3 +67,15 @@ def test_last_before(spark):
     rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, None, i])) for i in range(200)]
     got = {r["n"]: r["before"] for r in last_before(spark.createDataFrame(rows, "k string, n int, v int"), ["k"], "n", replay.F.col("v"), "before", slices=7).collect()}
     assert got == {n: max((m for j, m, v in rows if j == k and m < n and v is not None), default=None) for k, n, _ in rows}
+
+
+def test_only_objects_that_changed_are_told_again(spark, monkeypatch):
+    step = lambda sch, seq, op, name, target="": (sch, "role", seq, op, name, target, "tables", [], "")
+    calm = [step("calm", 0, "CREATE", "a"), step("calm", 1, "RENAME", "a", "b"), step("calm", 2, "CREATE", "c")]
+    stirred = [step("stirred", 0, "CREATE", "a"), step("stirred", 1, "CREATE", "b"), step("stirred", 2, "RENAME", "a", "b"), step("stirred", 3, "RENAME", "b", "c")]
+    told = []
+    kept = replay.last_before
+    monkeypatch.setattr(replay, "last_before", lambda df, *rest: told.append({r["sch"] for r in df.select("sch").distinct().collect()}) or kept(df, *rest))
+    holds = replay.lasting(spark.createDataFrame(calm + stirred, SCHEMA))
+    assert sorted((r["sch"], r["seq"], r["ok"]) for r in holds.collect()) == [("calm", 1, True), ("stirred", 2, False), ("stirred", 3, True)]
+    assert told == [{"calm", "stirred"}, {"stirred"}]
