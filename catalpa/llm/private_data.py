@@ -258,6 +258,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return joined.select("doc_id", "mark", "base", F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "new"))).alias("spans"))
 
 
+def base_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, base, spans) with the base spans alone: one pass over the texts, nothing is learned or kept."""
+    return scan(docs, id_col, text_col).select("doc_id", "mark", "base", F.col("base").alias("spans"))
+
+
 def masked(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in brackets; a span that begins inside another is masked with it."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])

@@ -12,7 +12,7 @@ from catalpa.session import table
 
 def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3_private_data says of base spans."""
-    found = private_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = private_data.base_only(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return private_data.digest(found).drop("spans")
 
 

@@ -102,3 +102,12 @@ def test_a_cue_that_mostly_precedes_other_text_finds_nothing(make):
     rows += [(20, "so tel:555 010 2000", "en", "a")] + [(30 + i, f"{w} tel:none", "en", "a") for i, w in enumerate(VARIED * 2)]
     out = {r["doc_id"]: r["spans"] for r in pd_.digest(pd_.find(make(rows))).collect()}
     assert out[20] == ""
+
+
+def test_base_spans_alone_take_one_pass(spark):
+    """What find says of base spans, without a checkpoint or a shuffle."""
+    docs = spark.createDataFrame([(1, "mail a@b.org or 10.0.0.1"), (2, None), (3, "+49 30 1234567, card 4111 1111 1111 1111"), (3, "none")], "doc_id long, text string")
+    alone = pd_.digest(pd_.base_only(docs)).drop("spans")
+    whole = pd_.digest(pd_.find(docs)).drop("spans")
+    assert sorted(alone.collect()) == sorted(whole.collect())
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
