@@ -39,8 +39,7 @@ def lookup(c: Column, pairs: dict) -> Column:
 def normalize_type(c: Column) -> Column:
     """The canonical name of a type; only whole names are replaced, but for the character types."""
     low = F.lower(F.trim(c))
-    varying = F.regexp_replace(low, r"^character varying", "varchar")
-    fixed = F.regexp_replace(varying, r"^character\(", "char(")
+    fixed = F.regexp_replace(low, r"^(char)acter(?: (var)ying|(?=\())", "$2$1")
     return F.coalesce(lookup(fixed, TYPE_ALIASES), fixed)
 
 
@@ -72,23 +71,20 @@ LITERAL = r"'(?:[^']|'')*'"
 CAST = r"::[A-Za-z_][A-Za-z0-9_ ]*(?:\(\d+\))?"
 
 
+#: The calls and words that a default may consist of, and their normal form.
+PLAIN_WORDS = {"true": "true", "false": "false", "current_timestamp": "now()", "now()": "now()"}
+
+
 def normalize_default(c: Column) -> Column:
-    """A default without casts, parentheses and schema names where it is a single literal or call; else as it is."""
-    d = F.trim(c)
-    first = lambda pattern: F.regexp_extract(d, pattern, 1)
-    literal = first(rf"^\(*\s*({LITERAL})(?:{CAST})?\s*\)*$")
-    word = F.lower(first(r"^\(*\s*((?i:true|false))\s*\)*$"))
-    number = first(r"^\(*\s*(-?\d+(?:\.\d+)?)\s*\)*$")
-    call = first(r"^\(*\s*((?i:current_timestamp|now\(\)))\s*\)*$")
-    sequence = first(r"^\(*nextval\('(?:[^'.]*\.)*([^'.]*)'.*$")
-    return (
-        F.when(literal != "", literal)
-        .when(word != "", word)
-        .when(number != "", number)
-        .when(call != "", F.lit("now()"))
-        .when(sequence != "", F.concat(F.lit("nextval('"), sequence, F.lit("'::regclass)")))
-        .otherwise(d)
-    )
+    """A default without casts, parentheses and schema names where it is a single literal or call; else as it is.
+
+    Only literals and sequences have quotes, so other defaults meet one pattern, which leaves the word, number or call.
+    """
+    d, end = F.trim(c), "$(?s:.*)"  # takes the line's end that $ leaves as well
+    literal = F.regexp_replace(d, rf"^\(*\s*({LITERAL})(?:{CAST})?\s*\)*{end}", "$1")
+    quoted = F.regexp_replace(literal, rf"^\(*nextval\('(?:[^'.]*\.)*([^'.]+)'.*{end}", "nextval('$1'::regclass)")
+    bare = F.regexp_replace(d, rf"^\(*\s*((?i:true|false|current_timestamp|now\(\))|-?\d+(?:\.\d+)?)\s*\)*{end}", "$1")
+    return F.when(d == "", d).when(d.contains("'"), quoted).otherwise(F.coalesce(lookup(F.lower(bare), PLAIN_WORDS), bare))
 
 
 def is_snake_case(c: Column) -> Column:

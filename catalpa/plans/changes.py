@@ -70,7 +70,7 @@ def column_changes(live: DataFrame, desired: DataFrame, renames: DataFrame, in_s
     An old name that is mapped more than once goes to the first new name. A dropped column of the same type as an added one that no rename takes is a rename candidate.
     not_null tells an added or altered column that takes no nulls.
 
-    Both sides go through one shuffle, by table; what differs is kept as narrow rows.
+    Both sides go through one shuffle, by table; what differs is kept as narrow rows. live, desired and renames are read before this returns, and not again.
     """
     at = scoped(live, "tbl")
     no = F.lit(False)
@@ -242,8 +242,9 @@ def whole_tables(tables: DataFrame, objects: DataFrame, policies: DataFrame | No
 
 def diff_expand(spark, sf_dir):
     """Renames as additions, with the old column kept."""
-    live, desired, renames, tables = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames", "desired_tables")
-    found = column_changes(live, desired, renames, F.lit(True), expand=True, partitions=tables.where("parent <> ''"))
+    with generated.kept_lines(spark, sf_dir) as lines:
+        live, desired, renames, tables = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames", "desired_tables", lines=lines)
+        found = column_changes(live, desired, renames, F.lit(True), expand=True, partitions=tables.where("parent <> ''"))
     return found.where("change_type = 'ADD_COLUMN' AND new_col IS NOT NULL").select("sch", "tbl", "col", "new_col", "not_null")
 
 
@@ -256,8 +257,11 @@ def diff_tables(spark, sf_dir):
     return table_changes(*generated.frames(spark, sf_dir, "live_columns", "desired_columns"), sqltypes.is_managed(F.col("tbl"), excludes=("t?", "t9*1")))
 
 
-def diff_columns(spark, sf_dir):
-    live, desired, renames, tables = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames", "desired_tables")
+def diff_columns(spark, sf_dir, lines=None):
+    if lines is None:
+        with generated.kept_lines(spark, sf_dir) as kept:
+            return diff_columns(spark, sf_dir, kept)
+    live, desired, renames, tables = generated.frames(spark, sf_dir, "live_columns", "desired_columns", "renames", "desired_tables", lines=lines)
     return column_changes(live, desired, renames, sqltypes.is_managed(F.col("tbl"), includes=("t[0-9]*",), excludes=("t7?",)), partitions=tables.where("parent <> ''"))
 
 

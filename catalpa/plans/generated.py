@@ -8,6 +8,9 @@ grows with the tables, the size of one of them doesn't.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -104,15 +107,26 @@ SQL = {
 USED = re.compile(r"\{(lineitem|orders|part|customer|events)\}")
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived snapshot as a DataFrame."""
-    text = SQL[name]
+@contextmanager
+def kept_lines(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """A view of the grouped line items that several snapshots are derived from, grouped once and kept until all that reads them is checkpointed."""
+    view = f"lines_{uuid.uuid4().hex}"
+    spark.sql(f"SELECT * FROM {LINES}", lineitem=table(spark, sf_dir, "lineitem")).persist().createOrReplaceTempView(view)
+    try:
+        yield view
+    finally:
+        spark.catalog.dropTempView(view)  # what is kept goes with it
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str, lines: str | None = None) -> DataFrame:
+    """A derived snapshot as a DataFrame, from a view of kept lines if one is named."""
+    text = SQL[name].replace(LINES, f"{lines} AS x") if lines else SQL[name]
     tables = {t: table(spark, sf_dir, t) for t in set(USED.findall(text))}
     return spark.sql(text.replace("{split}", "split"), **tables)
 
 
-def frames(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [frame(spark, sf_dir, name) for name in names]
+def frames(spark: SparkSession, sf_dir: str, *names: str, lines: str | None = None) -> list[DataFrame]:
+    return [frame(spark, sf_dir, name, lines) for name in names]
 
 
 def twin(sql: str, **names: str) -> str:

@@ -268,7 +268,9 @@ def plan_reversible(spark, sf_dir):
 def plan_drift(spark, sf_dir):
     from catalpa.plans.changes import diff_columns
 
-    return drift(generated.frame(spark, sf_dir, "desired_columns"), diff_columns(spark, sf_dir), ["sch", "tbl"])
+    with generated.kept_lines(spark, sf_dir) as lines:
+        tables = checkpoint(generated.frame(spark, sf_dir, "desired_columns", lines).select("sch", "tbl").distinct())
+        return drift(tables, diff_columns(spark, sf_dir, lines), ["sch", "tbl"])
 
 
 def plan_hash_mismatch(spark, sf_dir):

@@ -222,3 +222,22 @@ def test_surviving_triggers_are_told_by_table(spark, tmp_path):
     spark.createDataFrame([(k, 4) for k in (1, 3, 9, 45)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = catalog_queries.surviving_triggers(spark, str(tmp_path))
     assert sorted(found.columns) == ["tbl", "triggers"] and {tuple(r) for r in found.select("tbl", "triggers").collect()} == {("t0", "trigger:trigger_3; trigger:trigger_9"), ("t40", "trigger:trigger_45")}
+
+
+def test_grouped_lines_are_kept_while_they_are_read(spark):
+    """Snapshots of the same line items group them once, and nothing stays behind."""
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    names = ("live_columns", "desired_columns", "renames")
+    with generated.kept_lines(spark, SF) as lines:
+        for whole, shared in zip(generated.frames(spark, SF, *names), generated.frames(spark, SF, *names, lines=lines)):
+            assert "InMemoryTableScan" in shared._jdf.queryExecution().executedPlan().toString()
+            assert rows(shared) == rows(whole)
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept + 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_normal_forms(spark):
+    forms = {"(TRUE)": "true", "((-1.5))": "-1.5", "CURRENT_TIMESTAMP": "now()", "'it''s'::text": "'it''s'", "nextval('s.q'::regclass)": "nextval('q'::regclass)", "(foo)": "(foo)", "true)\n": "true", "nextval('')": "nextval('')", "": "", None: None}
+    assert {raw: one(spark, raw, sqltypes.normalize_default) for raw in forms} == forms
+    types = {"character varying(9)": "varchar(9)", "CHARACTER(2)": "char(2)", "character": "character", " int4 ": "integer", None: None}
+    assert {raw: one(spark, raw, sqltypes.normalize_type) for raw in types} == types
