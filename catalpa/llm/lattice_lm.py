@@ -234,20 +234,23 @@ def common_words(scored: DataFrame) -> list:
     return [] if least is None else scored.where(F.col("c_all") >= least).collect()
 
 
-def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
-    """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row; learn tells the training rows."""
+def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH, base_only: bool = False) -> DataFrame:
+    """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row; learn tells the training rows.
+
+    With base_only no piece weights are learned and no word is summed up over its lattice; there is no score then.
+    """
     docs = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), learn.alias("learn"))
     counts = checkpoint(count_words(docs.select("text", "learn")))
     n_texts = docs.where("learn").count()
     known = counts.agg(F.sum("c_train").alias("n"), F.count_if(F.col("c_train") > 0).alias("v")).first()
     n, v = (known["n"] or 0) + n_texts, known["v"] + (n_texts > 0)
     whole = n + SMOOTH * (v + 1)
-    model = learned(initial(path), counts, n_texts)
-    scored = checkpoint(with_scores(counts, model))
+    model = None if base_only else learned(initial(path), counts, n_texts)
+    scored = checkpoint(with_scores(counts, model)) if model else counts.withColumn("lp", F.lit(0.0))
     base = {c: math.log10((c + SMOOTH) / whole) for c in {0, n_texts}}
     head = {r["word"]: (r["lp"], math.log10((r["c_train"] + SMOOTH) / whole), int(r["c_train"] > 0)) for r in common_words(scored)}
     shared = docs.sparkSession.sparkContext.broadcast(head)
-    end = (model.end / LN10, base[n_texts], int(n_texts > 0))
+    end = (model.end / LN10 if model else 0.0, base[n_texts], int(n_texts > 0))
 
     kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("learn", pa.bool_()), ("word", pa.string()), ("times", pa.int64()), ("lp0", pa.float64()), ("base0", pa.float64()), ("known0", pa.int64())])
 
@@ -285,4 +288,4 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     per_row = [(F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")]
     per_row += [F.lit(n).cast("long").alias("train_tokens"), *[(F.col(c) / F.col("rows")).alias(c) for c in ("base_score", "score")]]
     once = sums.select("doc_id", "learn", *per_row, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("_"))
-    return once.drop("_")
+    return once.drop("_", *(["score"] if base_only else []))

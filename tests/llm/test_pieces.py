@@ -127,3 +127,16 @@ def test_lm_scores(make, monkeypatch):
     twice = lattice_lm.score(make([EDGES[3], EDGES[3]]), F.lit(True)).collect()
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["n_tokens"] == 3
     assert lattice_lm.score(make(EDGES), F.lit(False)).where("train_tokens = 0 AND n_known = 0").count() == len(EDGES)
+
+
+def test_base_scores_alone_need_no_lattice(spark, make, monkeypatch):
+    """The counts and base scores are those beside the lattice's score; no piece is weighed for them."""
+    docs, learn = make([(i, text, "en", "a") for i, text in enumerate(["a b a", "b c", "", None, "the cat  sat", "B c d"])]), F.col("doc_id") % 2 == 0
+    shown = ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score"]
+    want = sorted(map(tuple, lattice_lm.score(docs, learn).select(*shown).collect()))
+    for name in ("initial", "learned", "with_scores"):
+        monkeypatch.setattr(lattice_lm, name, None)
+    out = lattice_lm.score(docs, learn, base_only=True)
+    assert out.columns == shown
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=1e-12)
