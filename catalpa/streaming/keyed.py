@@ -1,11 +1,12 @@
-"""Drift by column as keyed state: a stream of observations, a row of state for each column, and only what changes is told.
+"""Drift by column as keyed state: a stream of observations, the last place and status of each column, and only what changes is told.
 
 An observation (sch, tbl, col, seen, gone, data_type, nullable) says how a column was, or that it was gone, at the place `seen` of its history. Spark compares it with
 the desired columns, a static side of the stream; the state store keeps each column's last place and status in step with the stream's checkpoint, so a restart goes on where the
-last finished batch ended and the files of the sink hold each change once.
+last finished batch ended and the files of the sink hold each change once. Columns share PACKS rows of state by their hash, so that a batch calls Python once for each pack that it observes,
+however many columns there are; a pack's row is written anew when one of its columns is observed. PACKS belongs to a checkpoint and must not change under it.
 
 Defined cases: an observation at or before the column's last place, late or repeated, changes nothing. Several of one batch are taken in their order. A column nobody has observed has no
-state. Types are compared in their normal form, a null nullable equals another. Desired rows of one column must be unique.
+state. An observation without a place changes nothing. Types are compared in their normal form, a null nullable equals another. Desired rows of one column must be unique.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from catalpa.session import checkpoint, new_folder, remove, table
 KEY = ["sch", "tbl", "col"]
 OBSERVED = "sch string, tbl string, col string, seen long, gone boolean, data_type string, nullable boolean"
 CHANGES = "sch string, tbl string, col string, seen long, was string, now string"
-STATE = "seen long, status string"
+STATE = "sch array<string>, tbl array<string>, col array<string>, seen array<long>, status array<string>"
 UNKNOWN = "unknown"
+PACKS = 2048
 
 
 def status() -> Column:
@@ -36,24 +38,25 @@ def status() -> Column:
     return F.when(F.col("gone"), F.when(wanted, "missing").otherwise("in sync")).when(~wanted, "surplus").when(same, "in sync").otherwise("differs")
 
 
-def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes of one column's status, and its new state."""
-    seen, now = state.get if state.exists else (None, UNKNOWN)
+def follow(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The changes of the status of a pack's columns, and their new state."""
+    held = {tuple(key): last for *key, last in zip(*state.get[:3], zip(*state.get[3:]))} if state.exists else {}
     rows, out = pd.concat(frames).sort_values("seen"), []
-    for at, found in zip(rows["seen"], rows["now"]):
+    for *key, at, found in zip(*[rows[c].tolist() for c in (*KEY, "seen", "now")]):
+        seen, now = held.get(tuple(key), (None, UNKNOWN))
         if seen is None or at > seen:
             if found != now:
-                out.append((*key, int(at), now, found))
-            seen, now = int(at), found
-    state.update((seen, now))
+                out.append((*key, at, now, found))
+            held[tuple(key)] = (at, found)
+    state.update(tuple(map(list, zip(*[(*key, *last) for key, last in held.items()]))))
     yield pd.DataFrame(out, columns=[*KEY, "seen", "was", "now"])
 
 
 def transitions(observed: DataFrame, desired: DataFrame) -> DataFrame:
     """(sch, tbl, col, seen, was, now) of a stream of observations against desired columns (sch, tbl, col, data_type, nullable)."""
     want = desired.select(*[F.col(k).alias(f"want_{k}") for k in KEY], F.col("data_type").alias("want_type"), F.col("nullable").alias("want_nullable"), F.lit(True).alias("wanted"))
-    met = observed.join(want, [F.col(k) == F.col(f"want_{k}") for k in KEY], "left").select(*KEY, "seen", status().alias("now"))
-    return met.groupBy(*KEY).applyInPandasWithState(follow, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    met = observed.where("seen IS NOT NULL").join(want, [F.col(k) == F.col(f"want_{k}") for k in KEY], "left").select(F.pmod(F.xxhash64(*KEY), F.lit(PACKS)).alias("pack"), *KEY, "seen", status().alias("now"))
+    return met.groupBy("pack").applyInPandasWithState(follow, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def watch(observed: DataFrame, desired: DataFrame, out: str, state: str) -> StreamingQuery:

@@ -39,3 +39,20 @@ def test_restarts_late_and_repeated_batches(spark):
         keyed.watch(stream, desired, f"{folder}/out", f"{folder}/state").awaitTermination(120)
     got = spark.read.schema(keyed.CHANGES).parquet(f"{folder}/out")
     assert sorted(map(tuple, got.collect())) == brute(batches) and got.count() > 30
+
+
+def test_columns_share_rows_of_state(spark, monkeypatch):
+    """Many columns, also unnamed ones, in few packs: each is followed by itself; an observation without a place changes nothing."""
+    monkeypatch.setattr(keyed, "PACKS", 4)
+    rng = random.Random(3)
+    row = lambda seen: ("s", rng.choice(["t", "u", None]), f"c{rng.randrange(40)}", seen, rng.random() < 0.3, rng.choice(["int", "text"]), True)
+    batches = [[row(2**53 + seen) for seen in range(a, a + 200)] for a in (0, 150, 400)]
+    folder, desired = new_folder(spark, "test"), spark.createDataFrame(DESIRED, "sch string, tbl string, col string, data_type string, nullable boolean")
+    for batch in batches:
+        spark.createDataFrame([*batch, ("s", "t", "c1", None, False, "int", True)], keyed.OBSERVED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(keyed.OBSERVED).parquet(f"{folder}/in")
+        keyed.watch(stream, desired, f"{folder}/out", f"{folder}/state").awaitTermination(120)
+    named = lambda r: (r[0], r[1] or "~", *r[2:])
+    got = [named(tuple(r)) for r in spark.read.schema(keyed.CHANGES).parquet(f"{folder}/out").collect()]
+    assert sorted(got) == brute([list(map(named, batch)) for batch in batches]) and len({r[:3] for r in got}) > 100
+    assert spark.read.format("statestore").load(f"{folder}/state").count() == 4
