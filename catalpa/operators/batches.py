@@ -27,17 +27,24 @@ def keyset_page(df: DataFrame, key: list[str], cursor: tuple | None, size: int,
 def chunk_bounds(df: DataFrame, key: str | list[str], size: int, slices: int | None = None) -> DataFrame:
     """(chunk, first_key, last_key, rows) of chunks of so many rows by key; of a key of several columns the bounds are structs.
 
-    Rows are numbered in two steps, so that no task holds them all: they are dealt by ranges of the whole key and counted, then ranked within their
-    range. Rows of one key are numbered in one task. There are twice as many ranges as the session has shuffle partitions, if slices doesn't say.
+    Rows are numbered in two steps, so that no task holds them all: they are dealt by ranges of the whole key, sorted and counted within their range, then
+    numbered on from the ranges before it. Only the rows at the ends of chunks are grouped. Rows of one key are sorted in one task. There are twice as many ranges as the session
+    has shuffle partitions, if slices doesn't say.
     """
     slices = slices or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [key] if isinstance(key, str) else key
-    placed = checkpoint(df.select(*columns).repartitionByRange(slices, *columns).withColumn("_slice", F.spark_partition_id()))
-    counts = placed.groupBy("_slice").agg(F.count("*").alias("_rows"))
-    ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each slice
-    ranked = placed.join(F.broadcast(counts.select("_slice", ahead.alias("_ahead"))), "_slice").withColumn("_n", F.col("_ahead") + F.row_number().over(Window.partitionBy("_slice").orderBy(*columns)))
     bound = F.col(key) if isinstance(key, str) else F.struct(*columns)
-    return ranked.groupBy((F.floor((F.col("_n") - 1) / size) + 1).alias("chunk")).agg(F.min(bound).alias("first_key"), F.max(bound).alias("last_key"), F.count("*").alias("rows"))
+    ordered = df.select(*columns).repartitionByRange(slices, *columns).sortWithinPartitions(*columns)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))  # its lower bits: from 0 in each range
+    placed = checkpoint(ordered.select(*columns, F.spark_partition_id().alias("_slice"), place.alias("_place")))
+    counts = placed.groupBy("_slice").agg(F.count("*").alias("_rows"), F.count_if(bound.isNull()).alias("_nulls"))
+    by = Window.orderBy("_slice")  # a row for each slice
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = F.coalesce(F.sum("_rows").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("_slice", ahead.alias("_ahead"), F.sum("_rows").over(whole).alias("_last"), (F.sum("_nulls").over(whole) + 1).alias("_first"))
+    numbered = placed.join(F.broadcast(before), "_slice").withColumn("_n", F.col("_ahead") + F.col("_place") + 1)
+    ends = numbered.where(((F.col("_n") - 1) % size == 0) | (F.col("_n") % size == 0) | F.col("_n").isin(F.col("_first"), F.col("_last")))  # _first: the first key that isn't null
+    return ends.groupBy((F.floor((F.col("_n") - 1) / size) + 1).alias("chunk")).agg(F.min(bound).alias("first_key"), F.max(bound).alias("last_key"), (F.max("_n") - F.min("_n") + 1).alias("rows"))
 
 
 def backfill(df: DataFrame, new: str, old: str) -> DataFrame:

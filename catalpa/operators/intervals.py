@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, DataType
 from catalpa.session import checkpoint, small, table
 
 BUCKETS = 256
+#: So many edges are met by tests that Spark compiles, more by a loop over an array.
+FEW = 16
 
 
 def literal(value) -> Column:
@@ -39,9 +41,16 @@ def bucket(value: Column, edges: list, kind: DataType, reached: bool = True) ->
     """How many edges are at or below the value (below it, where reached is false), by halving."""
     if not edges:
         return F.lit(0)
+    below = lambda edge: edge <= value if reached else edge < value
+    if len(edges) <= FEW:
+
+        def halve(low: int, high: int) -> Column:
+            at = (low + high) // 2
+            return F.lit(low) if low == high else F.when(below(literal(edges[at]).cast(kind)), halve(at + 1, high)).otherwise(halve(low, at))
+
+        return halve(0, len(edges))
     held = F.array(*[literal(e) for e in edges]).cast(ArrayType(kind))
     steps = F.array(*[F.lit(2**k) for k in reversed(range(len(edges).bit_length()))])
-    below = lambda edge: edge <= value if reached else edge < value
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(F.get(held, at + step - 1)), at + step).otherwise(at))
 
 
@@ -53,7 +62,7 @@ def route(df: DataFrame, value: Column, bounds: DataFrame, part: str = "part", h
     first = F.when(F.col("__low").isNull(), F.lit(0)).otherwise(bucket(F.col("__low"), edges, kind))
     last = F.when(F.col("__high").isNull(), F.lit(len(edges))).otherwise(bucket(F.col("__high"), edges, kind, reached=False))
     dealt = checkpoint(kept.withColumn("__b", F.explode(F.sequence(first, last))))
-    placed = df.withColumn("__value", value.cast(kind)).withColumn("__bucket", F.when(F.col("__value").isNotNull(), bucket(F.col("__value"), edges, kind)))
+    placed = df.withColumn("__value", value.cast(kind)).withColumn("__bucket", F.coalesce(F.when(F.col("__value").isNotNull(), bucket(F.col("__value"), edges, kind)), F.lit(-1)))  # never null, so no filter tells it a second time
     inside = "__bucket = __b AND (__low IS NULL OR __value >= __low) AND (__high IS NULL OR __value < __high)"
     joined = placed.join(small(dealt, 48 + 2 * F.length(F.to_json(F.struct("__low")))), F.expr(inside), how)
     return joined.drop("__value", "__bucket", "__b", "__low", "__high")

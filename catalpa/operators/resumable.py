@@ -88,7 +88,8 @@ def write(df: DataFrame, key: list[str], new: str, old: str, folder: str, most:
         rows = rows.where((F.col(key[0]) <= literal(ends["high"][0])) | F.col(key[0]).isNull())
     attempt = uuid.uuid4().hex
     dealt = route(backfill(rows, new, old), key_of(key), chosen.select(F.col("chunk").alias("part"), "low", "high"), "chunk", "inner")
-    dealt.repartition("chunk").write.partitionBy("chunk").parquet(f"{folder}/data/attempt={attempt}")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // ends["n"])  # of a chunk, where there are fewer chunks than partitions
+    dealt.repartition("chunk", F.pmod(F.xxhash64(*df.columns), F.lit(tasks))).write.partitionBy("chunk").parquet(f"{folder}/data/attempt={attempt}")
     chosen.select("chunk").coalesce(1).write.parquet(f"{folder}/taken/attempt={attempt}")
     return attempt
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalpa.operators import digests, intervals, resumable
-from catalpa.operators.batches import row_level_diff
+from catalpa.operators.batches import chunk_bounds, row_level_diff
 from catalpa.session import exists, new_folder, remove
 
 SCHEMA = "a int, b string, new int, old int"
@@ -155,3 +155,37 @@ def test_digests_agree_with_full_diff(spark, kind):
     assert digests.digest_diff(a, a, ["k", "p"], ["s", "f"]).collect() == []
     empty = a.where("false")
     assert digests.digest_diff(empty, a, ["k", "p"], ["s"]).where("change = 'added'").count() == 2000 and digests.digest_diff(empty, empty, ["k", "p"], ["s"]).collect() == []
+
+
+def test_a_chunk_is_written_by_several_tasks(spark):
+    df = spark.range(400).selectExpr("id AS a", "'x' AS b", "cast(null AS int) AS new", "1 AS old")
+    folder, setting = new_folder(spark, "test"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # else four hundred rows come to one task
+    try:
+        resumable.plan(df, KEY, 200, folder)
+        attempt = resumable.write(df, KEY, "new", "old", folder, most=1)
+    finally:
+        spark.conf.unset(setting)
+    files = spark.read.parquet(f"{folder}/data/attempt={attempt}").select("chunk", F.input_file_name().alias("file")).distinct().groupBy("chunk").count().collect()
+    assert [(r["chunk"], r["count"] > 1) for r in files] == [(1, True)]
+    resumable.commit(spark, folder, attempt, KEY, df.schema)
+    assert resumable.finished(spark, folder).select("chunk", "rows").collect() == [(1, 200)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_chunk_bounds_group_the_ends_only(spark, size):
+    """Against plain Python, with repeated and null keys, of one column and of two."""
+    rng = random.Random(size)
+    keys = [(rng.choice([None, rng.randrange(30)]), rng.choice([None, "x", "y"])) for _ in range(150)]
+    df = spark.createDataFrame(keys, "a int, b string")
+    low = lambda k: tuple((x is not None, x) for x in k)
+    for key, rows in (("a", sorted([k[:1] for k in keys], key=low)), (["a", "b"], sorted(keys, key=low))):
+        found = chunk_bounds(df, key, size, slices=5)
+        assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+        want = []
+        for i in range(0, len(rows), size):
+            chunk = rows[i : i + size]
+            told = [k[0] for k in chunk if k[0] is not None] if key == "a" else chunk
+            want.append((i // size + 1, told[0] if told else None, told[-1] if told else None, len(chunk)))
+        bare = lambda x: tuple(x) if isinstance(x, tuple) else x
+        assert [(r[0], bare(r[1]), bare(r[2]), r[3]) for r in found.orderBy("chunk").collect()] == want
