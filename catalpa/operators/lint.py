@@ -7,6 +7,8 @@ triggers(tbl, name, fn), routines(fn), enums(name), extensions(name, version). R
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,45 +102,55 @@ def no_key(s: Snapshot) -> DataFrame:
     return told(s["tables"].where("NOT partition").join(s["keys"], "tbl", "left_anti"), "L001", "ERROR", F.lit(""))
 
 
-def covered(fk_cols: Column, cols: Column) -> Column:
-    """Whether the leading columns, in any order, are those of the key."""
-    return (F.size(cols) >= F.size(fk_cols)) & (F.array_sort(F.slice(cols, 1, F.size(fk_cols))) == F.array_sort(fk_cols))
+def leading(cols: Column) -> Column:
+    """Of a key's columns the first one, the first two and so on, each sorted."""
+    return F.transform(F.sequence(F.lit(1), F.size(cols)), lambda n: F.array_sort(F.slice(cols, 1, n)))
 
 
 def unindexed_fk(s: Snapshot) -> DataFrame:
-    leads = s["indexes"].select("tbl", F.col("cols").alias("lead")).unionByName(s["keys"].select("tbl", F.col("cols").alias("lead")))
-    fks = s["fks"].where(F.size("cols") > 0).alias("f")
-    return told(fks.join(leads.alias("i"), (F.col("f.tbl") == F.col("i.tbl")) & covered(F.col("f.cols"), F.col("i.lead")), "left_anti"), "L002", "WARNING", F.col("name"))
+    """The leading columns of an index or key, in any order, cover a foreign key; they meet by equality, not pair by pair."""
+    keys = s["indexes"].select("tbl", "cols").unionByName(s["keys"].select("tbl", "cols")).where(F.size("cols") > 0)
+    leads = keys.select("tbl", F.explode(leading(F.col("cols"))).alias("lead"))
+    fks = s["fks"].where(F.size("cols") > 0).withColumn("lead", F.array_sort("cols"))
+    return told(fks.join(leads, ["tbl", "lead"], "left_anti"), "L002", "WARNING", F.col("name"))
 
 
 def made_up_check(s: Snapshot) -> DataFrame:
     prefix = F.regexp_extract("name", r"^(.+)_check\d*$", 1)
     columns = s["columns"].select("tbl", F.concat_ws("_", "tbl", "col").alias("prefix")).unionByName(s["tables"].select("tbl", F.col("tbl").alias("prefix")))
-    return told(s["checks"].withColumn("prefix", prefix).join(columns.distinct(), ["tbl", "prefix"], "left_semi"), "L007", "INFO", F.col("name"))
+    own = s["checks"].where(F.startswith("name", F.col("tbl"))).withColumn("prefix", prefix)  # the others have no column's name
+    return told(own.join(columns, ["tbl", "prefix"], "left_semi"), "L007", "INFO", F.col("name"))
+
+
+def given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often then names it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def folded_check(expr: Column) -> Column:
     """A check's expression without blanks and case outside quoted text, and without a word or nothing before parentheses that hold all of the rest."""
     pieces = F.transform(F.split(expr, "'"), lambda p, i: F.when(i % 2 == 0, F.regexp_replace(F.lower(p), r"[ \t\r\n]", "")).otherwise(p))
-    folded = F.array_join(pieces, "'")
 
     def walk(acc: Column, c: Column) -> Column:
         depth = acc["depth"] + F.when(acc["quoted"], 0).when(c == "(", 1).when(c == ")", -1).otherwise(0)
-        return F.struct(depth.alias("depth"), (acc["quoted"] != (c == "'")).alias("quoted"), (acc["shut"] + (depth == 0).cast("int")).alias("shut"))
+        return given(depth, lambda d: F.struct(d.alias("depth"), (acc["quoted"] != (c == "'")).alias("quoted"), (acc["shut"] + (d == 0).cast("int")).alias("shut")))
 
     def unwrap(e: Column, _: Column) -> Column:
-        rest = F.regexp_extract(e, r"(?s)^[^(]*(\(.*\))$", 1)  # from the first parenthesis on, if the last character closes one
         begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("shut"))
-        whole = F.aggregate(F.split(rest, ""), begin, walk)["shut"] == 1  # closed once, at its end
-        return F.when((rest != "") & whole, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(e)
+        marks = lambda rest: F.split(F.regexp_replace(rest, "[^()']+", "x"), "")  # noqa: E731  # a run of other characters counts as one
+        whole = lambda rest: F.aggregate(marks(rest), begin, walk)["shut"] == 1  # noqa: E731  # closed once, at its end
+        rest = F.regexp_extract(e, r"(?s)^[^(]*(\(.*\))$", 1)  # from the first parenthesis on, if the last character closes one
+        return F.when(e.contains("("), given(rest, lambda r: F.when((r != "") & whole(r), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(e))).otherwise(e)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(folded) - F.length(F.replace(folded, F.lit("("), F.lit("")))), folded, unwrap)  # at most once for each parenthesis
+    opened = lambda e: F.length(e) - F.length(F.replace(e, F.lit("("), F.lit("")))
+    return given(F.array_join(pieces, "'"), lambda folded: F.aggregate(F.sequence(F.lit(1), F.greatest(opened(folded), F.lit(1))), folded, unwrap))  # once for each parenthesis
 
 
 def duplicate_check(s: Snapshot) -> DataFrame:
-    keyed = s["checks"].withColumn("key", folded_check(F.col("expr"))).where("key <> ''")
+    """A check without an expression repeats none. That is asked of the window's result, so that no filter folds the expressions a second time."""
+    keyed = s["checks"].where(F.translate("expr", " \t\r\n", "") != "").select("tbl", "name", folded_check(F.col("expr")).alias("key"))
     w = Window.partitionBy("tbl", "key").orderBy("name")
-    return told(keyed.withColumn("first", F.first("name").over(w)).where("first <> name"), "L006", "WARNING", F.col("name"))
+    return told(keyed.withColumn("first", F.when(F.col("key") != "", F.first("name").over(w))).where("first <> name"), "L006", "WARNING", F.col("name"))
 
 
 def unversioned_extension(s: Snapshot) -> DataFrame:
@@ -212,9 +224,12 @@ def in_order(found: DataFrame) -> DataFrame:
 KINDS = ("tables", "columns", "keys", "indexes", "fks", "checks", "triggers", "routines", "enums", "extensions")
 
 
-def snapshot(spark, sf_dir) -> Snapshot:
-    found = {kind: generated.frame(spark, sf_dir, f"lint_{kind}") for kind in KINDS}
-    return found | {kind: checkpoint(found[kind]) for kind in ("columns", "keys", "tables", "indexes", "checks")}  # read by several rules, some derived by an aggregate
+@contextmanager
+def snapshot(spark, sf_dir) -> Iterator[Snapshot]:
+    """Line items are grouped once, for columns and keys; what reads them must be checkpointed before the end."""
+    with generated.kept_lines(spark, sf_dir) as lines:
+        found = {kind: generated.frame(spark, sf_dir, f"lint_{kind}", lines) for kind in KINDS}
+        yield found | {"keys": checkpoint(found["keys"])}  # read by several rules and derived by an aggregate; the others are told from their rows
 
 
 def suppressed(spark):
@@ -222,20 +237,24 @@ def suppressed(spark):
 
 
 def lint_all(spark, sf_dir):
-    return lint(snapshot(spark, sf_dir))
+    with snapshot(spark, sf_dir) as s:
+        return checkpoint(lint(s))
 
 
 def lint_unsuppressed(spark, sf_dir):
-    return lint(snapshot(spark, sf_dir), profile("strict", ("l047", "L002")), suppressed(spark)).groupBy("rule", "severity").agg(F.count("*").alias("diagnostics"))
+    with snapshot(spark, sf_dir) as s:
+        return checkpoint(lint(s, profile("strict", ("l047", "L002")), suppressed(spark)).groupBy("rule", "severity").agg(F.count("*").alias("diagnostics")))
 
 
 def lint_counts(spark, sf_dir):
-    return severity_counts(lint(snapshot(spark, sf_dir), profile("Standard")))
+    with snapshot(spark, sf_dir) as s:
+        return checkpoint(severity_counts(lint(s, profile("Standard"))))
 
 
 def lint_first(spark, sf_dir):
     """The first 40 diagnostics of a report, in its order."""
-    first = in_order(lint(snapshot(spark, sf_dir), profile("standard"))).limit(40)
+    with snapshot(spark, sf_dir) as s:
+        first = checkpoint(in_order(lint(s, profile("standard"))).limit(40))
     return first.withColumn("place", F.row_number().over(Window.orderBy("rule", "tbl", "item")))  # 40 rows
 
 

@@ -241,3 +241,28 @@ def test_normal_forms(spark):
     assert {raw: one(spark, raw, sqltypes.normalize_default) for raw in forms} == forms
     types = {"character varying(9)": "varchar(9)", "CHARACTER(2)": "char(2)", "character": "character", " int4 ": "integer", None: None}
     assert {raw: one(spark, raw, sqltypes.normalize_type) for raw in types} == types
+
+
+def test_foreign_keys_meet_leading_columns_by_equality(spark):
+    indexes = [("t", ["a", "b", "c"]), ("t", ["d"]), ("u", ["b", "a"]), ("v", []), ("v", ["a", None])]
+    fks = [("t", "both", ["b", "a"]), ("t", "one", ["a"]), ("t", "late", ["b"]), ("t", "all", ["c", "a", "b"]), ("t", "more", ["a", "b", "c", "d"]), ("u", "swapped", ["a", "b"]), ("u", "second", ["a"]), ("v", "none", []), ("v", "empty", ["b"]), ("w", "alone", ["a"])]
+    s = {"indexes": spark.createDataFrame(indexes, "tbl string, cols array<string>"), "keys": spark.createDataFrame([("t", ["d", "e"])], "tbl string, cols array<string>"), "fks": spark.createDataFrame(fks, "tbl string, name string, cols array<string>")}
+    found = lint.unindexed_fk(s)
+    assert {r["item"] for r in found.collect()} == {"late", "more", "second", "empty", "alone"}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "sort" not in joins[0]
+
+
+def test_checks_are_folded_once(spark):
+    checks = [("t", "a", "CHECK ((x > 0))"), ("t", "b", "X>0"), ("t", "c", "()"), ("t", "d", "(( ))"), ("t", "e", " "), ("t", "f", None), ("u", "g", "x > 0"), ("t", "h", "(x>0)and(y>0)")]
+    found = lint.duplicate_check({"checks": spark.createDataFrame(checks, "tbl string, name string, expr string")})
+    assert [r["item"] for r in found.collect()] == ["b"]
+    assert sum("regexp_replace" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+
+
+def test_lint_groups_line_items_once(spark):
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with lint.snapshot(spark, SF) as s:
+        assert "InMemoryTableScan" in s["columns"]._jdf.queryExecution().executedPlan().toString()
+        assert rows(s["columns"]) == rows(generated.frame(spark, SF, "lint_columns")) and rows(s["keys"]) == rows(generated.frame(spark, SF, "lint_keys"))
+    assert lint.lint_counts(spark, SF).count() == 3 and spark.sparkContext._jsc.getPersistentRDDs().size() == kept
