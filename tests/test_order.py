@@ -2,10 +2,13 @@
 
 import random
 from functools import cache
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalpa.plans import order, steps
+from catalpa.session import shared
 
 
 def brute(edges, names):
@@ -83,3 +86,51 @@ def test_sizes_do_not_multiply_over_rounds(spark, monkeypatch):
     monkeypatch.setattr(order, "settled", settled)
     told(spark, [("p", f"r{i}", f"r{(i + 1) % 3}") for i in range(3)] + [("p", "t0", "r0"), ("p", "t1", "t0"), ("p", "z", None)]).collect()
     assert len(bits) > 10 and max(bits) < 40
+
+
+def test_objects_that_met_their_root_are_not_asked_again(spark, monkeypatch):
+    """A ring keeps the jumps going; the many beside it that stand on the ground are written a few times, not once a jump."""
+    rows, plain = [], order.settled
+
+    def settled(df):
+        kept = plain(df)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(order, "settled", settled)
+    wide = [("p", "g", None)] + [("p", f"a{i}", "g") for i in range(600)] + [("p", f"r{i}", f"r{(i + 1) % 12}") for i in range(12)]
+    found = {r["name"]: (r["level"], r["component"]) for r in told(spark, wide).collect()}
+    assert found == {"g": (0, None)} | {f"a{i}": (1, None) for i in range(600)} | {f"r{i}": (None, "r0") for i in range(12)}
+    assert sum(n > 500 for n in rows) < 8
+
+
+def test_cycles_through_trees(spark):
+    """An object with two needs, on a cycle by one of them and over the ground by the other; a long tail and a short ring."""
+    edges = [("d", "g"), ("d", "h"), ("d", "e"), ("e", "f"), ("f", "d"), ("over", "e"), ("two", "h"), ("two", "g"), ("h", "g"), ("up", "two"), ("mix", "up"), ("mix", "r0"), ("r0", "r1"), ("r1", "r0")]
+    edges += [(f"t{i:02}", f"t{i - 1:02}" if i else "r1") for i in range(21)]
+    names = sorted({n for e in edges for n in e})
+    got = {r["name"]: (r["level"], r["component"]) for r in told(spark, [("p", a, b) for a, b in edges] + [("p", "g", None)]).collect()}
+    assert got == brute(edges, names)
+
+
+def test_numbers_that_two_names_share(spark, monkeypatch):
+    """Another seed is taken if two objects share a number; a need outside the plan isn't the object whose number it has."""
+    seeds, plain = [], order.number
+
+    def number(plan, name, seed):
+        seeds.append(seed)
+        own = F.when(name == "ghost", plain(plan, F.lit("a"), seed)).otherwise(plain(plan, name, seed))
+        return F.length(name).cast("long") if seed == 0 else own
+
+    monkeypatch.setattr(order, "number", number)
+    rows = [("p", "a", None), ("p", "b", "a"), ("p", "c", "ghost"), ("p", "d", "b")]
+    assert {r["name"]: r["level"] for r in told(spark, rows).collect()} == {"a": 0, "b": 1, "c": 0, "d": 2} and set(seeds) == {0, 1}
+    monkeypatch.setattr(order, "number", lambda plan, name, seed: F.length(name).cast("long"))
+    with pytest.raises(RuntimeError):
+        told(spark, rows)
+
+
+def test_steps_are_taken_away(spark):
+    kept = order.placed(told(spark, [("p", "a", "b"), ("p", "b", None)]))
+    assert {r["name"]: r["place"] for r in kept.collect()} == {"b": 1, "a": 2}
+    assert not [p for p in Path(shared(spark).removeprefix("file:")).iterdir() if p.name.startswith("order-")]
